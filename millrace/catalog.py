@@ -1,0 +1,15 @@
+"""Registered queries of the analytics operators, each with the SQL it must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order volume by market segment."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
