@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .html_text import extract_main_text
 from .packing import pack
 from .secrets import scan_secrets
 from .token_counts import count_tokens
@@ -49,11 +50,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE: dict[str, str] = {}
