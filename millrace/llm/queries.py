@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .html_text import extract_main_text
 from .language import identify
+from .near_copies import near_copies
 from .packing import pack
+from .repeated_passages import remove_repeated
 from .secrets import scan_secrets
 from .token_counts import count_tokens
 from .vectors import nearest, top_products
@@ -26,6 +28,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -56,6 +62,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
@@ -69,17 +79,50 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_copies": op1_near_copies,
     "op2_bpe": op2_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_nearest": op5_nearest,
     "op6_token_counts": op6_token_counts,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_top_products": op8_top_products,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_near_copies": """
+        WITH RECURSIVE split AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4]))) END AS s FROM split
+        ), classes AS (SELECT s, min(doc_id) AS id, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY s),
+        grams AS (SELECT id, len(s) AS size, md5(CAST(unnest(s) AS VARCHAR)) AS g FROM classes),
+        alike AS (
+          SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id
+          GROUP BY a.id, b.id, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))
+        ), reach(id, other) AS (
+          SELECT id, id FROM classes UNION SELECT r.id, x.b FROM reach r JOIN alike x ON x.a = r.other
+        ), roots AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+        links AS (SELECT x.a AS id, sum(c.copies) AS links, count(*) AS texts FROM alike x JOIN classes c ON c.id = x.b GROUP BY x.a)
+        SELECT d.doc_id, coalesce(r.class_id, d.doc_id) AS class_id, coalesce(c.id, d.doc_id) AS copy_of,
+          CAST(coalesce(c.copies, 1) - 1 + coalesce(l.links, 0) AS BIGINT) AS n_links, CAST(coalesce(l.texts, 0) AS BIGINT) AS n_texts
+        FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN roots r ON r.id = c.id LEFT JOIN links l ON l.id = c.id
+    """,
+    "op7_repeated_passages": """
+        WITH split AS (
+          SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35),
+        windows AS (SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM starts),
+        twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows JOIN twice USING (h)),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (r)
+    """,
     "op5_nearest": """
         WITH e AS (
           SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
