@@ -17,10 +17,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from re import _constants as sre  # the parse tree of the standard library's expressions
 from re import _parser
 
-from ._common import id_and_text, slices, texts_of
+from ._common import slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -202,36 +203,45 @@ SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 
 def scan_secrets(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_rules: Sequence[Rule] = BASE_RULES, more_rules: Sequence[Rule] = MORE_RULES, redact: str | None = None
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    base_rules: Sequence[Rule] = BASE_RULES,
+    more_rules: Sequence[Rule] = MORE_RULES,
+    redact: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id and spans of every row, ordered by start and then by rule; offsets are code points, ends exclusive.
+    """doc_id (or the columns of keep) and spans of every row, ordered by start and then by rule.
 
-    Matches of one rule are leftmost and do not overlap; those of different rules may. With redact a column
-    `redacted` holds the text with every covered stretch replaced. A null text counts as empty and has no spans
-    (its redacted text stays null); a null id stays null; repeated rows come back as often as they occur; an
-    empty table gives no rows. Other columns are left out, whatever their names.
+    Offsets are code points, ends exclusive. Matches of one rule are leftmost and do not overlap; those of different
+    rules may. With redact a column `redacted` holds the text with every covered stretch replaced. A null text counts
+    as empty and has no spans (its redacted text stays null); a null id stays null; repeated rows come back as often as
+    they occur; an empty table gives no rows. Other columns are left out, whatever their names.
     """
     rules, n_base = [*base_rules, *more_rules], len(base_rules)
     kinds = [r.kind for r in rules]
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
+    columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
+    rows = df.select(*columns, F.col(text_col).cast("string").alias("text of"))
+    names = [f.name for f in rows.schema.fields if f.name != "text of"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = texts_of(part, "text")
+            for part in slices(batch, "text of"):
+                texts = texts_of(part, "text of")
                 found = scanner.scan(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 flat = [x for f in found for x in f]
-                columns = [[kinds[k] for _, k, _ in flat], [s for s, _, _ in flat], [e for _, _, e in flat], [k < n_base for _, k, _ in flat]]
-                spans = pa.StructArray.from_arrays([pa.array(c, span.field(i).type) for i, c in enumerate(columns)], fields=list(span))
-                arrays, names = [part.column("doc_id"), pa.ListArray.from_arrays(offsets, spans)], ["doc_id", "spans"]
+                fields = [[kinds[k] for _, k, _ in flat], [s for s, _, _ in flat], [e for _, _, e in flat], [k < n_base for _, k, _ in flat]]
+                spans = pa.StructArray.from_arrays([pa.array(c, span.field(i).type) for i, c in enumerate(fields)], fields=list(span))
+                out = [*(part.column(i) for i in range(len(names))), pa.ListArray.from_arrays(offsets, spans)]
                 if redact is not None:
-                    kept = [None if t is None else replaced(t, f, redact) for t, f in zip(part.column("text").to_pylist(), found)]
-                    arrays, names = [*arrays, pa.array(kept, pa.string())], [*names, "redacted"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    out.append(pa.array([None if t is None else replaced(t, f, redact) for t, f in zip(part.column("text of").to_pylist(), found)], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, [*names, "spans", *["redacted"] * (redact is not None)])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(scan, f"doc_id long, spans {SPANS}" + ", redacted string" * (redact is not None))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text of")
+    return rows.mapInArrow(scan, f"{schema}, spans {SPANS}" + ", redacted string" * (redact is not None))
 
 
 def replaced(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
