@@ -1 +1,180 @@
-"""Queries."""
+"""Queries of tests, associations and regressions. SQL gives the statistics; tail probabilities are tested apart."""
+
+from pyspark.sql import functions as F
+
+from ..operators import inference as I
+from . import query
+
+
+def two(t):
+    """Line items of two return flags."""
+    return t("lineitem").filter("l_returnflag IN ('A', 'R')")
+
+
+G2 = """WITH g AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+    p AS (SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS v1, b.v AS v2 FROM g a, g b WHERE a.g = 'A' AND b.g = 'R')"""
+
+
+@query("s01_welch", f"{G2} SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS statistic, m1 - m2 AS difference, n1 AS n_a, n2 AS n_b FROM p")
+def _(t):
+    return I.t_test(two(t), "l_extendedprice", "l_returnflag").select("statistic", "difference", "n_a", "n_b")
+
+
+@query("s02_pooled", f"{G2}, q AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS s FROM p) SELECT (m1 - m2) / sqrt(s * (1.0 / n1 + 1.0 / n2)) AS statistic, (m1 - m2) / sqrt(s) AS cohens_d FROM q")
+def _(t):
+    return I.t_test(two(t), "l_extendedprice", "l_returnflag", pooled=True).select("statistic", "cohens_d")
+
+
+@query("s03_paired", "SELECT avg(l_tax - l_discount) / (stddev_samp(l_tax - l_discount) / sqrt(count(*))) AS statistic, avg(l_tax - l_discount) AS difference FROM lineitem")
+def _(t):
+    return I.paired_t(t("lineitem"), "l_tax", "l_discount").select("statistic", "difference")
+
+
+@query("s04_wilcoxon", """
+    WITH d AS (SELECT l_quantity - 25.5 AS d FROM lineitem WHERE l_quantity <> 25.5), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
+    SELECT sum(r) FILTER (d > 0) AS statistic, count(*) AS n FROM r""")
+def _(t):
+    return I.wilcoxon(t("lineitem").withColumn("mid", F.lit(25.5)), "l_quantity", "mid").select("statistic", "n")
+
+
+RANKS = "SELECT {g} AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem WHERE l_returnflag IN ({flags})"
+
+
+@query("s05_mann_whitney", f"WITH r AS ({RANKS.format(g='l_returnflag', flags=chr(39) + 'A' + chr(39) + ', ' + chr(39) + 'R' + chr(39))}) SELECT sum(r) FILTER (g = 'A') - count(*) FILTER (g = 'A') * (count(*) FILTER (g = 'A') + 1) / 2.0 AS statistic, count(*) FILTER (g = 'A') AS n_a FROM r")
+def _(t):
+    return I.mann_whitney(two(t), "l_quantity", "l_returnflag").select("statistic", "n_a")
+
+
+@query("s06_anova", """
+    WITH g AS (SELECT count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY o_orderpriority), t AS (SELECT sum(n * m) / sum(n) AS mm, sum(n) AS nn, count(*) AS k FROM g)
+    SELECT (sum(n * (m - mm) * (m - mm)) / (any_value(k) - 1)) / (sum((n - 1) * v) / (any_value(nn) - any_value(k))) AS statistic, sum(n * (m - mm) * (m - mm)) / (sum(n * (m - mm) * (m - mm)) + sum((n - 1) * v)) AS eta_squared FROM g, t""")
+def _(t):
+    return I.anova(t("orders"), "o_totalprice", "o_orderpriority").select("statistic", "eta_squared")
+
+
+@query("s07_welch_anova")
+def _(t):
+    return I.anova(t("orders"), "o_totalprice", "o_orderpriority", welch=True)
+
+
+@query("s08_kruskal", """
+    WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
+    s AS (SELECT sum(r) * sum(r) / count(*) AS q FROM r GROUP BY g), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+    t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity))
+    SELECT (12 / (n * (n + 1)) * (SELECT sum(q) FROM s) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS statistic, CAST(n AS BIGINT) AS n FROM n, t""")
+def _(t):
+    return I.kruskal(t("lineitem"), "l_quantity", "l_returnflag").select("statistic", "n")
+
+
+@query("s09_chi_square", """
+    WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS k, sum(n) OVER () AS t FROM c),
+    x AS (SELECT any_value(t) * (sum(CAST(n AS DOUBLE) * n / (CAST(r AS DOUBLE) * k)) - 1) AS chi, any_value(t) AS t, least(count(DISTINCT a), count(DISTINCT b)) - 1 AS k FROM m)
+    SELECT chi AS statistic, sqrt(chi / (t * k)) AS cramers_v, CAST(t AS BIGINT) AS n FROM x""")
+def _(t):
+    return I.chi_square(t("lineitem"), "l_returnflag", "l_linestatus").select("statistic", "cramers_v", "n")
+
+
+@query("s10_fisher", "SELECT (count(*) FILTER (q = 1 AND x = 1) * count(*) FILTER (q = 0 AND x = 0)) / CAST(count(*) FILTER (q = 1 AND x = 0) * count(*) FILTER (q = 0 AND x = 1) AS DOUBLE) AS odds_ratio, count(*) AS n FROM (SELECT CAST(p_size > 25 AS INTEGER) AS q, CAST(p_retailprice > 1400 AS INTEGER) AS x FROM part)")
+def _(t):
+    return I.fisher_exact(t("part").select((F.col("p_size") > 25).cast("int").alias("q"), (F.col("p_retailprice") > 1400).cast("int").alias("x")), "q", "x").select("odds_ratio", "n")
+
+
+@query("s11_corrected_p", """
+    WITH p AS (SELECT p_partkey AS id, (p_partkey % 97) / 1000.0 + p_partkey / 1e6 AS p_value FROM part WHERE p_partkey <= 50), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM p)
+    SELECT id, p_value, least(1.0, m * p_value) AS bonferroni, least(1.0, max((m - i + 1) * p_value) OVER (ORDER BY p_value ROWS UNBOUNDED PRECEDING)) AS holm,
+      least(1.0, min(m * p_value / i) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS benjamini_hochberg FROM r""")
+def _(t):
+    return I.adjusted(t("part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 97) / 1000.0 + F.col("p_partkey") / 1e6).alias("p_value")))
+
+
+ECDF = """
+    WITH b AS (SELECT l_extendedprice AS v, 0 AS s FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_extendedprice, 1 FROM lineitem WHERE l_returnflag = 'R'),
+    c AS (SELECT v, sum(1 - s) AS a, sum(s) AS r FROM b GROUP BY v),
+    f AS (SELECT v, sum(a) OVER w / CAST(sum(a) OVER () AS DOUBLE) AS f0, sum(r) OVER w / CAST(sum(r) OVER () AS DOUBLE) AS f1, lead(v) OVER (ORDER BY v) AS nv FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"""
+
+
+def sides(t):
+    return t("lineitem").filter("l_returnflag = 'A'"), t("lineitem").filter("l_returnflag = 'R'")
+
+
+@query("s14_ks", f"{ECDF} SELECT max(abs(f0 - f1)) AS statistic FROM f")
+def _(t):
+    return I.ks_test(*sides(t), "l_extendedprice").select("statistic")
+
+
+@query("s15_wasserstein", f"{ECDF} SELECT sum(abs(f0 - f1) * (nv - v)) AS distance FROM f")
+def _(t):
+    return I.wasserstein(*sides(t), "l_extendedprice")
+
+
+@query("s17_two_rates")
+def _(t):
+    return I.two_rates(two(t).withColumn("late", (F.col("l_quantity") > 25).cast("int")), "late", "l_returnflag")
+
+
+@query("s21_simpson", """
+    WITH c AS (SELECT l_returnflag AS g, l_linestatus AS s, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+    w AS (SELECT s, sum(n) FILTER (g = 'A') AS n0, sum(n) FILTER (g = 'R') AS n1, sum(q) FILTER (g = 'A') AS q0, sum(q) FILTER (g = 'R') AS q1 FROM c GROUP BY s),
+    m AS (SELECT sum(q0) / sum(n0) - sum(q1) / sum(n1) AS marginal, sum((q0 / n0 - q1 / n1) * (n0 + n1)) / sum(n0 + n1) AS within, count(*) AS strata FROM w WHERE n0 IS NOT NULL AND n1 IS NOT NULL)
+    SELECT *, sign(marginal) * sign(within) < 0 AS reversed FROM m""")
+def _(t):
+    return I.simpson(two(t), "l_quantity", "l_returnflag", "l_linestatus")
+
+
+@query("s23_specification_curve")
+def _(t):
+    return I.specification_curve(t("orders"), "o_orderpriority", "o_totalprice")
+
+
+@query("s25_bootstrap")
+def _(t):
+    return I.bootstrap_mean(t("orders"), "o_totalprice", "o_orderkey")
+
+
+@query("r01_correlation", "SELECT corr(l_quantity, l_extendedprice) AS r, covar_samp(l_quantity, l_extendedprice) AS covariance, count(*) AS n FROM lineitem")
+def _(t):
+    return I.correlation(t("lineitem"), "l_quantity", "l_extendedprice").select("r", "covariance", "n")
+
+
+@query("r02_spearman", """
+    WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
+    SELECT corr(a, b) AS rho, count(*) AS n FROM r""")
+def _(t):
+    return I.spearman(t("lineitem"), "l_quantity", "l_extendedprice").select("rho", "n")
+
+
+@query("r05_correlation_matrix", """
+    SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem""")
+def _(t):
+    return I.correlation_matrix(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", "r")
+
+
+@query("r07_simple_regression", "SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r_squared, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    return I.simple_regression(t("lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
+
+
+@query("r08_ols", """
+    WITH c AS (SELECT covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS bz,
+      avg(l_extendedprice) AS my, avg(l_quantity) AS ma, avg(l_discount) AS mb FROM lineitem),
+    s AS (SELECT (ay * bb - bz * ab) / (aa * bb - ab * ab) AS p, (bz * aa - ay * ab) / (aa * bb - ab * ab) AS q, * FROM c)
+    SELECT '(intercept)' AS term, my - p * ma - q * mb AS estimate FROM s UNION ALL SELECT 'l_quantity', p FROM s UNION ALL SELECT 'l_discount', q FROM s""")
+def _(t):
+    return I.ols(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("term", "estimate")
+
+
+@query("r09_ols_hc3")
+def _(t):
+    return I.ols_robust(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+
+
+@query("r09_ols_clustered")
+def _(t):
+    return I.ols_robust(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
+
+
+@query("r10_vif", """
+    WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS c FROM lineitem) SELECT 'l_quantity' AS "column", 1 / (1 - c * c) AS vif FROM r UNION ALL SELECT 'l_extendedprice', 1 / (1 - c * c) FROM r""")
+def _(t):
+    return I.vif(t("lineitem"), ["l_quantity", "l_extendedprice"])

@@ -1 +1,164 @@
-"""Queries."""
+"""Queries of profiles, quality, versions, drift and outliers."""
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from . import query
+
+PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_suppkey"]
+
+
+@query("q01_profile")
+def _(t):
+    return Q.profile(t("lineitem"))
+
+
+@query("q01_exact_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, avg({c}) AS mean, stddev_samp({c}) AS sd FROM lineitem" for c in PROFILED))
+def _(t):
+    return Q.exact_profile(t("lineitem"), PROFILED)
+
+
+@query("q01_histogram", """
+    WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
+    SELECT CAST(least(10, floor((o_totalprice - lo) / ((hi - lo) / 10)) + 1) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1""")
+def _(t):
+    return Q.histogram(t("orders"), "o_totalprice")
+
+
+@query("q01_top_values", "SELECT p_type AS item, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, item LIMIT 10")
+def _(t):
+    return Q.top_values(t("part"), "p_type")
+
+
+@query("q03_quality_score")
+def _(t):
+    return Q.quality_score(t("orders"))
+
+
+@query("q04_candidate_keys", "SELECT 'o_orderkey' AS \"column\", count(*) = count(DISTINCT o_orderkey) AS is_key FROM orders UNION ALL SELECT 'o_custkey', count(*) = count(DISTINCT o_custkey) FROM orders")
+def _(t):
+    return Q.candidate_keys(t("orders"), ["o_orderkey", "o_custkey"])
+
+
+@query("q08_key_violations", "WITH k AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT count(*) FILTER (n > 1) AS repeated_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_of_them, CAST(sum(n) AS BIGINT) AS rows, coalesce(sum(n) FILTER (n > 1), 0) / CAST(sum(n) AS DOUBLE) AS share FROM k")
+def _(t):
+    return Q.key_violations(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("q09_unit_changes", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, median(o_totalprice) AS median, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5), r AS (SELECT *, median / lag(median) OVER (ORDER BY month) AS ratio FROM m) SELECT * FROM r WHERE ratio >= 1.2 OR ratio <= 1 / 1.2")
+def _(t):
+    return Q.unit_changes(t("orders"), "o_orderdate", "o_totalprice", 1.2)
+
+
+@query("q10_column_findings", "SELECT 'kind' AS \"column\", 'constant' AS \"check\", count(*) AS rows, CAST(0 AS BIGINT) AS nulls, CAST(1 AS BIGINT) AS \"distinct\" FROM part")
+def _(t):
+    return Q.column_findings(t("part").select("p_partkey", "p_brand", F.lit("x").alias("kind")))
+
+
+@query("q12_class_balance", """
+    WITH c AS (SELECT toxic, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic), f AS (SELECT count(*) AS classes, min(n) AS rarer, max(n) AS commoner FROM c)
+    SELECT *, rarer / CAST(commoner AS DOUBLE) AS ratio, CASE WHEN classes <> 2 THEN 'not_applicable' WHEN rarer < 0.05 * commoner THEN 'severe' WHEN rarer < 0.2 * commoner THEN 'imbalanced' ELSE 'balanced' END AS severity FROM f""")
+def _(t):
+    return Q.class_balance(t("labels"), "toxic")
+
+
+@query("q18_functional_dependencies", "SELECT 'o_orderkey' AS determinant, d AS dependent, 1.0 AS share FROM (VALUES ('o_custkey'), ('o_orderstatus')) v(d)")
+def _(t):
+    return Q.functional_dependencies(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], 0.98)
+
+
+@query("q21_dominated_groups")
+def _(t):
+    return Q.dominated_groups(t("events"), "event_type", "value")
+
+
+def edited(t):
+    o = t("orders")
+    return o, o.filter("o_orderkey % 33 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 20 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+
+
+@query("d01_compare", """
+    SELECT CASE WHEN o_orderkey % 33 = 0 THEN 'removed' WHEN o_orderkey % 20 = 0 THEN 'changed' ELSE 'unchanged' END AS state, count(*) AS keys FROM orders GROUP BY 1""")
+def _(t):
+    return Q.compare(*edited(t), ["o_orderkey"])
+
+
+@query("d01_changed_cells", "SELECT c AS \"column\", CASE WHEN c = 'o_totalprice' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 33 <> 0 AND o_orderkey % 20 = 0) ELSE 0 END AS changed FROM (VALUES ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) v(c)")
+def _(t):
+    return Q.changed_cells(*edited(t), ["o_orderkey"])
+
+
+@query("d02_missing_delta")
+def _(t):
+    return Q.missing_delta(*edited(t))
+
+
+@query("d03_numeric_delta", """
+    WITH a AS (SELECT CASE WHEN o_orderkey % 20 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 33 <> 0),
+    f AS (SELECT (SELECT avg(o_totalprice) FROM orders) AS mean_before, (SELECT median(o_totalprice) FROM orders) AS median_before, (SELECT stddev_pop(o_totalprice) FROM orders) AS sd_before,
+      avg(p) AS mean_after, median(p) AS median_after, stddev_pop(p) AS sd_after FROM a)
+    SELECT *, (mean_after - mean_before) / sd_before AS shift FROM f""")
+def _(t):
+    return Q.numeric_delta(*edited(t), "o_totalprice")
+
+
+@query("d04_category_delta", "SELECT DISTINCT p_brand AS item, 'removed' AS state FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_brand LIKE '%1%')")
+def _(t):
+    p = t("part")
+    return Q.category_delta(p, p.filter("p_brand LIKE '%1%'"), "p_brand")
+
+
+@query("d06_frames_equal", "SELECT true AS equal")
+def _(t):
+    o = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return Q.frames_equal(o, o.repartition(7, "o_orderstatus"))
+
+
+@query("n01_outliers_iqr", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT l_returnflag, count(*) FILTER (l_extendedprice < a - 0.8 * (b - a) OR l_extendedprice > b + 0.8 * (b - a)) AS n FROM lineitem, q GROUP BY l_returnflag")
+def _(t):
+    return Q.outliers(t("lineitem"), "l_extendedprice", "iqr", 0.8).groupBy("l_returnflag").agg(F.count_if("is_outlier").alias("n"))
+
+
+@query("n01_outliers_zscore", "WITH q AS (SELECT avg(l_extendedprice) AS a, stddev_samp(l_extendedprice) AS b FROM lineitem) SELECT l_returnflag, count(*) FILTER (abs(l_extendedprice - a) > 2 * b) AS n FROM lineitem, q GROUP BY l_returnflag")
+def _(t):
+    return Q.outliers(t("lineitem"), "l_extendedprice", "zscore", 2.0).groupBy("l_returnflag").agg(F.count_if("is_outlier").alias("n"))
+
+
+@query("n01_outliers_mad", "WITH m AS (SELECT median(l_extendedprice) AS a FROM lineitem), q AS (SELECT a, median(abs(l_extendedprice - a)) AS b FROM lineitem, m GROUP BY a) SELECT l_returnflag, count(*) FILTER (0.6745 * abs(l_extendedprice - a) > 1.3 * b) AS n FROM lineitem, q GROUP BY l_returnflag")
+def _(t):
+    return Q.outliers(t("lineitem"), "l_extendedprice", "mad", 1.3).groupBy("l_returnflag").agg(F.count_if("is_outlier").alias("n"))
+
+
+SHARES = """
+    WITH b AS (SELECT event_type AS item, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS before FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    a AS (SELECT event_type AS item, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS after FROM events WHERE event_id % 2 = 1 AND value > 20 GROUP BY 1),
+    s AS (SELECT item, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM b FULL JOIN a USING (item))"""
+
+
+def halves(t):
+    e = t("events")
+    return e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1 AND value > 20")
+
+
+@query("n03_share_drift", f"{SHARES} SELECT *, after - before AS change FROM s WHERE abs(after - before) >= 0.0")
+def _(t):
+    return Q.share_drift(*halves(t), "event_type", 0.0)
+
+
+@query("n05_stability", f"{SHARES} SELECT sum((after - before) * ln((after + 0.0001) / (before + 0.0001))) AS psi, sum((after - before) * ln((after + 0.0001) / (before + 0.0001))) > 0.2 AS drifted FROM s")
+def _(t):
+    return Q.population_stability(*halves(t), "event_type")
+
+
+@query("n05_numeric_stability")
+def _(t):
+    return Q.numeric_stability(*halves(t), "value")
+
+
+@query("n07_alert_rules", """
+    WITH v AS (SELECT sum(value) FILTER (event_id % 2 = 0) AS before, sum(value) FILTER (event_id % 2 = 1 AND value > 20) AS after FROM events)
+    SELECT 'total' AS rule, before, after, 100 * (after - before) / abs(before) AS percent, CASE WHEN abs(100 * (after - before) / abs(before)) >= 1 THEN 'TRIGGERED' ELSE 'NO_CHANGE' END AS status FROM v
+    UNION ALL SELECT 'absent', NULL, NULL, NULL, 'METRIC_UNAVAILABLE'""")
+def _(t):
+    rules = [{"name": "total", "column": "value", "how": "sum", "threshold": 1}, {"name": "absent", "column": "none", "how": "sum", "threshold": 1}]
+    return Q.alert_rules(*halves(t), rules).select("rule", "before", "after", "percent", "status")
