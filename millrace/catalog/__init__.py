@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import aggregates, inference, joins, monitoring, rows, time  # noqa: E402, F401
+from . import aggregates, inference, joins, models, monitoring, rows, time  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

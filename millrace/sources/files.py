@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
-import io
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +47,14 @@ def sniff(head: bytes) -> tuple[str, str, int]:
             break
         except UnicodeDecodeError:
             continue
-    lines = [x for x in csv.reader(io.StringIO(text), delimiter="\x00")]
-    rows = ["".join(x) for x in lines][:50]
+    rows = [line for line in text.splitlines() if line.strip()][:50]
     if text.count('"') % 2 and len(head) < SNIFFED_BYTES:
         raise ValueError("a quote is not closed")
     best = max(DELIMITERS, key=lambda d: sum(r.count(d) for r in rows))
-    width = max((len(next(csv.reader([r], delimiter=best), [])) for r in rows), default=1)
-    banner = next((i for i, r in enumerate(rows) if len(next(csv.reader([r], delimiter=best), [])) == width), 0)
+    widths = [len(next(csv.reader([r], delimiter=best), [])) for r in rows]
+    # the header has as many fields as most lines; lines above it are a banner
+    usual = Counter(w for w in widths if w > 1).most_common(1)
+    banner = widths.index(usual[0][0]) if usual else 0
     return encoding, best, banner
 
 
