@@ -51,6 +51,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of a sieve, and so at most 2 ** 19 rows of 64 of them: a broadcast of 10 MB or less whatever the data.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """A table of fixed size that lets through all keys and few others."""
+    bit = F.xxhash64(*columns).bitwiseAND(SIEVE_BITS - 1)
+    bits = keys.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("sieve word"))
+    return bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("sieve bits"))
+
+
+def sifted(df: DataFrame, kept: DataFrame, *columns: str, out: bool = False) -> DataFrame:
+    """The rows that a sieve lets through (with out: those it does not), so that only they are shuffled."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    bit = F.xxhash64(*(F.col(f"`{c}`") for c in columns)).bitwiseAND(SIEVE_BITS - 1)
+    rows = df.withColumn("sieve bit", bit).withColumn("sieve word", F.expr("`sieve bit` div 64")).join(F.broadcast(kept), "sieve word", "left")
+    held = F.expr("shiftrightunsigned(coalesce(`sieve bits`, 0L), cast(`sieve bit` % 64 as int)) & 1 = 1")
+    return rows.filter(~held if out else held).select(*names)
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer file on this machine."""
     import public_tokenizers

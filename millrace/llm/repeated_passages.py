@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, slices, texts_of
+from ._common import cut, sieve, sifted, slices, texts_of
 from .chunks import spread
 from .fm_index import repeated
 from .near_copies import finish
 
 #: Words of an anchor's n-gram; kinds of segments in a shard, and of one anchor beyond which its windows are counted.
 GRAM, SHARD, HOT = 12, 20_000, 20_000
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +58,13 @@ def prefix_sums(words: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndar
 
 
 def segments(words: np.ndarray, counts: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, start among all words, length, anchor and two digests of every segment."""
+    """Text, start among all words, length, anchor and digest of every segment."""
     starts = np.cumsum(counts) - counts
     n_windows = np.maximum(counts - least + 1, 0)
     where = spread(starts, n_windows)  # starts of windows among all words
     if not len(where):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     hashes = np.zeros(len(words) - gram + 1, np.uint64)
     for i in range(gram):
         hashes = finish(hashes + words[i : len(words) - gram + 1 + i])
@@ -75,49 +75,47 @@ def segments(words: np.ndarray, counts: np.ndarray, least: int, gram: int) -> tu
     first = np.flatnonzero(new)
     begin = where[first]
     size = np.diff(np.append(first, len(where))) + least - 1
-    digest = []
-    for base in BASES:
-        sums, inverse = prefix_sums(words, base)
-        digest.append(finish((sums[begin + size] - sums[begin]) * inverse[begin] + size.astype(np.uint64)).view(np.int64))
-    return text[first], begin, size, finish(hashes[anchor_at[first]]).view(np.int64), *digest
+    sums, inverse = prefix_sums(words, BASE)
+    digest = finish((sums[begin + size] - sums[begin]) * inverse[begin] + size.astype(np.uint64)).view(np.int64)
+    return text[first], begin, size, finish(hashes[anchor_at[first]]).view(np.int64), digest
 
 
 def occurrences(texts: DataFrame, least: int, gram: int) -> DataFrame:
-    """anchor, d1, d2 (digests of a segment), key (md5 of its text), start and length in words, of every segment."""
+    """anchor and digest (128 bits that name a segment), key (md5 of its text), start and length in words, of every segment."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 held = texts_of(part, "text")
                 words, counts = word_hashes(held)
-                text, begin, size, anchor, d1, d2 = segments(words, counts, least, gram)
+                text, begin, size, anchor, digest = segments(words, counts, least, gram)
                 keys = pa.array([hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in held], pa.binary())
                 start = begin - (np.cumsum(counts) - counts)[text]
-                columns = [pa.array(anchor, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), keys.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(size, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "d1", "d2", "key", "start", "length"])
+                columns = [pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), keys.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(size, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "key", "start", "length"])
 
-    return texts.select("text").mapInArrow(find, "anchor long, d1 long, d2 long, key binary, start int, length int")
+    return texts.select("text").mapInArrow(find, "anchor long, digest long, key binary, start int, length int")
 
 
-KIND = ["anchor", "d1", "d2"]
-COVER = "anchor long, d1 long, d2 long, covered array<struct<from:int,to:int>>"
+KIND = ["anchor", "digest"]
+COVER = "anchor long, digest long, covered array<struct<from:int,to:int>>"
 
 
 def words_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, d1, d2, n and words (hashes) of wanted segments, from any text that holds them."""
+    """anchor, digest and words (hashes) of wanted segments, from any text that holds them."""
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct(*KIND, "start", "length")).alias("asked"))  # of one text
-    rows = texts.join(asked, "key").select("text", "asked")
+    rows = sifted(texts, sieve(wanted, "key"), "key").join(asked, "key").select("text", "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, counts = word_hashes(texts_of(part, "text"))
                 starts = np.cumsum(counts) - counts
-                found = [(a["anchor"], a["d1"], a["d2"], words[s + a["start"] : s + a["start"] + a["length"]].tobytes()) for s, asked in zip(starts.tolist(), part.column("asked").to_pylist()) for a in asked]
+                found = [(a["anchor"], a["digest"], words[s + a["start"] : s + a["start"] + a["length"]].tobytes()) for s, asked in zip(starts.tolist(), part.column("asked").to_pylist()) for a in asked]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], [*KIND, "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], [*KIND, "words"])
 
-    return rows.mapInArrow(read, "anchor long, d1 long, d2 long, words binary").dropDuplicates(KIND)
+    return rows.mapInArrow(read, "anchor long, digest long, words binary").dropDuplicates(KIND)
 
 
 def by_index(rows: DataFrame, shards: int, least: int) -> DataFrame:
@@ -128,10 +126,10 @@ def by_index(rows: DataFrame, shards: int, least: int) -> DataFrame:
 
         def report() -> Iterator[pa.RecordBatch]:
             found = repeated([np.frombuffer(h["words"], "<u8") for h in held], least)
-            rows = [(h["anchor"], h["d1"], h["d2"], [{"from": a, "to": b} for a, b in f]) for h, f in zip(held, found) if f]
+            rows = [(h["anchor"], h["digest"], [{"from": a, "to": b} for a, b in f]) for h, f in zip(held, found) if f]
             if rows:
                 covered = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), covered))], [*KIND, "covered"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), covered))], [*KIND, "covered"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -155,17 +153,15 @@ def by_count(rows: DataFrame, least: int) -> DataFrame:
             for r in batch.to_pylist():
                 words = np.frombuffer(r["words"], "<u8")
                 at = np.arange(len(words) - least + 1)
-                both = []
-                for base in BASES:
-                    sums, inverse = prefix_sums(words, base)
-                    both.append(pa.array(finish((sums[at + least] - sums[at]) * inverse[at]).view(np.int64)))
+                sums, inverse = prefix_sums(words, BASE)
+                window = pa.array(finish((sums[at + least] - sums[at]) * inverse[at]).view(np.int64))
                 same = [pa.array(np.full(len(at), r[c]), pa.int64()) for c in KIND]
-                yield pa.RecordBatch.from_arrays([*both, pa.array(at, pa.int32()), *same], ["w1", "w2", "at", *KIND])
+                yield pa.RecordBatch.from_arrays([window, pa.array(at, pa.int32()), *same], ["window", "at", *KIND])
 
-    windows = rows.mapInArrow(cut_up, "w1 long, w2 long, at int, anchor long, d1 long, d2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
+    windows = rows.mapInArrow(cut_up, "window long, at int, anchor long, digest long")
+    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1")
     stretch = F.struct(F.col("at").alias("from"), (F.col("at") + least).alias("to"))
-    return windows.join(twice, ["w1", "w2"]).groupBy(*KIND).agg(F.collect_list(stretch).alias("covered"))  # of one segment
+    return windows.join(twice, ["anchor", "window"]).groupBy(*KIND).agg(F.collect_list(stretch).alias("covered"))  # of one segment
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 35, gram: int = GRAM, shard: int = SHARD, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
@@ -182,10 +178,12 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f.name for f in source.schema.fields if f.name != "text of"]
     texts = df.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     found = occurrences(texts, least, gram)
-    kinds = found.groupBy(*KIND).agg(F.count("*").alias("n"))
-    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    kept = cut(kinds.join(anchors, "anchor"))
-    places = cut(found.join(kept.select(*KIND, "n", "kinds"), KIND).groupBy(*KIND, "n", "kinds", "key", "start", "length").agg(F.lit(1).alias("one")).drop("one"))
+    twice = cut(found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor"))
+    places = cut(sifted(found, sieve(twice, "anchor"), "anchor").join(twice, "anchor", "left_semi"))
+    kinds = places.groupBy(*KIND).agg(F.count("*").alias("n"))
+    kinds = kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+    # copies of a text have the same places
+    places = cut(places.distinct().join(kinds, KIND))
     mixed = places.filter("kinds > 1").groupBy(*KIND, "kinds").agg(F.min(F.struct("key", "start", "length")).alias("p")).select(*KIND, "kinds", "p.*")
     content = cut(words_of(texts.withColumn("key", F.unhex(F.md5("text"))), mixed).join(mixed.select(*KIND, "kinds"), KIND))
     n_kinds = content.count()
@@ -193,8 +191,12 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # equal segments cover each other whole
     whole = places.filter("n > 1").select("key", F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
     parts = places.filter("n = 1").join(covered, KIND).select("key", "start", F.explode("covered").alias("c")).select("key", (F.col("start") + F.col("c.from")).alias("from"), (F.col("start") + F.col("c.to")).alias("to"))
-    stretches = whole.union(parts).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("out"))  # of one text
-    rows = source.withColumn("key of", F.unhex(F.md5("text of"))).join(stretches, F.col("key of") == F.col("key"), "left").select(*(F.col(f"`{n}`") for n in names), "text of", F.col("out").alias("out of"))
+    stretches = cut(whole.union(parts).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("out")))  # of one text
+    keyed, touched = source.withColumn("key of", F.unhex(F.md5("text of"))), sieve(stretches, "key")
+    own = [F.col(f"`{n}`") for n in names]
+    inside = sifted(keyed, touched, "key of").join(stretches, F.col("key of") == F.col("key"), "left").select(*own, "text of", F.col("out").alias("out of"))
+    none = F.lit(None).cast("array<struct<from:int,to:int>>")
+    rows = inside.union(sifted(keyed, touched, "key of", out=True).select(*own, "text of", none.alias("out of")))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
