@@ -8,9 +8,10 @@ hands only the ones it has not seen to the tokenizer library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -34,8 +35,33 @@ def spelled(chunk: str) -> str:
     return chunk[1:] if chunk[:1] == FIRST else " " + chunk
 
 
+#: Chunks without inner spaces in Latin, Greek, Cyrillic or Armenian. For others only the tokenizers library itself is
+#: asked: tables of Unicode classes differ between versions for scripts that are still being extended.
+PLAIN = re.compile(r"[^\s\u0590-\u1fff\u2070-\U0010ffff][^ \u0590-\u1fff\u2070-\U0010ffff]*")
+
+
+def rank_encoder(spec: dict):
+    """A tiktoken encoder of a byte-level BPE file, if its merges are in the order of its ids; else None."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    from .bpe import byte_symbols
+
+    model, special = spec["model"], {t["content"] for t in spec["added_tokens"]}
+    plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space")
+    if not plain or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(model["merges"])):
+        return None
+    byte_of = {s: b for b, s in enumerate(byte_symbols())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("of file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Library:
-    """A tokenizer of the tokenizers library, and the strings it treats as special."""
+    """A tokenizer file, read by the tokenizers library, and the strings it treats as special.
+
+    New chunks of the common alphabetic scripts go, many at once, to a tiktoken encoder of the same vocabulary, which
+    gives the same ids several times as fast; all others go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,6 +70,10 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        with open(path, encoding="utf-8") as file:
+            self.ranks = rank_encoder(json.load(file))
+        if self.ranks is not None:
+            self.begins = np.array([self.ranks.decode_single_token_bytes(i)[:1] == b" " for i in range(self.ranks.n_vocab)], bool)
 
     def parts(self, text: str) -> list[str]:
         """The chunks of a text, special strings as parts of their own."""
@@ -52,35 +82,49 @@ class Library:
         # a special string is marked as a first chunk: it is spelled without a space
         return list(chain.from_iterable([FIRST + p] if p in self.special else chunks(p) for p in self.split.split(text)))
 
-    def encode(self, keys: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([spelled(k) for k in keys], add_special_tokens=False)]
+    def encode(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The keys in the order of their ids, the ids one key after another, and how many each has.
+
+        Plain chunks are encoded as one text: each begins with its space, and no token inside it does.
+        """
+        plain, others = [], []
+        for k in keys:
+            (plain if self.ranks is not None and PLAIN.fullmatch(k) else others).append(k)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([spelled(k) for k in others], add_special_tokens=False)]
+        flat, counts = np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        if plain:
+            found = np.array(self.ranks.encode_ordinary(" " + " ".join(plain)), np.uint32)
+            starts = np.flatnonzero(self.begins[found])
+            flat = np.concatenate([found, flat])
+            counts = np.concatenate([np.diff(np.append(starts, len(found))), counts])
+        return plain + others, flat, counts
 
 
 class LengthCache:
     """Token counts of chunks: a table of frequent ones that never changes, then a bounded cache of the others."""
 
-    def __init__(self, library: Library, frequent: dict[str, int], limit: int = 400_000):
+    def __init__(self, library: Library, frequent: dict[str, int], limit: int = 600_000):
         self.library, self.frequent, self.limit = library, frequent, limit
         self.known = dict(frequent)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         each = [self.library.parts(t) for t in texts]
         flat = list(chain.from_iterable(each))
-        found = list(map(self.known.get, flat))
-        if None in found:
-            missing = list({k for k, v in zip(flat, found) if v is None})
-            if len(self.known) + len(missing) > self.limit:
+        found = looked_up(self.known, flat)
+        if len(new := np.flatnonzero(found < 0)):
+            missing = [flat[i] for i in new.tolist()]
+            if len(self.known) + len(new) > self.limit:
                 self.known = dict(self.frequent)
-            new = dict(zip(missing, map(len, self.library.encode(missing))))
-            self.known.update(new)
-            found = [new[k] if v is None else v for k, v in zip(flat, found)]
-        return sums(np.array(found, np.int64), [len(p) for p in each])
+            keys, _, counts = self.library.encode(list(dict.fromkeys(missing)))
+            self.known.update(zip(keys, counts.tolist()))
+            found[new] = looked_up(self.known, missing)
+        return sums(found, [len(p) for p in each])
 
 
 class IdCache:
     """Ids of chunks, kept in one flat array; texts come back as arrays of ids."""
 
-    def __init__(self, library: Library, limit: int = 400_000):
+    def __init__(self, library: Library, limit: int = 600_000):
         self.library, self.limit = library, limit
         self.clear()
 
@@ -89,15 +133,13 @@ class IdCache:
         self.lengths, self.starts, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def add(self, keys: list[str]) -> None:
-        ids = self.library.encode(keys)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
+        keys, ids, lengths = self.library.encode(keys)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += total
+        self.used += len(ids)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -105,16 +147,21 @@ class IdCache:
         flat = list(chain.from_iterable(each))
         if len(self.known) > self.limit:
             self.clear()
-        found = list(map(self.known.get, flat))
-        if None in found:
-            self.add(list({k for k, v in zip(flat, found) if v is None}))
-            found = list(map(self.known.__getitem__, flat))
-        index = np.array(found, np.int64)
-        lengths = self.lengths[index] if len(index) else index
-        out = self.flat[spread(self.starts[index] if len(index) else index, lengths)]
+        index = looked_up(self.known, flat)
+        if len(new := np.flatnonzero(index < 0)):
+            missing = [flat[i] for i in new.tolist()]
+            self.add(list(dict.fromkeys(missing)))
+            index[new] = looked_up(self.known, missing)
+        lengths = self.lengths[index]
+        out = self.flat[spread(self.starts[index], lengths)]
         return np.split(out, np.cumsum(sums(lengths, [len(p) for p in each]))[:-1]) if texts else []
 
 
+def looked_up(known: dict[str, int], keys: list[str]) -> np.ndarray:
+    """The values of keys, -1 for those that are not known."""
+    return np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+
+
 def sums(values: np.ndarray, counts: list[int]) -> np.ndarray:
     """Sums of consecutive runs of values; a run may be empty."""
     ends = np.cumsum(counts, dtype=np.int64)

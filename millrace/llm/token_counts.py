@@ -55,8 +55,9 @@ def count_tokens(
     """
     path = tokenizer_path or vocabulary("byte_bpe_50k.json")
     texts = id_and_text(df, id_col, text_col)
-    keys = [r["chunk"] for r in frequent_chunks(texts, table_size).collect()]  # table_size rows at most
-    table = df.sparkSession.sparkContext.broadcast((keys, [len(i) for i in Library(path).encode(keys)]))
+    frequent = [r["chunk"] for r in frequent_chunks(texts, table_size).collect()]  # table_size rows at most
+    keys, _, lengths = Library(path).encode(frequent)
+    table = df.sparkSession.sparkContext.broadcast((keys, lengths.tolist()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = LengthCache(Library(path), dict(zip(*table.value)))
