@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
+from ..operators import inference as I
+from ..operators import learning as M
+from ..operators import periods as P
 from ..operators import screens as S
 from ..sources import files
 from . import query
@@ -125,3 +128,28 @@ def _(t):
 def _(t):
     o = t("orders")
     return S.materiality(o, o.filter("o_orderkey % 33 <> 0"), "o_totalprice")
+
+
+@query("s12_pairwise", """
+    WITH g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1)
+    SELECT a.g AS a, b.g AS b, a.m - b.m AS difference, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS statistic FROM g a JOIN g b ON a.g < b.g""")
+def _(t):
+    return I.pairwise(t("orders"), "o_totalprice", "o_orderpriority").select("a", "b", "difference", "statistic")
+
+
+@query("t17_corrected_trends")
+def _(t):
+    series = P.period_series(t("orders"), "o_orderdate", "o_totalprice", "sum", "month", ["o_orderpriority"])
+    return P.corrected_trends(series, ["o_orderpriority"])
+
+
+@query("m11_risk_score")
+def _(t):
+    o = t("orders").withColumn("big", (F.col("o_totalprice") > 200000).cast("int"))
+    return M.risk_score(o.select("big", "o_orderpriority", "o_orderdate", F.length("o_orderstatus").alias("l"), (F.col("o_custkey") % 10).alias("k")), "big", ["o_orderpriority", "k"], "o_orderdate")[1]
+
+
+@query("c20_transformation_record")
+def _(t):
+    o = t("orders")
+    return C.transformation_record("filter", o, o.filter("o_orderkey % 2 = 0"))

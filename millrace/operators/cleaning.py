@@ -246,3 +246,10 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 def clipped(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     return df.withColumn(column, clip(F.col(column), low, high))
+
+
+def transformation_record(operation: str, before: DataFrame, after: DataFrame, previous: str = "") -> DataFrame:
+    """operation, content hashes before and after, and a hash that chains the record to the one before it."""
+    a, b = content_hash(before).select(F.col("sha256").alias("before")), content_hash(after).select(F.col("sha256").alias("after"))
+    record = a.crossJoin(b).select(F.lit(operation).alias("operation"), "before", "after")
+    return record.withColumn("record", F.sha2(F.concat_ws("|", F.lit(previous), "operation", "before", "after"), 256))

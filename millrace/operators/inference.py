@@ -369,3 +369,21 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def simple_regression(df: DataFrame, y: str, x: str, groups: Sequence[str] = ()) -> DataFrame:
     """Slope, intercept and R squared in every group."""
     return df.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.regr_count(y, x).alias("n"))
+
+
+def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
+    """a, b, difference, statistic and corrected p-values of Welch's test for every pair of groups (one row a group is read)."""
+    g = [x for x in moments(df, value, group) if x["n"] > 1 and x["var"]]
+    rows = []
+    for i, a in enumerate(g):
+        for b in g[i + 1 :]:
+            x, y = a["var"] / a["n"], b["var"] / b["n"]
+            t, dof = (a["mean"] - b["mean"]) / math.sqrt(x + y), (x + y) ** 2 / (x * x / (a["n"] - 1) + y * y / (b["n"] - 1))
+            rows.append((a["group"], b["group"], a["mean"] - b["mean"], t, float(tails.t_sf(t, dof))))
+    return adjusted(df.sparkSession.createDataFrame(rows, "a string, b string, difference double, statistic double, p_value double"))
+
+
+def power_of_two_means(effect: float, n_a: int, n_b: int, alpha: float = 0.05) -> float:
+    """The chance to detect a standardised difference, by the normal approximation."""
+    z, shift = tails.normal_quantile(alpha), effect * math.sqrt(n_a * n_b / (n_a + n_b))
+    return tails.normal_sf(z - shift) + tails.normal_sf(z + shift)

@@ -128,3 +128,19 @@ def uplift(df: DataFrame, treatment: str, outcome: str, features: Sequence[str])
         rows = model.transform(rows).withColumn(f"with{arm}", vector_to_array(f"p{arm}")[1] >= 0.5)
     quadrant = F.when(F.col("with1") & F.col("with0"), "sure_thing").when(F.col("with1"), "persuadable").when(F.col("with0"), "sleeping_dog").otherwise("lost_cause")
     return rows.groupBy(quadrant.alias("quadrant")).agg(F.count("*").alias("n"))
+
+
+def risk_score(df: DataFrame, target: str, features: Sequence[str], time: str, holdout: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Rows with a risk of a 0/1 target, and the model's area under the curve and Brier score on the latest rows.
+
+    The model learns from the earlier rows only, cut at a percentile of the time column.
+    """
+    rows = df.filter(F.col(target).isNotNull() & F.col(time).isNotNull()).withColumn("label", F.col(target).cast("double")).withColumns({f: F.col(f).cast("double") for f in features if isinstance(df.schema[f].dataType, T.NumericType)})
+    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    border = rows.agg(F.percentile_approx(seconds, 1 - holdout, 1000)).first()[0]
+    model = Pipeline(stages=[*preparation(rows, features), LogisticRegression()]).fit(rows.filter(seconds <= border))
+    scored = model.transform(rows).withColumn("risk", vector_to_array("probability")[1])
+    late = scored.filter(seconds > border)
+    brier, n = late.agg(F.avg((F.col("risk") - F.col("label")) * (F.col("risk") - F.col("label"))), F.count("*")).first()
+    report = df.sparkSession.createDataFrame([(float(BinaryClassificationEvaluator().evaluate(late)), brier, n)], "auc double, brier double, n_test long")
+    return scored.select(*df.columns, "risk"), report

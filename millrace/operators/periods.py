@@ -218,3 +218,10 @@ def before_and_after(series: DataFrame, boundary: dt.date, keys: Sequence[str] =
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def corrected_trends(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A trend of every series, its p-value corrected for their number."""
+    from .inference import adjusted
+
+    return adjusted(trend(series, keys))
