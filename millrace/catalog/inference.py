@@ -80,11 +80,11 @@ def _(t):
 
 
 @query("s11_corrected_p", """
-    WITH p AS (SELECT p_partkey AS id, (p_partkey % 97) / 1000.0 + p_partkey / 1e6 AS p_value FROM part WHERE p_partkey <= 50), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM p)
+    WITH p AS (SELECT p_type AS id, avg(p_retailprice) * count(*) / 1e6 AS p_value FROM part GROUP BY p_type), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM p)
     SELECT id, p_value, least(1.0, m * p_value) AS bonferroni, least(1.0, max((m - i + 1) * p_value) OVER (ORDER BY p_value ROWS UNBOUNDED PRECEDING)) AS holm,
       least(1.0, min(m * p_value / i) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS benjamini_hochberg FROM r""")
 def _(t):
-    return I.adjusted(t("part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 97) / 1000.0 + F.col("p_partkey") / 1e6).alias("p_value")))
+    return I.adjusted(t("part").groupBy(F.col("p_type").alias("id")).agg((F.avg("p_retailprice") * F.count("*") / 1e6).alias("p_value")))
 
 
 ECDF = """
