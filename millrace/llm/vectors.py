@@ -184,15 +184,16 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T, 0))
 
 
-def exact_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
-    """Inner products of whole numbers; beyond 64 bits they are kept at the end of the range."""
-    if np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * len(query) < 2.0**62:
-        return (rows.astype(np.int64) @ query.astype(np.int64)).tolist()
+def exact_scores(rows: np.ndarray, query: np.ndarray, largest: float) -> np.ndarray:
+    """Inner products of whole numbers up to `largest` in size: in double precision where no sum reaches 2 ** 53, else
+    in Python's integers; beyond 64 bits they are kept at the end of the range."""
+    if largest * largest * len(query) < 2.0**53:
+        return (rows @ query).astype(np.int64)
     whole = [int(x) for x in query]
-    return [max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * b for a, b in zip(r, whole)))) for r in rows]
+    return np.array([max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * b for a, b in zip(r, whole)))) for r in rows], np.int64)
 
 
-def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: F.Column | None = None, k: int = 5, scale: int = 256, n_pivots: int = 24, sample: int = 1000) -> DataFrame:
+def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: F.Column | None = None, k: int = 5, scale: int = 256, n_pivots: int = 16, sample: int = 1000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest inner products of floor(scale * component).
 
     queries is a condition on vec_id (default: divisible by 50). Rows whose id or vector is null, or whose vector
@@ -214,28 +215,35 @@ def top_products(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     pivots = {dim: pivots_of(lifted(np.array([r["v"] for r in drawn if len(r["v"]) == dim]).reshape(-1, dim)), n_pivots) for dim in largest_square}
 
     def tile(q_ids, q, c_ids, c, heaps):
-        bound = np.zeros((len(q), len(c)))
+        bound = np.zeros((len(q), len(c)), np.float32)
         if len(p := pivots[c.shape[1]]):
-            of_c, of_q = pivot_table(lifted(c), p), pivot_table(np.hstack([q, np.zeros((len(q), 1))]), p)
+            of_c, of_q = (pivot_table(x, p).astype(np.float32) for x in (lifted(c), np.hstack([q, np.zeros((len(q), 1))])))
+            gap = np.empty_like(bound)
             for j in range(len(p)):
-                np.maximum(bound, np.abs(of_c[:, j][None, :] - of_q[:, j][:, None]), out=bound)
+                np.subtract(of_c[:, j][None, :], of_q[:, j][:, None], out=gap)
+                np.maximum(bound, np.abs(gap, out=gap), out=bound)
         total = (q * q).sum(axis=1) + largest_square[c.shape[1]]
+        largest = max(np.abs(c).max(), np.abs(q).max())
         for i in range(len(q_ids)):
-            slack = 1e-7 * total[i] + 1  # of rounding
+            slack = 1e-5 * total[i] + 1  # of rounding
             most = (total[i] - bound[i] ** 2) / 2 + slack
-            order = np.argsort(-most, kind="stable")
             best: list[tuple[int, int]] = list(heaps[i])
-            at, step = 0, 64
+            order = np.flatnonzero(most >= -best[k - 1][0]) if len(best) == k else np.arange(len(most))
+            order = order[np.argsort(-most[order])]
+            at, step = 0, 128
             while at < len(order) and (len(best) < k or most[order[at]] >= -best[k - 1][0]):
                 next_ones = order[at : at + step]
                 next_ones = next_ones[c_ids[next_ones] != q_ids[i]]
+                scores = exact_scores(c[next_ones], q[i], largest)
+                if len(best) == k:
+                    next_ones, scores = next_ones[good := scores >= -best[k - 1][0]], scores[good]
                 merged: dict[int, int] = {}
-                for value, vec_id in heapq.merge(best, sorted(zip((-s for s in exact_scores(c[next_ones], q[i])), c_ids[next_ones].tolist()))):
+                for value, vec_id in heapq.merge(best, sorted(zip((-scores).tolist(), c_ids[next_ones].tolist()))):
                     merged.setdefault(vec_id, value)
                     if len(merged) == k:
                         break
                 best = [(value, vec_id) for vec_id, value in merged.items()]
-                at, step = at + step, step * 2
+                at, step = at + step, step * 4
             yield i, best
 
     return search(rows, rows.filter(queries if queries is not None else F.col("vec_id") % 50 == 0), k, tile, "long", largest=True)
