@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, id_and_text, slices, texts_of
+from ._common import cut, id_and_text, sieve, sifted, slices, texts_of
 from .chunks import spread
 from .components import components
 
 #: Sets of a block that is compared by brute force, and levels of splitting above it.
 BLOCK, LEVELS = 512, 3
 RECALL = 0.9999
+#: Draws of a set are told apart by so many slots, a run and a level each.
+SLOTS = 64
 
 
 def runs_for(recall: float) -> int:
@@ -89,8 +91,10 @@ def drawn(flat: np.ndarray, counts: np.ndarray, threshold: float, runs: int) ->
 
 
 def sketch(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
-    """doc_id, node (digest of the n-gram set, null if empty) and draws of every row of (doc_id, text)."""
-    draw = pa.struct([("slot", pa.int32()), ("gram", pa.int64())])
+    """doc_id, node (digest of the n-gram set, null if empty) and draws of every row of (doc_id, text).
+
+    A draw is the n-gram's hash with the slot in its lowest bits.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,16 +102,17 @@ def sketch(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 flat, counts = shingle_sets(texts_of(part, "text"), n)
                 owner, slot, gram = drawn(flat, counts, threshold, runs)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array(slot, pa.int32()), pa.array(gram.view(np.int64), pa.int64())], fields=list(draw))
+                items = pa.array((gram & ~np.uint64(SLOTS - 1) | slot.astype(np.uint64)).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(flat, counts), pa.binary()), pa.ListArray.from_arrays(offsets, items)], ["doc_id", "node", "draws"])
 
-    return df.mapInArrow(make, "doc_id long, node binary, draws array<struct<slot:int,gram:long>>")
+    return df.mapInArrow(make, "doc_id long, node binary, draws array<long>")
 
 
 def buckets(nodes: DataFrame, block: int) -> DataFrame:
     """bucket, n, node: the buckets with at least two sets, each set of members once."""
-    level = nodes.select("node", F.explode("draws").alias("d")).filter(F.col("d.slot") % LEVELS == 0)
-    level = level.select("node", F.expr(f"d.slot div {LEVELS}").alias("run"), F.xxhash64("d.slot", "d.gram").alias("bucket"))
+    slot = F.col("d").bitwiseAND(SLOTS - 1)
+    draws = nodes.select("node", F.explode("draws").alias("d")).select("node", "d", (slot % LEVELS).alias("level"), F.expr(f"(d & {SLOTS - 1}) div {LEVELS}").alias("run"))
+    level = draws.filter("level = 0").select("node", "run", F.xxhash64("d").alias("bucket"))
     done = []
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("n > 1")
@@ -116,8 +121,8 @@ def buckets(nodes: DataFrame, block: int) -> DataFrame:
         large = held.filter(F.col("n") > block)
         if depth == LEVELS or large.isEmpty():
             break
-        more = nodes.select("node", F.explode("draws").alias("d")).filter(F.col("d.slot") % LEVELS == depth).select("node", F.expr(f"d.slot div {LEVELS}").alias("run"), "d.gram")
-        level = large.select("node", "run", "bucket").join(more, ["node", "run"]).select("node", "run", F.xxhash64("bucket", "gram").alias("bucket")).distinct()
+        more = draws.filter(F.col("level") == depth).select("node", "run", "d")
+        level = large.select("node", "run", "bucket").join(more, ["node", "run"]).select("node", "run", F.xxhash64("bucket", "d").alias("bucket")).distinct()
     members = done[0]
     for other in done[1:]:
         members = members.union(other)
@@ -210,6 +215,7 @@ def brute_force(texts: DataFrame, wanted: DataFrame, n: int, threshold: Fraction
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    texts = sifted(texts, sieve(wanted, "id"), "doc_id")
     rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"])).select("text", "node", "copies", "buckets").mapInArrow(spread_out, tiles)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +255,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """
     texts = id_and_text(df, id_col, text_col)
     runs = runs_for(recall)
+    if runs * LEVELS > SLOTS:
+        raise ValueError(f"a recall of {recall} takes more than {SLOTS // LEVELS} runs")
     rows = cut(sketch(texts, n, float(Fraction(threshold)), runs))
     nodes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("draws").alias("draws")))
     held = buckets(nodes, block).groupBy("node").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))  # a few a run
-    wanted = nodes.select("id", "node", "copies").join(held, "node")
+    wanted = cut(nodes.select("id", "node", "copies").join(held, "node"))
     found = cut(brute_force(texts, wanted, n, Fraction(threshold), block))
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
