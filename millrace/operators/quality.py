@@ -26,10 +26,10 @@ def profile(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         number = isinstance(f.dataType, T.NumericType)
         v = c.cast("double") if number else F.lit(None).cast("double")
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75, 0.95], 1000)
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75, 0.95], 200)
         parts.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"),
-            F.approx_count_distinct(c, 0.01).alias("distinct"), F.min(c.cast("string") if not number else F.lit(None).cast("string")).alias("min_text"),
+            F.approx_count_distinct(c, 0.05).alias("distinct"), F.min(c.cast("string") if not number else F.lit(None).cast("string")).alias("min_text"),
             F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), *(q[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "q95"))),
         ))
     return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
