@@ -27,19 +27,23 @@ def one_row(df: DataFrame, values: dict) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(clean.values())], schema)
 
 
-def moments(df: DataFrame, value: str, group: str) -> list[dict]:
-    """n, mean and variance of every group, in order of the group."""
-    rows = df.filter(F.col(value).isNotNull()).groupBy(group_label(group)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    return [r.asDict() | {"group": r[0]} for r in rows.orderBy(group).limit(1000).collect()]  # one row a group
+def moments(df: DataFrame, value: str, group: str) -> DataFrame:
+    """group, n, mean and variance, a row for every group."""
+    return df.filter(F.col(value).isNotNull()).groupBy(group_label(group).alias("group")).agg(F.count("*").alias("n"), F.avg(value).cast("double").alias("mean"), F.var_samp(value).alias("var"))
 
 
-def two_groups(df: DataFrame, value: str, group: str) -> tuple[dict, dict]:
-    found = moments(df, value, group)
+def two_of(groups: DataFrame, group: str) -> tuple[dict, dict]:
+    """The rows of the two groups, in order; any other number of groups is an error."""
+    found = [r.asDict() for r in groups.orderBy("group").take(3)]
     if len(found) != 2:
-        raise ValueError(f"{group} has {len(found)} groups, not two")
+        raise ValueError(f"{group} has {'more than two' if len(found) > 2 else len(found)} groups, not two")
     return found[0], found[1]
 
 
+def two_groups(df: DataFrame, value: str, group: str) -> tuple[dict, dict]:
+    return two_of(moments(df, value, group), group)
+
+
 def t_test(df: DataFrame, value: str, group: str, pooled: bool = False, alpha: float = 0.05) -> DataFrame:
     """Welch's (or the pooled) t-test of two groups, the difference's interval, Cohen's d and Hedges' g."""
     a, b = two_groups(df, value, group)
@@ -81,12 +85,12 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     return one_row(df, {"statistic": float(w), "z": z, "p_value": 2 * tails.normal_sf(abs(z)), "n": int(n), "status": "ok"})
 
 
-def rank_sums(df: DataFrame, value: str, group: str) -> tuple[list[dict], float, int]:
-    """Rank sum and size of every group, the tie term and all rows."""
-    labelled = df.select(group_label(group), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
+def rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, float, int]:
+    """group, ranks (their sum) and n of every group, the tie term and all rows."""
+    labelled = df.select(group_label(group).alias("group"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
     ranks = mid_ranks(labelled, "value").select("value", "n", "mid_rank")
-    per = labelled.groupBy(group, "value").agg(F.count("*").alias("k")).join(ranks, "value")
-    groups = [r.asDict() | {"group": r[0]} for r in per.groupBy(group).agg(F.sum(F.col("k") * F.col("mid_rank")).alias("ranks"), F.sum("k").alias("n")).orderBy(group).limit(1000).collect()]
+    per = labelled.groupBy("group", "value").agg(F.count("*").alias("k")).join(ranks, "value")
+    groups = per.groupBy("group").agg(F.sum(F.col("k") * F.col("mid_rank")).alias("ranks"), F.sum("k").alias("n"))
     ties, n = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")), F.sum("n")).first()
     return groups, float(ties or 0), int(n or 0)
 
@@ -94,10 +98,9 @@ def rank_sums(df: DataFrame, value: str, group: str) -> tuple[list[dict], float,
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """U of the first of two groups, its p by the tie-corrected normal approximation, and the rank-biserial correlation."""
     groups, ties, n = rank_sums(df, value, group)
-    if len(groups) != 2:
-        raise ValueError(f"{group} has {len(groups)} groups, not two")
-    n1, n2 = groups[0]["n"], groups[1]["n"]
-    u = groups[0]["ranks"] - n1 * (n1 + 1) / 2
+    a, b = two_of(groups, group)
+    n1, n2 = a["n"], b["n"]
+    u = a["ranks"] - n1 * (n1 + 1) / 2
     sd = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
     z = (abs(u - n1 * n2 / 2) - 0.5) / sd if sd else 0.0
     return one_row(df, {"statistic": float(u), "z": z, "p_value": min(1.0, 2 * tails.normal_sf(z)), "rank_biserial": 2 * u / (n1 * n2) - 1, "n_a": n1, "n_b": n2, "status": "ok"})
@@ -106,28 +109,28 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """Kruskal and Wallis's H with tie correction, and epsilon squared."""
     groups, ties, n = rank_sums(df, value, group)
-    if len(groups) < 2:
+    k, squares = groups.agg(F.count("*"), F.sum(F.col("ranks") * F.col("ranks") / F.col("n"))).first()
+    if k < 2:
         return one_row(df, {"status": "insufficient_data"})
-    h = 12 / (n * (n + 1)) * sum(g["ranks"] ** 2 / g["n"] for g in groups) - 3 * (n + 1)
+    h = 12 / (n * (n + 1)) * squares - 3 * (n + 1)
     h /= 1 - ties / (n**3 - n)
-    return one_row(df, {"statistic": h, "df": len(groups) - 1, "p_value": tails.chi2_sf(h, len(groups) - 1), "epsilon_squared": h / (n - 1), "n": n, "status": "ok"})
+    return one_row(df, {"statistic": h, "df": k - 1, "p_value": tails.chi2_sf(h, k - 1), "epsilon_squared": h / (n - 1), "n": n, "status": "ok"})
 
 
 def anova(df: DataFrame, value: str, group: str, welch: bool = False) -> DataFrame:
-    """One-way analysis of variance and eta squared, or Welch's for unequal variances."""
-    g = [x for x in moments(df, value, group) if x["n"] > 1]
-    k, n = len(g), sum(x["n"] for x in g)
-    if k < 2:
+    """One-way analysis of variance and eta squared, or Welch's for unequal variances: two jobs of one row each over the groups."""
+    g = moments(df, value, group).filter("n > 1")
+    size, at, w = F.col("n"), F.col("mean"), F.col("n") / F.nullif(F.col("var"), F.lit(0.0))
+    weight = w if welch else size
+    k, n, weights, sums, within, flat = g.agg(F.count("*"), F.sum(size), F.sum(weight), F.sum(weight * at), F.sum((size - 1) * F.col("var")), F.count_if(F.col("var") == 0)).first()
+    if k < 2 or welch and flat:
         return one_row(df, {"status": "insufficient_data"})
+    mean = sums / weights
+    between, lack = g.agg(F.sum(weight * (at - mean) * (at - mean)), F.sum((1 - weight / float(weights)) ** 2 / (size - 1))).first()
     if welch:
-        w = [x["n"] / x["var"] for x in g]
-        mean = sum(a * x["mean"] for a, x in zip(w, g)) / sum(w)
-        lack = sum((1 - a / sum(w)) ** 2 / (x["n"] - 1) for a, x in zip(w, g))
-        f = sum(a * (x["mean"] - mean) ** 2 for a, x in zip(w, g)) / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lack)
+        f = between / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lack)
         dof = (k * k - 1) / (3 * lack)
         return one_row(df, {"statistic": f, "df_between": k - 1, "df_within": dof, "p_value": tails.f_sf(f, k - 1, dof), "status": "ok"})
-    mean = sum(x["n"] * x["mean"] for x in g) / n
-    between, within = sum(x["n"] * (x["mean"] - mean) ** 2 for x in g), sum((x["n"] - 1) * x["var"] for x in g)
     f = between / (k - 1) / (within / (n - k)) if within else math.inf
     return one_row(df, {"statistic": f, "df_between": k - 1, "df_within": float(n - k), "p_value": tails.f_sf(f, k - 1, n - k), "eta_squared": between / (between + within) if between + within else None, "status": "ok"})
 
@@ -372,15 +375,14 @@ def simple_regression(df: DataFrame, y: str, x: str, groups: Sequence[str] = ())
 
 
 def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
-    """a, b, difference, statistic and corrected p-values of Welch's test for every pair of groups (one row a group is read)."""
-    g = [x for x in moments(df, value, group) if x["n"] > 1 and x["var"]]
-    rows = []
-    for i, a in enumerate(g):
-        for b in g[i + 1 :]:
-            x, y = a["var"] / a["n"], b["var"] / b["n"]
-            t, dof = (a["mean"] - b["mean"]) / math.sqrt(x + y), (x + y) ** 2 / (x * x / (a["n"] - 1) + y * y / (b["n"] - 1))
-            rows.append((a["group"], b["group"], a["mean"] - b["mean"], t, float(tails.t_sf(t, dof))))
-    return adjusted(df.sparkSession.createDataFrame(rows, "a string, b string, difference double, statistic double, p_value double"))
+    """a, b, difference, statistic and corrected p-values of Welch's test for every pair of groups."""
+    g = moments(df, value, group).filter("n > 1 AND var > 0").select("group", "n", "mean", (F.col("var") / F.col("n")).alias("v"))
+    pairs = g.alias("a").join(g.alias("b"), F.col("a.group") < F.col("b.group"))
+    x, y, gap = F.col("a.v"), F.col("b.v"), F.col("a.mean") - F.col("b.mean")
+    dof = (x + y) * (x + y) / (x * x / (F.col("a.n") - 1) + y * y / (F.col("b.n") - 1))
+    p_value = F.udf(lambda t, dof: float(tails.t_sf(t, dof)), "double")
+    tested = pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), gap.alias("difference"), (gap / F.sqrt(x + y)).alias("statistic"), dof.alias("dof"))
+    return adjusted(tested.withColumn("p_value", p_value("statistic", "dof")).drop("dof"))
 
 
 def power_of_two_means(effect: float, n_a: int, n_b: int, alpha: float = 0.05) -> float:

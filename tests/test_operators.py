@@ -154,3 +154,29 @@ def test_scopes():
     assert (now.end - now.start).days == 30 and then.end == now.start
     with pytest.raises(ValueError):
         P.scope(dt.date(2024, 5, 17), "next_month")
+
+
+def test_tests_of_more_than_a_thousand_groups(spark):
+    rng = np.random.default_rng(5)
+    k, m = 1500, 4
+    shift = np.repeat(np.where(np.arange(k) < 1000, 0.0, 2.0), m)  # what comes after the first thousand groups differs
+    x = rng.normal(size=k * m) + shift
+    df = spark.createDataFrame([(f"g{i // m:05d}", float(v)) for i, v in enumerate(x)], "g string, x double")
+    v = x.reshape(k, m)
+    mean, var = v.mean(axis=1), v.var(axis=1, ddof=1)
+    f = m * ((mean - x.mean()) ** 2).sum() / (k - 1) / (var.sum() / k)
+    got = I.anova(df, "x", "g").first()
+    assert (got.df_between, got.df_within, got.statistic) == (k - 1, float(k * m - k), pytest.approx(f))
+    w = m / var
+    lack = ((1 - w / w.sum()) ** 2).sum() / (m - 1)
+    f = (w * (mean - (w * mean).sum() / w.sum()) ** 2).sum() / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lack)
+    got = I.anova(df, "x", "g", welch=True).first()
+    assert (got.df_between, got.df_within, got.statistic) == (k - 1, pytest.approx((k * k - 1) / (3 * lack)), pytest.approx(f))
+    ranks = np.argsort(np.argsort(x)).reshape(k, m) + 1.0
+    n = k * m
+    got = I.kruskal(df, "x", "g").first()
+    assert (got.df, got.statistic) == (k - 1, pytest.approx(12 / (n * (n + 1)) * (ranks.sum(axis=1) ** 2 / m).sum() - 3 * (n + 1)))
+    few = df.filter("g < 'g00002' OR g >= 'g01498'").unionAll(spark.createDataFrame([(f"b{i:05d}", float(j)) for i in range(1100) for j in range(2)], "g string, x double"))
+    pairs = I.pairwise(few, "x", "g").filter("a >= 'g'").select("a", "b", "difference", "p_value").collect()
+    last = next(r for r in pairs if (r.a, r.b) == ("g01498", "g01499"))
+    assert len(pairs) == 6 and last.difference == pytest.approx(mean[-2] - mean[-1]) and 0 < last.p_value <= 1
