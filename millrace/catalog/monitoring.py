@@ -7,8 +7,15 @@ from . import query
 
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_suppkey"]
 
+#: Columns of lineitem with their types, numbers apart.
+NUMBERS = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double"}
+OTHERS = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
 
-@query("q01_profile")
+
+@query("q01_profile", " UNION ALL ".join([
+    *(f"SELECT '{c}' AS \"column\", '{k}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", NULL::VARCHAR AS min_text, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, avg({c}) AS mean, stddev_samp({c}) AS sd, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) AS q75, quantile_cont({c}::DOUBLE, 0.95) AS q95 FROM lineitem" for c, k in NUMBERS.items()),
+    *(f"SELECT '{c}', '{k}', count(*), count(*) - count({c}), count(DISTINCT {c}), min({c}::VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lineitem" for c, k in OTHERS.items()),
+]))
 def _(t):
     return Q.profile(t("lineitem"))
 

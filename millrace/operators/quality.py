@@ -10,29 +10,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, group_label, ratio
+from .ranks import quantiles
 
 
 def numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+#: Quantiles of a profile by name.
+QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+def as_text(f: T.StructField) -> Column:
+    """A cell as text that differs where values differ; nested values as JSON."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return ((c + F.lit(0.0).cast(f.dataType)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c).cast("string")  # -0.0 is 0.0
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column, from one job: rows, nulls, distinct values (estimated), and for numbers moments and quantiles.
+    """One row per column, all exact: rows, nulls, distinct values, and for numbers moments and quantiles.
 
-    Distinct values come from a sketch and quantiles from a summary, so that memory stays bounded at any size.
+    Distinct values come from the counts of values of all columns, quantiles (linear between neighbours) from ranks.
     """
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        number = isinstance(f.dataType, T.NumericType)
-        v = c.cast("double") if number else F.lit(None).cast("double")
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75, 0.95], 200)
-        parts.append(F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"),
-            F.approx_count_distinct(c, 0.05).alias("distinct"), F.min(c.cast("string") if not number else F.lit(None).cast("string")).alias("min_text"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), *(q[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "q95"))),
-        ))
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    fields = df.schema.fields
+    number = {f.name: isinstance(f.dataType, T.NumericType) for f in fields}
+    value = {f.name: F.col(f"`{f.name}`").cast("double") if number[f.name] else F.lit(None).cast("double") for f in fields}
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("text"), value[f.name].alias("v")) for f in fields))))
+    counts = long.groupBy("column", "text", "v").agg(F.count("*").alias("n"))
+    n, v = F.col("n"), F.col("v")
+    known = F.sum(F.when(v.isNotNull(), n))
+    facts = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("text").isNull(), n).otherwise(0)).alias("nulls"), F.count("text").alias("distinct"),
+        F.min(F.when(v.isNull(), F.col("text"))).alias("min_text"), F.min("v").alias("min"), F.max("v").alias("max"), ratio(F.sum(n * v), known).alias("mean"),
+    )
+    off = v - F.col("mean")
+    spread = counts.join(F.broadcast(facts.select("column", "mean")), "column").groupBy("column").agg(F.sqrt(ratio(F.sum(n * off * off), known - 1)).alias("sd"))
+    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "i int, column string, type string")
+    parts = [quantiles(df.select(value[c].alias("v")), "v", list(QUANTILES.values())).withColumn("column", F.lit(c)) for c, is_number in number.items() if is_number]
+    found = names.join(facts, "column", "left").join(spread, "column", "left")
+    if parts:
+        points = reduce(DataFrame.unionByName, parts).groupBy("column").agg(*(F.max(F.when(F.col("point") == p, F.col("quantile"))).alias(name) for name, p in QUANTILES.items()))
+        found = found.join(points, "column", "left")
+    else:
+        found = found.withColumns({name: F.lit(None).cast("double") for name in QUANTILES})
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "nulls", "distinct")]
+    return found.orderBy("i").select("column", "type", *counted, "min_text", "min", "max", "mean", "sd", *QUANTILES)
 
 
 def exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

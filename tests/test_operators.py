@@ -12,6 +12,7 @@ from millrace.operators import forecast as E
 from millrace.operators import inference as I
 from millrace.operators import joins as J
 from millrace.operators import periods as P
+from millrace.operators import quality as Q
 from millrace.operators import rows as R
 from millrace.operators.aggregates import aggregate
 from millrace.operators.ranks import quantiles
@@ -180,3 +181,15 @@ def test_tests_of_more_than_a_thousand_groups(spark):
     pairs = I.pairwise(few, "x", "g").filter("a >= 'g'").select("a", "b", "difference", "p_value").collect()
     last = next(r for r in pairs if (r.a, r.b) == ("g01498", "g01499"))
     assert len(pairs) == 6 and last.difference == pytest.approx(mean[-2] - mean[-1]) and 0 < last.p_value <= 1
+
+
+def test_profile_is_exact(spark):
+    df = spark.range(0, 60000, 1, 4).selectExpr("id AS k", "concat('t', id) AS t", "CAST(IF(id % 4 = 0, NULL, id % 1001) AS double) AS x", "date_add(DATE'1900-01-01', CAST(id AS int)) AS d", "IF(id = 0, -0.0D, 0.0D) AS z")
+    x = np.array([i % 1001 for i in range(60000) if i % 4], float)
+    got = {r.column: r for r in Q.profile(df).collect()}
+    assert list(got) == df.columns
+    assert [(r.rows, r.nulls, r.distinct) for r in got.values()] == [(60000, 0, 60000), (60000, 0, 60000), (60000, 15000, 1001), (60000, 0, 60000), (60000, 0, 1)]
+    r = got["x"]
+    assert [r.mean, r.sd, r.q25, r.median, r.q75, r.q95] == pytest.approx([x.mean(), x.std(ddof=1), *np.quantile(x, [0.25, 0.5, 0.75, 0.95])])
+    assert (got["t"].min_text, got["d"].min_text, got["d"].median) == ("t0", "1900-01-01", None)
+    assert [(r.column, r.rows, r.distinct, r.median) for r in Q.profile(df.limit(0).select("k", "t")).collect()] == [("k", 0, 0, None), ("t", 0, 0, None)]
