@@ -3,8 +3,9 @@
 Documents with one and the same set of n-grams form a class. Over the classes, each of several runs draws a few
 n-grams of every set by a hash that all sets share, at a rate of 1 / (threshold * size): two sets at the threshold or
 above then draw a common one with a fixed probability. Sets that drew the same n-gram meet in a bucket; a bucket
-that is too large is split again by n-grams drawn at the next level, down to a fixed depth. Buckets are compared by
-brute force, exactly, those that stay large in tiles of two blocks. The number of runs follows from the target recall.
+that is too large is split once more by n-grams drawn at the next level. Buckets are compared by brute force, exactly,
+those that stay large in tiles of two blocks. The number of runs follows from the target recall of pairs that meet only
+in buckets that are split.
 
 A bucket never writes out its pairs: it returns, for each of its sets, the links counted there (a pair counts in the
 first bucket it shares) and an edge to the least set of its local component. Components of those edges are the
@@ -29,16 +30,19 @@ from ._common import cut, id_and_text, sieve, sifted, slices, texts_of
 from .chunks import spread
 from .components import components
 
-#: Sets of a block that is compared by brute force, and levels of splitting above it.
-BLOCK, LEVELS = 512, 3
+#: Sets of a block that is compared by brute force, and levels of draws: the last ones split buckets above that size.
+BLOCK, LEVELS = 512, 2
 RECALL = 0.9999
 #: Draws of a set are told apart by so many slots, a run and a level each.
 SLOTS = 64
 
 
 def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability: one run misses it with at most 1/e."""
-    return math.ceil(-math.log(1 - recall)) + 2
+    """Runs after which a pair at the threshold has met with this probability, even if all its buckets are split.
+
+    A level gives it a common draw with at least 1 - 1/e, and in a run it needs one on every level.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - 1 / math.e) ** LEVELS))
 
 
 def finish(h: np.ndarray) -> np.ndarray:

@@ -91,6 +91,14 @@ def test_near_copies(spark, texts, block):
     assert sum(links.values()) > 100
 
 
+def test_near_copies_at_the_threshold_in_buckets_that_split(spark):
+    # groups of four texts, 40 of 50 5-grams common to any two of them: they meet only in buckets above the block size
+    texts = [" ".join([*(f"g{g}w{i}" for i in range(44)), *(f"g{g}t{k}w{i}" for i in range(5))]) for g in range(600) for k in range(4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = near_copies(rows, block=3).collect()
+    assert len(got) == 2400 and [r.doc_id for r in got if (r.class_id, r.n_texts) != (r.doc_id // 4 * 4, 3)] == []
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies(spark.createDataFrame([], COLUMNS)).collect() == []
 
