@@ -106,7 +106,9 @@ def _(t):
     WITH s AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY ALL),
     r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n, sum(x) OVER () AS total FROM s)
     SELECT 2 * sum(i * x) / (any_value(n) * any_value(total)) - (any_value(n) + 1.0) / any_value(n) AS gini,
-      10000 * sum((x / total) * (x / total)) AS hhi, any_value(n) AS n, max(x) / any_value(total) AS top_1_share FROM r""")
+      10000 * sum((x / total) * (x / total)) AS hhi, any_value(n) AS n, max(x) / any_value(total) AS top_1_share,
+      sum(x) FILTER (i > n - 3) / any_value(total) AS top_3_share, sum(x) FILTER (i > n - 5) / any_value(total) AS top_5_share,
+      sum(x) FILTER (i > n - 10) / any_value(total) AS top_10_share, sum(x) FILTER (i > n - ceil(n / 5)) / any_value(total) AS top_fifth_share FROM r""")
 def _(t):
     return concentration(t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("x")), "x")
 

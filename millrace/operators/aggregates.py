@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, group_label, ratio
+from .ranks import column_quantiles, group_quantiles
 
 
 def skewness(c: Column) -> Column:
@@ -22,10 +23,6 @@ def kurtosis(c: Column) -> Column:
     return F.when((n >= 4) & (F.stddev_pop(c) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def quartile(c: Column, q: float) -> Column:
-    return F.percentile(c, q)
-
-
 #: Operations that are one aggregate expression of the target column.
 OPERATIONS = {
     "row_count": lambda c: F.count("*"),
@@ -33,15 +30,11 @@ OPERATIONS = {
     "count_distinct": F.count_distinct,
     "sum": F.sum,
     "mean": F.avg,
-    "median": F.median,
     "min": F.min,
     "max": F.max,
     "variance": F.var_samp,
     "stddev": F.stddev_samp,
     "range": lambda c: F.max(c) - F.min(c),
-    "q1": lambda c: quartile(c, 0.25),
-    "q3": lambda c: quartile(c, 0.75),
-    "iqr": lambda c: quartile(c, 0.75) - quartile(c, 0.25),
     "missing_count": lambda c: F.count_if(c.isNull()),
     "missing_percent": lambda c: F.count_if(c.isNull()) * 100.0 / F.count("*"),
     "abs_sum": lambda c: F.sum(F.abs(c)),
@@ -55,6 +48,10 @@ OPERATIONS = {
 }
 
 
+#: Operations that are a difference of quantiles, or one quantile.
+QUANTILES = {"median": (0.5,), "q1": (0.25,), "q3": (0.75,), "iqr": (0.75, 0.25)}
+
+
 def labelled(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     return df.withColumns({g: group_label(g) for g in groups}) if groups else df
 
@@ -74,20 +71,28 @@ def aggregate(df: DataFrame, operation: str, target: str | None = None, groups:
         top = joined.filter(F.col("v").isNotNull() & (F.col("n") == F.col("m")))
         return top.groupBy(*groups, "row_count").agg(F.min_by("v", F.col("v").cast("string")).alias("value")).select(*groups, "value", "row_count")
     if operation == "mad":
-        middle = rows.groupBy(*groups).agg(F.median(target).alias("middle"), F.count("*").alias("row_count"))
+        middle = group_quantiles(rows, target, {"middle": 0.5}, groups)
         joined = rows.join(middle, list(groups)) if groups else rows.crossJoin(F.broadcast(middle))
-        return joined.groupBy(*groups).agg(F.median(F.abs(F.col(target) - F.col("middle"))).alias("value"), F.first("row_count").alias("row_count"))
-    if operation == "percentile":
-        if percentile is None or not 0 <= percentile <= 100:
-            raise ValueError("a percentile is between 0 and 100")
-        value = F.percentile(target, percentile / 100)
-    elif operation in OPERATIONS:
+        return with_rows(rows, group_quantiles(joined.withColumn("off the middle", F.abs(F.col(target) - F.col("middle"))), "off the middle", {"value": 0.5}, groups), groups)
+    if operation == "percentile" and (percentile is None or not 0 <= percentile <= 100):
+        raise ValueError("a percentile is between 0 and 100")
+    if operation == "percentile" or operation in QUANTILES:
+        points = {f"q{i}": p for i, p in enumerate(QUANTILES.get(operation) or (percentile / 100,))}
+        found = group_quantiles(rows, target, points, groups)
+        return with_rows(rows, found.select(*groups, (F.col("q0") - F.col("q1") if len(points) > 1 else F.col("q0")).alias("value")), groups)
+    if operation in OPERATIONS:
         value = OPERATIONS[operation](F.col(target) if target else F.lit(1))
     else:
         raise ValueError(f"unknown operation {operation}")
     return rows.groupBy(*groups).agg(value.alias("value"), F.count("*").alias("row_count"))
 
 
+def with_rows(rows: DataFrame, found: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """value (null where a group has none) and row_count of every group."""
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("row_count"))
+    return counts.join(found, list(groups) if groups else F.lit(True), "left").select(*groups, "value", "row_count")
+
+
 def rate(df: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """The share of yes among the yes and no of a two-valued column."""
     f = flag(F.col(column))
@@ -164,13 +169,13 @@ def segments(df: DataFrame, segment: str, target: str) -> DataFrame:
 
 
 def descriptive(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: counts, moments, extremes and quantiles, from one job over all columns."""
+    """One row per column: counts, moments, extremes and quantiles; quantiles are narrowed from sketches to exact values."""
+    points = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    held = column_quantiles(df, columns, points)
     parts = []
     for c in columns:
         v = F.col(c).cast("double")
-        points = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-        held = F.percentile(v, list(points))  # one table of values a column
-        at = lambda p: held[points.index(p)]  # noqa: E731, B023
+        at = lambda p: F.lit(held[c][points.index(p)]).cast("double")  # noqa: E731, B023
         parts.append(F.struct(
             F.lit(c).alias("column"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.sum(v).alias("sum"), F.avg(v).alias("mean"),
             at(0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("sd"),
@@ -188,9 +193,9 @@ def rfm(df: DataFrame, customer: str, time: str, amount: str) -> DataFrame:
 def rfm_summary(df: DataFrame, customer: str, time: str, amount: str) -> DataFrame:
     """Customers, their share below the median revenue and their share with a single order."""
     by_customer = rfm(df, customer, time, amount)
-    middle = by_customer.agg(F.median("monetary").alias("middle"))
-    return by_customer.crossJoin(F.broadcast(middle)).agg(
-        F.count("*").alias("customers"), F.avg((F.col("monetary") < F.col("middle")).cast("double")).alias("below_median_share"), F.avg((F.col("frequency") == 1).cast("double")).alias("single_order_share")
+    middle = column_quantiles(by_customer, ["monetary"], [0.5])["monetary"][0]
+    return by_customer.agg(
+        F.count("*").alias("customers"), F.avg((F.col("monetary") < F.lit(middle).cast("double")).cast("double")).alias("below_median_share"), F.avg((F.col("frequency") == 1).cast("double")).alias("single_order_share")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clip, similarity
+from .ranks import column_quantiles
 
 # Tokens that stand for a missing value, numbers that do, and patterns of personal data.
 MISSING_TOKENS = ("", "-", "--", "?", "na", "n/a", "#n/a", "nan", "none", "null", "nil", "missing", "unknown", "undefined", "not available", "not applicable", "tbd")
@@ -144,8 +145,10 @@ def fill_missing(df: DataFrame, column: str, strategy: str, value=None) -> DataF
     if strategy == "mode":
         counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
         fill = counts.orderBy(F.desc("count"), column).limit(1).select(F.col(column).alias("fill"))
+    elif strategy == "median":
+        return df.withColumn(column, F.coalesce(column, F.lit(column_quantiles(df, [column], [0.5])[column][0])))
     else:
-        fill = df.agg({"mean": F.avg, "median": F.median}[strategy](column).alias("fill"))
+        fill = df.agg({"mean": F.avg}[strategy](column).alias("fill"))
     return df.join(F.broadcast(fill), F.lit(True), "left").withColumn(column, F.coalesce(column, "fill")).drop("fill")
 
 
@@ -155,18 +158,21 @@ def deduplicate(df: DataFrame, subset: Sequence[str], order: Sequence[str]) -> D
     return df.withColumn("row of key", first).filter(F.col("row of key") == 1).drop("row of key")
 
 
-def fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """low and high: k interquartile ranges outside the quartiles."""
-    q1, q3 = F.percentile(column, 0.25), F.percentile(column, 0.75)
-    return df.agg((q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high"))
+def fences(df: DataFrame, column: str, k: float = 1.5) -> tuple[float, float] | None:
+    """The values k interquartile ranges outside the quartiles; None without a known value."""
+    q1, q3 = column_quantiles(df, [column], [0.25, 0.75])[column]
+    return None if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
 
 
 def handle_outliers(df: DataFrame, column: str, action: str = "clamp", k: float = 1.5) -> DataFrame:
     """Clamp values to the fences, or drop the rows outside them."""
-    with_fences = df.crossJoin(F.broadcast(fences(df, column, k)))
+    found = fences(df, column, k)
+    if found is None:
+        return df
+    low, high = map(F.lit, found)
     if action == "clamp":
-        return with_fences.withColumn(column, F.when(F.col(column).isNotNull(), F.least(F.greatest(column, "low"), "high"))).drop("low", "high")
-    return with_fences.filter(F.col(column).isNull() | F.col(column).between(F.col("low"), F.col("high"))).drop("low", "high")
+        return df.withColumn(column, F.when(F.col(column).isNotNull(), F.least(F.greatest(column, low), high)))
+    return df.filter(F.col(column).isNull() | F.col(column).between(low, high))
 
 
 def cast_column(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -200,11 +206,8 @@ def impute(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     if facts["target"] is not None and facts["target"] > 0.05:
         raise ValueError(f"more than 5 % of {target} is missing")
     filled = [c for c in columns if c != target and 0 < (facts[c] or 0) < 0.4]
-    medians = df.agg(*(F.median(c).alias(f"median of {c}") for c in filled)) if filled else None
-    if medians is None:
-        return df
-    joined = df.crossJoin(F.broadcast(medians))
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"median of {c}")) for c in filled}).drop(*(f"median of {c}" for c in filled))
+    medians = column_quantiles(df, filled, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in filled}) if filled else df
 
 
 def merge_fuzzy_categories(df: DataFrame, column: str, threshold: float = 80.0, most: int = 500) -> DataFrame:

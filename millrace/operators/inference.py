@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
-from .ranks import mid_ranks, ranked
+from .ranks import bounds_of, column_quantiles, group_quantiles, mid_ranks, running
 
 
 def one_row(df: DataFrame, values: dict) -> DataFrame:
@@ -178,33 +178,31 @@ def two_rates(df: DataFrame, event: str, group: str, alpha: float = 0.05) -> Dat
     return one_row(df, {"difference": d, "low": d - math.hypot(p1 - l1, u2 - p2), "high": d + math.hypot(u1 - p1, p2 - l2), "statistic": chi, "p_value": tails.chi2_sf(chi, 1), "rate_a": p1, "rate_b": p2})
 
 
-def ecdf_gaps(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """value, the two distribution functions at it, and the next value."""
-    both = baseline.select(F.lit(0).alias("side"), F.col(value).cast("double").alias("value")).union(current.select(F.lit(1), F.col(value).cast("double")))
-    r = ranked(both, "value").select("value", F.col("below").alias("all_below"), "n")
-    # rows of one side at or below a value: its own ranks, carried to the values that only the other has
-    own = ranked(both, "value", ["side"]).select("side", "value", (F.col("below") + F.col("n")).alias("upto"), "total")
-    wide = own.groupBy("value").agg(*(F.max(F.when(F.col("side") == s, F.col("upto"))).alias(f"upto{s}") for s in (0, 1)))
-    # at or below = all at or below minus the other side's
-    n0, n1 = baseline.filter(F.col(value).isNotNull()).count(), current.filter(F.col(value).isNotNull()).count()
-    upto = F.col("all_below") + F.col("n")
-    f0 = F.coalesce(F.col("upto0"), upto - F.col("upto1"))
-    f1 = F.coalesce(F.col("upto1"), upto - F.col("upto0"))
-    return r.join(wide, "value").select("value", (f0 / max(n0, 1)).alias("f0"), (f1 / max(n1, 1)).alias("f1"), F.lit(n0).alias("n0"), F.lit(n1).alias("n1"))
+def ecdf_gaps(baseline: DataFrame, current: DataFrame, value: str) -> tuple[DataFrame, list[float]]:
+    """value, the two distribution functions at it, and their rows; and bounds that cut the values into ranges.
+
+    One count of values holds both sides, so their running sums come from one shuffle.
+    """
+    side = lambda d, i: d.select(F.col(value).cast("double").alias("value"), F.lit(i).alias("side")).filter("value IS NOT NULL")
+    both = side(baseline, 0).union(side(current, 1))
+    bounds = bounds_of(both, F.col("value"))
+    counts = both.groupBy("value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    r = running(counts, bounds, {"a": "a below", "b": "b below"}, totals={"a": "n0", "b": "n1"})
+    share = lambda c, n: (F.col(f"{c} below") + F.col(c)) / F.greatest(F.lit(1), F.col(n))
+    return r.select("value", share("a", "n0").alias("f0"), share("b", "n1").alias("f1"), "n0", "n1"), bounds
 
 
 def ks_test(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """The largest gap between two distribution functions, with its asymptotic p."""
-    d, n0, n1 = ecdf_gaps(baseline, current, value).agg(F.max(F.abs(F.col("f0") - F.col("f1"))), F.max("n0"), F.max("n1")).first()
-    if d is None:
+    d, n0, n1 = ecdf_gaps(baseline, current, value)[0].agg(F.max(F.abs(F.col("f0") - F.col("f1"))), F.max("n0"), F.max("n1")).first()
+    if d is None or not n0 or not n1:
         return one_row(baseline, {"status": "insufficient_data"})
     return one_row(baseline, {"statistic": d, "p_value": tails.kolmogorov_sf(d * math.sqrt(n0 * n1 / (n0 + n1))), "n_baseline": n0, "n_current": n1, "status": "ok"})
 
 
 def wasserstein(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """The area between two distribution functions, from quantile functions summed over ranges of values."""
-    gaps = ecdf_gaps(baseline, current, value)
-    bounds = sorted(set(gaps.agg(F.percentile_approx("value", [i / 32 for i in range(1, 32)])).first()[0] or []))
+    gaps, bounds = ecdf_gaps(baseline, current, value)
     part = sum(((F.col("value") >= b).cast("int") for b in bounds), F.lit(0))
     gaps = gaps.withColumn("range", part)
     w = Window.partitionBy("range").orderBy("value")
@@ -257,12 +255,15 @@ def simpson(df: DataFrame, value: str, group: str, stratum: str) -> DataFrame:
 
 def specification_curve(df: DataFrame, group: str, value: str) -> DataFrame:
     """The leading group under three trims and three aggregates, and whether it agrees with the untrimmed mean."""
-    lows = df.agg(F.percentile(value, [0.01, 0.05, 0.95, 0.99]).alias("q"))
-    rows = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(lows))
-    trims = {"none": F.lit(True), "1%": F.col(value).between(F.col("q")[0], F.col("q")[3]), "5%": F.col(value).between(F.col("q")[1], F.col("q")[2])}
-    how = {"sum": F.sum, "mean": F.avg, "median": F.median}
-    wide = rows.groupBy(group_label(group)).agg(*(h(F.when(c, F.col(value))).alias(f"{t} {n}") for t, c in trims.items() for n, h in how.items()))
-    long = wide.select(group, F.inline(F.array(*(F.struct(F.lit(t).alias("trim"), F.lit(n).alias("aggregate"), F.col(f"{t} {n}").cast("double").alias("v")) for t in trims for n in how))))
+    q = column_quantiles(df, [value], [0.01, 0.05, 0.95, 0.99])[value]
+    at = [F.lit(x).cast("double") for x in q]
+    rows = df.filter(F.col(value).isNotNull()).withColumn(group, group_label(group))
+    trims = {"none": F.lit(True), "1%": F.col(value).between(at[0], at[3]), "5%": F.col(value).between(at[1], at[2])}
+    how = {"sum": F.sum, "mean": F.avg}
+    wide = rows.groupBy(group).agg(*(h(F.when(c, F.col(value))).alias(f"{t} {n}") for t, c in trims.items() for n, h in how.items()))
+    for t, c in trims.items():
+        wide = wide.join(group_quantiles(rows.filter(c), value, {f"{t} median": 0.5}, [group]), group, "left")
+    long = wide.select(group, F.inline(F.array(*(F.struct(F.lit(t).alias("trim"), F.lit(n).alias("aggregate"), F.col(f"{t} {n}").cast("double").alias("v")) for t in trims for n in [*how, "median"]))))
     best = long.groupBy("trim", "aggregate").agg(F.max_by(group, "v").alias("leader"))
     baseline = best.filter("trim = 'none' AND aggregate = 'mean'").select(F.col("leader").alias("baseline"))
     return best.crossJoin(F.broadcast(baseline)).select("trim", "aggregate", "leader", (F.col("leader") == F.col("baseline")).alias("agrees"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import group_label, ratio
 from ..functions.tails import normal_quantile, normal_sf
+from .ranks import column_quantiles
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,8 @@ def infer_grain(df: DataFrame, time: str) -> DataFrame:
     # the gap to the next date, within and across years, without one window over all dates
     year = Window.partitionBy(F.year("d")).orderBy("d")
     gaps = days.withColumn("gap", F.datediff(F.lead("d").over(year), "d"))
-    facts = gaps.agg(F.median("gap").alias("gap"), F.count("*").alias("dates"), F.bool_and(F.dayofmonth("d") == 1).alias("first_days"))
+    middle = column_quantiles(gaps, ["gap"], [0.5])["gap"][0]
+    facts = gaps.agg(F.count("*").alias("dates"), F.bool_and(F.dayofmonth("d") == 1).alias("first_days")).select(F.lit(middle).cast("double").alias("gap"), "dates", "first_days")
     grain = F.when(F.col("gap") <= 1.5, "day").when(F.col("gap") <= 8, "week").when(F.col("gap") <= 31, "month").when(F.col("gap") <= 92, "quarter").otherwise("year")
     return facts.withColumn("grain", grain)
 

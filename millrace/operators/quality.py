@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, group_label, ratio
-from .ranks import quantiles
+from .ranks import bounds_of, column_quantiles, group_quantiles
 
 
 def numeric(df: DataFrame) -> list[str]:
@@ -32,31 +32,29 @@ def as_text(f: T.StructField) -> Column:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column, all exact: rows, nulls, distinct values, and for numbers moments and quantiles.
 
-    Distinct values come from the counts of values of all columns, quantiles (linear between neighbours) from ranks.
+    One scan gives counts, extremes and moments of all columns. Distinct values are counted column by column, each
+    from a scan of that column alone, in one job; quantiles (linear between neighbours) are narrowed from sketches.
     """
     fields = df.schema.fields
     number = {f.name: isinstance(f.dataType, T.NumericType) for f in fields}
-    value = {f.name: F.col(f"`{f.name}`").cast("double") if number[f.name] else F.lit(None).cast("double") for f in fields}
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("text"), value[f.name].alias("v")) for f in fields))))
-    counts = long.groupBy("column", "text", "v").agg(F.count("*").alias("n"))
-    n, v = F.col("n"), F.col("v")
-    known = F.sum(F.when(v.isNotNull(), n))
-    facts = counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("text").isNull(), n).otherwise(0)).alias("nulls"), F.count("text").alias("distinct"),
-        F.min(F.when(v.isNull(), F.col("text"))).alias("min_text"), F.min("v").alias("min"), F.max("v").alias("max"), ratio(F.sum(n * v), known).alias("mean"),
-    )
-    off = v - F.col("mean")
-    spread = counts.join(F.broadcast(facts.select("column", "mean")), "column").groupBy("column").agg(F.sqrt(ratio(F.sum(n * off * off), known - 1)).alias("sd"))
-    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "i int, column string, type string")
-    parts = [quantiles(df.select(value[c].alias("v")), "v", list(QUANTILES.values())).withColumn("column", F.lit(c)) for c, is_number in number.items() if is_number]
-    found = names.join(facts, "column", "left").join(spread, "column", "left")
-    if parts:
-        points = reduce(DataFrame.unionByName, parts).groupBy("column").agg(*(F.max(F.when(F.col("point") == p, F.col("quantile"))).alias(name) for name, p in QUANTILES.items()))
-        found = found.join(points, "column", "left")
-    else:
-        found = found.withColumns({name: F.lit(None).cast("double") for name in QUANTILES})
-    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "nulls", "distinct")]
-    return found.orderBy("i").select("column", "type", *counted, "min_text", "min", "max", "mean", "sd", *QUANTILES)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    value = {f.name: as_text(f) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in fields}
+    least = lambda f: F.min(value[f.name]).cast("string")
+    columns, names = [F.count("*").alias("rows")], list(number)
+    for i, f in enumerate(fields):
+        v = value[f.name].cast("double")
+        columns += [F.count(value[f.name]).alias(f"known {i}")]
+        columns += [F.min(v).alias(f"min {i}"), F.max(v).alias(f"max {i}"), F.avg(v).alias(f"mean {i}"), F.stddev_samp(v).alias(f"sd {i}")] if number[f.name] else [least(f).alias(f"text {i}")]
+    facts = df.agg(*columns).first()
+    counted = reduce(DataFrame.union, (df.select(value[f.name].alias("v")).agg(F.lit(i).alias("i"), F.count_distinct("v").alias("n")) for i, f in enumerate(fields)))
+    distinct = {r["i"]: r["n"] for r in counted.collect()}  # a row a column
+    found = column_quantiles(df, {c: value[c] for c in names if number[c]}, list(QUANTILES.values()))
+    rows = []
+    for i, f in enumerate(fields):
+        moments = [facts[f"{k} {i}"] if number[f.name] else None for k in ("min", "max", "mean", "sd")]
+        rows.append((f.name, f.dataType.simpleString(), facts["rows"], facts["rows"] - facts[f"known {i}"], distinct[i], None if number[f.name] else facts[f"text {i}"], *moments, *(found[f.name] if number[f.name] else [None] * len(QUANTILES))))
+    numbers = ", ".join(f"{k} double" for k in ("min", "max", "mean", "sd", *QUANTILES))
+    return df.sparkSession.createDataFrame(rows, f"column string, type string, rows long, nulls long, distinct long, min_text string, {numbers}")
 
 
 def exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,10 +90,10 @@ def quality_score(df: DataFrame) -> DataFrame:
     columns = df.columns
     missing = df.agg((reduce(lambda a, b: a + b, (F.count_if(F.col(f"`{c}`").isNull()) for c in columns)) / (F.count("*") * len(columns))).alias("missing_share"))
     repeats = df.groupBy(*columns).count().agg((F.sum(F.col("count") - 1) / F.sum("count")).alias("duplicate_share"))
-    numbers = numeric(df)
-    bounds = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 1000).alias(f"{c} q") for c in numbers))
-    outside = lambda c: (F.col(c) < F.col(f"{c} q")[0] - 1.5 * (F.col(f"{c} q")[1] - F.col(f"{c} q")[0])) | (F.col(c) > F.col(f"{c} q")[1] + 1.5 * (F.col(f"{c} q")[1] - F.col(f"{c} q")[0]))
-    far = df.crossJoin(F.broadcast(bounds)).agg((reduce(lambda a, b: a + b, (F.count_if(outside(c)) for c in numbers)) / (F.count("*") * len(numbers)) if numbers else F.lit(0.0)).alias("outlier_share"))
+    found = column_quantiles(df, numeric(df), [0.25, 0.75])
+    numbers = [c for c, (q1, _) in found.items() if q1 is not None]
+    outside = lambda c: (F.col(c) < found[c][0] - 1.5 * (found[c][1] - found[c][0])) | (F.col(c) > found[c][1] + 1.5 * (found[c][1] - found[c][0]))
+    far = df.agg((reduce(lambda a, b: a + b, (F.count_if(outside(c)) for c in numbers)) / (F.count("*") * len(numbers)) if numbers else F.lit(0.0)).alias("outlier_share"))
     score = 30 * (1 - F.col("missing_share")) + 20 * (1 - F.col("duplicate_share")) + 20 * (1 - F.col("outlier_share")) + 30
     return missing.crossJoin(repeats).crossJoin(far).withColumn("score", score)
 
@@ -117,7 +115,8 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def unit_changes(df: DataFrame, time: str, value: str, least: float = 20.0, rows: int = 5) -> DataFrame:
     """Months whose median is twenty times the one before, or a twentieth."""
-    months = df.groupBy(F.date_format(time, "yyyy-MM").alias("month")).agg(F.median(value).alias("median"), F.count(value).alias("n")).filter(F.col("n") >= rows)
+    dated = df.filter(F.col(time).isNotNull()).withColumn("month", F.date_format(time, "yyyy-MM"))
+    months = group_quantiles(dated, value, {"median": 0.5}, ["month"]).join(dated.groupBy("month").agg(F.count(value).alias("n")), "month").filter(F.col("n") >= rows)
     jumps = months.withColumn("ratio", ratio(F.col("median"), F.lag("median").over(Window.orderBy("month"))))  # one row a month
     return jumps.filter((F.col("ratio") >= least) | (F.col("ratio") <= 1 / least))
 
@@ -142,8 +141,10 @@ def functional_dependencies(df: DataFrame, columns: Sequence[str], least: float
 
 def dominated_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """Groups of which a few extreme values (over Q3 + 3 IQR, at most 5 % of rows) hold a fifth of the total."""
-    bounds = df.groupBy(group).agg((F.percentile(value, 0.75) + 3 * (F.percentile(value, 0.75) - F.percentile(value, 0.25))).alias("high"), F.count(value).alias("n"), F.sum(value).alias("total"))
-    far = df.join(bounds.filter("n >= 8"), group).filter(F.col(value) > F.col("high"))
+    rows = df.withColumn(group, group_label(group))
+    q = group_quantiles(rows, value, {"q1": 0.25, "q3": 0.75}, [group]).select(group, (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("high"))
+    bounds = q.join(rows.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("total")), group)
+    far = rows.join(bounds.filter("n >= 8"), group).filter(F.col(value) > F.col("high"))
     facts = far.groupBy(group, "n", "total").agg(F.count("*").alias("extremes"), F.sum(value).alias("held"))
     return facts.withColumn("share", ratio(F.col("held"), F.col("total"))).filter("extremes <= 0.05 * n AND share >= 0.2")
 
@@ -167,9 +168,10 @@ def compare(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def changed_cells(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """column and keys whose value changed."""
+    """column and keys whose value changed; null and repeated keys are left out."""
     values = [c for c in before.columns if c in after.columns and c not in keys]
-    both = before.alias("b").join(after.alias("a"), reduce(lambda x, y: x & y, (F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys)))
+    once = lambda d: d.groupBy(*keys).agg(F.count("*").alias("rows of key"), *(F.first(c).alias(c) for c in values)).filter("`rows of key` = 1")
+    both = once(before).alias("b").join(once(after).alias("a"), reduce(lambda x, y: x & y, (F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys)))
     return both.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count_if(~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))).alias("changed")) for c in values)).alias("rows")).select(F.inline("rows"))
 
 
@@ -182,7 +184,8 @@ def missing_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def numeric_delta(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """Mean, median and spread in both versions, and the mean's change against the old spread."""
-    facts = lambda d, n: d.agg(F.avg(column).alias(f"mean_{n}"), F.median(column).alias(f"median_{n}"), F.stddev_pop(column).alias(f"sd_{n}"))
+    middle = lambda d: F.lit(column_quantiles(d, [column], [0.5])[column][0]).cast("double")
+    facts = lambda d, n: d.agg(F.avg(column).alias(f"mean_{n}"), F.stddev_pop(column).alias(f"sd_{n}")).withColumn(f"median_{n}", middle(d))
     return facts(before, "before").crossJoin(facts(after, "after")).withColumn("shift", ratio(F.col("mean_after") - F.col("mean_before"), F.col("sd_before")))
 
 
@@ -192,38 +195,72 @@ def category_delta(before: DataFrame, after: DataFrame, column: str) -> DataFram
     return a.join(b, "item", "left_anti").withColumn("state", F.lit("added")).union(b.join(a, "item", "left_anti").withColumn("state", F.lit("removed")))
 
 
+def row_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A row as one text that differs where a cell differs, a null from any value and a column from its neighbour."""
+    kinds = {f.name: f for f in df.schema.fields}
+    cells = [F.coalesce(F.concat(F.length(as_text(kinds[c])).cast("string"), F.lit(":"), as_text(kinds[c])), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(*cells), 256) if cells else F.lit("")
+
+
 def relation_digest(df: DataFrame) -> DataFrame:
-    """column, non-null values, and the sum of a number column or the hash sum of another."""
-    part = lambda f: F.sum(F.col(f.name).cast("double")) if isinstance(f.dataType, T.NumericType) else F.sum(F.pmod(F.xxhash64(f.name), F.lit(1_000_003))).cast("double")
-    return df.agg(F.array(*(F.struct(F.lit(f.name).alias("column"), F.count(f.name).alias("known"), part(f).alias("digest")) for f in df.schema.fields)).alias("rows")).select(F.inline("rows"))
+    """rows and two sums over the SHA-256 of each row: equal for the same rows in any order, and for no others but by chance of 2 ** -100."""
+    key = row_key(df, sorted(df.columns))
+    half = lambda i: F.sum(F.conv(F.substring(key, i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return df.agg(F.count("*").alias("rows"), half(1).alias("first"), half(16).alias("second"))
 
 
 def frames_equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Whether two results agree in columns, rows and digests, in any order of rows."""
+    """Whether two results hold the same rows, in any order and as often; fractions may differ by a relative tolerance.
+
+    Rows meet by all their other columns. Where those agree, rows are put in the order of their fractions and each pair
+    at one place is compared, so a swapped cell or one changed text among many is a difference.
+    """
     if sorted(a.columns) != sorted(b.columns):
         return a.sparkSession.createDataFrame([(False,)], "equal boolean")
-    both = relation_digest(a).alias("a").join(relation_digest(b.select(*a.columns)).alias("b"), "column", "full_outer")
-    close = F.abs(F.coalesce("a.digest", F.lit(0.0)) - F.coalesce("b.digest", F.lit(0.0))) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.coalesce("a.digest", F.lit(0.0))))
-    return both.agg(F.bool_and(F.col("a.known").eqNullSafe(F.col("b.known")) & close).alias("equal"))
+    fraction = lambda d: {f.name for f in d.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))}
+    loose = sorted(fraction(a) | fraction(b))
+    exact = sorted(set(a.columns) - set(loose))
+
+    # rows of one key are cut into ranges of the first fraction, the same for both sides, and each range is offset by those before it
+    edges = bounds_of(a, F.col(f"`{loose[0]}`").cast("double"), 64) if loose else []
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(row_key(df, exact).alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"{i}{name}") for i, c in enumerate(loose)))
+        if not loose:
+            return rows.groupBy("key").agg(F.count("*").alias("place"))
+        rows = rows.withColumn("range", F.coalesce(bucketed(F.col(f"0{name}"), edges), F.lit(-1)))
+        before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows
+        starts = rows.groupBy("key", "range").agg(F.count("*").alias("n")).select("key", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        order = Window.partitionBy("key", "range").orderBy(*(F.col(f"{i}{name}").asc_nulls_first() for i in range(len(loose))))
+        return rows.join(starts, ["key", "range"]).withColumn("place", F.col("start") + F.row_number().over(order)).drop("range", "start")
+
+    x, y = placed(a, "a").withColumn("left", F.lit(1)), placed(b, "b").withColumn("right", F.lit(1))
+    both = x.join(y, ["key", "place"], "full_outer")
+    differ = F.col("left").isNull() | F.col("right").isNull()
+    for i in range(len(loose)):
+        p, q = F.col(f"{i}a"), F.col(f"{i}b")
+        near = F.abs(p - q) <= tolerance * F.greatest(F.lit(1.0), F.abs(p))
+        differ = differ | ~(p.eqNullSafe(q) | F.coalesce(near, F.lit(False)))
+    return both.agg((F.count_if(differ) == 0).alias("equal"))
 
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", k: float | None = None) -> DataFrame:
     """Rows with `is_outlier` by interquartile fences (1.5), z-score (3) or median absolute deviation (3.5)."""
-    v = F.col(column)
+    v, no = F.col(column), F.lit(False)
     if method == "iqr":
-        facts = df.agg(F.percentile(column, 0.25).alias("lo q"), F.percentile(column, 0.75).alias("hi q"))
-        reach = (k or 1.5) * (F.col("hi q") - F.col("lo q"))
-        far = (v < F.col("lo q") - reach) | (v > F.col("hi q") + reach)
+        q1, q3 = column_quantiles(df, [column], [0.25, 0.75])[column]
+        far = no if q1 is None else (v < q1 - (k or 1.5) * (q3 - q1)) | (v > q3 + (k or 1.5) * (q3 - q1))
     elif method == "zscore":
-        facts = df.agg(F.avg(column).alias("lo q"), F.stddev_samp(column).alias("hi q"))
-        far = F.abs(v - F.col("lo q")) > (k or 3.0) * F.col("hi q")
+        mean, sd = df.agg(F.avg(column), F.stddev_samp(column)).first()
+        far = no if sd is None else F.abs(v - mean) > (k or 3.0) * sd
     elif method == "mad":
-        middle = df.agg(F.median(column).alias("lo q"))
-        facts = df.crossJoin(F.broadcast(middle)).agg(F.first("lo q").alias("lo q"), F.median(F.abs(v - F.col("lo q"))).alias("hi q"))
-        far = (F.col("hi q") > 0) & (0.6745 * F.abs(v - F.col("lo q")) > (k or 3.5) * F.col("hi q"))
+        middle = column_quantiles(df, [column], [0.5])[column][0]
+        off = F.abs(v - F.lit(middle).cast("double"))
+        mad = column_quantiles(df, {"off": off}, [0.5])["off"][0]
+        far = 0.6745 * off > (k or 3.5) * mad if mad else no
     else:
         raise ValueError(f"unknown method {method}")
-    return df.crossJoin(F.broadcast(facts)).withColumn("is_outlier", F.coalesce(far, F.lit(False))).drop("lo q", "hi q")
+    return df.withColumn("is_outlier", F.coalesce(far, no))
 
 
 def shares(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -246,7 +283,7 @@ def population_stability(baseline: DataFrame, current: DataFrame, column: str, s
 
 def numeric_stability(baseline: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """The index of a number column over the baseline's quantile bins."""
-    edges = sorted(set(baseline.agg(F.percentile(column, [i / bins for i in range(1, bins)])).first()[0] or []))
+    edges = sorted({q for q in column_quantiles(baseline, [column], [i / bins for i in range(1, bins)])[column] if q is not None})
     binned = lambda d: d.filter(F.col(column).isNotNull()).select(bucketed(F.col(column), edges).alias("bin"))
     return population_stability(binned(baseline), binned(current), "bin")
 

@@ -1,33 +1,58 @@
-"""Ranks over all rows without a window over all rows.
+"""Ranks and exact quantiles over all rows without a window over all rows.
 
-Value counts are taken per group; bounds from approximate percentiles cut the values into ranges; totals of the ranges
-give each its offset, and only within a range are counts added up in order. So a billion distinct values rank as a few
-hundred tasks, and equal values, however many, are one row.
+For ranks, value counts are taken per group; bounds from approximate percentiles cut the values into ranges; totals of
+the ranges give each its offset, and only within a range are counts added up in order. So a billion distinct values rank
+as a few hundred tasks, and equal values, however many, are one row.
+
+For a few quantiles of whole columns nothing is shuffled but counts: a sketch brackets each quantile, a second pass
+counts what lies below the bracket and inside it, and the values inside are narrowed again or counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketed, ratio
 
 RANGES = 32
+#: Rank error of the sketch, as a share of the rows it has seen.
+ERROR = 1 / 1000
+#: Values inside all brackets of a column up to which they are counted exactly instead of narrowed.
+FEW = 100_000
+
+
+def bounds_of(df: DataFrame, value: Column, ranges: int = RANGES) -> list[float]:
+    """Values that cut a column into ranges of about equal numbers of rows."""
+    found = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0]
+    return sorted(set(found or []))
+
+
+def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str], groups: Sequence[str] = (), totals: Mapping[str, str] | None = None) -> DataFrame:
+    """counts (groups, value and columns of numbers, a row a value) with running sums over the smaller values.
+
+    sums names a new column for each column to be summed; totals one for its sum over the whole group. Only sums of
+    ranges cross the ranges, at most as many rows a group as there are ranges.
+    """
+    cut = counts.withColumn("range of value", bucketed(F.col("value"), list(bounds)))
+    columns = sorted({*sums, *(totals or {})})
+    whole = cut.groupBy(*groups, "range of value").agg(*(F.sum(c).alias(c) for c in columns))
+    by_group = Window.partitionBy(*groups)
+    before = by_group.orderBy("range of value").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*groups, "range of value", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before {c}") for c in sums), *(F.sum(c).over(by_group).alias(name) for c, name in (totals or {}).items()))
+    within = Window.partitionBy(*groups, "range of value").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(whole if groups else F.broadcast(whole), [*groups, "range of value"])  # without groups at most RANGES rows
+    return joined.withColumns({name: F.col(f"before {c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c, name in sums.items()}).drop("range of value", *(f"before {c}" for c in sums))
 
 
 def ranked(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Groups, value, n (its rows), below (rows with a smaller value) and total (rows of the group), nulls left out."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    bounds = sorted(set(df.agg(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []))
-    cut = counts.withColumn("range", bucketed(F.col("value"), bounds))
-    totals = cut.groupBy(*groups, "range").agg(F.sum("n").alias("in_range"))  # at most RANGES rows a group
-    by_group = Window.partitionBy(*groups)
-    totals = totals.withColumn("before", F.coalesce(F.sum("in_range").over(by_group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("in_range").over(by_group))
-    within = Window.partitionBy(*groups, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(totals.drop("in_range"), [*groups, "range"])
-    return joined.select(*groups, "value", "n", (F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("below"), "total")
+    v = F.col(value).cast("double")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, v.alias("value")).agg(F.count("*").alias("n"))
+    return running(counts, bounds_of(df, v), {"n": "below"}, groups, {"n": "total"}).select(*groups, "value", "n", "below", "total")
 
 
 def mid_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -36,22 +61,104 @@ def mid_ranks(df: DataFrame, value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, points: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """point and quantile of each group, linear between neighbours, exact at any size."""
-    rows = ranked(df, value, groups)
-    asked = rows.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(p),) for p in points], "point double"))).withColumn("at", F.col("point") * (F.col("total") - 1))
-    at, low, last = F.col("at"), F.col("below"), F.col("below") + F.col("n") - 1
+    """point and quantile of each group, linear between neighbours, exact at any size; group keys must not be null."""
+    at = F.col("point") * (F.col("total") - 1)
+    low, last = F.col("below"), F.col("below") + F.col("n") - 1
     hit = lambda k: (low <= k) & (k <= last)
-    picked = asked.filter(hit(F.floor(at)) | hit(F.ceil(at))).groupBy(*groups, "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first("at").alias("at"))
-    return picked.select(*groups, "point", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+    # of the few points only those that a value's ranks reach go on
+    reached = F.filter(F.array(*(F.lit(float(p)) for p in points)), lambda p: hit(F.floor(p * (F.col("total") - 1))) | hit(F.ceil(p * (F.col("total") - 1))))
+    picked = ranked(df, value, groups).select(*groups, "value", "total", F.explode(reached).alias("point"))
+    ends = picked.groupBy(*groups, "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first("total").alias("total"))
+    return ends.select(*groups, "point", (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("quantile"))
+
+
+def group_quantiles(df: DataFrame, value: str, points: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """Groups and a column for each named point; a group without a known value has no row."""
+    found = quantiles(df, value, list(points.values()), groups)
+    return found.groupBy(*groups).agg(*(F.max(F.when(F.col("point") == float(p), F.col("quantile"))).alias(name) for name, p in points.items()))
+
+
+def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], points: Sequence[float]) -> dict[str, list[float | None]]:
+    """The exact quantiles of whole columns (linear between neighbours, nulls and NaN left out), a few numbers each.
+
+    No more than FEW values a column are ever counted one by one; brackets that hold more are narrowed by another
+    sketch, each time by two orders of magnitude, or end in a single value.
+    """
+    wanted = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+    values = {c: F.when(~F.isnan(v.cast("double")), v.cast("double")) for c, v in wanted.items()}
+    if not values:
+        return {}
+    margin = 2 * ERROR
+    ends = sorted({x for p in points for x in (max(0.0, p - margin), min(1.0, p + margin))})
+    first = df.agg(*(F.count(v).alias(f"n {c}") for c, v in values.items()), *(F.percentile_approx(v, ends, int(1 / ERROR)).alias(f"q {c}") for c, v in values.items()), *(F.min(v).alias(f"low {c}") for c, v in values.items()), *(F.max(v).alias(f"high {c}") for c, v in values.items())).first()
+    size = {c: first[f"n {c}"] for c in values}
+    bracket: dict[tuple[str, float], tuple[float, float]] = {}
+    for c in values:
+        for p in points if size[c] else ():
+            known = dict(zip(ends, first[f"q {c}"]))
+            low, high = max(0.0, p - margin), min(1.0, p + margin)
+            bracket[c, p] = (known[low] if low else first[f"low {c}"], known[high] if high < 1 else first[f"high {c}"])
+    rank = {(c, p): p * (size[c] - 1) for c, p in bracket}
+    done: dict[tuple[str, float], float] = {}
+    while bracket:
+        keys = list(bracket)
+        inside = {k: values[k[0]].between(*map(F.lit, bracket[k])) for k in keys}
+        counted = df.agg(*(F.count_if(values[k[0]] < bracket[k][0]) for k in keys), *(F.count_if(inside[k]) for k in keys)).first()
+        below, held = dict(zip(keys, counted[: len(keys)])), dict(zip(keys, counted[len(keys) :]))
+        for k in keys:  # the sketch's bound holds for large inputs; where rounding of small ones leaves the rank outside, the whole column is taken
+            if not below[k] <= math.floor(rank[k]) or not math.ceil(rank[k]) < below[k] + held[k]:
+                bracket[k], below[k], held[k] = (first[f"low {k[0]}"], first[f"high {k[0]}"]), 0, size[k[0]]
+                inside[k] = values[k[0]].isNotNull()
+        few = [k for k in keys if bracket[k][0] < bracket[k][1] and held[k] <= FEW]
+        for k in keys:
+            if bracket[k][0] == bracket[k][1]:
+                done[k] = bracket[k][0]
+        if few:
+            at = {k: i for i, k in enumerate(few)}
+            long = df.select(F.explode(F.filter(F.array(*(F.when(inside[k], F.struct(F.lit(at[k]).alias("i"), values[k[0]].alias("v"))) for k in few)), lambda x: x.isNotNull())).alias("x")).select("x.*")
+            upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))  # FEW rows a partition at most
+            ranks = F.create_map(*(x for k in few for x in (F.lit(at[k]), F.array(F.lit(math.floor(rank[k]) - below[k]), F.lit(math.ceil(rank[k]) - below[k])))))[F.col("i")]
+            last = F.col("upto") - 1
+            start = F.col("upto") - F.col("n")
+            hit = ((start <= ranks[0]) & (ranks[0] <= last)) | ((start <= ranks[1]) & (ranks[1] <= last))
+            found = long.groupBy("i", "v").agg(F.count("*").alias("n")).withColumn("upto", upto).filter(hit).groupBy("i").agg(F.min("v"), F.max("v")).collect()  # a row a quantile
+            for i, a, b in found:
+                done[few[i]] = a + (b - a) * (rank[few[i]] - math.floor(rank[few[i]]))
+        many = [k for k in keys if k not in done]
+        if many:
+            share = {k: (rank[k] - below[k]) / max(1, held[k] - 1) for k in many}
+            ask = lambda k: [max(0.0, share[k] - margin), min(1.0, share[k] + margin)]
+            closer = df.agg(*(F.percentile_approx(F.when(inside[k], values[k[0]]), ask(k), int(1 / ERROR)) for k in many)).first()
+            now = {k: (e[0] if ask(k)[0] else bracket[k][0], e[1] if ask(k)[1] < 1 else bracket[k][1]) for k, e in zip(many, closer)}
+            # a bracket that a sketch cannot narrow is cut by its middle value
+            bracket = {k: now[k] if now[k] != bracket[k] else halved(df, values[k[0]], bracket[k], below[k], rank[k]) for k in many}
+        else:
+            bracket = {}
+    return {c: [done.get((c, p)) for p in points] for c in values}
+
+
+def halved(df: DataFrame, v: Column, bracket: tuple[float, float], below: int, rank: float) -> tuple[float, float]:
+    """The part of a bracket on the rank's side of its middle; both parts share the middle value."""
+    low, high = bracket
+    middle = low + (high - low) / 2
+    upto, nearest = df.agg(F.count_if(v <= middle), F.max(F.when(v <= middle, v))).first()
+    if math.ceil(rank) < upto:
+        return (low, nearest if nearest > low else low)
+    following = df.agg(F.min(F.when(v > middle, v))).first()[0]
+    return (following if math.floor(rank) >= upto else nearest, high if math.floor(rank) >= upto else following)
 
 
 def concentration(df: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient, Herfindahl index (0 to 10,000), rows and the largest one's share of non-negative values."""
+    """Gini coefficient, Herfindahl index (0 to 10,000), rows, the shares of the 1, 3, 5 and 10 largest rows, and that of the largest fifth of the rows, of non-negative values."""
     r = ranked(df.filter(F.col(value) >= 0), value)
     n, x = F.col("n"), F.col("value")
     ranks = n * F.col("below") + n * (n + 1) / 2  # sum of the ranks of a value's rows
-    return r.agg(F.sum(ranks * x).alias("w"), F.sum(n * x).alias("s"), F.sum(n * x * x).alias("q"), F.sum(n).alias("n"), F.max(x).alias("top")).select(
-        (2 * ratio(F.col("w"), F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"), (10000 * ratio(F.col("q"), F.col("s") * F.col("s"))).alias("hhi"), "n", ratio(F.col("top"), F.col("s")).alias("top_1_share")
+    above = F.col("total") - F.col("below") - n  # rows with a larger value
+    of_top = lambda k: F.sum(x * F.greatest(F.lit(0), F.least(n, k - above)))
+    tops = {f"top_{k}_share": of_top(F.lit(k)) for k in (1, 3, 5, 10)} | {"top_fifth_share": of_top(F.ceil(F.col("total") / 5))}
+    sums = r.agg(F.sum(ranks * x).alias("w"), F.sum(n * x).alias("s"), F.sum(n * x * x).alias("q"), F.sum(n).alias("n"), *(e.alias(name) for name, e in tops.items()))
+    return sums.select(
+        (2 * ratio(F.col("w"), F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"), (10000 * ratio(F.col("q"), F.col("s") * F.col("s"))).alias("hhi"), "n", *(ratio(F.col(name), F.col("s")).alias(name) for name in tops)
     )
 
 

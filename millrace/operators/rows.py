@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import MISSING, NO, YES
+from .ranks import column_quantiles
 
 #: Share of a text column's values that must be dates for an ordered comparison.
 DATE_SHARE = 0.8
@@ -120,7 +121,7 @@ def what_if_growth(df: DataFrame, segment: str, value: str, amount: str, growth:
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 4) -> DataFrame:
     """bin: the quantile band of a column, from 0; equal edges make one."""
-    edges = sorted(set(df.agg(F.percentile(column, [i / bins for i in range(1, bins)])).first()[0] or []))
+    edges = sorted({q for q in column_quantiles(df, [column], [i / bins for i in range(1, bins)])[column] if q is not None})
     number = F.lit(0)
     for e in edges:
         number = number + (F.col(column) > e).cast("int")

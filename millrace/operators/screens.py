@@ -15,13 +15,14 @@ from ..functions import tails
 from ..functions.scalars import group_label, ratio
 from .inference import adjusted, cross_products, one_row
 from .quality import exact_profile, numeric
+from .ranks import bounds_of, column_quantiles, group_quantiles
 
 
 def outlier_sensitivity(df: DataFrame, group: str, value: str, share: float = 0.01) -> DataFrame:
     """The leading group by mean, by mean without the top share of values, and by median, and whether they agree."""
-    top = df.agg(F.percentile(value, 1 - share).alias("cap"))
-    held = F.when(F.col(value) <= F.col("cap"), F.col(value))
-    facts = df.crossJoin(F.broadcast(top)).groupBy(group_label(group)).agg(F.avg(value).alias("m"), F.avg(held).alias("t"), F.median(value).alias("d"))
+    held = F.when(F.col(value) <= F.lit(column_quantiles(df, [value], [1 - share])[value][0]).cast("double"), F.col(value))
+    rows = df.withColumn(group, group_label(group))
+    facts = rows.groupBy(group).agg(F.avg(value).alias("m"), F.avg(held).alias("t")).join(group_quantiles(rows, value, {"d": 0.5}, [group]), group, "left")
     leaders = facts.agg(F.max_by(group, "m").alias("by_mean"), F.max_by(group, "t").alias("by_trimmed_mean"), F.max_by(group, "d").alias("by_median"))
     return leaders.withColumn("stable", (F.col("by_mean") == F.col("by_trimmed_mean")) & (F.col("by_mean") == F.col("by_median")))
 
