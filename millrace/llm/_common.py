@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds as strings at once.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 750_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -33,21 +34,41 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches held to BATCH_BYTES: ten thousand long texts at once would fill a worker.
+
+    Sets spark.sql.execution.arrow.maxBytesPerBatch of the session where it is larger.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if now is None or int(now[1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, doc_id and text, whatever else the input has."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a
-    temporary folder is made.
+    The folder is the session's spark.checkpoint.dir, or what setCheckpointDir was given. Without one a temporary folder
+    is made where driver and executor are one process (a local master, as in tests); on a cluster this raises, since a
+    folder of one machine would lose rows with it.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
