@@ -100,12 +100,16 @@ class Library:
         return plain + others, flat, counts
 
 
+#: Chunks, and characters of them, that a worker's cache holds before it starts anew (a batch more at most).
+LIMIT, LIMIT_CHARS = 300_000, 6_000_000
+
+
 class LengthCache:
     """Token counts of chunks: a table of frequent ones that never changes, then a bounded cache of the others."""
 
-    def __init__(self, library: Library, frequent: dict[str, int], limit: int = 600_000):
+    def __init__(self, library: Library, frequent: dict[str, int], limit: int = LIMIT):
         self.library, self.frequent, self.limit = library, frequent, limit
-        self.known = dict(frequent)
+        self.known, self.others, self.chars = dict(frequent), 0, 0
 
     def counts(self, texts: list[str]) -> np.ndarray:
         each = [self.library.parts(t) for t in texts]
@@ -113,10 +117,11 @@ class LengthCache:
         found = looked_up(self.known, flat)
         if len(new := np.flatnonzero(found < 0)):
             missing = [flat[i] for i in new.tolist()]
-            if len(self.known) + len(new) > self.limit:
-                self.known = dict(self.frequent)
+            if self.others > self.limit or self.chars > LIMIT_CHARS:
+                self.known, self.others, self.chars = dict(self.frequent), 0, 0
             keys, _, counts = self.library.encode(list(dict.fromkeys(missing)))
             self.known.update(zip(keys, counts.tolist()))
+            self.others, self.chars = self.others + len(keys), self.chars + sum(map(len, keys))
             found[new] = looked_up(self.known, missing)
         return sums(found, [len(p) for p in each])
 
@@ -124,12 +129,13 @@ class LengthCache:
 class IdCache:
     """Ids of chunks, kept in one flat array; texts come back as arrays of ids."""
 
-    def __init__(self, library: Library, limit: int = 600_000):
+    def __init__(self, library: Library, limit: int = LIMIT):
         self.library, self.limit = library, limit
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.lengths, self.starts, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def add(self, keys: list[str]) -> None:
@@ -140,12 +146,13 @@ class IdCache:
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(ids)
+        self.chars += sum(map(len, keys))
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         each = [self.library.parts(t) for t in texts]
         flat = list(chain.from_iterable(each))
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars > LIMIT_CHARS:
             self.clear()
         index = looked_up(self.known, flat)
         if len(new := np.flatnonzero(index < 0)):

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, texts_of
+from ._common import bounded, slices, texts_of
 from .chunks import sums
 
 #: Hash buckets of features; words of a window and of a training span.
 BUCKETS, WINDOW, SPAN = 1 << 17, 64, 16
-#: Bounds of the training sample: documents a language, characters a document, spans a document.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_SPANS = 200, 100_000, 30
+#: Words scored and windows labelled at once; tokens, and characters of them, whose scores a worker keeps.
+SCORED, LABELLED, KEPT, KEPT_CHARS = 4096, 512, 150_000, 3_000_000
+#: Bounds of the training sample: documents a language, characters of a document (from a place drawn by hash), spans a document.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_SPANS = 200, 20_000, 30
 #: Words of a language's lexicon, their least count in the sample, and the least share of the language among them.
 LEXICON, LEXICON_COUNT, LEXICON_SHARE = 5_000, 3, 0.8
 STEPS, RATE, DECAY = 25, 0.4, 1e-4
@@ -130,13 +132,14 @@ class Model:
         return hit, BUCKETS + self.lexicon_of[at[hit]]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        found, owner, whole = features(words)
-        hit, number = self.in_lexicon(whole)
         out = np.zeros((len(words), len(self.languages)))
-        weights = self.weights[found]
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, weights[:, k], len(words))
-        out[hit] += self.weights[number]
+        for i in range(0, len(words), SCORED):
+            part = out[i : i + SCORED]
+            found, owner, whole = features(words[i : i + SCORED])
+            hit, number = self.in_lexicon(whole)
+            for k in range(len(self.languages)):
+                part[:, k] = np.bincount(owner, self.weights[found, k], len(part))
+            part[hit] += self.weights[number]
         return out
 
     def label(self, emit: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -144,8 +147,8 @@ class Model:
         start, length, text = windows(counts)
         totals = np.zeros((len(counts), len(self.languages)))
         move, first = np.exp(self.move - self.move.max()), np.exp(self.first - self.first.max())
-        for i in range(0, len(start), 8192):
-            s, n, t = start[i : i + 8192], length[i : i + 8192], text[i : i + 8192]
+        for i in range(0, len(start), LABELLED):
+            s, n, t = start[i : i + LABELLED], length[i : i + LABELLED], text[i : i + LABELLED]
             steps = np.arange(n[0])
             at = np.minimum(s[None, :] + steps[:, None], len(emit) - 1)
             inside = steps[:, None] < n[None, :]
@@ -212,12 +215,13 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """doc_id (or the columns of keep), lang_pred and score of every row; see identify."""
     learned = df.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = df.select(*columns, F.col(text_col).cast("string").alias("text of"))
+    rows = bounded(df).select(*columns, F.col(text_col).cast("string").alias("text of"))
     names = [f.name for f in rows.schema.fields if f.name != "text of"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = learned.value
         known: dict[str, int] = {}
+        chars = 0
         emit = np.zeros((0, len(model.languages) if model else 1))
         real = np.zeros(0, bool)
         for batch in batches:
@@ -225,12 +229,13 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 texts = texts_of(part, "text of")
                 each = [t.split() for t in texts]
                 tokens = list(chain.from_iterable(each))
-                if len(known) > 400_000:
-                    known, emit, real = {}, emit[:0], real[:0]
+                if len(known) > KEPT or chars > KEPT_CHARS:
+                    known, chars, emit, real = {}, 0, emit[:0].copy(), real[:0].copy()
                 index = list(map(known.get, tokens))
                 if None in index:
                     new = list({t for t, i in zip(tokens, index) if i is None})
                     known.update(zip(new, range(len(known), len(known) + len(new))))
+                    chars += sum(map(len, new))
                     words = list(map(letters, new))
                     real = np.concatenate([real, np.fromiter(map(bool, words), bool, len(words))])
                     emit = np.concatenate([emit, model.emissions(words) if model else np.zeros((len(words), 1))])
@@ -257,8 +262,8 @@ def held_out(id_col: str) -> F.Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS) -> Model | None:
     """Fit on a sample of at most `docs` documents of each language, of those that are not held out.
 
-    The sample is drawn by a hash of the id from all labelled rows; ids, languages and texts that are null, and
-    texts longer than TRAIN_CHARS, are not drawn.
+    The sample is drawn by a hash of the id from all labelled rows; of a longer text it takes TRAIN_CHARS characters from
+    a place that the hash gives. Rows whose id, language or text is null are not drawn.
     """
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = labelled.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
@@ -267,7 +272,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     place = (F.xxhash64("id", "lang") / F.lit(float(1 << 64)) + 0.5).alias("place")
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.5 * docs / n))) for k, n in counts.items()))
-    drawn = labelled.filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
+    drawn = labelled.filter(F.col("text").isNotNull()).withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int") + 1
+    drawn = drawn.select("id", F.substring(F.col("text"), start, F.lit(TRAIN_CHARS)).alias("text"), "lang", "place")
     rows = drawn.orderBy("place").limit(2 * docs * len(counts)).collect()
     taken: Counter = Counter()
     sample = []
@@ -282,8 +289,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """doc_id, held_out, lang_pred and score of every row, from a model learned on the rows that are not held out.
 
     Predictions use the whole text alone. lang_pred is `und` with score 0 where the text is null or has no letter,
-    or where no row is labelled; else a learned language and the mean probability of its label over the words. A
-    null id is not held out and not learned from; repeated rows come back as often as they occur; an empty table
+    or where no row is labelled; else a learned language (the first in the alphabet on a tie) and the mean probability of
+    its label over the words. A very long text is labelled in windows, all of them. A null id is not held out and not learned from; repeated rows come back as often as they occur; an empty table
     gives no rows. Other columns are left out, whatever their names.
     """
     found = predict(df, train(df, id_col, text_col, lang_col), id_col, text_col)
