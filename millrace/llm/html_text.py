@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a list of blocks in page order, each with the path of block tags from the root to it. Menus, forms,
-scripts and the like are left out by tag, role or class. Over the rest, text length and punctuation are summed for
-each path and divided by the path's blocks; the two series are smoothed along the page, fused by multiplication and
-held against a share of their standard deviation. Blocks of the paths that pass are content, with their headings and
-the other blocks of their parents. Where a page marks its article, only blocks inside it are judged, and all are kept.
+A page becomes a list of blocks in page order, each with the number of its path, the chain of block tags from the root to
+it. Scripts, menus and the like are left out by tag or role. Elements whose whole class or id says that they are no
+content, and forms, are left out unless they hold most of the page's text. Over the rest, text length and punctuation are summed
+for each path and divided by the path's blocks; the two series are smoothed along the page, fused by multiplication and
+held against a share of their standard deviation. Blocks of the paths that pass are content, with the other blocks of
+their parents and the headings that lead to them.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, texts_of
+from ._common import bounded, slices, texts_of
 
 # Fixed values of HTML: elements by their role in a page.
 BLOCK = frozenset(
@@ -26,7 +28,10 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title".split())
-LEFT_OUT = frozenset("aside button dialog footer form head label menu nav object select".split())
+LEFT_OUT = frozenset("aside dialog footer head menu nav object".split())
+#: Controls: left out, but for the words of a sentence they stand in.
+CONTROLS = frozenset("button label select".split())
+SENTENCE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p td th".split())
 ARTICLE = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -36,103 +41,188 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 HINTS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related reply replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside a hint in one class name ("site-footer", "ad-box"), and hints that hold outside articles only.
+BESIDE = frozenset("area bar block bottom box container inner left link links list main mobile page right section site small top wrap wrapper".split())
 PAGE_HINTS = frozenset({"header", "topbar"})
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = ".,;:!?…。，、！？；："
-#: Share of the fused series' standard deviation that content must reach.
-THRESHOLD = 0.8
+#: Share of the fused series' standard deviation that content must reach, and share of a page's text that no hint removes.
+THRESHOLD, MOST = 0.8, 0.5
+#: Blocks that a hinted element must hold to count as a wrapper of the page.
+WRAPPED = 3
 
+HARD, SOFT = 1, 2
 
-def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is not part of an article by its tag, role, class or id."""
-    if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body") or tag in ARTICLE or not attributes:
-        return False
+
+def left_out(tag: str, attributes: str, in_article: bool, in_sentence: bool) -> int:
+    """HARD where an element is no content by its tag, role or being hidden, SOFT by a class, an id or being a form, else 0."""
+    if tag in LEFT_OUT or tag == "header" and not in_article or tag in CONTROLS and not in_sentence:
+        return HARD
+    if tag in ("html", "body") or tag in ARTICLE:
+        return 0
+    soft = SOFT if tag == "form" else 0
+    if not attributes:
+        return soft
     if HIDDEN.search(attributes):
-        return True
+        return HARD
     for name, a, b, c in NAMED.findall(attributes):
         value = a or b or c
         if name.lower() == "role":
             if value.strip().lower() in ROLES:
-                return True
-        else:
-            words = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", value))}
-            if words & HINTS or not in_article and words & PAGE_HINTS:
-                return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, str, int, int, str]]:
-    """The blocks of a page in order: path, text, number of the parent block element, of the article (0: none), tag."""
-    out: list[tuple[str, str, int, int, str]] = []
-    # an open element: tag, path, number, article, left out
-    stack: list[tuple[str, str, int, int, bool]] = [("", "", 0, 0, False)]
-    text: list[str] = []
+                return HARD
+        elif tag not in HEADINGS:
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", token))}
+                hints = HINTS if in_article else HINTS | PAGE_HINTS
+                if words & hints and words <= hints | BESIDE:
+                    soft = SOFT
+    return soft
+
+
+class Block(NamedTuple):
+    """A run of text: the number of its path, its text, its parent block element, its tag, the hinted element around it (0: none)."""
+
+    path: int
+    text: str
+    parent: int
+    tag: str
+    hinted: int
+
+
+class Element(NamedTuple):
+    tag: str
+    path: int
+    number: int
+    in_article: bool
+    hard: bool
+    hinted: int
+
+
+class Stack:
+    """Open elements, with the places of each tag, of blocks and of scopes, so that no closing tag searches the stack."""
+
+    def __init__(self) -> None:
+        self.open = [Element("", 0, 0, False, False, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def push(self, e: Element) -> None:
+        at = len(self.open)
+        self.open.append(e)
+        self.places.setdefault(e.tag, []).append(at)
+        if e.tag in BLOCK:
+            self.blocks.append(at)
+        if e.tag in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= at:
+                places.pop()
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+def tag_end(page: str, at: int, missing: set[str]) -> int:
+    """Where the tag that goes on at a place ends (its >), quotes observed; -1 if it does not. A quote that is never closed is a character."""
+    while m := STOP.search(page, at):
+        c = m[0]
+        if c == ">":
+            return m.start()
+        close = -1 if c in missing else page.find(c, m.end())
+        if close < 0:
+            missing.add(c)
+        at = m.end() if close < 0 else close + 1
+    return -1
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order, in one pass: no tag, quote or open element is looked at again and again."""
+    out: list[Block] = []
+    stack, paths, text, missing = Stack(), {}, [], set()
     number = at = 0
 
     def close_block() -> None:
         if text:
-            if not stack[-1][4] and (joined := " ".join(decoded("".join(text)).split())):
-                tag, path, own, article, _ = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-                parent = next((e[2] for e in reversed(stack) if (e[0] in BLOCK or not e[0]) and e[2] != own), 0)
-                out.append((path, joined, parent, article, tag))
+            if not stack.open[-1].hard and (joined := " ".join(decoded("".join(text)).split())):
+                own = stack.open[stack.blocks[-1]]
+                parent = stack.open[stack.blocks[-2]].number if len(stack.blocks) > 1 else 0
+                out.append(Block(own.path, joined, parent, own.tag, stack.open[-1].hinted))
             text.clear()
 
     size = len(page)
     while at < size:
-        m = TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
+        if start > at:
+            text.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
             continue
-        if not m[1]:
+        closing = page.startswith("</", start)
+        m = NAME.match(page, start + 1 + closing)
+        if m is None:
+            end = page.find(">", start) if page[start + 1 : start + 2] in ("!", "?", "/") else -1
+            if end < 0:
+                text.append("<")
+            at = start + 1 if end < 0 else end + 1
+            continue
+        end = tag_end(page, m.end(), missing)
+        if end < 0:  # no tag ends any more
+            text.append(page[start:])
+            break
+        tag, attributes, at = m[0].lower(), page[m.end() : end], end + 1
+        if not closing:
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if not m[3].endswith("/"):
-                    at = end.end() if end else size
+                if not attributes.endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                    at = page.find(">", close.end()) + 1 if close else 0
+                    at = at or size
                 continue
             if tag == "br":
                 text.append(" ")
                 continue
             if tag in BLOCK:
                 close_block()
-                ends = CLOSES_ITSELF.get(tag) or ({"p"} if tag not in ("p",) else set())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+                ends = stack.last(CLOSES_ITSELF.get(tag) or ("p",))
+                if ends > stack.scopes[-1] or ends and ends == stack.scopes[-1] and stack.open[ends].tag in CLOSES_ITSELF.get(tag, ()):
+                    stack.cut(ends)
             if tag in VOID:
                 continue
-            parent = stack[-1]
+            parent = stack.open[-1]
             number += 1
-            article = parent[3] or (number if tag in ARTICLE else 0)
-            out_here = parent[4] or left_out(tag, m[3], bool(article))
-            if out_here != parent[4]:
+            article = parent.in_article or tag in ARTICLE
+            own = stack.open[stack.blocks[-1]].tag
+            verdict = left_out(tag, attributes, article, own in SENTENCE)
+            if verdict and not parent.hard:
                 close_block()
-            stack.append((tag, f"{parent[1]}/{tag}" if tag in BLOCK else parent[1], number if tag in BLOCK else parent[2], article, out_here))
+            path = paths.setdefault((parent.path, tag), len(paths) + 1) if tag in BLOCK else parent.path
+            hinted = parent.hinted or (number if verdict == SOFT else 0)
+            stack.push(Element(tag, path, number if tag in BLOCK else parent.number, article, parent.hard or verdict == HARD, hinted))
         else:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            i = stack.last((tag,))
             if tag in BLOCK:
                 close_block()
-            elif any(e[0] in BLOCK for e in stack[i + 1 :]):
+            elif stack.blocks[-1] > i:
                 i = 0
             if i:
-                if tag not in BLOCK and stack[i][4] != stack[i - 1][4]:
+                e, outer = stack.open[i], stack.open[i - 1]
+                if tag not in BLOCK and (e.hard, e.hinted) != (outer.hard, outer.hinted):
                     close_block()
-                del stack[i:]
+                stack.cut(i)
     close_block()
     return out
 
@@ -148,26 +238,39 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def content(found: list[tuple[str, str, int, int, str]]) -> list[str]:
+def judged(found: list[Block]) -> list[Block]:
+    """The blocks outside hinted elements, and those of a hinted element of several blocks that holds most of the text."""
+    total = sum(len(b.text) for b in found)
+    held: dict[int, list[int]] = {}
+    for b in found:
+        held.setdefault(b.hinted, []).append(len(b.text))
+    whole = {h for h, sizes in held.items() if not h or len(sizes) >= WRAPPED and sum(sizes) > MOST * total}
+    return [b for b in found if b.hinted in whole]
+
+
+def content(found: list[Block]) -> list[str]:
     """The texts of the content blocks."""
-    marked = [b for b in found if b[3]]
-    if marked:
-        found = marked
+    found = judged(found)
     if not found:
         return []
-    lengths: dict[str, list[float]] = {}
-    for path, text, *_ in found:
-        totals = lengths.setdefault(path, [0.0, 0.0, 0.0])
-        totals[0] += len(text)
-        totals[1] += sum(map(text.count, PUNCTUATION))
-        totals[2] += 1
-    ratio = np.array([(lengths[p][0] / lengths[p][2], lengths[p][1] / lengths[p][2]) for p, *_ in found])
+    totals: dict[int, list[float]] = {}
+    for b in found:
+        t = totals.setdefault(b.path, [0.0, 0.0, 0.0])
+        t[0] += len(b.text)
+        t[1] += sum(map(b.text.count, PUNCTUATION))
+        t[2] += 1
+    ratio = np.array([(totals[b.path][0] / totals[b.path][2], totals[b.path][1] / totals[b.path][2]) for b in found])
     fused = smooth(ratio[:, 0]) * (1 + smooth(ratio[:, 1]))
     least = THRESHOLD * fused.std()
-    passed = {b[0] for b, f in zip(found, fused.tolist()) if f >= least}
-    parents = {b[2] for b in found if b[0] in passed}
-    articles = {b[3] for b in found if b[0] in passed and b[3]}
-    return [b[1] for b in found if b[0] in passed or b[2] in parents or b[3] in articles and b[3] or b[4] in HEADINGS]
+    passed = {b.path for b, f in zip(found, fused.tolist()) if f >= least}
+    parents = {b.parent for b in found if b.path in passed}
+    kept, leads = [], False
+    for b in reversed(found):  # a heading is kept with what follows it
+        inside = b.path in passed or b.parent in parents
+        if inside or leads and b.tag in HEADINGS:
+            kept.append(b.text)
+        leads = inside or leads and b.tag in HEADINGS
+    return kept[::-1]
 
 
 def main_text(page: str) -> str:
@@ -178,7 +281,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """page_id, url, text and n_chars of every row: the main text of the whole page and its code points.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
-    line. A null or empty page has an empty text; a null id or url stays null; repeated rows come back as often as
+    line. A null or empty page has an empty text; a very long page is read in one pass, in time and memory that grow with
+    its length; blocks of equal scores are kept or left out alike; a null id or url stays null; repeated rows come back as often as
     they occur; an empty table gives no rows. Other columns are left out, whatever their names.
     """
 
@@ -190,5 +294,5 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )
 
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    pages = bounded(df).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return pages.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
