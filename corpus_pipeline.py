@@ -1,8 +1,7 @@
 """Corpus cleaning pipeline over documents: STAGES in order, each over what its predecessor kept.
 
-Every stage but the last returns the columns of documents. Nulls: a document without an id, without a text or
-without a letter is rejected by the first stage; a null lang, source or n_chars is kept as it is. Other columns are
-left out.
+Every stage but the last returns the columns of documents. Nulls: a document without a text or without a letter is
+rejected by the first stage; a null doc_id, lang, source or n_chars is kept as it is. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,15 +30,15 @@ MARK = "[SECRET]"
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is recognised."""
     docs = docs.select(*COLUMNS)
-    labelled = predict(docs.filter("doc_id IS NOT NULL"), train(docs), keep=COLUMNS)
+    labelled = predict(docs, train(docs), keep=COLUMNS)
     return labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of every class of near copies the document with the least id, once."""
-    docs = docs.select(*COLUMNS).filter("doc_id IS NOT NULL")
-    stay = cut(near_copies(docs).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Keep of every class of near copies the document with the least id (and of those the least text digest), once."""
+    docs = docs.select(*COLUMNS).withColumn("key of", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
+    stay = cut(near_copies(docs, keep_first=True).filter("is_first").groupBy("doc_id", "key").agg(F.count("*").alias("rows")))
+    kept = docs.join(stay.select(F.col("doc_id").alias("id of"), "key"), F.col("doc_id").eqNullSafe(F.col("id of")) & (F.col("key of") == F.col("key")), "left_semi").select(*COLUMNS)
     return kept if stay.filter("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
