@@ -2,14 +2,18 @@
 
 The symbols of many words lie in one flat array. A round looks up every adjacent pair by binary search over the
 sorted pair keys, takes in each word the pair of lowest rank, merges all its places and drops the words in which
-no pair is left. A worker keeps the ids of the space-delimited chunks it has seen, so that a round only meets new
+no pair is left. A very long word would need a round for almost every pair of its own; its first pairs are looked up in
+the same way, then only the pairs beside a merge, taken from a heap by rank and place. A worker keeps the ids of the space-delimited chunks it has seen, so that a round only meets new
 words.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,6 +27,8 @@ from .chunks import spread, sums
 
 #: Rank of a pair that is not in the table.
 NONE = np.int64(1 << 40)
+#: Characters from which a word is merged by itself; chunks, and characters of them, that a worker's cache holds.
+LONG, LIMIT, LIMIT_CHARS = 200, 200_000, 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +55,7 @@ class WordBPE:
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         keys = np.array([a * self.base + b for a, b, _ in pairs], np.int64)
         order = np.argsort(keys)
+        self.sorted_keys = array("q", keys[order].tobytes())
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), np.array([c for _, _, c in pairs], np.int64)[order]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = regex.compile(split["pattern"]["Regex"])
@@ -62,6 +69,12 @@ class WordBPE:
         """The ids of words, one after another, and how many each has."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if any(len(w) > LONG for w in words):
+            long = np.array([len(w) > LONG for w in words])
+            flat, size = self.merge([w for w in words if len(w) <= LONG])
+            parts = iter(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [])
+            each = [self.merge_long(w) if is_long else next(parts) for w, is_long in zip(words, long.tolist())]
+            return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
         coded = [w.encode() for w in words]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         data = np.frombuffer(b"".join(coded), np.uint8)
@@ -92,6 +105,45 @@ class WordBPE:
         order = np.argsort(word, kind="stable")
         return symbols[order], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, word: str) -> np.ndarray:
+        """The ids of one long word: every merge looks up the two pairs that it makes, so the time hardly exceeds the length's."""
+        data = np.frombuffer(word.encode(), np.uint8)
+        found = self.inner[data]
+        found[-1] = self.last[data[-1]]
+        key = found[:-1] * self.base + found[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        first = np.flatnonzero(self.keys[at] == key)
+        heap = list(zip(self.ranks[at[first]].tolist(), first.tolist(), at[first].tolist()))
+        heapq.heapify(heap)
+        symbols, n = found.tolist(), len(found)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        now = dict(zip(first.tolist(), at[first].tolist()))  # the pair that stands at a place
+
+        def look_up(i: int) -> None:
+            j = after[i]
+            pair = symbols[i] * self.base + symbols[j] if j < n else -1
+            k = bisect_left(self.sorted_keys, pair)
+            if k < len(self.sorted_keys) and self.sorted_keys[k] == pair:
+                now[i] = k
+                heapq.heappush(heap, (int(self.ranks[k]), i, k))
+            else:
+                now.pop(i, None)
+
+        while heap:
+            _, i, k = heapq.heappop(heap)
+            if now.get(i) != k:  # one of its symbols is merged already
+                continue
+            j = after[i]
+            symbols[i], symbols[j] = int(self.merged[k]), -1
+            now.pop(j, None)
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            look_up(i)
+            if before[i] >= 0:
+                look_up(before[i])
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
     def decode(self, ids: list[int]) -> str:
         """The token strings joined by spaces, specials kept: what a tokenizer file without a decoder gives."""
         return " ".join(self.strings[i] for i in ids if i in self.strings)
@@ -100,12 +152,13 @@ class WordBPE:
 class ChunkIds:
     """Ids and decoded strings of the chunks a worker has seen."""
 
-    def __init__(self, bpe: WordBPE, limit: int = 300_000):
+    def __init__(self, bpe: WordBPE, limit: int = LIMIT):
         self.bpe, self.limit = bpe, limit
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.decoded: list[str] = []
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -125,6 +178,7 @@ class ChunkIds:
         self.starts = np.concatenate([self.starts, len(self.flat) + ends - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, flat])
+        self.chars += sum(map(len, keys))
         listed = flat.tolist()
         self.decoded += [bpe.decode(listed[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())]
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
@@ -137,7 +191,7 @@ class ChunkIds:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Flat ids, ids per text, and each text decoded from its ids."""
         each = [self.parts(t) for t in texts]
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars > LIMIT_CHARS:
             self.clear()
         flat = list(chain.from_iterable(each))
         found = list(map(self.known.get, flat))
@@ -158,7 +212,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, ids and decoded of every row: the whole text's ids, and the text decoded from them.
 
     Special strings inside a text are their special ids, and no others are added. A null text counts as empty
-    (no ids, empty string); a null id stays null; repeated rows come back as often as they occur; an empty table
+    (no ids, empty string); a very long text or word is encoded whole; a null id stays null; repeated rows come back as often as they occur; an empty table
     gives no rows. Other columns are left out, whatever their names.
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")

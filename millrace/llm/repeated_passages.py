@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, sieve, sifted, slices, texts_of
+from ._common import bounded, cut, sieve, sifted, slices, texts_of
 from .chunks import spread
 from .fm_index import repeated
 from .near_copies import finish
@@ -104,7 +104,8 @@ COVER = "anchor long, digest long, covered array<struct<from:int,to:int>>"
 def words_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, digest and words (hashes) of wanted segments, from any text that holds them."""
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct(*KIND, "start", "length")).alias("asked"))  # of one text
-    rows = sifted(texts, sieve(wanted, "key"), "key").join(asked, "key").select("text", "asked")
+    once = sifted(texts, sieve(wanted, "key"), "key").groupBy("key").agg(F.first("text").alias("text"))  # copies once
+    rows = once.join(asked, "key").select("text", "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +175,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whatever their names.
     """
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    source = df.select(*columns, F.col(text_col).cast("string").alias("text of"))
+    source = bounded(df).select(*columns, F.col(text_col).cast("string").alias("text of"))
     names = [f.name for f in source.schema.fields if f.name != "text of"]
     texts = df.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     found = occurrences(texts, least, gram)

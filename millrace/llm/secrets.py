@@ -1,7 +1,7 @@
 """Secret scans through a trigram inverted index.
 
-For each rule's regular expression a Boolean query over trigrams is derived: any match must satisfy it. A batch of
-texts is indexed by the trigrams that occur in the queries (a posting list of texts for each), the queries are
+For each rule's regular expression a Boolean query over trigrams is derived: any match must satisfy it. The trigrams of a
+batch of texts are taken out in one pass; those that occur in the queries get a posting list of texts, the queries are
 answered by intersecting and uniting postings, and only the candidates are searched with the expression itself.
 A rule whose expression has no mandatory trigram is searched for in every text. Index and search stay inside the
 task that holds the texts, so nothing is shuffled.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from re import _constants as sre  # the parse tree of the standard library's expressions
 from re import _parser
 
-from ._common import slices, texts_of
+from ._common import bounded, slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -174,6 +174,11 @@ class Scanner:
     def __init__(self, rules: Sequence[Rule]):
         self.rules = [(r, self.search(r), trigram_query(r)) for r in rules]
         self.indexed = sorted(set().union(*(trigrams(q) for _, _, q in self.rules)))
+        # the number of each ASCII trigram of a query, at its code of three times seven bits; 0 for all others
+        self.table = np.zeros(1 << 21, np.int16)
+        for i, g in enumerate(self.indexed):
+            if g.isascii():
+                self.table[ord(g[0]) << 14 | ord(g[1]) << 7 | ord(g[2])] = i + 1
 
     @staticmethod
     def search(rule: Rule) -> re.Pattern:
@@ -183,12 +188,21 @@ class Scanner:
         return rule.compiled()
 
     def index(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Posting lists of the trigrams that some query needs."""
+        """Posting lists of the trigrams that some query needs, from one pass over all characters."""
         lowered = [t.lower() for t in texts]
-        return {g: np.array([i for i, t in enumerate(lowered) if g in t], np.int64) for g in self.indexed}
+        chars = np.minimum(np.frombuffer("\x7f\x7f".join(lowered).encode("utf-32-le"), np.uint32), 127).astype(np.int32)
+        numbers = self.table[chars[:-2] << 14 | chars[1:-1] << 7 | chars[2:]] if len(chars) > 2 else np.zeros(0, np.int16)
+        at = np.flatnonzero(numbers)
+        starts = np.cumsum([0, *(len(t) + 2 for t in lowered)])[:-1]
+        pairs = np.unique(numbers[at].astype(np.int64) * len(texts) + np.searchsorted(starts, at, side="right") - 1)
+        ends = np.searchsorted(pairs, np.arange(1, len(self.indexed) + 2) * len(texts))
+        found = {g: pairs[a:b] % len(texts) for g, a, b in zip(self.indexed, ends[:-1], ends[1:])}
+        return found | {g: np.array([i for i, t in enumerate(lowered) if g in t], np.int64) for g in self.indexed if not g.isascii() or "\x7f" in g}
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text (start, rule, end) of all matches, by start and then rule."""
+        if not texts:
+            return []
         postings = self.index(texts)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, expression, query) in enumerate(self.rules):
@@ -215,14 +229,14 @@ def scan_secrets(
 
     Offsets are code points, ends exclusive. Matches of one rule are leftmost and do not overlap; those of different
     rules may. With redact a column `redacted` holds the text with every covered stretch replaced. A null text counts
-    as empty and has no spans (its redacted text stays null); a null id stays null; repeated rows come back as often as
+    as empty and has no spans (its redacted text stays null); a very long text is scanned whole; a null id stays null; repeated rows come back as often as
     they occur; an empty table gives no rows. Other columns are left out, whatever their names.
     """
     rules, n_base = [*base_rules, *more_rules], len(base_rules)
     kinds = [r.kind for r in rules]
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = df.select(*columns, F.col(text_col).cast("string").alias("text of"))
+    rows = bounded(df).select(*columns, F.col(text_col).cast("string").alias("text of"))
     names = [f.name for f in rows.schema.fields if f.name != "text of"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Near copies, repeated passages, vectors, languages and the pipeline against brute force."""
 
+import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -10,7 +12,7 @@ from compare import connect, same
 from millrace.llm import queries as L
 from millrace.llm.components import components
 from millrace.llm.fm_index import FMIndex, repeated
-from millrace.llm.language import UNKNOWN, identify
+from millrace.llm.language import UNKNOWN, forward_backward, identify
 from millrace.llm.near_copies import near_copies
 from millrace.llm.repeated_passages import remove_repeated
 from millrace.llm.vectors import nearest, top_products
@@ -181,11 +183,23 @@ def test_nearest(spark, vectors, monkeypatch, broadcast):
     assert nearest(df.limit(0)).collect() == []
 
 
-def test_top_products(vectors):
+def test_nearest_of_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [-1e200, 3.0]), (3, [1e-200, 1e-200]), (100, [2e-200, 1e-200]), (200, [1.0, 2.0]), (5, [1.0, 2.5])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    v = dict(rows)
+    for q in (0, 100, 200):
+        want = sorted((math.dist(v[q], v[i]), i) for i in v if i != q)
+        mine = [r for r in got if r.query_id == q]
+        assert [r.vec_id for r in mine] == [i for _, i in want] and np.allclose([r.score for r in mine], [d for d, _ in want], rtol=1e-12)
+
+
+@pytest.mark.parametrize("broadcast,pivots", [(1 << 24, 64), (0, 7), (1 << 24, 0)])
+def test_top_products(vectors, monkeypatch, broadcast, pivots):
+    monkeypatch.setattr("millrace.llm.vectors.BROADCAST_BYTES", broadcast)
     rows, df = vectors
     whole = lambda a: np.floor(256 * a).astype(int)
     want = plain_search(rows, finite, 50, 5, lambda a, b: int(whole(a) @ whole(b)), -1)
-    assert sorted(tuple(r) for r in top_products(df).collect()) == want
+    assert sorted(tuple(r) for r in top_products(df, n_pivots=pivots).collect()) == want
     assert top_products(df.limit(0)).collect() == []
 
 
@@ -206,6 +220,53 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_forward_backward_is_enumeration():
+    rng = np.random.default_rng(4)
+    k, steps = 3, 5
+    emit, move, first = rng.normal(size=(steps, 2, k)), np.exp(rng.normal(size=(k, k))), np.exp(rng.normal(size=k))
+    active = np.array([2, 2, 2, 1, 1])  # the second window has three words
+    counts = np.zeros((k, k))
+    got = forward_backward(emit, active, move, first, counts)
+    want, moves = np.zeros((steps, 2, k)), np.zeros((k, k))
+    for w, n in ((0, 5), (1, 3)):
+        total, held, pairs = 0.0, np.zeros((steps, k)), np.zeros((k, k))
+        for path in itertools.product(range(k), repeat=n):
+            p = first[path[0]] * np.prod([np.exp(emit[t, w, y]) for t, y in enumerate(path)]) * np.prod([move[a, b] for a, b in zip(path, path[1:])])
+            total += p
+            for t, y in enumerate(path):
+                held[t, y] += p
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += p
+        want[:, w] = held / total
+        moves += pairs / total
+    assert np.allclose(got[:, 0], want[:, 0]) and np.allclose(got[:3, 1], want[:3, 1]) and np.allclose(counts, moves)
+
+
+def test_gradient_of_the_likelihood():
+    # expected counts are the derivative of the log of the sum over paths
+    rng = np.random.default_rng(5)
+    k, steps = 3, 4
+    emit, move, first = rng.normal(size=(steps, 1, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+
+    def log_sum(emit, move, first):
+        a = first + emit[0, 0]
+        for t in range(1, steps):
+            a = np.log(np.exp(a[:, None] + move).sum(axis=0)) + emit[t, 0]
+        return np.log(np.exp(a).sum())
+
+    counts = np.zeros((k, k))
+    labels = forward_backward(emit, np.full(steps, 1), np.exp(move), np.exp(first), counts)
+    step = 1e-6
+    for i, j in itertools.product(range(k), repeat=2):
+        moved = move.copy()
+        moved[i, j] += step
+        assert (log_sum(emit, moved, first) - log_sum(emit, move, first)) / step == pytest.approx(counts[i, j], abs=1e-4)
+    for t, j in itertools.product(range(steps), range(k)):
+        moved = emit.copy()
+        moved[t, 0, j] += step
+        assert (log_sum(moved, move, first) - log_sum(emit, move, first)) / step == pytest.approx(labels[t, 0, j], abs=1e-4)
+
+
 def test_language_cases(spark):
     en, fr = "the cat and the dog of the house ", "le chat et le chien de la maison "
     rows = [(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr", 0.5) for i in range(60)]
