@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import aggregates, inference, joins, models, monitoring, rows, screens, time  # noqa: E402, F401
+from . import aggregates, inference, joins, models, monitoring, rows, screens, time  # noqa: E402, F401, I001
+from . import comparisons, sources  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,12 @@ def _(t):
     return I.anova(t("orders"), "o_totalprice", "o_orderpriority").select("statistic", "eta_squared")
 
 
-@query("s07_welch_anova")
+@query("s07_welch_anova", """
+    WITH g AS (SELECT count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY o_orderpriority), w AS (SELECT *, n / v AS w FROM g),
+    a AS (SELECT count(*) AS k, sum(w) AS ws, sum(w * m) / sum(w) AS mm FROM w), l AS (SELECT sum((1 - w / ws) * (1 - w / ws) / (n - 1)) AS lack, sum(w * (m - mm) * (m - mm)) AS b FROM w, a)
+    SELECT b / (k - 1) / (1 + 2 * (k - 2) / CAST(k * k - 1 AS DOUBLE) * lack) AS statistic, k - 1 AS df_between, (k * k - 1) / (3 * lack) AS df_within, 'ok' AS status FROM a, l""")
 def _(t):
-    return I.anova(t("orders"), "o_totalprice", "o_orderpriority", welch=True)
+    return I.anova(t("orders"), "o_totalprice", "o_orderpriority", welch=True).drop("p_value")
 
 
 @query("s08_kruskal", """
@@ -107,9 +110,15 @@ def _(t):
     return I.wasserstein(*sides(t), "l_extendedprice")
 
 
-@query("s17_two_rates")
+@query("s17_two_rates", """
+    WITH g AS (SELECT l_returnflag AS g, CAST(count(*) AS DOUBLE) AS n, avg(CAST(l_quantity > 25 AS INTEGER)) AS p FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+    w AS (SELECT *, 1.959963984540054 AS z FROM g), i AS (SELECT g, n, p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS l, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS u FROM w),
+    x AS (SELECT a.p AS p1, b.p AS p2, a.n AS n1, b.n AS n2, a.l AS l1, a.u AS u1, b.l AS l2, b.u AS u2, (a.p * a.n + b.p * b.n) / (a.n + b.n) AS p FROM i a, i b WHERE a.g = 'A' AND b.g = 'R')
+    SELECT p1 - p2 AS difference, p1 - p2 - sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2)) AS low, p1 - p2 + sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2)) AS high,
+      round((p1 - p2) * (p1 - p2) / (p * (1 - p) * (1 / n1 + 1 / n2)), 6) AS statistic, p1 AS rate_a, p2 AS rate_b FROM x""")
 def _(t):
-    return I.two_rates(two(t).withColumn("late", (F.col("l_quantity") > 25).cast("int")), "late", "l_returnflag")
+    found = I.two_rates(two(t).withColumn("late", (F.col("l_quantity") > 25).cast("int")), "late", "l_returnflag")
+    return found.drop("p_value").withColumn("statistic", F.round("statistic", 6))
 
 
 @query("s21_simpson", """
@@ -121,7 +130,12 @@ def _(t):
     return I.simpson(two(t), "l_quantity", "l_returnflag", "l_linestatus")
 
 
-@query("s23_specification_curve")
+@query("s23_specification_curve", """
+    WITH q AS (SELECT quantile_cont(o_totalprice, 0.01) AS a, quantile_cont(o_totalprice, 0.05) AS b, quantile_cont(o_totalprice, 0.95) AS c, quantile_cont(o_totalprice, 0.99) AS d FROM orders),
+    x AS (SELECT o_orderpriority AS g, o_totalprice AS v, t FROM orders, q, (VALUES ('none'), ('1%'), ('5%')) s(t) WHERE t = 'none' OR t = '1%' AND o_totalprice BETWEEN a AND d OR t = '5%' AND o_totalprice BETWEEN b AND c),
+    m AS (SELECT t, g, sum(v) AS s, avg(v) AS m, median(v) AS d FROM x GROUP BY t, g),
+    l AS (SELECT t AS trim, 'sum' AS aggregate, arg_max(g, s) AS leader FROM m GROUP BY t UNION ALL SELECT t, 'mean', arg_max(g, m) FROM m GROUP BY t UNION ALL SELECT t, 'median', arg_max(g, d) FROM m GROUP BY t)
+    SELECT *, leader = (SELECT leader FROM l WHERE trim = 'none' AND aggregate = 'mean') AS agrees FROM l""")
 def _(t):
     return I.specification_curve(t("orders"), "o_orderpriority", "o_totalprice")
 
@@ -164,12 +178,25 @@ def _(t):
     return I.ols(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("term", "estimate")
 
 
-@query("r09_ols_hc3")
+@query("r09_ols_hc3", """
+    WITH m AS (SELECT count(*) AS n, avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem), c AS (SELECT l_extendedprice - y AS y, l_quantity - a AS a, l_discount - b AS b, n, l_suppkey AS g FROM lineitem, m),
+    p AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS ay2 FROM c), i AS (SELECT bb / (aa * bb - ab * ab) AS ia, -ab / (aa * bb - ab * ab) AS iab, aa / (aa * bb - ab * ab) AS ib, ay, ay2 FROM p),
+    s AS (SELECT ia * ay + iab * ay2 AS sa, iab * ay + ib * ay2 AS sb, ia, iab, ib FROM i), e AS (SELECT a, b, n, g, y - sa * a - sb * b AS e, ia, iab, ib, sa, sb, 1.0 / n + ia * a * a + 2 * iab * a * b + ib * b * b AS h FROM c, s),
+    r AS (SELECT any_value(ia) AS ia, any_value(iab) AS iab, any_value(ib) AS ib, any_value(sa) AS sa, any_value(sb) AS sb, sum(a * a * e * e / ((1 - h) * (1 - h))) AS raa, sum(a * b * e * e / ((1 - h) * (1 - h))) AS rab, sum(b * b * e * e / ((1 - h) * (1 - h))) AS rbb FROM e),
+    v AS (SELECT *, sqrt(ia * ia * raa + 2 * ia * iab * rab + iab * iab * rbb) AS ea, sqrt(iab * iab * raa + 2 * iab * ib * rab + ib * ib * rbb) AS eb FROM r)
+    SELECT 'l_quantity' AS term, sa AS estimate, ea AS se FROM v UNION ALL SELECT 'l_discount', sb, eb FROM v""")
 def _(t):
     return I.ols_robust(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
 
 
-@query("r09_ols_clustered")
+@query("r09_ols_clustered", """
+    WITH m AS (SELECT count(*) AS n, avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem), c AS (SELECT l_extendedprice - y AS y, l_quantity - a AS a, l_discount - b AS b, n, l_suppkey AS g FROM lineitem, m),
+    p AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS ay2 FROM c), i AS (SELECT bb / (aa * bb - ab * ab) AS ia, -ab / (aa * bb - ab * ab) AS iab, aa / (aa * bb - ab * ab) AS ib, ay, ay2 FROM p),
+    s AS (SELECT ia * ay + iab * ay2 AS sa, iab * ay + ib * ay2 AS sb, ia, iab, ib FROM i), e AS (SELECT a, b, n, g, y - sa * a - sb * b AS e, ia, iab, ib, sa, sb, 1.0 / n + ia * a * a + 2 * iab * a * b + ib * b * b AS h FROM c, s),
+    k AS (SELECT g, sum(a * e) AS u, sum(b * e) AS v, count(*) AS m, any_value(ia) AS ia, any_value(iab) AS iab, any_value(ib) AS ib, any_value(sa) AS sa, any_value(sb) AS sb FROM e GROUP BY g), f AS (SELECT count(*) / (count(*) - 1.0) * (sum(m) - 1.0) / (sum(m) - 3.0) AS f FROM k),
+    r AS (SELECT any_value(ia) AS ia, any_value(iab) AS iab, any_value(ib) AS ib, any_value(sa) AS sa, any_value(sb) AS sb, any_value(f) * sum(u * u) AS raa, any_value(f) * sum(u * v) AS rab, any_value(f) * sum(v * v) AS rbb FROM k, f),
+    v AS (SELECT *, sqrt(ia * ia * raa + 2 * ia * iab * rab + iab * iab * rbb) AS ea, sqrt(iab * iab * raa + 2 * iab * ib * rab + ib * ib * rbb) AS eb FROM r)
+    SELECT 'l_quantity' AS term, sa AS estimate, ea AS se FROM v UNION ALL SELECT 'l_discount', sb, eb FROM v""")
 def _(t):
     return I.ols_robust(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
 

@@ -33,9 +33,15 @@ def _(t):
     return K.ipw(treated(t), "t", "y", ["q", "x"])
 
 
-@query("k03_g_computation")
+@query("k03_g_computation", """
+    WITH d AS (SELECT CAST(l_discount > 0.05 AS INTEGER) AS t, l_extendedprice / 1000 AS y, l_quantity / 10 AS q, l_tax * 100 AS x FROM lineitem),
+    m AS (SELECT t, avg(y) AS y, avg(q) AS q, avg(x) AS x FROM d GROUP BY t), c AS (SELECT d.t, d.y - m.y AS y, d.q - m.q AS q, d.x - m.x AS x FROM d JOIN m USING (t)),
+    p AS (SELECT t, sum(q * q) AS qq, sum(q * x) AS qx, sum(x * x) AS xx, sum(q * y) AS qy, sum(x * y) AS xy FROM c GROUP BY t),
+    b AS (SELECT m.t, (xx * qy - qx * xy) / (qq * xx - qx * qx) AS bq, (qq * xy - qx * qy) / (qq * xx - qx * qx) AS bx, m.y, m.q, m.x FROM p JOIN m USING (t)), a AS (SELECT avg(q) AS q, avg(x) AS x, count(*) AS n FROM d),
+    f AS (SELECT t, b.y + bq * (a.q - b.q) + bx * (a.x - b.x) AS f, n FROM b, a)
+    SELECT round(max(f) FILTER (t = 1) - max(f) FILTER (t = 0), 6) AS effect, any_value(n) AS n FROM f""")
 def _(t):
-    return K.g_computation(treated(t), "t", "y", ["q", "x"])
+    return K.g_computation(treated(t), "t", "y", ["q", "x"]).withColumn("effect", F.round("effect", 6))
 
 
 @query("k04_doubly_robust")
@@ -86,12 +92,12 @@ def labelled(t):
 
 @query("m02_classify")
 def _(t):
-    return M.classify(labelled(t), "id", "label", ["l_quantity", "l_discount", "l_returnflag"], trees=10)
+    return M.classify(labelled(t), "id", "label", ["l_quantity", "l_discount", "l_returnflag"])
 
 
 @query("m03_regress")
 def _(t):
-    return M.regress(labelled(t).drop("label"), "id", "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"], trees=10)
+    return M.regress(labelled(t).drop("label"), "id", "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"])
 
 
 @query("m04_importance")

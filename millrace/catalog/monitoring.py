@@ -37,7 +37,12 @@ def _(t):
     return Q.top_values(t("part"), "p_type")
 
 
-@query("q03_quality_score")
+@query("q03_quality_score", """
+    WITH n AS (SELECT count(*) AS n FROM orders), d AS (SELECT 1 - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) / CAST(n AS DOUBLE) AS d FROM n),
+    q AS (SELECT quantile_cont(o_orderkey, 0.25) AS a1, quantile_cont(o_orderkey, 0.75) AS a3, quantile_cont(o_custkey, 0.25) AS b1, quantile_cont(o_custkey, 0.75) AS b3, quantile_cont(o_totalprice, 0.25) AS c1, quantile_cont(o_totalprice, 0.75) AS c3 FROM orders),
+    o AS (SELECT (count(*) FILTER (o_orderkey < a1 - 1.5 * (a3 - a1) OR o_orderkey > a3 + 1.5 * (a3 - a1)) + count(*) FILTER (o_custkey < b1 - 1.5 * (b3 - b1) OR o_custkey > b3 + 1.5 * (b3 - b1)) + count(*) FILTER (o_totalprice < c1 - 1.5 * (c3 - c1) OR o_totalprice > c3 + 1.5 * (c3 - c1))) / (3.0 * count(*)) AS o FROM orders, q),
+    m AS (SELECT (6.0 * count(*) - count(o_orderkey) - count(o_custkey) - count(o_orderstatus) - count(o_totalprice) - count(o_orderdate) - count(o_orderpriority)) / (6 * count(*)) AS m FROM orders)
+    SELECT m AS missing_share, d AS duplicate_share, o AS outlier_share, 30 * (1 - m) + 20 * (1 - d) + 20 * (1 - o) + 30 AS score FROM m, d, o""")
 def _(t):
     return Q.quality_score(t("orders"))
 
@@ -74,9 +79,15 @@ def _(t):
     return Q.functional_dependencies(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], 0.98)
 
 
-@query("q21_dominated_groups")
+@query("q21_dominated_groups", """
+    WITH e AS (SELECT event_type AS g, CASE WHEN event_id % 500 = 0 AND event_type <> 'view' THEN value * 400 ELSE value END AS v FROM events),
+    b AS (SELECT g, quantile_cont(v, 0.75) + 3 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS high, count(v) AS n, sum(v) AS total FROM e GROUP BY g),
+    f AS (SELECT g, any_value(n) AS n, any_value(total) AS total, count(*) AS extremes, sum(v) AS held FROM e JOIN b USING (g) WHERE n >= 8 AND v > high GROUP BY g)
+    SELECT g AS event_type, n, round(total, 3) AS total, extremes, round(held, 3) AS held, held / total AS share FROM f WHERE extremes <= 0.05 * n AND held / total >= 0.2""")
 def _(t):
-    return Q.dominated_groups(t("events"), "event_type", "value")
+    large = F.when((F.col("event_id") % 500 == 0) & (F.col("event_type") != "view"), F.col("value") * 400).otherwise(F.col("value"))
+    found = Q.dominated_groups(t("events").select("event_type", large.alias("value")), "event_type", "value")
+    return found.withColumn("total", F.round("total", 3)).withColumn("held", F.round("held", 3))
 
 
 def edited(t):

@@ -89,9 +89,12 @@ def _(t):
     return S.driver_screen(t("lineitem"), "l_extendedprice", ["l_quantity", "l_returnflag"], 0.0)
 
 
-@query("r14_exploratory_pairs")
+@query("r14_exploratory_pairs", """
+    WITH r AS (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem
+      UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem UNION ALL SELECT 'l_discount', 'l_tax', corr(l_discount, l_tax) FROM lineitem) SELECT a, b, round(r, 8) AS r FROM r""")
 def _(t):
-    return S.exploratory_pairs(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return S.exploratory_pairs(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("a", "b", F.round("r", 8).alias("r"))
 
 
 @query("q02_roles")

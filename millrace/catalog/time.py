@@ -35,7 +35,9 @@ def _(t):
     return o.agg(F.count_if(now.holds("o_orderdate")).alias("n"), F.count_if(then.holds("o_orderdate")).alias("baseline"))
 
 
-@query("t03_grain")
+@query("t03_grain", """
+    WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT d, date_diff('day', d, lead(d) OVER (PARTITION BY year(d) ORDER BY d)) AS gap FROM d)
+    SELECT median(gap) AS gap, count(*) AS dates, bool_and(day(d) = 1) AS first_days, CASE WHEN median(gap) <= 1.5 THEN 'day' WHEN median(gap) <= 8 THEN 'week' WHEN median(gap) <= 31 THEN 'month' WHEN median(gap) <= 92 THEN 'quarter' ELSE 'year' END AS grain FROM g""")
 def _(t):
     return P.infer_grain(t("orders"), "o_orderdate")
 
@@ -73,9 +75,13 @@ def _(t):
     return P.contributions(t("orders"), "o_orderdate", "o_totalprice", NOW, THEN, ["o_orderpriority", "o_orderstatus"])
 
 
-@query("t12_unusual_change")
+@query("t12_unusual_change", f"""
+    WITH s AS ({MONTHLY}), f AS (SELECT period, value FROM s WHERE period < (SELECT max(period) FROM s) OR days >= 0.9 * date_diff('day', period, CAST(period + INTERVAL 1 MONTH AS DATE))),
+    c AS (SELECT period, value - lag(value) OVER (ORDER BY period) AS c FROM f), k AS (SELECT * FROM c WHERE c IS NOT NULL), o AS (SELECT * FROM k WHERE period < (SELECT max(period) FROM k)), m AS (SELECT median(c) AS m, count(*) AS n FROM o),
+    j AS (SELECT arg_max(c, period) AS j FROM k), d AS (SELECT 1.4826 * median(abs(c - m)) AS d FROM o, m) SELECT round(m, 2) AS middle, n AS others, round(j, 2) AS judged, round(d, 2) AS spread, round(CASE WHEN n >= 5 THEN (j - m) / d END, 6) AS z FROM m, j, d""")
 def _(t):
-    return P.change_is_unusual(P.drop_partial_last(monthly(t), "month"))
+    found = P.change_is_unusual(P.drop_partial_last(monthly(t), "month"))
+    return found.withColumns({c: F.round(c, 6 if c == "z" else 2) for c in ("middle", "judged", "spread", "z")})
 
 
 @query("t13_rate_and_mix", f"""

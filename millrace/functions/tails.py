@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def normal_sf(z: float) -> float:
     """P(Z > z)."""
@@ -99,3 +101,40 @@ def t_quantile(alpha: float, df: float) -> float:
 def normal_quantile(alpha: float) -> float:
     """The two-sided critical value of the normal distribution."""
     return quantile(lambda z: 2 * normal_sf(z), alpha, 0.0, 40.0)
+
+
+def range_sf(q: float, k: int, df: float) -> float:
+    """P(Q > q) of the studentised range of k means, by Gauss and Legendre's quadrature over the spread and the least mean."""
+    if q <= 0:
+        return 1.0
+    x, w = np.polynomial.legendre.leggauss(96)
+    z, zw = 9 * x, 9 * w
+    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    cdf = lambda v: 0.5 * np.vectorize(math.erfc)(-v / math.sqrt(2))
+    # the spread is a chi variable over the root of its degrees of freedom
+    wide = 10 / math.sqrt(2 * df) if df > 12 else 4.0
+    low, high = max(1e-9, 1 - wide), 1 + wide
+    s, sw = (high - low) / 2 * x + (high + low) / 2, (high - low) / 2 * w
+    density = np.exp(df / 2 * math.log(df / 2) + math.log(2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2)
+    inner = np.array([k * np.sum(zw * phi * np.maximum(cdf(z) - cdf(z - q * t), 0) ** (k - 1)) for t in s])
+    return float(min(1.0, max(0.0, 1 - np.sum(sw * density * inner))))
+
+
+def mixed_over_poisson(mean: float, tail) -> float:
+    """The mean of tail(j) over a Poisson variable j."""
+    middle = int(mean)
+    reach = int(12 * math.sqrt(mean) + 30)
+    return sum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) * tail(j) for j in range(max(0, middle - reach), middle + reach)) if mean > 0 else tail(0)
+
+
+def noncentral_chi2_power(df: float, noncentrality: float, alpha: float = 0.05) -> float:
+    """The chance that a chi-square statistic with this noncentrality is above the critical value."""
+    critical = quantile(lambda x: chi2_sf(x, df), alpha, 0.0, 1e7)
+    return min(1.0, mixed_over_poisson(noncentrality / 2, lambda j: chi2_sf(critical, df + 2 * j)))
+
+
+def noncentral_f_power(d1: float, d2: float, noncentrality: float, alpha: float = 0.05) -> float:
+    """The chance that an F statistic with this noncentrality is above the critical value."""
+    critical = quantile(lambda f: f_sf(f, d1, d2), alpha, 0.0, 1e7)
+    x = d1 * critical / (d1 * critical + d2)
+    return min(1.0, mixed_over_poisson(noncentrality / 2, lambda j: 1 - beta_inc(d1 / 2 + j, d2 / 2, x)))

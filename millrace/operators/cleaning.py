@@ -14,7 +14,10 @@ from ..functions.scalars import clip, similarity
 from .ranks import column_quantiles
 
 # Tokens that stand for a missing value, numbers that do, and patterns of personal data.
-MISSING_TOKENS = ("", "-", "--", "?", "na", "n/a", "#n/a", "nan", "none", "null", "nil", "missing", "unknown", "undefined", "not available", "not applicable", "tbd")
+MISSING_TOKENS = (
+    "n/a", "na", "n.a.", "n.a", "null", "none", "unknown", "unk", "--", "-", "?", "missing", "not available", "not applicable", "#n/a",
+    "#value!", "#ref!", "#div/0!", "#num!", "#name?", "nil", "nan", "-999", "-9999", "99999", "n/d", "",
+)
 SENTINELS = (-999.0, -9999.0, 99999.0)
 NUMBER = r"^[-+(]?\s*[$€£¥]?\s*[-+]?(?:\d+(?:[.,]\d+)*|[.,]\d+)\s*[%€]?\s*\)?-?$"
 LEADING_ZERO = r"^0\d+$"
@@ -210,17 +213,54 @@ def impute(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in filled}) if filled else df
 
 
-def merge_fuzzy_categories(df: DataFrame, column: str, threshold: float = 80.0, most: int = 500) -> DataFrame:
-    """Spelling variants become the most frequent spelling like them. Over `most` distinct values, nothing is merged."""
+def pieces(text: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Where the i-th (from 0) of so many nearly equal parts of a text of this length starts (from 1), and its length."""
+    short = F.floor(text / parts)
+    longer = text - short * parts  # the last ones hold a character more
+    start = i * short + F.greatest(F.lit(0), i - (parts - longer)) + 1
+    return start.cast("int"), (short + (i >= parts - longer).cast("int")).cast("int")
+
+
+def spelled_alike(values: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of different values (text, lower-cased in `low`) whose edit similarity reaches the threshold.
+
+    Of two such texts of l <= L characters at most d = L * (1 - threshold / 100) edits apart, one of d + 1 parts of the
+    shorter stands unchanged in the longer, at most d places away. Pairs meet only over such parts, whatever their number.
+    """
+    loss = 1 - threshold / 100
+    edits = lambda n: F.floor(n * F.lit(loss) + 1e-9).cast("int")
+    sized = values.filter("low <> ''").withColumn("l", F.length("low"))
+    longest = F.floor(F.col("l") / F.lit(1 - loss) + 1e-9).cast("int")
+    short = sized.withColumn("of", F.explode(F.sequence(F.col("l"), longest))).withColumn("parts", edits(F.col("of")) + 1).filter("parts <= l")
+    short = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    start, size = pieces(F.col("l"), F.col("parts"), F.col("i"))
+    short = short.select("l", "of", "i", F.substring(F.col("low"), start, size).alias("part"), F.col("v").alias("a"))
+    long = sized.withColumnRenamed("l", "of").withColumn("d", edits(F.col("of"))).withColumn("l", F.explode(F.sequence(F.col("of") - F.col("d"), F.col("of")))).filter("l >= 1 AND d + 1 <= l")
+    long = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d"))))
+    start, size = pieces(F.col("l"), F.col("d") + 1, F.col("i"))
+    at = start + F.col("shift")
+    long = long.filter((at >= 1) & (at + size - 1 <= F.col("of"))).select("l", "of", "i", F.substring(F.col("low"), at, size).alias("part"), F.col("v").alias("b"))
+    pairs = short.join(long.distinct(), ["l", "of", "i", "part"]).filter("a <> b").select("a", "b").distinct()
+    alike = pairs.filter(similarity(F.lower("a"), F.lower("b")) >= threshold)
+    return alike.union(alike.select("b", "a")).distinct()
+
+
+def merge_fuzzy_categories(df: DataFrame, column: str, threshold: float = 80.0) -> DataFrame:
+    """Spelling variants (edit similarity, or the same letters and digits) become the most frequent spelling like them.
+
+    Works on the distinct values, however many: candidates share a part of their text, so no value meets all others.
+    """
+    if not 50 < threshold <= 100:
+        raise ValueError("a threshold is above 50 and at most 100")
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    if not 2 <= counts.limit(most + 1).count() <= most:
-        return df
+    values = counts.select("v", F.lower("v").alias("low"), F.lower(F.regexp_replace("v", "[^A-Za-z0-9]", "")).alias("bare"))
+    best_bare = F.max_by("v", F.struct("n", "v"))
+    same = counts.join(values, "v").groupBy("bare").agg(best_bare.alias("b"))
+    pairs = spelled_alike(values, threshold).union(values.join(same, "bare").filter("v <> b").select(F.col("v").alias("a"), "b"))
     a, b = counts.select(F.col("v").alias("a"), F.col("n").alias("na")), counts.select(F.col("v").alias("b"), F.col("n").alias("nb"))
-    bare = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    # at most `most` values: each meets the more frequent ones
-    like = a.join(F.broadcast(b), ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))) & ((similarity(F.lower("a"), F.lower("b")) >= threshold) | (bare("a") == bare("b"))))
+    like = pairs.join(a, "a").join(b, "b").filter((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
     best = like.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("canonical"))
-    return df.join(F.broadcast(best), F.col(column) == F.col("a"), "left").withColumn(column, F.coalesce("canonical", column)).drop("a", "canonical")
+    return df.join(best, F.col(column) == F.col("a"), "left").withColumn(column, F.coalesce("canonical", column)).drop("a", "canonical")
 
 
 def mask_personal(df: DataFrame, salt: str, least: float = 0.1) -> DataFrame:

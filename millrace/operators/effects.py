@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.scalars import clip, group_label, ratio
-from .inference import one_row
+from ..functions.scalars import bucketed, clip, group_label, ratio
+from .inference import cross_products, one_row
+from .ranks import bounds_of
 
 #: Propensities are held between these; least complete rows.
 POSITIVITY, LEAST = (0.01, 0.99), 40
@@ -89,6 +91,114 @@ def e_value(risk_ratio: float) -> float:
     return r + math.sqrt(r * (r - 1))
 
 
+def sensitivity(df: DataFrame, estimate: float, se: float, dof: float, strengths: Sequence[float] = (0.05, 0.1, 0.2), alpha: float = 0.05) -> DataFrame:
+    """Partial R squared of an unseen confounder with treatment and outcome, the bias it could make, the estimate towards null, and the robustness value."""
+    if se <= 0 or dof <= 0:
+        raise ValueError("an error and degrees of freedom are positive")
+    t, critical = abs(estimate / se), tails.t_quantile(alpha, dof)
+    robustness = (t * t - critical * critical) / (t * t + dof) if t > critical else 0.0
+    rows = []
+    for a in strengths:
+        for b in strengths:
+            bias = se * math.sqrt(dof * a * b / (1 - a))
+            rows.append((a, b, bias, estimate - math.copysign(bias, estimate), robustness))
+    return df.sparkSession.createDataFrame(rows, "treatment_r2 double, outcome_r2 double, bias double, towards_null double, robustness_value double")
+
+
+def confounding_grid(df: DataFrame, risk_ratio: float, strengths: Sequence[float] = (1.0, 1.5, 2.0, 3.0, 5.0)) -> DataFrame:
+    """strength, the risk ratio left if a confounder had that strength with treatment and outcome, whether it crosses 1, and the E-value."""
+    rows = [(float(s), risk_ratio / (s * s) if risk_ratio >= 1 else risk_ratio * s * s) for s in strengths]
+    return df.sparkSession.createDataFrame([(s, a, bool(a <= 1 if risk_ratio > 1 else a >= 1), e_value(risk_ratio)) for s, a in rows], "strength double, adjusted double, crosses_null boolean, e_value double")
+
+
+def longitudinal(df: DataFrame, unit: str, time: str, treatment: str, outcome: str, confounders: Sequence[str]) -> DataFrame:
+    """estimate and se of a treatment over time by stabilised weights: per period the chance of the treatment given its past, with and without confounders.
+
+    Weights multiply along each unit's periods up to a row's own; the weighted fit has errors clustered by unit.
+    """
+    rows = df.select(F.col(unit).alias("unit"), F.col(time).alias("time"), F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in confounders)).na.drop()
+    rows = rows.withColumn("before", F.coalesce(F.lag("t").over(Window.partitionBy("unit").orderBy("time")), F.lit(0.0)))
+    periods = [r["time"] for r in rows.select("time").distinct().orderBy("time").limit(200).collect()]  # one model a period
+    if rows.filter(~F.col("time").isin(*periods)).limit(1).count():
+        raise ValueError("more than 200 periods: use a coarser time")
+    scored = None
+    for p in periods:
+        part = rows.filter(F.col("time") == p)
+        n, treated_rows = part.agg(F.count("*"), F.sum("t")).first()
+        for name, inputs in (("num", ["before"]), ("den", ["before", *confounders])):
+            if 0 < treated_rows < n:
+                assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(part)
+                model = LogisticRegression(featuresCol="features", labelCol="t", regParam=1 / n, standardization=False, probabilityCol="p of t", rawPredictionCol="raw of t", predictionCol="guess of t").fit(assembled)
+                part = model.transform(assembled).withColumn(name, clip(vector_to_array("p of t")[1], *POSITIVITY)).drop("features", "p of t", "raw of t", "guess of t")
+            else:
+                part = part.withColumn(name, F.lit(clip_number(treated_rows / n)))
+        scored = part if scored is None else scored.union(part)
+    chance = lambda c: F.when(F.col("t") == 1, F.col(c)).otherwise(1 - F.col(c))
+    history = Window.partitionBy("unit").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    weighted = scored.withColumn("w", F.exp(F.sum(F.log(chance("num") / chance("den"))).over(history)))
+    sw, st, sy, stt, sty = weighted.agg(F.sum("w"), F.sum(F.col("w") * F.col("t")), F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * F.col("t") * F.col("t")), F.sum(F.col("w") * F.col("t") * F.col("y"))).first()
+    mt, my = st / sw, sy / sw
+    spread = stt - sw * mt * mt
+    b = (sty - sw * mt * my) / spread
+    score = F.col("w") * (F.col("t") - mt) * (F.col("y") - my - b * (F.col("t") - mt))
+    per = weighted.groupBy("unit").agg(F.sum(score).alias("s"))
+    squares, units = per.agg(F.sum(F.col("s") * F.col("s")), F.count("*")).first()
+    se = math.sqrt(squares * units / (units - 1)) / spread
+    return one_row(df, {"estimate": b, "se": se, "p_value": 2 * tails.normal_sf(abs(b / se)) if se else 0.0, "units": int(units), "periods": len(periods)})
+
+
+def clip_number(p: float) -> float:
+    return min(max(p, POSITIVITY[0]), POSITIVITY[1])
+
+
+def structure(df: DataFrame, columns: Sequence[str], alpha: float = 0.01) -> DataFrame:
+    """a, b and kind (-> or --) of the edges that partial correlations leave, oriented by colliders and Meek's first three rules.
+
+    Spark sums the products of all rows; the search runs on the matrix of the few columns.
+    """
+    n, _, s = cross_products(df, columns)
+    d = np.sqrt(np.diag(s))
+    r = s / np.outer(d, d)
+    p = len(columns)
+
+    def apart(i: int, j: int, given: tuple) -> bool:
+        q = np.linalg.pinv(r[np.ix_((i, j, *given), (i, j, *given))])
+        rho = float(np.clip(-q[0, 1] / math.sqrt(q[0, 0] * q[1, 1]), -0.999999, 0.999999))
+        free = n - len(given) - 3
+        return free <= 0 or 2 * tails.normal_sf(abs(math.atanh(rho)) * math.sqrt(free)) > alpha
+
+    near = {i: set(range(p)) - {i} for i in range(p)}
+    split: dict[tuple[int, int], tuple] = {}
+    size = 0
+    while any(len(near[i]) - 1 >= size for i in range(p)):
+        frozen = {i: sorted(near[i]) for i in near}
+        for i, j in itertools.combinations(range(p), 2):
+            if j in near[i]:
+                sets = itertools.chain(itertools.combinations([k for k in frozen[i] if k != j], size), itertools.combinations([k for k in frozen[j] if k != i], size))
+                if (found := next((g for g in sets if apart(i, j, g)), None)) is not None:
+                    near[i].discard(j)
+                    near[j].discard(i)
+                    split[i, j] = found
+        size += 1
+    arrows = {(i, k) for k in range(p) for i, j in itertools.permutations(near[k], 2) if j not in near[i] and k not in split.get((min(i, j), max(i, j)), ())}
+    arrows = {(i, j) for i, j in arrows if (j, i) not in arrows}
+    loose = {(i, j) for i in range(p) for j in near[i] if i < j and (i, j) not in arrows and (j, i) not in arrows}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in [*loose, *((b, a) for a, b in loose)]:
+            into = any((k, i) in arrows and j not in near[k] for k in range(p))
+            through = any((i, k) in arrows and (k, j) in arrows for k in range(p))
+            joint = any((k, j) in arrows and (m, j) in arrows and m not in near[k] and k in near[i] and m in near[i] for k, m in itertools.combinations(range(p), 2))
+            if into or through or joint:
+                loose.discard((min(i, j), max(i, j)))
+                arrows.add((i, j))
+                changed = True
+                break
+    rows = [(columns[i], columns[j], "->") for i, j in sorted(arrows)] + [(columns[i], columns[j], "--") for i, j in sorted(loose)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, kind string")
+
+
 def risk_table(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
     """group, time, events, censored and at_risk of every distinct time; the durations of one group are summed up by time."""
     rows = df.select((group_label(group) if group else F.lit("all")).alias("group"), F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("event"))
@@ -112,20 +222,25 @@ def median_survival(curve: DataFrame) -> DataFrame:
     return curve.groupBy("group").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
 
 
+def running_back(times: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sums of columns over the rows with this `time` or a later one: within ranges of times, offset by the ranges after."""
+    edges = bounds_of(times, F.col("time"), 64)
+    cut = times.withColumn("range of time", bucketed(F.col("time"), edges))
+    after = Window.orderBy(F.desc("range of time")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
+    totals = cut.groupBy("range of time").agg(*(F.sum(c).alias(c) for c in columns)).select("range of time", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"later {c}") for c in columns))
+    back = Window.partitionBy("range of time").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(F.broadcast(totals), "range of time").withColumns({c: F.sum(c).over(back) + F.col(f"later {c}") for c in columns}).drop("range of time", *(f"later {c}" for c in columns))
+
+
 def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
     """The log-rank test of two groups."""
-    table = risk_table(df, duration, event, group)
-    labels = sorted(r[0] for r in table.select("group").distinct().limit(3).collect())
+    labels = sorted(r[0] for r in df.select(group_label(group).alias("g")).distinct().limit(3).collect())
     if len(labels) != 2:
         raise ValueError("the log-rank test takes two groups")
-    whole = risk_table(df, duration, event).select("time", F.col("events").alias("d"), F.col("at_risk").alias("n")).filter("d > 0")
-    one = risk_table(df.filter(group_label(group) == labels[0]), duration, event).select(F.col("time").alias("t1"), F.col("events").alias("d1"), F.col("at_risk").alias("n1"))
-    # at risk of one group at any time: carried back from its next own time
-    times = whole.join(one, F.col("time") == F.col("t1"), "full_outer").withColumn("at", F.coalesce("time", "t1"))
-    back = Window.orderBy("at").rowsBetween(0, Window.unboundedFollowing)  # distinct times
-    times = times.withColumn("n1", F.coalesce(F.first("n1", ignorenulls=True).over(back), F.lit(0))).withColumn("d1", F.coalesce("d1", F.lit(0))).filter("d IS NOT NULL")
+    rows = df.select((group_label(group) == labels[0]).cast("int").alias("one"), F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("event")).filter("time IS NOT NULL AND event IS NOT NULL")
+    by_time = rows.groupBy("time").agg(F.sum("event").alias("d"), F.count("*").alias("n"), F.sum("one").alias("n1"), F.sum(F.col("one") * F.col("event")).alias("d1"))
     d, n, m = F.col("d").cast("double"), F.col("n").cast("double"), F.col("n1").cast("double")
-    gap, var = times.agg(F.sum(F.col("d1") - d * m / n), F.sum(F.when(n > 1, d * (m / n) * (1 - m / n) * (n - d) / (n - 1)).otherwise(0.0))).first()
+    gap, var = running_back(by_time, ["n", "n1"]).filter("d > 0").agg(F.sum(F.col("d1") - d * m / n), F.sum(F.when(n > 1, d * (m / n) * (1 - m / n) * (n - d) / (n - 1)).otherwise(0.0))).first()
     chi = gap * gap / var if var else 0.0
     return one_row(df, {"statistic": chi, "p_value": tails.chi2_sf(chi, 1), "observed_minus_expected": gap, "group": labels[0]})
 
@@ -141,14 +256,13 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], steps: int
     means, scales = np.array(facts[:p]), np.array([s or 1.0 for s in facts[p:]])
     z = [(F.col(x) - float(m)) / float(s) for x, m, s in zip(xs, means, scales)]
     b = np.zeros(p)
-    back = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # distinct times
     for _ in range(steps):
         r = F.exp(sum((float(v) * c for v, c in zip(b, z)), F.lit(0.0)))
         by_time = rows.groupBy("time").agg(
             F.sum("event").alias("d"), F.sum(r).alias("s"), *(F.sum(r * c).alias(f"s{i}") for i, c in enumerate(z)), *(F.sum(r * z[i] * z[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)),
             *(F.sum(F.when(F.col("event") == 1, c).otherwise(0.0)).alias(f"x{i}") for i, c in enumerate(z)),
         )
-        held = by_time.withColumns({c: F.sum(c).over(back) for c in by_time.columns if c.startswith("s")}).filter("d > 0")
+        held = running_back(by_time, [c for c in by_time.columns if c.startswith("s")]).filter("d > 0")
         d = F.col("d")
         mean = lambda i: F.col(f"s{i}") / F.col("s")
         sums = held.agg(*(F.sum(F.col(f"x{i}") - d * mean(i)) for i in range(p)), *(F.sum(d * (F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j))) for i in range(p) for j in range(i, p))).first()

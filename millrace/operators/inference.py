@@ -21,6 +21,7 @@ from .ranks import bounds_of, column_quantiles, group_quantiles, mid_ranks, runn
 
 def one_row(df: DataFrame, values: dict) -> DataFrame:
     """A result of a few numbers as a frame."""
+    values = {k: v.item() if isinstance(v, np.generic) else v for k, v in values.items()}
     clean = {k: (None if isinstance(v, float) and not math.isfinite(v) else v) for k, v in values.items()}
     kind = lambda v: T.BooleanType() if isinstance(v, bool) else T.LongType() if isinstance(v, int) else T.StringType() if isinstance(v, str) else T.DoubleType()
     schema = T.StructType([T.StructField(k, kind(v)) for k, v in clean.items()])

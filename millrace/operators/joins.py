@@ -172,3 +172,35 @@ def foreign_key(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
     keys = child.select(F.col(column).alias("k")).filter("k IS NOT NULL").distinct()
     matched = keys.join(parent.select(F.col(key).alias("k")).distinct().withColumn("hit", F.lit(1)), "k", "left")
     return matched.agg(F.count("*").alias("keys"), F.count("hit").alias("matched")).withColumn("match_ratio", ratio(F.col("matched"), F.col("keys"))).withColumn("is_foreign_key", (F.col("keys") > 5) & (F.col("matched") == F.col("keys")))
+
+
+def foreign_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """child, column, parent, key, match_ratio of all pairs of columns of one name, or named after the other table, of which one's values are among the other's.
+
+    Pairs whose ranges of values show that neither holds the other are not joined.
+    """
+    names = sorted(tables)
+    ends = {n: tables[n].agg(*(F.struct(F.min(f"`{c}`").cast("string").alias("low"), F.max(f"`{c}`").cast("string").alias("high")).alias(c) for c, kind in tables[n].dtypes if not kind.startswith(("array", "map", "struct")))).first().asDict() for n in names}
+    whole = lambda n, c: dict(tables[n].dtypes)[c] in ("tinyint", "smallint", "int", "bigint")
+
+    def may_hold(child: str, a: str, parent: str, b: str) -> bool:
+        (low, high), (least, most) = ends[child][a], ends[parent][b]
+        if None in (low, least):
+            return False
+        return not (whole(child, a) and whole(parent, b)) or int(least) <= int(low) and int(high) <= int(most)
+
+    found = []
+    for i, p in enumerate(names):
+        for q in names[i + 1 :]:
+            for a in ends[p]:
+                for b in ends[q]:
+                    if a.lower() == b.lower() or a.lower() == f"{q.lower()}_id" or b.lower() == f"{p.lower()}_id":
+                        for way, (child, x, parent, y) in enumerate(((p, a, q, b), (q, b, p, a))):
+                            if may_hold(child, x, parent, y):
+                                facts = foreign_key(tables[child], x, tables[parent], y).filter("is_foreign_key")
+                                row = F.struct(F.lit(way).alias("way"), F.lit(child).alias("child"), F.lit(x).alias("column"), F.lit(parent).alias("parent"), F.lit(y).alias("key"), "match_ratio")
+                                found.append(facts.select(F.lit(f"{p}.{a}.{q}.{b}").alias("pair"), row.alias("row")))
+    if not found:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "child string, column string, parent string, key string, match_ratio double")
+    # columns with the same values are the key of the table that comes first
+    return reduce(DataFrame.unionByName, found).groupBy("pair").agg(F.min("row").alias("row")).select("row.*").drop("way")

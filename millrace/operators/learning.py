@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
@@ -62,10 +62,52 @@ def regress(df: DataFrame, key: str, target: str, features: Sequence[str], trees
 def importance(df: DataFrame, target: str, features: Sequence[str], top: int = 10, seed: int = 42) -> DataFrame:
     """feature and importance of number columns in a random forest, the largest first."""
     rows = df.select(F.col(target).cast("double").alias("label"), *(F.col(f).cast("double").alias(f) for f in features)).na.drop()
-    model = RandomForestRegressor(numTrees=20, maxDepth=6, seed=seed).fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(rows))
+    model = RandomForestRegressor(numTrees=50, maxDepth=6, seed=seed).fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(rows))
     return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()))), "feature string, importance double").orderBy(F.desc("importance")).limit(top)
 
 
+def eligible_features(df: DataFrame, columns: Sequence[str] | None = None, most_missing: float = 0.6) -> DataFrame:
+    """column, missing share, distinct values and whether it can be a feature: under 60 % missing, not constant, not an identifier."""
+    columns = list(columns or (f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)))
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))))
+    facts = long.groupBy("column", "v").agg(F.count("*").alias("n")).groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"))
+    known = F.col("rows") - F.col("nulls")
+    key_like = F.col("whole") & (F.col("distinct") == known) & (known > 1)
+    missing = ratio(F.col("nulls"), F.col("rows"))
+    return facts.select("column", missing.alias("missing_share"), "distinct", ((missing < most_missing) & (F.col("distinct") > 1) & ~key_like).alias("eligible"))
+
+
+def cluster_stability(df: DataFrame, key: str, features: Sequence[str], k: int, draws: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """draw and adjusted Rand index of refits on hash samples of 80 % against the fit on all rows, over the sampled rows."""
+    rows = df.na.drop(subset=list(features))
+    assembled = VectorAssembler(inputCols=list(features), outputCol="raw features").transform(rows)
+    scaled = StandardScaler(inputCol="raw features", outputCol="features", withMean=True).fit(assembled).transform(assembled)
+    whole = KMeans(k=k, seed=seed, predictionCol="all").fit(scaled).transform(scaled)
+    out = None
+    for d in range(draws):
+        sample = whole.filter(F.pmod(F.xxhash64(key, F.lit(seed + d)), F.lit(1000)) < int(1000 * share))
+        again = KMeans(k=k, seed=seed, predictionCol="again").fit(sample.select("features")).transform(sample)
+        row = adjusted_rand(again, "all", "again").select(F.lit(d).alias("draw"), "ari")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def cross_validated(df: DataFrame, key: str, target: str, features: Sequence[str], folds: int = 5, trees: int = 50, depth: int = 6, seed: int = 42) -> DataFrame:
+    """model, mean and spread of the accuracy over folds by a hash of the key, and weighted F1, precision and recall over all held-out rows."""
+    rows = df.filter(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")).withColumns({f: F.col(f).cast("double") for f in features if isinstance(df.schema[f].dataType, T.NumericType)})
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)))
+    out = []
+    for name, model in (("logistic", LogisticRegression()), ("forest", RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))):
+        held = None
+        for f in range(folds):
+            part = Pipeline(stages=[*preparation(rows, features), model]).fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f)).select("fold", "label", "prediction")
+            held = part if held is None else held.union(part)
+        mean, sd = held.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).agg(F.avg("a"), F.stddev_samp("a")).first()
+        scores = [float(MulticlassClassificationEvaluator(metricName=m).evaluate(held)) for m in ("f1", "weightedPrecision", "weightedRecall")]
+        out.append((name, mean, sd, *scores))
+    return df.sparkSession.createDataFrame(out, "model string, accuracy double, spread double, f1 double, precision double, recall double")
+
+
 def segment(df: DataFrame, features: Sequence[str], most: int = 6, seed: int = 42, gate: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Rows with a cluster, and k with its silhouette for 2 to `most`; below the gate there is one cluster."""
     rows = df.na.drop(subset=list(features))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -42,18 +43,45 @@ MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def scope(anchor: dt.date, name: str) -> tuple[Period, Period]:
-    """A named period and its baseline: this_ or last_ month, quarter, year or week, last_N_days, trailing_12_months."""
+    """A named period and its baseline.
+
+    Names: this_ or last_ month, quarter, year or week; last_N_days; trailing_12_months; today, yesterday; wow and yoy (this
+    week or month against the last, or against that of a year before); a month (2024-05), quarter (2024-Q2), year (2024) or
+    day (2024-05-31); between_A_B, before_A and after_A for days A and B, the last two against as many days before.
+    """
     which, _, unit = name.partition("_")
+    day, one = dt.date.fromisoformat, dt.timedelta(1)
+    span = lambda start, end: (Period(start, end), Period(start - (end - start), start))
+    if name in ("today", "yesterday"):
+        start = anchor - one * (name == "yesterday")
+        return span(start, start + one)
+    if name == "wow":
+        return scope(anchor, "this_week")
+    if name == "yoy":
+        start = add_months(anchor, 0)
+        return Period(start, add_months(start, 1)), Period(add_months(start, -12), add_months(start, -11))
     if name == "trailing_12_months":
         end = add_months(anchor, 1)
         return Period(add_months(end, -12), end), Period(add_months(end, -24), add_months(end, -12))
+    if which == "between":
+        a, b = unit.split("_")
+        return span(day(a), day(b) + one)
+    if which == "before":
+        return span(day(unit) - dt.timedelta(365), day(unit))
+    if which == "after":
+        return span(day(unit) + one, max(anchor + one, day(unit) + 2 * one))
+    if m := re.fullmatch(r"(\d{4})(?:-(\d{2})|-Q([1-4]))?", name):
+        n = 1 if m[2] else 3 if m[3] else 12
+        start = dt.date(int(m[1]), int(m[2]) if m[2] else 3 * int(m[3]) - 2 if m[3] else 1, 1)
+        return Period(start, add_months(start, n)), Period(add_months(start, -n), start)
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", name):
+        return span(day(name), day(name) + one)
     if unit.endswith("_days") and which == "last":
-        n = int(unit.split("_")[0])
-        end = anchor + dt.timedelta(1)
-        return Period(end - dt.timedelta(n), end), Period(end - dt.timedelta(2 * n), end - dt.timedelta(n))
+        end = anchor + one
+        return span(end - dt.timedelta(int(unit.split("_")[0])), end)
     if unit == "week":
         monday = anchor - dt.timedelta(anchor.weekday() + (7 if which == "last" else 0))
-        return Period(monday, monday + dt.timedelta(7)), Period(monday - dt.timedelta(7), monday)
+        return span(monday, monday + dt.timedelta(7))
     if unit not in MONTHS or which not in ("this", "last"):
         raise ValueError(f"unknown period {name}")
     n = MONTHS[unit]
@@ -116,6 +144,27 @@ def contributions(df: DataFrame, time: str, value: str, current: Period, previou
     return deltas.withColumn("share", ratio(F.col("delta"), F.sum("delta").over(Window.partitionBy("dimension"))))
 
 
+def drill_down(df: DataFrame, time: str, value: str, current: Period, previous: Period, dimensions: Sequence[str], least: float = 0.4) -> DataFrame:
+    """The level that moved most the way of the total, and within it the level of another dimension that holds `least` or more of its change, if any."""
+    parts = contributions(df, time, value, current, previous, dimensions)
+    top = parts.orderBy(F.desc("share"), "dimension", "level").first()
+    if top is None or top["share"] is None:
+        return parts.limit(0).select("dimension", "level", "delta", F.lit("").alias("sub_dimension"), F.lit("").alias("sub_level"), F.col("delta").alias("sub_delta"), F.col("share").alias("sub_share"))
+    others = [d for d in dimensions if d != top["dimension"]]
+    inside = df.filter(F.coalesce(F.col(top["dimension"]).cast("string"), F.lit("<missing>")) == top["level"])
+    best = contributions(inside, time, value, current, previous, others).filter(F.col("share") >= least).orderBy(F.desc("share"), "dimension", "level").first() if others else None
+    sub = (best["dimension"], best["level"], best["delta"], best["share"]) if best else (None,) * 4
+    return df.sparkSession.createDataFrame([(top["dimension"], top["level"], top["delta"], *sub)], "dimension string, level string, delta double, sub_dimension string, sub_level string, sub_delta double, sub_share double")
+
+
+def per_day(change: DataFrame, current: Period, previous: Period, least: float = 0.03) -> DataFrame:
+    """The change with its totals for each calendar day where the periods' lengths differ by more than 3 %, else null."""
+    now, then = (current.end - current.start).days, (previous.end - previous.start).days
+    differ = F.lit(abs(now - then) / then > least)
+    a, b = F.col("current") / now, F.col("previous") / then
+    return change.withColumns({"per_day_current": F.when(differ, a), "per_day_previous": F.when(differ, b), "per_day_percent": F.when(differ, 100 * (ratio(a, b) - 1))})
+
+
 def kitagawa(df: DataFrame, time: str, value: str, current: Period, previous: Period, dimension: str) -> DataFrame:
     """The change of a mean by changed means within levels and by a changed mix of levels."""
     change = period_change(df, time, value, current, previous, [dimension])

@@ -55,6 +55,19 @@ def ranked(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     return running(counts, bounds_of(df, v), {"n": "below"}, groups, {"n": "total"}).select(*groups, "value", "n", "below", "total")
 
 
+def positions(df: DataFrame, order: Column, ties: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+    """df with `position`, the number (from 1) of a row in the order of a number and then of the ties; rows without one go.
+
+    Rows are numbered within ranges of the order and offset by the ranges before, so no task sees all of them.
+    """
+    rows = df.withColumn("order of row", order.cast("double")).filter("`order of row` IS NOT NULL")
+    rows = rows.withColumn("range of row", bucketed(F.col("order of row"), bounds_of(rows, F.col("order of row"), ranges)))
+    before = Window.orderBy("range of row").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    starts = rows.groupBy("range of row").agg(F.count("*").alias("n of range")).withColumn("start of range", F.coalesce(F.sum("n of range").over(before), F.lit(0))).drop("n of range")
+    inside = F.row_number().over(Window.partitionBy("range of row").orderBy("order of row", *ties))
+    return rows.join(F.broadcast(starts), "range of row").withColumn("position", F.col("start of range") + inside).drop("order of row", "range of row", "start of range")
+
+
 def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     """value, n and the mean rank of its rows."""
     return ranked(df, value).withColumn("mid_rank", F.col("below") + (F.col("n") + 1) / 2)
@@ -100,15 +113,20 @@ def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str
             bracket[c, p] = (known[low] if low else first[f"low {c}"], known[high] if high < 1 else first[f"high {c}"])
     rank = {(c, p): p * (size[c] - 1) for c, p in bracket}
     done: dict[tuple[str, float], float] = {}
+    valid: dict[tuple[str, float], tuple[tuple[float, float], int, int]] = {(c, p): ((first[f"low {c}"], first[f"high {c}"]), 0, size[c]) for c, p in bracket}
     while bracket:
         keys = list(bracket)
         inside = {k: values[k[0]].between(*map(F.lit, bracket[k])) for k in keys}
         counted = df.agg(*(F.count_if(values[k[0]] < bracket[k][0]) for k in keys), *(F.count_if(inside[k]) for k in keys)).first()
         below, held = dict(zip(keys, counted[: len(keys)])), dict(zip(keys, counted[len(keys) :]))
-        for k in keys:  # the sketch's bound holds for large inputs; where rounding of small ones leaves the rank outside, the whole column is taken
-            if not below[k] <= math.floor(rank[k]) or not math.ceil(rank[k]) < below[k] + held[k]:
-                bracket[k], below[k], held[k] = (first[f"low {k[0]}"], first[f"high {k[0]}"]), 0, size[k[0]]
-                inside[k] = values[k[0]].isNotNull()
+        narrow_by_half: set[tuple[str, float]] = set()
+        for k in keys:  # the sketch's bound holds for large inputs; where rounding of small ones leaves the rank outside, the bracket before is cut in two
+            if below[k] <= math.floor(rank[k]) and math.ceil(rank[k]) < below[k] + held[k]:
+                valid[k] = bracket[k], below[k], held[k]
+            else:
+                bracket[k], below[k], held[k] = valid[k]
+                inside[k] = values[k[0]].between(*map(F.lit, bracket[k]))
+                narrow_by_half.add(k)
         few = [k for k in keys if bracket[k][0] < bracket[k][1] and held[k] <= FEW]
         for k in keys:
             if bracket[k][0] == bracket[k][1]:
@@ -131,7 +149,7 @@ def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str
             closer = df.agg(*(F.percentile_approx(F.when(inside[k], values[k[0]]), ask(k), int(1 / ERROR)) for k in many)).first()
             now = {k: (e[0] if ask(k)[0] else bracket[k][0], e[1] if ask(k)[1] < 1 else bracket[k][1]) for k, e in zip(many, closer)}
             # a bracket that a sketch cannot narrow is cut by its middle value
-            bracket = {k: now[k] if now[k] != bracket[k] else halved(df, values[k[0]], bracket[k], below[k], rank[k]) for k in many}
+            bracket = {k: now[k] if now[k] != bracket[k] and k not in narrow_by_half and held[k] > 10 / ERROR else halved(df, values[k[0]], bracket[k], below[k], rank[k]) for k in many}
         else:
             bracket = {}
     return {c: [done.get((c, p)) for p in points] for c in values}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,37 +30,55 @@ def kind_of(df: DataFrame, column: str) -> str:
     return "time" if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "text"
 
 
+def number_literal(df: DataFrame, column: str, value) -> tuple[Column, Column, bool]:
+    """The whole numbers (or the numbers) at or below and at or above a value, in the column's own type, and whether they are the value."""
+    dtype, d = df.schema[column].dataType, Decimal(str(value))
+    if isinstance(dtype, T.IntegralType):
+        low, high = int(d.to_integral_value(ROUND_FLOOR)), int(d.to_integral_value(ROUND_CEILING))
+        lit = lambda n: F.lit(n) if abs(n) < 2**63 else F.lit(Decimal(n))
+        return lit(low), lit(high), low == high
+    exact = F.lit(d) if isinstance(dtype, T.DecimalType) else F.lit(float(d)).cast(dtype)
+    return exact, exact, True
+
+
 def equals(df: DataFrame, column: str, value) -> Column:
-    """Equality: yes and no words on booleans, numbers on numbers, text without regard to case."""
+    """Equality: yes and no words on booleans, numbers on numbers in the column's own type, text without regard to case."""
     kind, c = kind_of(df, column), F.col(column)
     if value is None:
         return c.isNull()
+    if isinstance(value, Column):
+        return c == value
     if kind == "boolean":
         word = str(value).strip().lower()
         if word not in YES + NO:
             raise ValueError(f"{value} is neither yes nor no")
         return c == F.lit(word in YES)
     if kind == "number":
-        return c == F.lit(float(value))
+        low, _, exact = number_literal(df, column, value)
+        return c == low if exact else F.when(c.isNotNull(), F.lit(False))
     return F.lower(c.cast("string")) == str(value).lower() if kind == "text" else c == F.lit(value).cast("timestamp")
 
 
-def ordered(df: DataFrame, column: str, value) -> tuple[Column, Column]:
-    """A column and a value in an order: numbers, times, or texts that are dates; other texts have none."""
+def ordered(df: DataFrame, column: str, value) -> tuple[Column, Column, Column]:
+    """A column, and the values at or below and at or above a value in its order: numbers, times, or texts that are dates; other texts have none."""
     kind, c = kind_of(df, column), F.col(column)
+    if isinstance(value, Column):
+        return c, value, value
     if kind == "number":
-        return c, F.lit(float(value))
+        low, high, _ = number_literal(df, column, value)
+        return c, low, high
+    at = F.lit(value).cast("timestamp")
     if kind == "time":
-        return c.cast("timestamp"), F.lit(value).cast("timestamp")
+        return c.cast("timestamp"), at, at
     dates = c.try_cast("timestamp")
     share = df.agg(F.count(dates) / F.count(c)).first()[0] if kind == "text" else None
     if share is None or share < DATE_SHARE:
         raise ValueError(f"{column} has no order")
-    return dates, F.lit(value).cast("timestamp")
+    return dates, at, at
 
 
 def condition(df: DataFrame, column: str, operator: str, value=None) -> Column:
-    """One condition as a column; an unknown operator raises."""
+    """One condition as a column; an unknown operator raises. A value may be another column: ("a", "<", F.col("b"))."""
     op = operator.strip().lower()
     if op in ("is null", "is not null"):
         kind_of(df, column)
@@ -75,17 +96,57 @@ def condition(df: DataFrame, column: str, operator: str, value=None) -> Column:
         low, high = value
         if low > high:
             raise ValueError("the lower end is above the upper")
-        (c, a), (_, b) = ordered(df, column, low), ordered(df, column, high)
+        (c, _, a), (_, b, _) = ordered(df, column, low), ordered(df, column, high)
         return (c >= a) & (c <= b)
     if op in ("<", "<=", ">", ">="):
-        c, v = ordered(df, column, value)
-        return {"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[op]
+        c, low, high = ordered(df, column, value)
+        return {"<": c < high, "<=": c <= low, ">": c > low, ">=": c >= high}[op]
     raise ValueError(f"unknown operator {operator}")
 
 
+def predicate(df: DataFrame, tree: Sequence) -> Column:
+    """A nested condition as a column: (column, operator, value), ("and" | "or", [conditions]) or ("not", condition)."""
+    head = tree[0]
+    if head in ("and", "or") and len(tree) == 2 and not isinstance(tree[1], str):
+        parts = [predicate(df, t) for t in tree[1]]
+        if not parts:
+            raise ValueError(f"{head} of nothing")
+        return reduce((lambda x, y: x & y) if head == "and" else (lambda x, y: x | y), parts)
+    if head == "not" and len(tree) == 2 and not isinstance(tree[1], str):
+        return ~predicate(df, tree[1])
+    return condition(df, *tree)
+
+
 def where(df: DataFrame, conditions: Sequence[tuple]) -> DataFrame:
-    """Rows that meet all of [(column, operator, value), ...]; nulls meet only `is null`."""
-    return df.filter(reduce(lambda x, y: x & y, (condition(df, *c) for c in conditions))) if conditions else df
+    """Rows that meet all of the conditions, which may be nested (see predicate); nulls meet only `is null`."""
+    return df.filter(predicate(df, ("and", list(conditions)))) if conditions else df
+
+
+#: What a filter in words may not hold, outside quoted strings: alternatives, comments, statements, subqueries, function calls.
+REFUSED = re.compile(r"--|/\*|;|`|\b(?:or|select|insert|update|delete|drop|create|alter|union|exists|having|group|order|case)\b|\b(?!(?:in|and|not|between)\b)[A-Za-z_]\w*\s*\(", re.I)
+
+
+def filter_text(df: DataFrame, text: str) -> DataFrame:
+    """Rows that meet comparisons, IN, BETWEEN and IS NULL joined by AND or commas; anything else raises.
+
+    Spark reads the text itself and refuses unknown columns.
+    """
+    quoted: list[str] = []
+    bare = re.sub(r"'(?:[^']|'')*'", lambda m: quoted.append(m[0]) or "''", text)
+    if not bare.strip() or REFUSED.search(bare) or "'" in bare.replace("''", ""):
+        raise ValueError("only comparisons joined by AND or commas")
+    # commas outside brackets join conditions
+    joined = re.sub(r"\([^()]*\)|,", lambda m: " AND " if m[0] == "," else m[0], bare)
+    strings = iter(quoted)
+    return df.filter(F.expr(re.sub("''", lambda _: next(strings), joined)))
+
+
+def row_predicate(df: DataFrame, expression: str) -> DataFrame:
+    """Rows that meet an SQL expression over single rows; one that aggregates raises ValueError, as does an unknown column."""
+    try:
+        return df.filter(F.expr(expression))
+    except AnalysisException as e:
+        raise ValueError(f"not a condition on rows: {expression}") from e
 
 
 def in_range(df: DataFrame, time: str, start: str, end: str) -> DataFrame:

@@ -7,15 +7,18 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
-from .inference import adjusted, cross_products, one_row
+from .inference import adjusted, cross_products, ols_robust, one_row
 from .quality import exact_profile, numeric
-from .ranks import bounds_of, column_quantiles, group_quantiles
+from .ranks import column_quantiles, group_quantiles, positions
+from .rows import one_hot
 
 
 def outlier_sensitivity(df: DataFrame, group: str, value: str, share: float = 0.01) -> DataFrame:
@@ -41,8 +44,6 @@ def stronger_predictor(df: DataFrame, outcome: str, predictors: Sequence[str]) -
 
 def partial_correlation(df: DataFrame, x: str, y: str, controls: Sequence[str]) -> DataFrame:
     """The correlation of x and y given controls."""
-    import numpy as np
-
     n, _, s = cross_products(df, [x, y, *controls])
     q = np.linalg.inv(s)
     r = float(-q[0, 1] / math.sqrt(q[0, 0] * q[1, 1]))
@@ -50,40 +51,163 @@ def partial_correlation(df: DataFrame, x: str, y: str, controls: Sequence[str])
     return one_row(df, {"r": r, "p_value": float(tails.t_sf(r * math.sqrt(dof / (1 - r * r)), dof)), "n": n})
 
 
-def kendall(df: DataFrame, x: str, y: str, most: int = 2000) -> DataFrame:
-    """Kendall's tau-b from the table of value pairs; more than `most` distinct pairs raise."""
-    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
-    if cells.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} distinct pairs: bin the columns first")
-    a, b = cells.toDF("xa", "ya", "na"), cells.toDF("xb", "yb", "nb")
-    signs = a.join(F.broadcast(b), F.col("xa") < F.col("xb")).agg(F.sum(F.col("na") * F.col("nb") * F.signum(F.col("yb") - F.col("ya"))).alias("s"))
-    tied = lambda c: cells.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{c}"))
-    total = cells.agg(F.sum("n").alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return signs.crossJoin(tied("x")).crossJoin(tied("y")).crossJoin(total).select(ratio(F.col("s"), F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"), F.col("n").cast("long").alias("n"))
+#: Ranges of each column that Kendall's grid has.
+GRID = 128
+
+
+def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Concordant minus discordant pairs of weighted points, pairs that are tied in x or y left out."""
+    if len(x) < 2:
+        return 0.0
+    if len(x) <= 64:
+        later = np.sign(x[None, :] - x[:, None]) > 0
+        return float((np.sign(y[None, :] - y[:, None]) * later * n[:, None] * n[None, :]).sum())
+    order = np.argsort(x, kind="stable")
+    x, y, n = x[order], y[order], n[order]
+    middle = int(np.searchsorted(x, x[len(x) // 2]))  # points of one x stay on one side
+    if middle == 0:
+        middle = int(np.searchsorted(x, x[0], side="right"))
+        if middle == len(x):
+            return 0.0
+    by_y = np.argsort(y[:middle], kind="stable")
+    low, weight = y[:middle][by_y], np.concatenate([[0.0], np.cumsum(n[:middle][by_y])])
+    right = y[middle:]
+    across = float((n[middle:] * (weight[np.searchsorted(low, right)] - (weight[-1] - weight[np.searchsorted(low, right, side="right")]))).sum())
+    return across + signed_pairs(x[:middle], y[:middle], n[:middle]) + signed_pairs(x[middle:], y[middle:], n[middle:])
+
+
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b, exact, from the distinct value pairs.
+
+    Both columns are cut into GRID ranges (a very frequent value is a range of its own). Pairs that differ in both ranges
+    are counted on the grid of range counts, at most GRID squared numbers; those in one range of x by a sort within it,
+    and those in one range of y but not of x by a sort within that.
+    """
+    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+
+    def edges(c: str) -> list[float]:
+        found = known.agg(F.percentile_approx(c, [i / GRID for i in range(1, GRID)], 1000)).first()[0] or []
+        return sorted({e for v in found for e in ([v, math.nextafter(v, math.inf)] if found.count(v) > 1 else [v])})
+
+    range_of = lambda c, e: F.size(F.filter(F.array(*map(F.lit, e)), lambda v: F.col(c) >= v)) if e else F.lit(0)
+    cells = known.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")).withColumn("a", range_of("x", edges("x"))).withColumn("b", range_of("y", edges("y")))
+    grid = np.zeros((2 * GRID, 2 * GRID))
+    for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most (2 GRID) ** 2 rows
+        grid[r["a"], r["b"]] = r["n"]
+    after = np.cumsum(grid[::-1], axis=0)[::-1]
+    later = np.vstack([after[1:], np.zeros((1, grid.shape[1]))])  # points in larger ranges of x
+    below = np.cumsum(later, axis=1) - later
+    above = later.sum(axis=1, keepdims=True) - below - later
+    s = float((grid * (above - below)).sum())
+
+    def within(by: str, order: str):
+        count = lambda group: pd.DataFrame({"s": [signed_pairs(group[order].to_numpy(float), group["y"].to_numpy(float), group["n"].to_numpy(float))]})
+        return cells.groupBy(by).applyInPandas(count, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+    s += within("a", "x") + within("b", "a")
+    tied = lambda c: known.groupBy(c).agg(F.count("*").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
+    n = known.count()
+    pairs = n * (n - 1) / 2
+    free = math.sqrt((pairs - tied("x")) * (pairs - tied("y")))
+    return one_row(df, {"tau": s / free if free else math.nan, "n": n})
+
+
+def fitted(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[DataFrame, int, np.ndarray, np.ndarray]:
+    """The complete rows with `fit`, `e` (residual) and `h` (leverage) of a least-squares fit; n, the inverse of the centred products, and the slopes."""
+    n, means, s = cross_products(df, [y, *xs])
+    inverse = np.linalg.inv(s[1:, 1:])
+    b = inverse @ s[1:, 0]
+    rows = df.na.drop(subset=[y, *xs])
+    centred = [F.col(x).cast("double") - float(m) for x, m in zip(xs, means[1:])]
+    fit = F.lit(float(means[0])) + sum((float(v) * c for v, c in zip(b, centred)), F.lit(0.0))
+    leverage = F.lit(1 / n) + sum((float(inverse[i, j]) * centred[i] * centred[j] for i in range(len(xs)) for j in range(len(xs))), F.lit(0.0))
+    return rows.withColumns({"fit": fit, "h": leverage}).withColumn("e", F.col(y) - F.col("fit")), n, inverse, b
 
 
-def diagnostics(df: DataFrame, y: str, xs: Sequence[str], time: str | None = None) -> DataFrame:
-    """Jarque-Bera and Breusch-Pagan of a fit's residuals; with a time column also Durbin-Watson, within months."""
-    import numpy as np
+def explained(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[int, float, float]:
+    """n, R squared and the residual sum of squares of a least-squares fit; columns that repeat others are left to the pseudo-inverse."""
+    n, _, s = cross_products(df, [y, *xs])
+    scale = np.sqrt(np.diag(s)[1:])
+    scale[scale == 0] = 1.0
+    slopes = np.linalg.pinv(s[1:, 1:] / np.outer(scale, scale)) @ (s[1:, 0] / scale)
+    held = float(slopes @ (s[1:, 0] / scale))
+    return n, float(held / s[0, 0]) if s[0, 0] else 0.0, float(s[0, 0] - held)
 
-    n, means, s = cross_products(df, [y, *xs])
-    b = np.linalg.inv(s[1:, 1:]) @ s[1:, 0]
-    residual = F.col(y) - float(means[0]) - sum(float(v) * (F.col(x) - float(m)) for v, x, m in zip(b, xs, means[1:]))
-    rows = df.na.drop(subset=[y, *xs]).withColumn("e of fit", residual)
-    skew, kurt = rows.agg(F.skewness("e of fit"), F.kurtosis("e of fit")).first()
+
+def lagged(rows: DataFrame, column: str, lags: int) -> DataFrame:
+    """Rows numbered by `position` with `lag 1` to `lag n` of a column, 0 before the first: a row meets earlier ones by their numbers."""
+    for k in range(1, lags + 1):
+        earlier = rows.select((F.col("position") + k).alias("position"), F.col(column).alias(f"lag {k}"))
+        rows = rows.join(earlier, "position", "left").na.fill(0.0, [f"lag {k}"])
+    return rows
+
+
+def diagnostics(df: DataFrame, y: str, xs: Sequence[str], time: str | None = None) -> DataFrame:
+    """Jarque-Bera, Breusch-Pagan, RESET, Cook's distance and leverage of a fit; with a time column Durbin-Watson and Breusch-Godfrey over all rows in its order."""
+    rows, n, _, _ = fitted(df, y, xs)
+    p = len(xs)
+    skew, kurt, rss = rows.agg(F.skewness("e"), F.kurtosis("e"), F.sum(F.col("e") * F.col("e"))).first()
     jb = n / 6 * (skew * skew + kurt * kurt / 4)
-    m, _, q = cross_products(rows.withColumn("e2 of fit", F.col("e of fit") * F.col("e of fit")), ["e2 of fit", *xs])
-    slopes = np.linalg.inv(q[1:, 1:]) @ q[1:, 0]
-    bp = m * float(slopes @ q[1:, 0] / q[0, 0])
-    out = {"jarque_bera": jb, "jarque_bera_p": float(tails.chi2_sf(jb, 2)), "breusch_pagan": bp, "breusch_pagan_p": float(tails.chi2_sf(bp, len(xs))), "n": n}
+    m, r2, _ = explained(rows.withColumn("e2", F.col("e") * F.col("e")), "e2", xs)
+    _, _, with_square = explained(rows.withColumn("fit2", F.col("fit") * F.col("fit")), y, [*xs, "fit2"])
+    reset = (rss - with_square) / (with_square / (n - p - 2)) if with_square > 0 else math.inf
+    e, h = F.col("e"), F.col("h")
+    cook = e * e / ((p + 1) * (rss / (n - p - 1))) * h / ((1 - h) * (1 - h))
+    most, influential, high = rows.agg(F.max(cook), F.count_if(cook > 4 / max(n - p - 1, 1)), F.count_if(h > 2 * (p + 1) / n)).first()
+    out = {
+        "jarque_bera": jb, "jarque_bera_p": float(tails.chi2_sf(jb, 2)), "breusch_pagan": m * r2, "breusch_pagan_p": float(tails.chi2_sf(m * r2, p)), "reset": reset, "reset_p": float(tails.f_sf(reset, 1, n - p - 2)),
+        "max_cook": float(most), "influential": int(influential), "high_leverage": int(high), "n": n,
+    }
     if time:
-        w = Window.partitionBy(F.date_trunc("month", time)).orderBy(time, *xs, y)
-        top, bottom = rows.withColumn("d", F.col("e of fit") - F.lag("e of fit").over(w)).agg(F.sum(F.col("d") * F.col("d")), F.sum(F.when(F.col("d").isNotNull(), F.col("e of fit") * F.col("e of fit")))).first()
-        out["durbin_watson"] = top / bottom if bottom else None
+        lags = min(4, max(1, n // 10))
+        placed = lagged(positions(rows.select(time, y, *xs, "e"), seconds(time), [*xs, y]), "e", lags)
+        gap = F.col("e") - F.col("lag 1")
+        out["durbin_watson"] = placed.agg(F.sum(F.when(F.col("position") > 1, gap * gap))).first()[0] / rss
+        if n >= 20:
+            _, again, _ = explained(placed, "e", [*xs, *(f"lag {k}" for k in range(1, lags + 1))])
+            out["breusch_godfrey"], out["breusch_godfrey_p"] = n * again, float(tails.chi2_sf(n * again, lags))
     return one_row(df, out)
 
 
+def seconds(time: str) -> Column:
+    return F.col(time).cast("timestamp").cast("double")
+
+
+def ols_hac(df: DataFrame, y: str, xs: Sequence[str], time: str, lags: int | None = None) -> DataFrame:
+    """term, estimate and se of a fit whose errors allow for serial dependence (Newey and West), over all rows in the order of time."""
+    rows, n, inverse, b = fitted(df, y, xs)
+    means = rows.agg(*(F.avg(x) for x in xs)).first()
+    lags = max(1, int(4 * (n / 100) ** (2 / 9))) if lags is None else lags
+    scores = rows.select(time, y, *xs, *(((F.col(x) - float(m)) * F.col("e")).alias(f"s{i}") for i, (x, m) in enumerate(zip(xs, means))))
+    placed = positions(scores, seconds(time), [*xs, y]).select("position", *(f"s{i}" for i in range(len(xs))))
+    p = range(len(xs))
+    total = np.array(placed.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in p for j in p)).first(), float).reshape(len(xs), -1)
+    for k in range(1, lags + 1):
+        earlier = placed.select((F.col("position") + k).alias("position"), *(F.col(f"s{i}").alias(f"t{i}") for i in p))
+        part = np.array(placed.join(earlier, "position").agg(*(F.sum(F.col(f"s{i}") * F.col(f"t{j}")) for i in p for j in p)).first(), float).reshape(len(xs), -1)
+        total += (1 - k / (lags + 1)) * (part + part.T)
+    covariance = inverse @ total @ inverse
+    return df.sparkSession.createDataFrame([(x, float(v), float(math.sqrt(max(c, 0)))) for x, v, c in zip(xs, b, np.diag(covariance))], "term string, estimate double, se double")
+
+
+def adjusted_association(df: DataFrame, y: str, x: str, controls: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """The slope of x on y given controls (texts as 0/1 columns of their ten most frequent values), with HC3 errors, and the slope without them."""
+    rows = df.na.drop(subset=[y, x])
+    numbers = [c for c in controls if isinstance(df.schema[c].dataType, T.NumericType)]
+    columns = list(numbers)
+    for c in controls:
+        if c not in numbers:
+            rows = one_hot(rows, c, drop_first=True)
+            plain = {n: f"{c} is {i}" for i, n in enumerate(k for k in rows.columns if k.startswith(f"{c}="))}
+            rows = rows.withColumnsRenamed(plain)
+            columns += plain.values()
+    alone = ols_robust(rows, y, [x]).first()
+    found = ols_robust(rows, y, [x, *columns]).filter(F.col("term") == x).first()
+    z = tails.normal_quantile(alpha)
+    t = found["estimate"] / found["se"] if found["se"] else math.inf
+    return one_row(df, {"estimate": found["estimate"], "se": found["se"], "low": found["estimate"] - z * found["se"], "high": found["estimate"] + z * found["se"], "p_value": 2 * tails.normal_sf(abs(t)), "unadjusted": alone["estimate"]})
+
+
 def driver_screen(df: DataFrame, outcome: str, candidates: Sequence[str], least: float = 0.1) -> DataFrame:
     """candidate, kind and strength (correlation, or the square root of the share of variance between groups) of the drivers above a limit."""
     numbers = [c for c in candidates if isinstance(df.schema[c].dataType, T.NumericType)]

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +16,12 @@ from pyspark.sql import types as T
 from ..operators.cleaning import content_hash, normalize_columns
 
 # Encodings and delimiters that are tried, wrapper fields of JSON, and limits of a guarded table.
-ENCODINGS = ("utf-8", "iso-8859-1")  # windows-1252 is read as its ISO subset: Spark accepts no other single-byte charset
+ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
 DELIMITERS = (",", ";", "\t", "|")
 WRAPPERS = ("data", "records", "rows", "results", "items")
 MAX_ROWS, MAX_COLUMNS, MAX_CELL = 500_000, 250, 10_000
-SNIFFED_BYTES = 65_536
+#: Lines from which a file's make is sniffed.
+SNIFFED_LINES = 300
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -32,23 +34,36 @@ def read_csv_strict(spark: SparkSession, path: str, schema: str | None = None) -
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """file, block and line of every line that is not blank, by Spark's own splitting of files.
+
+    Windows-1252 is read as ISO 8859-1, the only single-byte set Spark takes, and its 27 other characters are put right.
+    """
+    single = encoding != "utf-8"
+    reader = spark.read.option("encoding", "iso-8859-1" if single else "utf-8").option("sep", "\x01").option("quote", "\x02").schema("line string")
+    lines = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "line")
+    if encoding == "windows-1252":
+        codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+        lines = lines.withColumn("line", F.translate("line", "".join(map(chr, codes)), bytes(codes).decode("cp1252")))
+    return lines
+
+
 def head_of(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file of a path, read by an executor."""
-    return spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFFED_BYTES).alias("head")).orderBy("head").limit(1).first()["head"]
+    """The first lines of a file of the path, as bytes."""
+    first = lines_of(spark, path, "iso-8859-1").filter("block = 0").select("line").limit(SNIFFED_LINES)
+    return "\n".join(r["line"] for r in first.collect()).encode("iso-8859-1", "replace")
 
 
 def sniff(head: bytes) -> tuple[str, str, int]:
-    """Encoding, delimiter and banner lines before the header of a file's first bytes."""
-    encoding = "iso-8859-1"
-    for name in ENCODINGS:
+    """Encoding, delimiter and banner lines before the header of a file's first lines."""
+    for encoding in ENCODINGS:
         try:
-            text = head.removeprefix(b"\xef\xbb\xbf").decode(name, errors="strict" if len(head) < SNIFFED_BYTES or name != "utf-8" else "ignore")
-            encoding = name
+            text = head.removeprefix(b"\xef\xbb\xbf").decode(encoding)
             break
         except UnicodeDecodeError:
             continue
-    rows = [line for line in text.splitlines() if line.strip()][:50]
-    if text.count('"') % 2 and len(head) < SNIFFED_BYTES:
+    rows = [line for line in text.splitlines() if line.strip()]
+    if len(rows) < SNIFFED_LINES and text.count('"') % 2:
         raise ValueError("a quote is not closed")
     best = max(DELIMITERS, key=lambda d: sum(r.count(d) for r in rows))
     widths = [len(next(csv.reader([r], delimiter=best), [])) for r in rows]
@@ -59,22 +74,23 @@ def sniff(head: bytes) -> tuple[str, str, int]:
 
 
 def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A delimited file of unknown make as text columns, and a report: encoding, delimiter, banner lines, short and long rows.
+    """A delimited file of unknown make as text columns, and a report: encoding, delimiter, banner lines, rows, short and long rows.
 
-    Lines are split by Spark; short rows are filled with nulls, long ones are cut.
+    Lines are split by Spark; short rows are filled with nulls, long ones are cut. The banner and the header are left out
+    by their places, the first lines of each file, so a row that repeats them stays.
     """
-    encoding, delimiter, banner = sniff(head_of(spark, path))
-    lines = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "\x02").schema("line string").csv(path)
-    header_line = next(x for i, x in enumerate(lines.limit(banner + 1).collect()) if i == banner)["line"].lstrip("﻿")
+    head = head_of(spark, path)
+    encoding, delimiter, banner = sniff(head)
+    header_line = [line for line in head.removeprefix(b"\xef\xbb\xbf").decode(encoding).splitlines() if line.strip()][banner]
     header = next(csv.reader([header_line], delimiter=delimiter))
     names = normalize_columns(spark.range(0).select(*(F.lit("").alias(h) for h in header))).columns
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE").option("header", False)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("more fields", T.StringType())])
-    rows = reader.schema(schema).csv(path)
-    skipped = lines.limit(banner + 1).select(F.trim("line").alias("line"))
-    first = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
-    heads = {next(csv.reader([r["line"].lstrip("﻿")], delimiter=delimiter), [""])[0] for r in skipped.collect()}
-    data = rows.filter(~F.regexp_replace(first, "﻿", "").isin(*heads)) if heads else rows
+    # lines of a split are numbered in order; the first lines of a file are in the split that starts at 0
+    lines = lines_of(spark, path, encoding).withColumn("id", F.monotonically_increasing_id())
+    starts = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("id", "line")).alias("first")).select("file", F.col("first.id").alias("first"))
+    placed = lines.filter("block = 0").join(starts, "file").filter(F.col("id") > F.col("first") + banner).select("line")
+    parsed = F.from_csv("line", ", ".join(f"`{f.name}` string" for f in schema), {"sep": delimiter, "mode": "PERMISSIVE"})
+    data = placed.union(lines.filter("block <> 0").select("line")).select(parsed.alias("row")).select("row.*")
     report = data.agg(F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter"), F.lit(banner).alias("banner_lines"), F.count("*").alias("rows"), F.count_if(F.col(f"`{names[-1]}`").isNull()).alias("short_rows"), F.count_if(F.col("more fields").isNotNull()).alias("long_rows"))
     return data.drop("more fields"), report
 
@@ -107,19 +123,33 @@ def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+def relations(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
+    """Names that a query reads and names that it defines itself (WITH), from Spark's parsed plan; nothing is run."""
+    text = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
+    parsed = text.split("== Parsed Logical Plan ==", 1)[-1].split("== Analyzed Logical Plan ==", 1)[0]
+    if re.search(r"Unresolved(?:Table|TVF|\w*TableValuedFunction)|'?InsertInto|'?CreateTable|'?Drop\w+", parsed):
+        raise PermissionError("only queries over registered views")
+    read = {r.replace(" ", "").lower() for r in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)}
+    return read, {n.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for n in names.split(",")}
+
+
 def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], max_rows: int = 50_000) -> DataFrame:
     """A query over the given views only, at most max_rows rows, each with `is_truncated`.
 
-    Spark parses the text itself; what is not a plain query, or reads anything but the views, is refused.
+    Spark parses the text; every relation of its plan must be one of the views or one that the query defines itself
+    under a name that no other table or view has.
     """
-    if not re.match(r"\s*(select|with)\b", sql, re.I) or re.search(r"`[^`]*[/.][^`]*`|;\s*\S", sql):
+    if not re.match(r"\s*(select|with)\b", sql, re.I):
         raise PermissionError("only one SELECT or WITH over registered views")
     for name, df in views.items():
         register(df, name)
-    used = {w.lower() for w in re.findall(r"\b(?:from|join)\s+([A-Za-z_][\w.]*)", sql, re.I)}
-    inner = {w.lower() for w in re.findall(r"\b([A-Za-z_]\w*)\s+as\s*\(", sql, re.I)}
-    unknown = used - inner - {v.lower() for v in views}
-    if unknown:
+    try:
+        read, defined = relations(spark, sql)
+    except ParseException as e:
+        raise PermissionError("only one SELECT or WITH over registered views") from e
+    known = {v.lower() for v in views}
+    hidden = {n for n in defined - known if spark.catalog.tableExists(n)}
+    if unknown := (read - defined - known) | hidden:
         raise PermissionError(f"not registered: {sorted(unknown)}")
     found = spark.sql(sql).limit(max_rows + 1)
     n = found.count()
