@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,71 +92,84 @@ def group_quantiles(df: DataFrame, value: str, points: Mapping[str, float], grou
     return found.groupBy(*groups).agg(*(F.max(F.when(F.col("point") == float(p), F.col("quantile"))).alias(name) for name, p in points.items()))
 
 
+def by_column(df: DataFrame, values: Mapping[str, Column], facts: Mapping[str, Sequence[Column]]) -> dict[str, list]:
+    """Aggregates over `v`, the values of each column, in one job: each column is read by itself, so expressions stay few and scans narrow."""
+    parts = [df.select(values[c].alias("v")).agg(F.lit(c).alias("column"), F.array(*exprs).alias("facts")) for c, exprs in facts.items()]
+    return {r["column"]: r["facts"] for r in reduce(DataFrame.union, parts).collect()}  # a row a column
+
+
 def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], points: Sequence[float]) -> dict[str, list[float | None]]:
     """The exact quantiles of whole columns (linear between neighbours, nulls and NaN left out), a few numbers each.
 
-    No more than FEW values a column are ever counted one by one; brackets that hold more are narrowed by another
-    sketch, each time by two orders of magnitude, or end in a single value.
+    No more than FEW values a bracket are ever counted one by one; brackets that hold more are narrowed by another
+    sketch, each time by two orders of magnitude, or cut at their middle, until they end in a single value.
     """
     wanted = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     values = {c: F.when(~F.isnan(v.cast("double")), v.cast("double")) for c, v in wanted.items()}
     if not values:
         return {}
-    margin = 2 * ERROR
+    v, margin, error = F.col("v"), 2 * ERROR, int(1 / ERROR)
     ends = sorted({x for p in points for x in (max(0.0, p - margin), min(1.0, p + margin))})
-    first = df.agg(*(F.count(v).alias(f"n {c}") for c, v in values.items()), *(F.percentile_approx(v, ends, int(1 / ERROR)).alias(f"q {c}") for c, v in values.items()), *(F.min(v).alias(f"low {c}") for c, v in values.items()), *(F.max(v).alias(f"high {c}") for c, v in values.items())).first()
-    size = {c: first[f"n {c}"] for c in values}
+    sketch = F.percentile_approx(v, ends, error)
+    first = by_column(df, values, {c: [F.count(v).cast("double"), F.min(v), F.max(v), *(sketch[i] for i in range(len(ends)))] for c in values})
+    size = {c: int(f[0]) for c, f in first.items()}
+    whole = {c: (f[1], f[2]) for c, f in first.items()}
     bracket: dict[tuple[str, float], tuple[float, float]] = {}
     for c in values:
+        known = dict(zip(ends, first[c][3:]))
         for p in points if size[c] else ():
-            known = dict(zip(ends, first[f"q {c}"]))
             low, high = max(0.0, p - margin), min(1.0, p + margin)
-            bracket[c, p] = (known[low] if low else first[f"low {c}"], known[high] if high < 1 else first[f"high {c}"])
+            bracket[c, p] = (known[low] if low else whole[c][0], known[high] if high < 1 else whole[c][1])
     rank = {(c, p): p * (size[c] - 1) for c, p in bracket}
     done: dict[tuple[str, float], float] = {}
-    valid: dict[tuple[str, float], tuple[tuple[float, float], int, int]] = {(c, p): ((first[f"low {c}"], first[f"high {c}"]), 0, size[c]) for c, p in bracket}
+    valid = {k: (whole[k[0]], 0, size[k[0]]) for k in bracket}
     while bracket:
-        keys = list(bracket)
-        inside = {k: values[k[0]].between(*map(F.lit, bracket[k])) for k in keys}
-        counted = df.agg(*(F.count_if(values[k[0]] < bracket[k][0]) for k in keys), *(F.count_if(inside[k]) for k in keys)).first()
-        below, held = dict(zip(keys, counted[: len(keys)])), dict(zip(keys, counted[len(keys) :]))
-        narrow_by_half: set[tuple[str, float]] = set()
-        for k in keys:  # the sketch's bound holds for large inputs; where rounding of small ones leaves the rank outside, the bracket before is cut in two
+        of: dict[str, list] = {}
+        for k in bracket:
+            of.setdefault(k[0], []).append(k)
+        inside = lambda k: v.between(*map(F.lit, bracket[k]))
+        counted = by_column(df, values, {c: [F.count_if(e) for k in ks for e in (v < bracket[k][0], inside(k))] for c, ks in of.items()})
+        below = {k: counted[c][2 * i] for c, ks in of.items() for i, k in enumerate(ks)}
+        held = {k: counted[c][2 * i + 1] for c, ks in of.items() for i, k in enumerate(ks)}
+        by_half = set()
+        for k in bracket:  # the sketch's bound holds for large inputs; where rounding of small ones leaves the rank outside, the bracket before is cut in two
             if below[k] <= math.floor(rank[k]) and math.ceil(rank[k]) < below[k] + held[k]:
                 valid[k] = bracket[k], below[k], held[k]
             else:
                 bracket[k], below[k], held[k] = valid[k]
-                inside[k] = values[k[0]].between(*map(F.lit, bracket[k]))
-                narrow_by_half.add(k)
-        few = [k for k in keys if bracket[k][0] < bracket[k][1] and held[k] <= FEW]
-        for k in keys:
-            if bracket[k][0] == bracket[k][1]:
-                done[k] = bracket[k][0]
+                by_half.add(k)
+        done |= {k: b[0] for k, b in bracket.items() if b[0] == b[1]}
+        few = [k for k, b in bracket.items() if b[0] < b[1] and held[k] <= FEW]
         if few:
             at = {k: i for i, k in enumerate(few)}
-            long = df.select(F.explode(F.filter(F.array(*(F.when(inside[k], F.struct(F.lit(at[k]).alias("i"), values[k[0]].alias("v"))) for k in few)), lambda x: x.isNotNull())).alias("x")).select("x.*")
+            parts = []
+            for c, ks in of.items():
+                if mine := [k for k in ks if k in at]:
+                    rows = df.select(values[c].alias("v")).filter(reduce(lambda x, y: x | y, map(inside, mine))).groupBy("v").agg(F.count("*").alias("n"))
+                    fits = F.filter(F.array(*(F.when(inside(k), F.lit(at[k])) for k in mine)), lambda i: i.isNotNull())
+                    parts.append(rows.select("v", "n", F.explode(fits).alias("i")))
             upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))  # FEW rows a partition at most
             ranks = F.create_map(*(x for k in few for x in (F.lit(at[k]), F.array(F.lit(math.floor(rank[k]) - below[k]), F.lit(math.ceil(rank[k]) - below[k])))))[F.col("i")]
-            last = F.col("upto") - 1
-            start = F.col("upto") - F.col("n")
+            start, last = F.col("upto") - F.col("n"), F.col("upto") - 1
             hit = ((start <= ranks[0]) & (ranks[0] <= last)) | ((start <= ranks[1]) & (ranks[1] <= last))
-            found = long.groupBy("i", "v").agg(F.count("*").alias("n")).withColumn("upto", upto).filter(hit).groupBy("i").agg(F.min("v"), F.max("v")).collect()  # a row a quantile
+            found = reduce(DataFrame.union, parts).withColumn("upto", upto).filter(hit).groupBy("i").agg(F.min("v"), F.max("v")).collect()  # a row a quantile
             for i, a, b in found:
                 done[few[i]] = a + (b - a) * (rank[few[i]] - math.floor(rank[few[i]]))
-        many = [k for k in keys if k not in done]
-        if many:
-            share = {k: (rank[k] - below[k]) / max(1, held[k] - 1) for k in many}
-            ask = lambda k: [max(0.0, share[k] - margin), min(1.0, share[k] + margin)]
-            closer = df.agg(*(F.percentile_approx(F.when(inside[k], values[k[0]]), ask(k), int(1 / ERROR)) for k in many)).first()
-            now = {k: (e[0] if ask(k)[0] else bracket[k][0], e[1] if ask(k)[1] < 1 else bracket[k][1]) for k, e in zip(many, closer)}
-            # a bracket that a sketch cannot narrow is cut by its middle value
-            bracket = {k: now[k] if now[k] != bracket[k] and k not in narrow_by_half and held[k] > 10 / ERROR else halved(df, values[k[0]], bracket[k], below[k], rank[k]) for k in many}
-        else:
-            bracket = {}
+        many = [k for k in bracket if k not in done]
+        share = {k: (rank[k] - below[k]) / max(1, held[k] - 1) for k in many}
+        asked: dict[str, list] = {}
+        for k in many:
+            if k not in by_half and held[k] > 10 / ERROR:
+                asked.setdefault(k[0], []).append(k)
+        narrow = lambda k: F.percentile_approx(F.when(inside(k), v), [max(0.0, share[k] - margin), min(1.0, share[k] + margin)], error)
+        closer = by_column(df, values, {c: [narrow(k)[i] for k in ks for i in (0, 1)] for c, ks in asked.items()}) if asked else {}
+        new = {k: tuple(closer[c][2 * i : 2 * i + 2]) for c, ks in asked.items() for i, k in enumerate(ks)}
+        new = {k: (e[0] if share[k] > margin else bracket[k][0], e[1] if share[k] + margin < 1 else bracket[k][1]) for k, e in new.items()}
+        bracket = {k: new[k] if new.get(k, bracket[k]) != bracket[k] else halved(df, values[k[0]], bracket[k], rank[k]) for k in many}
     return {c: [done.get((c, p)) for p in points] for c in values}
 
 
-def halved(df: DataFrame, v: Column, bracket: tuple[float, float], below: int, rank: float) -> tuple[float, float]:
+def halved(df: DataFrame, v: Column, bracket: tuple[float, float], rank: float) -> tuple[float, float]:
     """The part of a bracket on the rank's side of its middle; both parts share the middle value."""
     low, high = bracket
     middle = low + (high - low) / 2
