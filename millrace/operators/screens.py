@@ -134,12 +134,18 @@ def explained(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[int, float, flo
     return n, float(held / s[0, 0]) if s[0, 0] else 0.0, float(s[0, 0] - held)
 
 
-def lagged(rows: DataFrame, column: str, lags: int) -> DataFrame:
-    """Rows numbered by `position` with `lag 1` to `lag n` of a column, 0 before the first: a row meets earlier ones by their numbers."""
-    for k in range(1, lags + 1):
-        earlier = rows.select((F.col("position") + k).alias("position"), F.col(column).alias(f"lag {k}"))
-        rows = rows.join(earlier, "position", "left").na.fill(0.0, [f"lag {k}"])
-    return rows
+def lagged(rows: DataFrame, columns: Sequence[str], lags: int, block: int = 50_000) -> DataFrame:
+    """Rows numbered by `position` with `lag k c` for every column c and k up to `lags`, 0 before the first.
+
+    Rows are looked back on within blocks of consecutive numbers, to which the last rows of the block before are added.
+    """
+    block = max(block, 10 * lags)
+    number = F.floor((F.col("position") - 1) / block)
+    own = rows.withColumn("block of row", number).withColumn("is own", F.lit(True))
+    carried = rows.filter(F.pmod(F.col("position") - 1, F.lit(block)) >= block - lags).withColumn("block of row", number + 1).withColumn("is own", F.lit(False))
+    w = Window.partitionBy("block of row").orderBy("position")
+    earlier = {f"lag {k} {c}": F.coalesce(F.lag(c, k).over(w), F.lit(0.0)) for c in columns for k in range(1, lags + 1)}
+    return own.union(carried).withColumns(earlier).filter("`is own`").drop("block of row", "is own")
 
 
 def diagnostics(df: DataFrame, y: str, xs: Sequence[str], time: str | None = None) -> DataFrame:
@@ -160,11 +166,11 @@ def diagnostics(df: DataFrame, y: str, xs: Sequence[str], time: str | None = Non
     }
     if time:
         lags = min(4, max(1, n // 10))
-        placed = lagged(positions(rows.select(time, y, *xs, "e"), seconds(time), [*xs, y]), "e", lags)
-        gap = F.col("e") - F.col("lag 1")
+        placed = lagged(positions(rows.select(time, y, *xs, "e"), seconds(time), [*xs, y]), ["e"], lags)
+        gap = F.col("e") - F.col("lag 1 e")
         out["durbin_watson"] = placed.agg(F.sum(F.when(F.col("position") > 1, gap * gap))).first()[0] / rss
         if n >= 20:
-            _, again, _ = explained(placed, "e", [*xs, *(f"lag {k}" for k in range(1, lags + 1))])
+            _, again, _ = explained(placed, "e", [*xs, *(f"lag {k} e" for k in range(1, lags + 1))])
             out["breusch_godfrey"], out["breusch_godfrey_p"] = n * again, float(tails.chi2_sf(n * again, lags))
     return one_row(df, out)
 
@@ -179,13 +185,12 @@ def ols_hac(df: DataFrame, y: str, xs: Sequence[str], time: str, lags: int | Non
     means = rows.agg(*(F.avg(x) for x in xs)).first()
     lags = max(1, int(4 * (n / 100) ** (2 / 9))) if lags is None else lags
     scores = rows.select(time, y, *xs, *(((F.col(x) - float(m)) * F.col("e")).alias(f"s{i}") for i, (x, m) in enumerate(zip(xs, means))))
-    placed = positions(scores, seconds(time), [*xs, y]).select("position", *(f"s{i}" for i in range(len(xs))))
-    p = range(len(xs))
-    total = np.array(placed.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in p for j in p)).first(), float).reshape(len(xs), -1)
-    for k in range(1, lags + 1):
-        earlier = placed.select((F.col("position") + k).alias("position"), *(F.col(f"s{i}").alias(f"t{i}") for i in p))
-        part = np.array(placed.join(earlier, "position").agg(*(F.sum(F.col(f"s{i}") * F.col(f"t{j}")) for i in p for j in p)).first(), float).reshape(len(xs), -1)
-        total += (1 - k / (lags + 1)) * (part + part.T)
+    names = [f"s{i}" for i in range(len(xs))]
+    placed = lagged(positions(scores, seconds(time), [*xs, y]).select("position", *names), names, lags)
+    weight = lambda k: 1 - k / (lags + 1)
+    # of a pair of scores: the product in one row, and both ways with every row before it
+    crossed = lambda a, b: F.sum(F.col(a) * F.col(b) + sum((weight(k) * (F.col(a) * F.col(f"lag {k} {b}") + F.col(b) * F.col(f"lag {k} {a}")) for k in range(1, lags + 1)), F.lit(0.0)))
+    total = np.array(placed.agg(*(crossed(a, b) for a in names for b in names)).first(), float).reshape(len(xs), -1)
     covariance = inverse @ total @ inverse
     return df.sparkSession.createDataFrame([(x, float(v), float(math.sqrt(max(c, 0)))) for x, v, c in zip(xs, b, np.diag(covariance))], "term string, estimate double, se double")
 
