@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .hard_negatives import hard_negatives
 from .html_text import extract_main_text
 from .language import identify
 from .near_copies import near_copies
@@ -78,6 +79,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives(rows)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_copies": op1_near_copies,
     "op2_bpe": op2_bpe,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_products": op8_top_products,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -147,4 +154,23 @@ ORACLE: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+          SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+          FROM (SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings)
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+            AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+        ), scored AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+          FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0
+        ), positives AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+          vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
 }

@@ -34,9 +34,9 @@ MOST_PIVOTS = 256
 PACKED = ["dim", "n", "ids", "data", "more"]
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """vec_id and v (array of double) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool, *more: str) -> DataFrame:
+    """vec_id, v (array of double) and further columns of the rows that take part."""
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), *more)
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
     return rows if zero else rows.filter(F.exists("v", lambda x: x != 0))
