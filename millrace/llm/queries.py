@@ -15,6 +15,7 @@ from .near_copies import near_copies
 from .packing import pack
 from .repeated_passages import remove_repeated
 from .secrets import scan_secrets
+from .simhash import simhash_groups
 from .token_counts import count_tokens
 from .vectors import nearest, top_products
 
@@ -84,6 +85,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_copies": op1_near_copies,
     "op2_bpe": op2_bpe,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE: dict[str, str] = {
