@@ -16,6 +16,7 @@ from .packing import pack
 from .repeated_passages import remove_repeated
 from .secrets import scan_secrets
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .vectors import nearest, top_products
 
@@ -89,6 +90,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_copies": op1_near_copies,
     "op2_bpe": op2_bpe,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": op10_html_text,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
@@ -179,4 +185,44 @@ ORACLE: dict[str, str] = {
         FROM positives JOIN scored USING (anchor_id)
         WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
     """,
+    # crc32 is linear: the checksum of a text is the sum (by xor) of what each byte gives at its distance from the end, and what its length gives
+    "op13_spelling": """
+        WITH RECURSIVE steps(b, k, v) AS (
+          SELECT b, 0, b FROM range(256) t(b) UNION ALL SELECT b, k + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM steps WHERE k < 8
+        ), crc AS (SELECT b, v FROM steps WHERE k = 8),
+        runs AS (
+          SELECT doc_id, run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS times
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+          GROUP BY ALL
+        ), numbered AS (SELECT row_number() OVER () AS r, * FROM runs),
+        codes AS (SELECT r, unnest(range(1, length(s) + 1)) AS i, ord(s[i]) AS c FROM numbered),
+        bytes AS (
+          SELECT r, 2 * i AS pos, CASE WHEN c < 128 THEN c ELSE 192 + (c >> 6) END AS b FROM codes UNION ALL SELECT r, 2 * i + 1, 128 + (c & 63) FROM codes WHERE c >= 128
+        ), placed AS (
+          SELECT r, b, count(*) OVER (PARTITION BY r) AS size, CAST(row_number() OVER (PARTITION BY r ORDER BY pos DESC) - 1 AS BIGINT) AS d FROM bytes
+        ), gives(b, d, v) AS (
+          SELECT b, CAST(0 AS BIGINT), v FROM crc UNION ALL
+          SELECT g.b, d + 1, xor(g.v >> 8, c.v) FROM gives g JOIN crc c ON c.b = g.v & 255 WHERE d < (SELECT max(size) FROM placed)
+        ), starts(size, v) AS (
+          SELECT CAST(0 AS BIGINT), 4294967295 UNION ALL
+          SELECT size + 1, xor(s.v >> 8, c.v) FROM starts s JOIN crc c ON c.b = s.v & 255 WHERE size < (SELECT max(size) FROM placed)
+        ), sums AS (SELECT r, any_value(size) AS size, bit_xor(g.v) AS v FROM placed JOIN gives g USING (b, d) GROUP BY r),
+        summed AS (SELECT r, xor(xor(a.v, s.v), 4294967295) AS h FROM sums a JOIN starts s USING (size)),
+        spelt AS (
+          SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM numbered JOIN summed USING (r)
+        ), words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+        less AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, word[: i - 1] || word[i + 1 :] AS rest FROM words),
+        near AS (
+          SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON b.word = a.rest UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON b.word = a.rest
+        ), best AS (
+          SELECT word, count(*) AS n_near, max(n) AS form_n, first(other ORDER BY n DESC, other) AS form FROM near GROUP BY word
+        ), facts AS (
+          SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+          FROM words LEFT JOIN best USING (word)
+        ), chain(word, root, depth) AS (
+          SELECT word, word, 0 FROM words UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN facts f ON f.word = c.root WHERE f.form IS NOT NULL
+        ), roots AS (SELECT word, last(root ORDER BY depth) AS root FROM chain GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM facts JOIN roots USING (word)
+    """,
 }
