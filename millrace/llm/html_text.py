@@ -1,11 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a list of blocks in page order, each with the number of its path, the chain of block tags from the root to
-it. Scripts, menus and the like are left out by tag or role. Elements whose whole class or id says that they are no
-content, and forms, are left out unless they hold most of the page's text. Over the rest, text length and punctuation are summed
-for each path and divided by the path's blocks; the two series are smoothed along the page, fused by multiplication and
-held against a share of their standard deviation. Blocks of the paths that pass are content, with the other blocks of
-their parents and the headings that lead to them.
+it. Scripts, menus and the like are left out by tag, role or being hidden. Elements whose whole class or id says that they are no
+content, and forms, are left out unless they wrap the page; reader comments never count as a wrapper. Over the rest, text
+length and punctuation are summed for each path and divided by the path's blocks; the two series are smoothed along the page,
+fused by multiplication and held against a share of their standard deviation.
+
+Blocks of the paths that pass lead to the content nodes. Where most of their text lies in article or main elements, those
+are the content, but for boxes of several texts without punctuation none of which passes. Else it is the smallest element that holds nearly all of it; of that element's parts, those
+stay that have a block that passes, or hold a table, list, quotation, figure or code, or are headings. Lists and boxes of nothing but
+links are menus wherever they stand.
 """
 
 from __future__ import annotations
@@ -28,18 +32,22 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title".split())
-LEFT_OUT = frozenset("aside dialog footer head menu nav object".split())
+LEFT_OUT = frozenset("aside datalist dialog footer head menu nav object optgroup option select".split())
 #: Controls: left out, but for the words of a sentence they stand in.
-CONTROLS = frozenset("button label select".split())
+CONTROLS = frozenset("button label".split())
 SENTENCE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p td th".split())
 ARTICLE = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text that are no paragraphs, and the elements that rows and items of lists and tables belong to.
+PARTS = frozenset("blockquote dl figure ol pre table ul".split())
+ROWS, LISTS = frozenset("caption dd dt li tbody td tfoot th thead tr".split()), frozenset("dl ol table ul".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An implied end does not reach past these.
 SCOPE = frozenset("article aside blockquote body div dl figure footer form header main nav ol section table td th ul".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related reply replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+COMMENTS = frozenset("comment comments disqus replies reply".split())
+HINTS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Words that may stand beside a hint in one class name ("site-footer", "ad-box"), and hints that hold outside articles only.
 BESIDE = frozenset("area bar block bottom box container inner left link links list main mobile page right section site small top wrap wrapper".split())
@@ -47,52 +55,74 @@ PAGE_HINTS = frozenset({"header", "topbar"})
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = ".,;:!?…。，、！？；："
-#: Share of the fused series' standard deviation that content must reach, and share of a page's text that no hint removes.
-THRESHOLD, MOST = 0.8, 0.5
-#: Blocks that a hinted element must hold to count as a wrapper of the page.
-WRAPPED = 3
+#: Share of the fused series' standard deviation that content must reach.
+THRESHOLD = 0.8
+#: Share of a page's text, and blocks, that a hinted element holds which wraps the page.
+MOST, WRAPPED = 0.5, 3
+#: Share of the text of passing paths that the content element holds where none is marked; of links in a menu, and their least number.
+NEARLY_ALL, LINKED, LINKS = 0.8, 0.8, 3
 
-HARD, SOFT = 1, 2
+HARD, FORM, HINT, COMMENT = 1, 2, 3, 4
 
 
-def left_out(tag: str, attributes: str, in_article: bool, in_sentence: bool) -> int:
-    """HARD where an element is no content by its tag, role or being hidden, SOFT by a class, an id or being a form, else 0."""
+def attributes_of(text: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def left_out(tag: str, text: str, in_article: bool, in_sentence: bool) -> int:
+    """HARD where an element is no content by its tag, role or being hidden, else what its class, id or being a form hints at, else 0."""
     if tag in LEFT_OUT or tag == "header" and not in_article or tag in CONTROLS and not in_sentence:
         return HARD
     if tag in ("html", "body") or tag in ARTICLE:
         return 0
-    soft = SOFT if tag == "form" else 0
-    if not attributes:
-        return soft
-    if HIDDEN.search(attributes):
+    hint = FORM if tag == "form" else 0
+    if not text:
+        return hint
+    attributes = attributes_of(text)
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or HIDDEN_STYLE.search(html.unescape(attributes.get("style", ""))):
+        return HARD
+    if attributes.get("role", "").strip().lower() in ROLES:
         return HARD
-    for name, a, b, c in NAMED.findall(attributes):
-        value = a or b or c
-        if name.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return HARD
-        elif tag not in HEADINGS:
-            for token in value.split():
-                words = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", token))}
-                hints = HINTS if in_article else HINTS | PAGE_HINTS
-                if words & hints and words <= hints | BESIDE:
-                    soft = SOFT
-    return soft
+    if tag not in HEADINGS:
+        hints = HINTS if in_article else HINTS | PAGE_HINTS
+        for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+            words = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", token))}
+            if words & hints and words <= hints | BESIDE:
+                hint = COMMENT if words & COMMENTS else max(hint, HINT)
+                if hint == COMMENT:
+                    break
+    return hint
 
 
 class Block(NamedTuple):
-    """A run of text: the number of its path, its text, its parent block element, its tag, the hinted element around it (0: none)."""
+    """A run of text: the number of its path, its text, its block element, that one's tag, the hinted element around it (0: none), whether it is in an article, its share of link text and its links."""
 
     path: int
     text: str
-    parent: int
+    element: int
     tag: str
     hinted: int
+    in_article: bool
+    linked: float
+    links: int
+
+
+class Page(NamedTuple):
+    """Blocks; of each block element its parent and tag; of each hinted element the one around it, its kind and whether a title or article is in it."""
+
+    blocks: list[Block]
+    parents: list[int]
+    tags: list[str]
+    hints: dict[int, list]
 
 
 class Element(NamedTuple):
@@ -146,28 +176,37 @@ def tag_end(page: str, at: int, missing: set[str]) -> int:
     return -1
 
 
-def blocks(page: str) -> list[Block]:
+def parsed(page: str) -> Page:
     """The blocks of a page in order, in one pass: no tag, quote or open element is looked at again and again."""
     out: list[Block] = []
+    parents, tags, hints = [0], [""], {}
     stack, paths, text, missing = Stack(), {}, [], set()
-    number = at = 0
+    at = linked = links = n_hints = 0
 
     def close_block() -> None:
+        nonlocal linked, links
         if text:
-            if not stack.open[-1].hard and (joined := " ".join(decoded("".join(text)).split())):
-                own = stack.open[stack.blocks[-1]]
-                parent = stack.open[stack.blocks[-2]].number if len(stack.blocks) > 1 else 0
-                out.append(Block(own.path, joined, parent, own.tag, stack.open[-1].hinted))
+            if (joined := " ".join(decoded("".join(text)).split())):
+                own, last = stack.open[stack.blocks[-1]], stack.open[-1]
+                out.append(Block(own.path, joined, own.number, own.tag, last.hinted, last.in_article, linked / len("".join(text).strip()), links))
             text.clear()
+        linked = links = 0
+
+    def add(piece: str) -> None:
+        nonlocal linked
+        if not stack.open[-1].hard:
+            text.append(piece)
+            if stack.places.get("a"):
+                linked += len(piece.strip())
 
     size = len(page)
     while at < size:
         start = page.find("<", at)
         if start < 0:
-            text.append(page[at:])
+            add(page[at:])
             break
         if start > at:
-            text.append(page[at:start])
+            add(page[at:start])
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = size if end < 0 else end + 3
@@ -177,12 +216,12 @@ def blocks(page: str) -> list[Block]:
         if m is None:
             end = page.find(">", start) if page[start + 1 : start + 2] in ("!", "?", "/") else -1
             if end < 0:
-                text.append("<")
+                add("<")
             at = start + 1 if end < 0 else end + 1
             continue
         end = tag_end(page, m.end(), missing)
         if end < 0:  # no tag ends any more
-            text.append(page[start:])
+            add(page[start:])
             break
         tag, attributes, at = m[0].lower(), page[m.end() : end], end + 1
         if not closing:
@@ -193,7 +232,7 @@ def blocks(page: str) -> list[Block]:
                     at = at or size
                 continue
             if tag == "br":
-                text.append(" ")
+                add(" ")
                 continue
             if tag in BLOCK:
                 close_block()
@@ -203,15 +242,24 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID:
                 continue
             parent = stack.open[-1]
-            number += 1
+            links += tag == "a"
             article = parent.in_article or tag in ARTICLE
             own = stack.open[stack.blocks[-1]].tag
             verdict = left_out(tag, attributes, article, own in SENTENCE)
-            if verdict and not parent.hard:
+            if verdict > HARD and not parent.hard:
                 close_block()
             path = paths.setdefault((parent.path, tag), len(paths) + 1) if tag in BLOCK else parent.path
-            hinted = parent.hinted or (number if verdict == SOFT else 0)
-            stack.push(Element(tag, path, number if tag in BLOCK else parent.number, article, parent.hard or verdict == HARD, hinted))
+            hinted = parent.hinted
+            if verdict > HARD:
+                n_hints += 1
+                hints[n_hints] = [hinted, verdict, False]
+                hinted = n_hints
+            if (tag == "h1" or tag in ARTICLE) and hinted:
+                hints[hinted][2] = True
+            if tag in BLOCK:
+                parents.append(parent.number)
+                tags.append(tag)
+            stack.push(Element(tag, path, len(parents) - 1 if tag in BLOCK else parent.number, article, parent.hard or verdict == HARD, hinted))
         else:
             i = stack.last((tag,))
             if tag in BLOCK:
@@ -220,11 +268,11 @@ def blocks(page: str) -> list[Block]:
                 i = 0
             if i:
                 e, outer = stack.open[i], stack.open[i - 1]
-                if tag not in BLOCK and (e.hard, e.hinted) != (outer.hard, outer.hinted):
+                if tag not in BLOCK and e.hinted != outer.hinted:
                     close_block()
                 stack.cut(i)
     close_block()
-    return out
+    return Page(out, parents, tags, hints)
 
 
 def decoded(text: str) -> str:
@@ -238,21 +286,29 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def judged(found: list[Block]) -> list[Block]:
-    """The blocks outside hinted elements, and those of a hinted element of several blocks that holds most of the text."""
-    total = sum(len(b.text) for b in found)
-    held: dict[int, list[int]] = {}
-    for b in found:
-        held.setdefault(b.hinted, []).append(len(b.text))
-    whole = {h for h, sizes in held.items() if not h or len(sizes) >= WRAPPED and sum(sizes) > MOST * total}
-    return [b for b in found if b.hinted in whole]
-
-
-def content(found: list[Block]) -> list[str]:
-    """The texts of the content blocks."""
-    found = judged(found)
-    if not found:
-        return []
+def judged(page: Page) -> list[Block]:
+    """The blocks outside hinted elements, but for those that wrap most of the page: never comments, others only around a title or an article."""
+    total = sum(len(b.text) for b in page.blocks)
+    size, count = dict.fromkeys(page.hints, 0), dict.fromkeys(page.hints, 0)
+    for b in page.blocks:
+        if b.hinted:
+            size[b.hinted] += len(b.text)
+            count[b.hinted] += 1
+    for h in reversed(page.hints):  # from the inner ones to those around them
+        outer, _, titled = page.hints[h]
+        if outer:
+            size[outer] += size[h]
+            count[outer] += count[h]
+            page.hints[outer][2] |= titled
+    kept = {0}
+    for h, (outer, kind, titled) in page.hints.items():
+        if outer in kept and (kind == FORM or kind == HINT and titled) and count[h] >= WRAPPED and size[h] > MOST * total:
+            kept.add(h)
+    return [b for b in page.blocks if b.hinted in kept]
+
+
+def passing(found: list[Block]) -> set[int]:
+    """The paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
     totals: dict[int, list[float]] = {}
     for b in found:
         t = totals.setdefault(b.path, [0.0, 0.0, 0.0])
@@ -262,19 +318,74 @@ def content(found: list[Block]) -> list[str]:
     ratio = np.array([(totals[b.path][0] / totals[b.path][2], totals[b.path][1] / totals[b.path][2]) for b in found])
     fused = smooth(ratio[:, 0]) * (1 + smooth(ratio[:, 1]))
     least = THRESHOLD * fused.std()
-    passed = {b.path for b, f in zip(found, fused.tolist()) if f >= least}
-    parents = {b.parent for b in found if b.path in passed}
+    return {b.path for b, f in zip(found, fused.tolist()) if f >= least}
+
+
+def menus(page: Page, found: list[Block]) -> set[int]:
+    """The lists and boxes of nothing but links."""
+    text, linked, links = {}, {}, {}
+    for b in found:
+        g = group_of(page, b.element)
+        text[g] = text.get(g, 0) + len(b.text)
+        linked[g] = linked.get(g, 0) + b.linked * len(b.text)
+        links[g] = links.get(g, 0) + b.links
+    return {g for g in text if links[g] >= LINKS and linked[g] >= LINKED * text[g]}
+
+
+def group_of(page: Page, element: int) -> int:
+    """The list or table that an item or cell belongs to, else the element itself."""
+    at = element
+    while page.tags[at] in ROWS:
+        at = page.parents[at]
+    return at if page.tags[at] in LISTS else element
+
+
+def content(page: Page) -> list[str]:
+    """The texts of the content blocks."""
+    found = judged(page)
+    if not found:
+        return []
+    passed, links = passing(found), menus(page, found)
+    is_menu = [group_of(page, b.element) in links for b in found]
+    good = [b.path in passed and not m for b, m in zip(found, is_menu)]
+    weight = sum(len(b.text) for b, g in zip(found, good) if g)
+    n = len(page.parents)
+    sums, count, marks, has_good, has_part = [0] * n, [0] * n, [0] * n, [False] * n, [t in PARTS or t in HEADINGS for t in page.tags]
+    for b, g in zip(found, good):
+        sums[b.element] += len(b.text) * g
+        count[b.element] += 1
+        marks[b.element] += sum(map(b.text.count, PUNCTUATION))
+        has_good[b.element] |= g
+    for e in range(n - 1, 0, -1):  # an element comes after its parent
+        up = page.parents[e]
+        sums[up] += sums[e]
+        count[up] += count[e]
+        marks[up] += marks[e]
+        has_good[up] |= has_good[e]
+        has_part[up] |= has_part[e]
+    inside = [False] * n
+    if any(b.in_article for b in found) and 2 * sum(len(b.text) for b, g in zip(found, good) if g and b.in_article) >= weight:
+        for e in range(1, n):
+            bare = count[e] >= LINKS and not (marks[e] or has_good[e] or has_part[e])
+            inside[e] = page.tags[e] in ARTICLE or inside[page.parents[e]] and not bare
+        stays = [inside[b.element] for b in found]
+    else:
+        region = max((e for e in range(n) if sums[e] >= NEARLY_ALL * weight), default=0)
+        inside[region] = True
+        for e in range(region + 1, n):
+            inside[e] = inside[page.parents[e]] and (page.parents[e] != region or has_good[e] or has_part[e])
+        stays = [g or inside[b.element] and (b.element != region or b.path in passed) for b, g in zip(found, good)]
     kept, leads = [], False
-    for b in reversed(found):  # a heading is kept with what follows it
-        inside = b.path in passed or b.parent in parents
-        if inside or leads and b.tag in HEADINGS:
+    for b, m, s in reversed(list(zip(found, is_menu, stays))):  # a heading is kept with what follows it
+        inside_it = s and not m
+        if inside_it or leads and b.tag in HEADINGS:
             kept.append(b.text)
-        leads = inside or leads and b.tag in HEADINGS
+        leads = inside_it or leads and b.tag in HEADINGS
     return kept[::-1]
 
 
 def main_text(page: str) -> str:
-    return "\n\n".join(content(blocks(page)))
+    return "\n\n".join(content(parsed(page)))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -223,3 +223,73 @@ def test_main_text_query(spark, sf):
         plain = re.sub(r"<(script|style|nav|footer|aside|form)\b.*?</\1>|<!--.*?-->", "", inner, flags=re.S)
         parts = [html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))) for p in re.split(r"</?(?:p|h1|h2|div|li|ul)\b[^>]*>", plain)]
         assert r.text == "\n\n".join(t for p in parts if (t := " ".join(p.split())))
+
+
+LONG = "A sentence of the article, with marks and words. " * 6
+PARAGRAPHS = "".join(f"<p>{LONG}{i}</p>" for i in range(6))
+PLAIN = [f"{LONG}{i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("part, want", [
+    ("<table><tr><th>Year</th><td>Sum</td></tr><tr><td>1999</td><td>7</td></tr></table>", ["Year", "Sum", "1999", "7"]), ("<ul><li>one</li><li>two</li></ul>", ["one", "two"]), ("<pre>x = 1\ny</pre>", ["x = 1 y"]),
+    ("<figure><img src=x><figcaption>A caption</figcaption></figure>", ["A caption"]), ("<blockquote>Quoted words</blockquote>", ["Quoted words"]),
+])
+def test_main_text_keeps_the_parts_of_an_article(part, want):
+    """Tables, lists, code, captions and quotations stay, in a box of their own too, in marked articles and without any mark."""
+    for box in (part, f"<div>{part}</div>", f"<div class='wide'><div>{part}</div></div>"):
+        for tag in ("article", "main", "div"):
+            page = f"<body><nav>Menu</nav><{tag}><h1>Title</h1>{PARAGRAPHS}<h2>Part</h2>{box}<p>{LONG}6</p></{tag}><footer>foot</footer></body>"
+            assert main_text(page).split("\n\n") == ["Title", *PLAIN, "Part", *want, f"{LONG}6"]
+
+
+def test_main_text_without_longer_comments():
+    comments = "".join(f"<p>{LONG * 3}reader {i}</p>" for i in range(5))
+    for named in ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="disqus"'):
+        tag = named.split()[0]
+        for inner in (comments, f"<article>{comments}</article>", f"<h1>Comments</h1>{comments}"):
+            assert main_text(f"<body><article><h1>Title</h1><p>Short, it is.</p><p>Over.</p></article><{named}>{inner}</{tag}></body>") == "Title\n\nShort, it is.\n\nOver."
+            assert main_text(f"<body><div><h1>Title</h1><p>Short, it is, but long enough.</p></div><{named}>{inner}</{tag}></body>") == "Title\n\nShort, it is, but long enough."
+            assert main_text(f"<div class='main-wrapper nav'><article><h1>Title</h1>{PARAGRAPHS}</article><{named}>{inner}</{tag}></div>").split("\n\n") == ["Title", *PLAIN]
+
+
+def test_main_text_reads_attributes_by_name():
+    for attributes in ('title="The hidden valley"', 'class="flex hidden lg:block"', 'data-id="footer"', 'data-role="dialog"', "data-hidden=1", 'aria-hidden="false"', 'alt="display:none"', 'data-class="ad"'):
+        assert main_text(f"<article><p {attributes}>Here, it stays.</p><p>{LONG}</p></article>") == f"Here, it stays.\n\n{LONG.strip()}"
+    for attributes in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', "style='color:red; display : none'", 'role="dialog"', "class=ad", 'id="x" class="big ad-box"'):
+        assert main_text(f"<article><div {attributes}><p>Gone, away.</p></div><p>{LONG}</p></article>") == LONG.strip()
+    assert main_text("<article><p>Choose <select><option>A</option><option>B</option></select> now.</p></article>") == "Choose now."
+
+
+def planted_page(rng):
+    """A page and its truth: title, paragraphs, parts and noise around them, with and without marks."""
+    words = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    sentence = lambda: words(rng.randint(6, 16)).capitalize() + ", " + words(rng.randint(4, 9)) + "."
+    truth, body = [words(4)], []
+    body.append(f"<h1>{truth[0]}</h1>")
+    for k in range(rng.randint(3, 9)):
+        text = " ".join(sentence() for _ in range(rng.randint(2, 5)))
+        truth.append(text)
+        body.append(f"<p>{text}</p>")
+        if rng.random() < 0.3:
+            cells = [words(2) for _ in range(4)]
+            truth += cells
+            body.append(rng.choice(["<div><table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table></div>", "<ul><li>{}</li><li>{}</li><li>{}</li><li>{}</li></ul>"]).format(*cells))
+    links = lambda n: "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(n))
+    noise = [f"<div><ul>{links(8)}</ul></div>", f"<div>{''.join(f'<a href=/>{words(1)}</a> ' for _ in range(6))}</div>", f"<div class='ad'>{sentence()}</div>", f"<div><span>{words(3)}</span></div>", f"<div class='sidebar'><p>{sentence()}</p><ul>{links(5)}</ul></div>"]
+    rng.shuffle(noise)
+    comments = "<div id='comments'>" + "".join(f"<p>{' '.join(sentence() for _ in range(6))}</p>" for _ in range(rng.choice([0, 3, 12]))) + "</div>"
+    tag = rng.choice(["article", "main", "div", "section", "div class='entry'"])
+    inner = "".join(body)
+    return f"<body>{noise[0]}{noise[1]}<{tag}>{inner}{noise[2]}</{tag.split()[0]}>{comments}{noise[3]}{noise[4]}<div>© {words(2)}</div></body>", truth
+
+
+VOCABULARY = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "st", "r")]
+
+
+def test_main_text_of_planted_pages():
+    rng, hit, found, wanted = random.Random(4), 0, 0, 0
+    for _ in range(200):
+        page, truth = planted_page(rng)
+        got, want = Counter(main_text(page).split()), Counter(" ".join(truth).split())
+        hit, found, wanted = hit + sum((got & want).values()), found + sum(got.values()), wanted + sum(want.values())
+    assert 2 * hit / (found + wanted) >= 0.98
