@@ -9,14 +9,13 @@ that the transitions see switches. Long texts are labelled in windows of words,
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded, slices, texts_of
@@ -28,6 +27,8 @@ BUCKETS, WINDOW, SPAN = 1 << 17, 64, 16
 SCORED, LABELLED, KEPT, KEPT_CHARS = 4096, 512, 150_000, 3_000_000
 #: Bounds of the training sample: documents a language, characters of a document (from a place drawn by hash), spans a document.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SPANS = 200, 20_000, 30
+#: Languages that are learned at most.
+LANGUAGES = 100
 #: Words of a language's lexicon, their least count in the sample, and the least share of the language among them.
 LEXICON, LEXICON_COUNT, LEXICON_SHARE = 5_000, 3, 0.8
 STEPS, RATE, DECAY = 25, 0.4, 1e-4
@@ -262,26 +263,25 @@ def held_out(id_col: str) -> F.Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS) -> Model | None:
     """Fit on a sample of at most `docs` documents of each language, of those that are not held out.
 
-    The sample is drawn by a hash of the id from all labelled rows; of a longer text it takes TRAIN_CHARS characters from
-    a place that the hash gives. Rows whose id, language or text is null are not drawn.
+    The sample is drawn for each language by itself, by a hash of the id from all labelled rows; an id counts once in a language,
+    however often its rows are repeated (with its least text). Of a longer text it takes TRAIN_CHARS characters from a place
+    that the hash gives. Rows whose id, language or text is null are not drawn. Learned are the LANGUAGES languages with the most ids (ties: the first
+    by name), so that the sample stays bounded where the column holds other things too.
     """
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    labelled = labelled.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    labelled = labelled.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    ids = labelled.select("lang", "id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in ids.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     place = (F.xxhash64("id", "lang") / F.lit(float(1 << 64)) + 0.5).alias("place")
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.5 * docs / n))) for k, n in counts.items()))
-    drawn = labelled.filter(F.col("text").isNotNull()).withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
+    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(2.0, 1.5 * docs / n))) for k, n in counts.items()))  # over 1: all
+    drawn = labelled.filter(F.col("lang").isin(list(counts))).withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
     start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int") + 1
     drawn = drawn.select("id", F.substring(F.col("text"), start, F.lit(TRAIN_CHARS)).alias("text"), "lang", "place")
-    rows = drawn.orderBy("place").limit(2 * docs * len(counts)).collect()
-    taken: Counter = Counter()
-    sample = []
-    for r in sorted(rows, key=lambda r: (r["place"], r["id"], r["text"])):
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= docs:
-            sample.append(r)
+    once = drawn.groupBy("lang", "place", "id").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))  # of about 1.5 * docs rows a language
+    sample = once.withColumn("k", first).filter(F.col("k") <= docs).orderBy("place", "id", "lang").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

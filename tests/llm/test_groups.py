@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -313,3 +314,24 @@ def test_pipeline_on_nothing(spark):
         for _, stage in P.STAGES:
             out = stage(spark, out, "")
         assert out.collect() == []
+
+
+def test_languages_whose_rows_repeat(spark):
+    """A language is sampled by itself and an id counts once, so that one id with thousands of rows takes no other's place."""
+    rng = random.Random(8)
+    kinds = {"en": "the house with this water and thing", "fr": "une maison avec cette eau et chose", "de": "ein Haus mit diesem Wasser und Ding"}
+    text = lambda lang: " ".join(rng.choice(kinds[lang].split()) for _ in range(30))
+    rows = [(i, text("en"), "en") for i in range(100)] + [(1000 + i, text("fr"), "fr") for i in range(100)]
+    learned = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows += [(learned, text("de"), "de")] * 4000
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len(got) == 4200 and all(r.lang_pred == want[r.doc_id] for r in got)
+
+
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    from millrace.llm import language
+
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, "the water and this house", "en") for i in range(30)] + [(100 + i, "une maison avec cette eau", "fr") for i in range(20)] + [(200 + i, "x y", f"dirt {i}") for i in range(40)]
+    assert {r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"en", "fr"}
