@@ -38,6 +38,19 @@ def _(t):
     return by_segment(S.read_delimited(t.spark, path)[0])
 
 
+@query("i03_quoted_records", "SELECT o_orderstatus, count(*) AS n, CAST(sum(length(o_orderpriority) * 2 + 13) AS BIGINT) AS chars, count(*) FILTER (o_orderkey % 3 = 0) AS marked FROM orders GROUP BY o_orderstatus")
+def _(t):
+    """Every cell of text holds a line break, a delimiter and quotes, and every file a banner and a letter that is no UTF-8."""
+    path, priority = scratch(t), F.col("o_orderpriority")
+    cell = F.concat(F.lit('"'), priority, F.lit(',\n""é""\n\n;'), priority, F.lit(' |end"'))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", cell, F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("y"))
+    lines = t("orders").select(F.encode(line, "ISO-8859-1").cast("string").alias("value"), F.spark_partition_id().alias("p"), F.lit(1).alias("k"))
+    head = lines.select("p").distinct().select(F.lit("Report\no_orderkey,o_orderstatus,text,mark").alias("value"), "p", F.lit(0).alias("k"))
+    head.union(lines).repartition("p").sortWithinPartitions("p", "k").select("value").write.text(path)
+    rows = S.read_delimited(t.spark, path)[0]
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"), F.count_if(F.col("mark") == "x").alias("marked"))
+
+
 @query("i04_read_json", BY_SEGMENT)
 def _(t):
     path = scratch(t)

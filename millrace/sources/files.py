@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import json
 import re
-from collections import Counter
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import ParseException
@@ -13,15 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.cleaning import content_hash, normalize_columns
+from ..operators.cleaning import content_hash
+from .delimited import read_delimited as read_delimited
 
-# Encodings and delimiters that are tried, wrapper fields of JSON, and limits of a guarded table.
-ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
-DELIMITERS = (",", ";", "\t", "|")
+# Wrapper fields of JSON, and limits of a guarded table.
 WRAPPERS = ("data", "records", "rows", "results", "items")
 MAX_ROWS, MAX_COLUMNS, MAX_CELL = 500_000, 250, 10_000
-#: Lines from which a file's make is sniffed.
-SNIFFED_LINES = 300
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -34,67 +29,6 @@ def read_csv_strict(spark: SparkSession, path: str, schema: str | None = None) -
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """file, block and line of every line that is not blank, by Spark's own splitting of files.
-
-    Windows-1252 is read as ISO 8859-1, the only single-byte set Spark takes, and its 27 other characters are put right.
-    """
-    single = encoding != "utf-8"
-    reader = spark.read.option("encoding", "iso-8859-1" if single else "utf-8").option("sep", "\x01").option("quote", "\x02").schema("line string")
-    lines = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "line")
-    if encoding == "windows-1252":
-        codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
-        lines = lines.withColumn("line", F.translate("line", "".join(map(chr, codes)), bytes(codes).decode("cp1252")))
-    return lines
-
-
-def head_of(spark: SparkSession, path: str) -> bytes:
-    """The first lines of a file of the path, as bytes."""
-    first = lines_of(spark, path, "iso-8859-1").filter("block = 0").select("line").limit(SNIFFED_LINES)
-    return "\n".join(r["line"] for r in first.collect()).encode("iso-8859-1", "replace")
-
-
-def sniff(head: bytes) -> tuple[str, str, int]:
-    """Encoding, delimiter and banner lines before the header of a file's first lines."""
-    for encoding in ENCODINGS:
-        try:
-            text = head.removeprefix(b"\xef\xbb\xbf").decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
-    rows = [line for line in text.splitlines() if line.strip()]
-    if len(rows) < SNIFFED_LINES and text.count('"') % 2:
-        raise ValueError("a quote is not closed")
-    best = max(DELIMITERS, key=lambda d: sum(r.count(d) for r in rows))
-    widths = [len(next(csv.reader([r], delimiter=best), [])) for r in rows]
-    # the header has as many fields as most lines; lines above it are a banner
-    usual = Counter(w for w in widths if w > 1).most_common(1)
-    banner = widths.index(usual[0][0]) if usual else 0
-    return encoding, best, banner
-
-
-def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A delimited file of unknown make as text columns, and a report: encoding, delimiter, banner lines, rows, short and long rows.
-
-    Lines are split by Spark; short rows are filled with nulls, long ones are cut. The banner and the header are left out
-    by their places, the first lines of each file, so a row that repeats them stays.
-    """
-    head = head_of(spark, path)
-    encoding, delimiter, banner = sniff(head)
-    header_line = [line for line in head.removeprefix(b"\xef\xbb\xbf").decode(encoding).splitlines() if line.strip()][banner]
-    header = next(csv.reader([header_line], delimiter=delimiter))
-    names = normalize_columns(spark.range(0).select(*(F.lit("").alias(h) for h in header))).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("more fields", T.StringType())])
-    # lines of a split are numbered in order; the first lines of a file are in the split that starts at 0
-    lines = lines_of(spark, path, encoding).withColumn("id", F.monotonically_increasing_id())
-    starts = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("id", "line")).alias("first")).select("file", F.col("first.id").alias("first"))
-    placed = lines.filter("block = 0").join(starts, "file").filter(F.col("id") > F.col("first") + banner).select("line")
-    parsed = F.from_csv("line", ", ".join(f"`{f.name}` string" for f in schema), {"sep": delimiter, "mode": "PERMISSIVE"})
-    data = placed.union(lines.filter("block <> 0").select("line")).select(parsed.alias("row")).select("row.*")
-    report = data.agg(F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter"), F.lit(banner).alias("banner_lines"), F.count("*").alias("rows"), F.count_if(F.col(f"`{names[-1]}`").isNull()).alias("short_rows"), F.count_if(F.col("more fields").isNotNull()).alias("long_rows"))
-    return data.drop("more fields"), report
-
-
 def flatten(df: DataFrame) -> DataFrame:
     """Nested fields as columns with dotted names; arrays stay."""
 
