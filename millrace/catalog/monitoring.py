@@ -1,5 +1,8 @@
 """Queries of profiles, quality, versions, drift and outliers."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
@@ -126,10 +129,16 @@ def _(t):
     return Q.category_delta(p, p.filter("p_brand LIKE '%1%'"), "p_brand")
 
 
-@query("d06_frames_equal", "SELECT true AS equal")
+@query("d06_frames_equal", "SELECT * FROM (VALUES ('shuffled', true), ('nudged', true), ('swapped', false), ('one more', false)) t(edit, equal)")
 def _(t):
-    o = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return Q.frames_equal(o, o.repartition(7, "o_orderstatus"))
+    """Of edits of a table: rows shuffled, fractions nudged so that near ties sort differently, two cells swapped, a row repeated."""
+    o = t("orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.round(F.col("o_totalprice").cast("double"), -4).alias("about"), "o_orderstatus")
+    nudged = o.withColumn("about", F.col("about") * (1 + F.when(F.col("o_orderkey") % 2 == 0, 1e-9).otherwise(-1e-9)))
+    first, last = (t("orders").agg(f("o_orderkey")).first()[0] for f in (F.min, F.max))
+    swapped = o.withColumn("o_orderkey", F.when(F.col("o_orderkey") == first, last).when(F.col("o_orderkey") == last, first).otherwise(F.col("o_orderkey")))
+    edits = {"shuffled": o.repartition(7, "o_orderstatus"), "nudged": nudged.drop("o_orderkey"), "swapped": swapped, "one more": o.union(o.filter(F.col("o_orderkey") == first))}
+    parts = [Q.frames_equal(o if "o_orderkey" in d.columns else o.drop("o_orderkey"), d).select(F.lit(name).alias("edit"), "equal") for name, d in edits.items()]
+    return reduce(DataFrame.union, parts)
 
 
 @query("n01_outliers_iqr", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT l_returnflag, count(*) FILTER (l_extendedprice < a - 0.8 * (b - a) OR l_extendedprice > b + 0.8 * (b - a)) AS n FROM lineitem, q GROUP BY l_returnflag")

@@ -81,10 +81,17 @@ def _(t):
     return C.impute(t("part").select("p_partkey", "p_retailprice", F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).alias("s")), "p_retailprice", ["s"])
 
 
-@query("c17_fuzzy_categories", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL")
+@query("c17_fuzzy_categories", """
+    SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL UNION ALL
+    SELECT CASE c_nationkey % 4 WHEN 0 THEN '北京' WHEN 1 THEN '上海' WHEN 2 THEN 'Москва' ELSE '?' END, count(*) FROM customer GROUP BY ALL
+""")
 def _(t):
-    noisy = t("customer").select(F.when(F.col("c_custkey") % 7 == 0, F.concat(F.substring("c_mktsegment", 1, 20), F.lit("."))).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
-    return C.merge_fuzzy_categories(noisy, "c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    """Spellings with a mark at the end, with two, and in scripts without ASCII letters."""
+    k = F.col("c_custkey")
+    marks = F.when(k % 49 == 0, "..x").when(k % 7 == 0, ".").otherwise("")
+    noisy = t("customer").select(F.concat("c_mktsegment", marks).alias("c_mktsegment"))
+    other = F.when(F.col("c_nationkey") % 4 == 0, "北京").when(F.col("c_nationkey") % 4 == 1, "上海").when(F.col("c_nationkey") % 4 == 2, F.when(k % 9 == 0, "москва!").otherwise("Москва")).otherwise("?")
+    return C.merge_fuzzy_categories(noisy.union(t("customer").select(other)), "c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @query("c18_mask", "SELECT c_custkey, 'MASKED_' || substr(sha256(c_custkey || '@example.com_s'), 1, 12) AS mail FROM customer")
@@ -97,9 +104,15 @@ def _(t):
     return C.row_policy(t("customer"), c_mktsegment="BUILDING").agg(F.count("*").alias("n"))
 
 
-@query("c21_content_hash")
+@query("c21_content_hash", "SELECT count(*) AS rows, true AS same_in_any_order, false AS same_with_a_cell_changed, false AS same_with_null_as_text FROM orders")
 def _(t):
-    return C.content_hash(t("orders"))
+    o = t("orders")
+    hashed = lambda df, name: C.content_hash(df).select("rows", F.col("sha256").alias(name))
+    other = o.select(*reversed(o.columns)).repartition(5, "o_custkey")
+    changed = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == F.lit(o.agg(F.min("o_orderkey")).first()[0]), "?").otherwise(F.col("o_orderstatus")))
+    holed = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")))
+    facts = hashed(o, "a").join(hashed(other, "b"), "rows").join(hashed(changed, "c"), "rows").join(hashed(holed, "d"), "rows").join(hashed(holed.fillna("\x00", ["o_orderstatus"]), "e"), "rows")
+    return facts.select("rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") == F.col("c")).alias("same_with_a_cell_changed"), (F.col("d") == F.col("e")).alias("same_with_null_as_text"))
 
 
 @query("f01_where", """

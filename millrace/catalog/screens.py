@@ -152,7 +152,12 @@ def _(t):
     return M.risk_score(o.select("big", "o_orderpriority", "o_orderdate", F.length("o_orderstatus").alias("l"), (F.col("o_custkey") % 10).alias("k")), "big", ["o_orderpriority", "k"], "o_orderdate")[1]
 
 
-@query("c20_transformation_record")
+@query("c20_transformation_record", "SELECT 'filter' AS operation, true AS starts_where_it_should, true AS ends_where_it_should, true AS chained, false AS forged")
 def _(t):
+    """A record of a step, its hashes against those of the tables in another order, and the chain against that of another first record."""
     o = t("orders")
-    return C.transformation_record("filter", o, o.filter("o_orderkey % 2 = 0"))
+    record = C.transformation_record("filter", o, o.filter("o_orderkey % 2 = 0"), "start")
+    again = C.transformation_record("filter", o.repartition(3, "o_custkey"), o.filter("o_orderkey % 2 = 0").orderBy("o_custkey"), "start").select(F.col("before").alias("b"), F.col("after").alias("a"), F.col("record").alias("r"))
+    forged = C.transformation_record("filter", o, o.filter("o_orderkey % 2 = 0"), "other").select(F.col("record").alias("f"))
+    same = record.crossJoin(again).crossJoin(forged)  # a row each
+    return same.select("operation", (F.col("before") == F.col("b")).alias("starts_where_it_should"), (F.col("after") == F.col("a")).alias("ends_where_it_should"), (F.col("record") == F.col("r")).alias("chained"), (F.col("record") == F.col("f")).alias("forged"))

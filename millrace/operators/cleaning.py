@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clip, similarity
+from .lineage import followed
 from .ranks import column_quantiles
 
 # Tokens that stand for a missing value, numbers that do, and patterns of personal data.
@@ -246,20 +247,22 @@ def spelled_alike(values: DataFrame, threshold: float) -> DataFrame:
 
 
 def merge_fuzzy_categories(df: DataFrame, column: str, threshold: float = 80.0) -> DataFrame:
-    """Spelling variants (edit similarity, or the same letters and digits) become the most frequent spelling like them.
+    """Spelling variants (edit similarity, or the same letters and digits of any script) become the most frequent spelling like them.
 
-    Works on the distinct values, however many: candidates share a part of their text, so no value meets all others.
+    A chain of variants ends in one spelling: where a value's more frequent spelling has a more frequent one itself, both
+    become that one. Values without a letter or digit are like others by similarity alone. Works on the distinct values, however
+    many: candidates share a part of their text, so no value meets all others.
     """
     if not 50 < threshold <= 100:
         raise ValueError("a threshold is above 50 and at most 100")
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    values = counts.select("v", F.lower("v").alias("low"), F.lower(F.regexp_replace("v", "[^A-Za-z0-9]", "")).alias("bare"))
+    values = counts.select("v", F.lower("v").alias("low"), F.lower(F.regexp_replace("v", r"[^\p{L}\p{M}\p{N}]", "")).alias("bare"))
     best_bare = F.max_by("v", F.struct("n", "v"))
-    same = counts.join(values, "v").groupBy("bare").agg(best_bare.alias("b"))
+    same = counts.join(values.filter("bare <> ''"), "v").groupBy("bare").agg(best_bare.alias("b"))
     pairs = spelled_alike(values, threshold).union(values.join(same, "bare").filter("v <> b").select(F.col("v").alias("a"), "b"))
     a, b = counts.select(F.col("v").alias("a"), F.col("n").alias("na")), counts.select(F.col("v").alias("b"), F.col("n").alias("nb"))
     like = pairs.join(a, "a").join(b, "b").filter((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-    best = like.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("canonical"))
+    best = followed(like.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b"))).withColumnRenamed("root", "canonical")
     return df.join(best, F.col(column) == F.col("a"), "left").withColumn(column, F.coalesce("canonical", column)).drop("a", "canonical")
 
 
@@ -280,11 +283,42 @@ def row_policy(df: DataFrame, **allowed) -> DataFrame:
     return df.filter(reduce(lambda x, y: x & y, (F.col(c) == v for c, v in allowed.items())))
 
 
+def as_text(f: T.StructField) -> Column:
+    """A cell as text that differs where values differ; nested values as JSON."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    return ((c + F.lit(0.0).cast(f.dataType)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c).cast("string")  # -0.0 is 0.0
+
+
+def row_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of a row as one text that differs where a cell differs, a null from any value and a column from its neighbour.
+
+    Every cell is written with its length before it, a null as a mark that no length has.
+    """
+    kinds = {f.name: f for f in df.schema.fields}
+    cells = [F.coalesce(F.concat(F.length(as_text(kinds[c])).cast("string"), F.lit(":"), as_text(kinds[c])), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(*cells), 256) if cells else F.lit("")
+
+
+def multiset_sums(key: Column, digits: int = 15) -> list[Column]:
+    """Sums of the parts of hexadecimal SHA-256 digests: together the sum of the digests as whole numbers, the same in any order of rows."""
+    return [F.sum(F.conv(F.substring(key, i, min(digits, 65 - i)), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(1, 65, digits)]
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """rows and a SHA-256 that depends on the rows and column names, not on their order."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.concat(F.lit(re.sub(r"\s+", " ", c)), F.lit("="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))) for c in sorted(df.columns))), 256)
-    half = lambda i: F.conv(F.substring(row, i, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b")).select("rows", F.sha2(F.concat_ws("/", "rows", "a", "b"), 256).alias("sha256"))
+    """rows and a SHA-256 that depends on the rows and column names, not on their order.
+
+    The rows' digests are added up in full, 256 bits each, so that equal hashes of different rows would be a collision of
+    SHA-256; then count, sums and the column names, written with their lengths, are hashed.
+    """
+    names = sorted(df.columns)
+    sums = multiset_sums(row_key(df, names))
+    head = "".join(f"{len(n)}:{n}" for n in (re.sub(r"\s+", " ", c) for c in names))
+    facts = df.agg(F.count("*").alias("rows"), F.array(*(F.coalesce(s, F.lit("0")) for s in sums)).alias("sums"))
+    return facts.select("rows", F.sha2(F.concat(F.lit(head), F.lit("/"), F.col("rows").cast("string"), F.lit("/"), F.array_join("sums", "/")), 256).alias("sha256"))
 
 
 def clipped(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, group_label, ratio
+from .cleaning import as_text, multiset_sums, row_key
 from .ranks import bounds_of, column_quantiles, group_quantiles
 
 
@@ -21,14 +22,6 @@ def numeric(df: DataFrame) -> list[str]:
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
 
 
-def as_text(f: T.StructField) -> Column:
-    """A cell as text that differs where values differ; nested values as JSON."""
-    c = F.col(f"`{f.name}`")
-    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
-    return ((c + F.lit(0.0).cast(f.dataType)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c).cast("string")  # -0.0 is 0.0
-
-
 def profile(df: DataFrame) -> DataFrame:
     """One row per column, all exact: rows, nulls, distinct values, and for numbers moments and quantiles.
 
@@ -195,53 +188,73 @@ def category_delta(before: DataFrame, after: DataFrame, column: str) -> DataFram
     return a.join(b, "item", "left_anti").withColumn("state", F.lit("added")).union(b.join(a, "item", "left_anti").withColumn("state", F.lit("removed")))
 
 
-def row_key(df: DataFrame, columns: Sequence[str]) -> Column:
-    """A row as one text that differs where a cell differs, a null from any value and a column from its neighbour."""
-    kinds = {f.name: f for f in df.schema.fields}
-    cells = [F.coalesce(F.concat(F.length(as_text(kinds[c])).cast("string"), F.lit(":"), as_text(kinds[c])), F.lit("-")) for c in columns]
-    return F.sha2(F.concat(*cells), 256) if cells else F.lit("")
-
-
 def relation_digest(df: DataFrame) -> DataFrame:
     """rows and two sums over the SHA-256 of each row: equal for the same rows in any order, and for no others but by chance of 2 ** -100."""
     key = row_key(df, sorted(df.columns))
-    half = lambda i: F.sum(F.conv(F.substring(key, i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    return df.agg(F.count("*").alias("rows"), half(1).alias("first"), half(16).alias("second"))
+    first, second = multiset_sums(key)[:2]
+    return df.agg(F.count("*").alias("rows"), first.alias("first"), second.alias("second"))
+
+
+def near_ranks(df: DataFrame, column: str, tolerance: float) -> DataFrame:
+    """value, rank: the distinct values of a column, those at most the tolerance from the value before under one rank (null: -1).
+
+    Values are cut into ranges; in each the gaps over the tolerance are counted up, and a range goes on from the counts before it.
+    """
+    values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
+    edges = bounds_of(values, F.col("value"), 64)
+    cut = values.withColumn("range", bucketed(F.col("value"), edges))
+    inside = Window.partitionBy("range").orderBy("value")
+    gaps = cut.withColumn("step", (F.col("value") - F.lag("value").over(inside) > tolerance * F.greatest(F.lit(1.0), F.abs("value"))).cast("long"))
+    counted = gaps.withColumn("in range", F.sum(F.coalesce("step", F.lit(0))).over(inside))
+    ends = counted.groupBy("range").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.max("in range").alias("steps"))
+    before = Window.orderBy("range")  # 65 rows at most
+    jump = F.coalesce((F.col("least") - F.lag("most").over(before) > tolerance * F.greatest(F.lit(1.0), F.abs("least"))).cast("long"), F.lit(0))
+    offsets = ends.withColumn("jump", jump).select("range", (F.sum("jump").over(before) + F.coalesce(F.sum("steps").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"))
+    return counted.join(F.broadcast(offsets), "range").select("value", (F.col("in range") + F.col("offset")).alias("rank"))
 
 
 def frames_equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Whether two results hold the same rows, in any order and as often; fractions may differ by a relative tolerance.
+    """Whether two results hold the same rows, in any order and as often; fractions may differ by a tolerance.
 
-    Rows meet by all their other columns. Where those agree, rows are put in the order of their fractions and each pair
-    at one place is compared, so a swapped cell or one changed text among many is a difference.
+    The tolerance is absolute up to 1 and relative beyond. Values of a column that are linked by steps within it share a rank, on both sides, so
+    that fractions that are nearly equal never sort rows apart: rows of the same other columns and ranks form a class. Where
+    all values of a class lie within the tolerance, its rows are counted. In any other class rows are put in the order of the fractions that
+    spread there, and each pair at one place is compared, which is exact where one column spreads. Infinities and NaN equal themselves only.
     """
     if sorted(a.columns) != sorted(b.columns):
         return a.sparkSession.createDataFrame([(False,)], "equal boolean")
     fraction = lambda d: {f.name for f in d.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))}
     loose = sorted(fraction(a) | fraction(b))
     exact = sorted(set(a.columns) - set(loose))
-
-    # rows of one key are cut into ranges of the first fraction, the same for both sides, and each range is offset by those before it
-    edges = bounds_of(a, F.col(f"`{loose[0]}`").cast("double"), 64) if loose else []
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(row_key(df, exact).alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"{i}{name}") for i, c in enumerate(loose)))
-        if not loose:
-            return rows.groupBy("key").agg(F.count("*").alias("place"))
-        rows = rows.withColumn("range", F.coalesce(bucketed(F.col(f"0{name}"), edges), F.lit(-1)))
-        before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows
-        starts = rows.groupBy("key", "range").agg(F.count("*").alias("n")).select("key", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        order = Window.partitionBy("key", "range").orderBy(*(F.col(f"{i}{name}").asc_nulls_first() for i in range(len(loose))))
-        return rows.join(starts, ["key", "range"]).withColumn("place", F.col("start") + F.row_number().over(order)).drop("range", "start")
-
-    x, y = placed(a, "a").withColumn("left", F.lit(1)), placed(b, "b").withColumn("right", F.lit(1))
-    both = x.join(y, ["key", "place"], "full_outer")
-    differ = F.col("left").isNull() | F.col("right").isNull()
-    for i in range(len(loose)):
-        p, q = F.col(f"{i}a"), F.col(f"{i}b")
-        near = F.abs(p - q) <= tolerance * F.greatest(F.lit(1.0), F.abs(p))
-        differ = differ | ~(p.eqNullSafe(q) | F.coalesce(near, F.lit(False)))
-    return both.agg((F.count_if(differ) == 0).alias("equal"))
+    each = range(len(loose))
+
+    def keyed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(row_key(df, exact).alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(loose)), F.lit(sign).alias("sign"))
+
+    rows = keyed(a, 1).union(keyed(b, -1))
+    for i in each:
+        c = F.col(f"c{i}")
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        ranks = near_ranks(rows.filter(~odd), f"c{i}", tolerance).select(F.col("value").alias(f"v{i}"), F.col("rank").cast("string").alias(f"r{i}"))
+        rows = rows.join(ranks, c == F.col(f"v{i}"), "left").withColumn(f"r{i}", F.coalesce(F.when(odd, c.cast("string")), F.col(f"r{i}"), F.lit("null"))).drop(f"v{i}")
+    rows = rows.select(F.sha2(F.concat_ws("/", "key", *(f"r{i}" for i in each)), 256).alias("class"), *(F.when(~F.isnan(f"c{i}") & (F.abs(f"c{i}") != float("inf")), F.col(f"c{i}")).alias(f"c{i}") for i in each), "sign")
+    spreads = lambda i: F.coalesce(F.max(f"c{i}") - F.min(f"c{i}") > tolerance * F.greatest(F.lit(1.0), F.abs(F.min(f"c{i}"))), F.lit(False))
+    classes = rows.groupBy("class").agg(F.sum("sign").alias("left over"), *(spreads(i).alias(f"s{i}") for i in each))
+    uneven = classes.agg(F.count_if(F.col("left over") != 0).alias("n"))
+    if not loose:
+        return uneven.select((F.col("n") == 0).alias("equal"))
+    wide = rows.join(classes.filter(reduce(lambda x, y: x | y, (F.col(f"s{i}") for i in each))).drop("left over"), "class")
+    wide = wide.select("class", "sign", *(F.when(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in each)).withColumn("first", F.coalesce(*(F.col(f"c{i}") for i in each)))
+    # the rows of a class are numbered within ranges of their first fraction, the same for both sides, offset by the ranges before
+    ranged = wide.withColumn("range", bucketed(F.col("first"), bounds_of(wide, F.col("first"), 64)))
+    before = Window.partitionBy("class", "sign").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    starts = ranged.groupBy("class", "sign", "range").agg(F.count("*").alias("n")).select("class", "sign", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("class", "sign", "range").orderBy("first", *(f"c{i}" for i in each))
+    numbered = ranged.join(starts, ["class", "sign", "range"]).withColumn("place", F.col("start") + F.row_number().over(order))
+    both = numbered.groupBy("class", "place").agg(*(F.max(F.when(F.col("sign") == sign, F.col(f"c{i}"))).alias(f"c{i}{name}") for i in each for sign, name in ((1, "a"), (-1, "b"))))
+    far = [F.abs(F.col(f"c{i}a") - F.col(f"c{i}b")) > tolerance * F.greatest(F.lit(1.0), F.abs(f"c{i}a")) for i in each]
+    apart = both.agg(F.count_if(reduce(lambda x, y: x | y, (F.coalesce(f, F.lit(False)) for f in far))).alias("m"))
+    return uneven.crossJoin(apart).select(((F.col("n") == 0) & (F.col("m") == 0)).alias("equal"))
 
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", k: float | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from .delimited import read_delimited as read_delimited
 
 # Wrapper fields of JSON, and limits of a guarded table.
 WRAPPERS = ("data", "records", "rows", "results", "items")
+#: Built-in functions that reach outside a query's rows: into the JVM, the session or its files.
+OUTSIDE = frozenset("current_catalog current_database current_schema current_user input_file_block_length input_file_block_start input_file_name java_method raise_error reflect session_user try_reflect user version".split())
 MAX_ROWS, MAX_COLUMNS, MAX_CELL = 500_000, 250, 10_000
 
 
@@ -57,14 +59,55 @@ def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+def strings_in(node) -> list[str]:
+    """The items of a Scala sequence of strings."""
+    return [node.apply(i) for i in range(node.size())]
+
+
+def walk(plan):
+    """Every node of a parsed plan: its children, the queries a WITH defines, and the queries inside its expressions."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        for kind in ("children", "innerChildren"):
+            found = getattr(node, kind)()
+            todo += [found.apply(i) for i in range(found.size())]
+        expressions = node.expressions() if hasattr_java(node, "expressions") else None
+        todo += [expressions.apply(i) for i in range(expressions.size())] if expressions is not None else []
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            named = node.cteRelations()
+            todo += [named.apply(i)._2() for i in range(named.size())]
+        if hasattr_java(node, "plan"):
+            todo.append(node.plan())
+
+
+def hasattr_java(node, name: str) -> bool:
+    return any(m.getName() == name and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+
+
 def relations(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-    """Names that a query reads and names that it defines itself (WITH), from Spark's parsed plan; nothing is run."""
-    text = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
-    parsed = text.split("== Parsed Logical Plan ==", 1)[-1].split("== Analyzed Logical Plan ==", 1)[0]
-    if re.search(r"Unresolved(?:Table|TVF|\w*TableValuedFunction)|'?InsertInto|'?CreateTable|'?Drop\w+", parsed):
-        raise PermissionError("only queries over registered views")
-    read = {r.replace(" ", "").lower() for r in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)}
-    return read, {n.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for n in names.split(",")}
+    """Names that a query reads and names that it defines itself (WITH), from Spark's parsed plan; nothing is run.
+
+    Refused are statements that are no queries, table functions, and functions that leave the query: OUTSIDE and all that are not built in.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    read, defined = set(), set()
+    built_in = {r["function"] for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
+    for node in walk(plan):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            read.add(".".join(strings_in(node.multipartIdentifier())).lower())
+        elif kind == "UnresolvedWith":
+            named = node.cteRelations()
+            defined |= {named.apply(i)._1().lower() for i in range(named.size())}
+        elif kind == "UnresolvedFunction":
+            name = ".".join(strings_in(node.nameParts())).lower()
+            if name in OUTSIDE or name not in built_in:
+                raise PermissionError(f"the function {name} is not allowed")
+        elif "TableValuedFunction" in kind or re.search(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Transform|Script|UnresolvedTable|UnresolvedTVF|Set\w*Statement", kind) and node.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans") or kind in ("UnresolvedTable", "UnresolvedTVF"):
+            raise PermissionError("only queries over registered views")
+    return read, defined
 
 
 def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], max_rows: int = 50_000) -> DataFrame:
