@@ -214,7 +214,13 @@ def _(t):
     return R.cusum_break(monthly(t), ["l_returnflag"], "month", "v")
 
 
-@query("w08_control_chart")
+@query("w08_control_chart", """
+    WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY ALL)),
+    b AS (SELECT event_type, avg(v) AS m, stddev_pop(v) AS sd FROM s WHERE i <= 20 GROUP BY event_type),
+    c(event_type, i, up, down, alarms) AS (SELECT event_type, CAST(20 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM b UNION ALL
+      SELECT event_type, i, CASE WHEN greatest(u, d) > 4 * sd THEN 0 ELSE u END, CASE WHEN greatest(u, d) > 4 * sd THEN 0 ELSE d END, alarms + CAST(greatest(u, d) > 4 * sd AS INTEGER)
+      FROM (SELECT c.event_type, s.i, alarms, sd, greatest(0, up + v - m - 0.5 * sd) AS u, greatest(0, down - v + m - 0.5 * sd) AS d FROM c JOIN s ON s.event_type = c.event_type AND s.i = c.i + 1 JOIN b ON b.event_type = c.event_type))
+    SELECT event_type, max(alarms) AS alarms, CAST(any_value(n) AS INTEGER) AS n FROM c JOIN (SELECT event_type, count(*) AS n FROM s GROUP BY event_type) USING (event_type) GROUP BY event_type""")
 def _(t):
     return R.control_chart(t("events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("v")), ["event_type"], "hour", "v")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,8 +69,12 @@ def days_between(start: Column, end: Column) -> Column:
 
 
 def bucketed(column: Column, edges: list[float]) -> Column:
-    """The number of edges at or below a value."""
-    out = F.lit(0)
-    for edge in edges:
-        out = out + (column >= edge).cast("int")
-    return F.when(column.isNotNull(), out)
+    """The number of edges (ascending) at or below a value: of many edges, first the run that they are in, then the place in it."""
+    count = lambda some: sum(((column >= e).cast("int") for e in some), F.lit(0))
+    if len(edges) <= 32:
+        return F.when(column.isNotNull(), count(edges))
+    size = math.isqrt(len(edges)) + 1
+    runs = [edges[i : i + size] for i in range(0, len(edges), size)]
+    run = count([r[-1] for r in runs])
+    inside = F.array(*(F.array(*map(F.lit, r)) for r in runs), F.array().cast("array<double>"))[run]
+    return F.when(column.isNotNull(), F.least(run * size, F.lit(len(edges))) + F.size(F.filter(inside, lambda e: column >= e)))

@@ -224,7 +224,7 @@ def median_survival(curve: DataFrame) -> DataFrame:
 
 def running_back(times: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sums of columns over the rows with this `time` or a later one: within ranges of times, offset by the ranges after."""
-    edges = bounds_of(times, F.col("time"), 64)
+    edges = bounds_of(times, F.col("time"))
     cut = times.withColumn("range of time", bucketed(F.col("time"), edges))
     after = Window.orderBy(F.desc("range of time")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
     totals = cut.groupBy("range of time").agg(*(F.sum(c).alias(c) for c in columns)).select("range of time", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"later {c}") for c in columns))

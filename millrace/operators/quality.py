@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, group_label, ratio
 from .cleaning import as_text, multiset_sums, row_key
+from .lineage import cut
 from .ranks import bounds_of, column_quantiles, group_quantiles
 
 
@@ -201,13 +202,13 @@ def near_ranks(df: DataFrame, column: str, tolerance: float) -> DataFrame:
     Values are cut into ranges; in each the gaps over the tolerance are counted up, and a range goes on from the counts before it.
     """
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    edges = bounds_of(values, F.col("value"), 64)
-    cut = values.withColumn("range", bucketed(F.col("value"), edges))
+    edges = bounds_of(values, F.col("value"))
+    ranged = values.withColumn("range", bucketed(F.col("value"), edges))
     inside = Window.partitionBy("range").orderBy("value")
-    gaps = cut.withColumn("step", (F.col("value") - F.lag("value").over(inside) > tolerance * F.greatest(F.lit(1.0), F.abs("value"))).cast("long"))
+    gaps = ranged.withColumn("step", (F.col("value") - F.lag("value").over(inside) > tolerance * F.greatest(F.lit(1.0), F.abs("value"))).cast("long"))
     counted = gaps.withColumn("in range", F.sum(F.coalesce("step", F.lit(0))).over(inside))
     ends = counted.groupBy("range").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.max("in range").alias("steps"))
-    before = Window.orderBy("range")  # 65 rows at most
+    before = Window.orderBy("range")  # a row a range
     jump = F.coalesce((F.col("least") - F.lag("most").over(before) > tolerance * F.greatest(F.lit(1.0), F.abs("least"))).cast("long"), F.lit(0))
     offsets = ends.withColumn("jump", jump).select("range", (F.sum("jump").over(before) + F.coalesce(F.sum("steps").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"))
     return counted.join(F.broadcast(offsets), "range").select("value", (F.col("in range") + F.col("offset")).alias("rank"))
@@ -232,6 +233,9 @@ def frames_equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFra
         return df.select(row_key(df, exact).alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(loose)), F.lit(sign).alias("sign"))
 
     rows = keyed(a, 1).union(keyed(b, -1))
+    if not loose:
+        return rows.groupBy("key").agg(F.sum("sign").alias("left over")).agg((F.count_if(F.col("left over") != 0) == 0).alias("equal"))
+    rows = cut(rows)
     for i in each:
         c = F.col(f"c{i}")
         odd = F.isnan(c) | (F.abs(c) == float("inf"))
@@ -239,22 +243,23 @@ def frames_equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFra
         rows = rows.join(ranks, c == F.col(f"v{i}"), "left").withColumn(f"r{i}", F.coalesce(F.when(odd, c.cast("string")), F.col(f"r{i}"), F.lit("null"))).drop(f"v{i}")
     rows = rows.select(F.sha2(F.concat_ws("/", "key", *(f"r{i}" for i in each)), 256).alias("class"), *(F.when(~F.isnan(f"c{i}") & (F.abs(f"c{i}") != float("inf")), F.col(f"c{i}")).alias(f"c{i}") for i in each), "sign")
     spreads = lambda i: F.coalesce(F.max(f"c{i}") - F.min(f"c{i}") > tolerance * F.greatest(F.lit(1.0), F.abs(F.min(f"c{i}"))), F.lit(False))
-    classes = rows.groupBy("class").agg(F.sum("sign").alias("left over"), *(spreads(i).alias(f"s{i}") for i in each))
-    uneven = classes.agg(F.count_if(F.col("left over") != 0).alias("n"))
-    if not loose:
-        return uneven.select((F.col("n") == 0).alias("equal"))
-    wide = rows.join(classes.filter(reduce(lambda x, y: x | y, (F.col(f"s{i}") for i in each))).drop("left over"), "class")
+    rows = cut(rows)
+    classes = cut(rows.groupBy("class").agg(F.sum("sign").alias("left over"), *(spreads(i).alias(f"s{i}") for i in each)).filter(reduce(lambda x, y: x | y, (F.col(f"s{i}") for i in each), F.col("left over") != 0)))
+    if classes.filter(F.col("left over") != 0).take(1):
+        return a.sparkSession.createDataFrame([(False,)], "equal boolean")
+    if not classes.take(1):
+        return a.sparkSession.createDataFrame([(True,)], "equal boolean")
+    wide = rows.join(classes.drop("left over"), "class")
     wide = wide.select("class", "sign", *(F.when(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in each)).withColumn("first", F.coalesce(*(F.col(f"c{i}") for i in each)))
     # the rows of a class are numbered within ranges of their first fraction, the same for both sides, offset by the ranges before
-    ranged = wide.withColumn("range", bucketed(F.col("first"), bounds_of(wide, F.col("first"), 64)))
-    before = Window.partitionBy("class", "sign").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    ranged = wide.withColumn("range", bucketed(F.col("first"), bounds_of(wide, F.col("first"))))
+    before = Window.partitionBy("class", "sign").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = ranged.groupBy("class", "sign", "range").agg(F.count("*").alias("n")).select("class", "sign", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("class", "sign", "range").orderBy("first", *(f"c{i}" for i in each))
     numbered = ranged.join(starts, ["class", "sign", "range"]).withColumn("place", F.col("start") + F.row_number().over(order))
     both = numbered.groupBy("class", "place").agg(*(F.max(F.when(F.col("sign") == sign, F.col(f"c{i}"))).alias(f"c{i}{name}") for i in each for sign, name in ((1, "a"), (-1, "b"))))
     far = [F.abs(F.col(f"c{i}a") - F.col(f"c{i}b")) > tolerance * F.greatest(F.lit(1.0), F.abs(f"c{i}a")) for i in each]
-    apart = both.agg(F.count_if(reduce(lambda x, y: x | y, (F.coalesce(f, F.lit(False)) for f in far))).alias("m"))
-    return uneven.crossJoin(apart).select(((F.col("n") == 0) & (F.col("m") == 0)).alias("equal"))
+    return both.agg((F.count_if(reduce(lambda x, y: x | y, (F.coalesce(f, F.lit(False)) for f in far))) == 0).alias("equal"))
 
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", k: float | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ranks and exact quantiles over all rows without a window over all rows.
 
 For ranks, value counts are taken per group; bounds from approximate percentiles cut the values into ranges; totals of
-the ranges give each its offset, and only within a range are counts added up in order. So a billion distinct values rank
-as a few hundred tasks, and equal values, however many, are one row.
+the ranges give each its offset, and only within a range are counts added up in order. There are as many ranges as the rows
+need at PER_RANGE each, up to RANGES, and equal values, however many, are one row.
 
 For a few quantiles of whole columns nothing is shuffled but counts: a sketch brackets each quantile, a second pass
 counts what lies below the bracket and inside it, and the values inside are narrowed again or counted exactly.
@@ -16,20 +16,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, ratio
 
-RANGES = 32
+#: Rows of a range, ranges at most, and the accuracy of the sketch that finds their bounds.
+PER_RANGE, RANGES, ACCURACY = 500_000, 2048, 20_000
 #: Rank error of the sketch, as a share of the rows it has seen.
 ERROR = 1 / 1000
 #: Values inside all brackets of a column up to which they are counted exactly instead of narrowed.
 FEW = 100_000
 
 
-def bounds_of(df: DataFrame, value: Column, ranges: int = RANGES) -> list[float]:
-    """Values that cut a column into ranges of about equal numbers of rows."""
-    found = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0]
-    return sorted(set(found or []))
+def bounds_of(df: DataFrame, value: Column) -> list[float]:
+    """Values that cut a column into ranges of about equal numbers of rows, PER_RANGE each; none for fewer rows."""
+    n, found = df.agg(F.count(value), F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()
+    ranges = min(RANGES, -(-n // PER_RANGE))
+    return sorted({found[i * RANGES // ranges - 1] for i in range(1, ranges)})
 
 
 def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str], groups: Sequence[str] = (), totals: Mapping[str, str] | None = None) -> DataFrame:
@@ -56,19 +59,46 @@ def ranked(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     return running(counts, bounds_of(df, v), {"n": "below"}, groups, {"n": "total"}).select(*groups, "value", "n", "below", "total")
 
 
-def positions(df: DataFrame, order: Column, ties: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+def positions(df: DataFrame, order: Column, ties: Sequence[str] = ()) -> DataFrame:
     """df with `position`, the number (from 1) of a row in the order of a number and then of the ties; rows without one go.
 
     Rows are numbered within ranges of the order and offset by the ranges before, so no task sees all of them.
     """
     rows = df.withColumn("order of row", order.cast("double")).filter("`order of row` IS NOT NULL")
-    rows = rows.withColumn("range of row", bucketed(F.col("order of row"), bounds_of(rows, F.col("order of row"), ranges)))
-    before = Window.orderBy("range of row").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    rows = rows.withColumn("range of row", bucketed(F.col("order of row"), bounds_of(rows, F.col("order of row"))))
+    before = Window.orderBy("range of row").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     starts = rows.groupBy("range of row").agg(F.count("*").alias("n of range")).withColumn("start of range", F.coalesce(F.sum("n of range").over(before), F.lit(0))).drop("n of range")
     inside = F.row_number().over(Window.partitionBy("range of row").orderBy("order of row", *ties))
     return rows.join(F.broadcast(starts), "range of row").withColumn("position", F.col("start of range") + inside).drop("order of row", "range of row", "start of range")
 
 
+def beside(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the facts of their keys, one row each; a null key meets a null key."""
+    if not keys:
+        return rows.crossJoin(facts)  # one row
+    names = {k: f"{k} of facts" for k in keys}
+    same = reduce(lambda x, y: x & y, (F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in names.items()))
+    return rows.join(facts.withColumnsRenamed(names), same).drop(*names.values())
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """df with `place`, the number (from 1) of a row among those of its keys in the order of a column and then of the ties.
+
+    Where there are many rows and the order is a number, date or time, rows are numbered within ranges of it, each offset by the rows of the
+    same keys in the ranges before, so that not even one key's rows meet in one task.
+    """
+    kind = df.schema[order].dataType
+    by = F.col(order).cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(F.col(order).cast("timestamp")).cast("double") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None
+    edges = bounds_of(df, by) if by is not None else []
+    if not edges:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)).cast("long"))
+    ranged = df.withColumn("range of row", F.coalesce(bucketed(by, edges), F.lit(-1)))
+    before = Window.partitionBy(*keys).orderBy("range of row").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy(*keys, "range of row").agg(F.count("*").alias("n of range")).withColumn("start of range", F.coalesce(F.sum("n of range").over(before), F.lit(0))).drop("n of range")
+    inside = F.row_number().over(Window.partitionBy(*keys, "range of row").orderBy(order, *ties))
+    return beside(ranged, starts, [*keys, "range of row"]).withColumn("place", F.col("start of range") + inside).drop("range of row", "start of range")
+
+
 def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     """value, n and the mean rank of its rows."""
     return ranked(df, value).withColumn("mid_rank", F.col("below") + (F.col("n") + 1) / 2)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import MISSING, NO, YES
-from .ranks import column_quantiles
+from .ranks import beside, column_quantiles, numbered
 
 #: Share of a text column's values that must be dates for an ordered comparison.
 DATE_SHARE = 0.8
@@ -251,11 +252,18 @@ def smoothed(series: DataFrame, keys: Sequence[str], time: str, value: str, widt
 
 
 def exponential_average(series: DataFrame, keys: Sequence[str], time: str, value: str, span: int = 3) -> DataFrame:
-    """The recursive average with weight 2 / (span + 1), at the end of each series of periods."""
+    """The recursive average with weight 2 / (span + 1), at the end of each series; rows without a value are left out.
+
+    The steps are affine maps, whose composition gives the k-th value from the end the weight alpha * (1 - alpha) ** (k - 1), and
+    the first value what is left: a weighted sum of numbered rows, of which no task sees a whole series.
+    """
     alpha = 2 / (span + 1)
-    held = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(time, F.col(value).cast("double").alias("v")))).alias("s"))  # periods, bounded
-    step = lambda acc, x: F.when(acc.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * acc)
-    return held.select(*keys, F.aggregate("s", F.lit(None).cast("double"), step).alias("ema"))
+    rows = series.filter(F.col(value).isNotNull()).select(*keys, time, F.col(value).cast("double").alias("v of series"))
+    last = rows.groupBy(*keys).agg(F.count("*").alias("n of series"))
+    placed = beside(numbered(rows, keys, time, ["v of series"]), last, keys)
+    rest = F.pow(F.lit(1 - alpha), F.col("n of series") - F.col("place"))
+    weight = rest * F.when(F.col("place") == 1, 1.0).otherwise(alpha)
+    return placed.groupBy(*keys).agg(F.sum(weight * F.col("v of series")).alias("ema"))
 
 
 def cusum_break(series: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
@@ -268,21 +276,41 @@ def cusum_break(series: DataFrame, keys: Sequence[str], time: str, value: str) -
 
 
 def control_chart(series: DataFrame, keys: Sequence[str], time: str, value: str, warm_up: int = 20, k: float = 0.5, h: float = 4.0) -> DataFrame:
-    """Alarms of a two-sided CUSUM chart whose baseline is the first points of each series."""
-    held = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("s"))  # one series
-    base = F.slice("s", 1, warm_up)
-    mean = F.aggregate(base, F.lit(0.0), lambda a, x: a + x) / F.size(base)
-    held = held.withColumn("mean", mean).withColumn("sd", F.sqrt(F.aggregate(base, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size(base)))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).alias("alarms"))
-
-    def step(a, x):
-        up = F.greatest(F.lit(0.0), a["up"] + x - F.col("mean") - k * F.col("sd"))
-        down = F.greatest(F.lit(0.0), a["down"] - x + F.col("mean") - k * F.col("sd"))
-        alarm = (up > h * F.col("sd")) | (down > h * F.col("sd"))
-        return F.struct(F.when(alarm, 0.0).otherwise(up).alias("up"), F.when(alarm, 0.0).otherwise(down).alias("down"), (a["alarms"] + alarm.cast("int")).alias("alarms"))
-
-    rest = F.slice(F.col("s"), warm_up + 1, F.greatest(F.size("s") - warm_up, F.lit(0)))
-    return held.select(*keys, F.aggregate(rest, start, step)["alarms"].alias("alarms"), F.size("s").alias("n"))
+    """Alarms of a two-sided CUSUM chart whose baseline is the first points of each series; n counts its points with a value.
+
+    An alarm sets both sums back, so a chart is followed in order: rows come sorted by key and time and pass by once, with a
+    few numbers held for the series at hand and none of its rows.
+    """
+    base = numbered(series.filter(F.col(value).isNotNull()), keys, time, [value]).filter(F.col("place") <= warm_up)
+    facts = base.groupBy(*keys).agg(F.avg(value).cast("double").alias("mean of chart"), F.stddev_pop(value).cast("double").alias("sd of chart"))
+    rows = series.filter(F.col(value).isNotNull()).select(*keys, F.col(time).alias("time of chart"), F.col(value).cast("double").alias("v of chart"))
+    joined = beside(rows, facts, keys)
+    series_key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    sent = joined.select(series_key.alias("key"), "time of chart", F.col("v of chart").alias("v"), F.col("mean of chart").alias("mean"), F.col("sd of chart").alias("sd"))
+    ordered = sent.repartition("key").sortWithinPartitions("key", "time of chart", "v").select("key", "v", "mean", "sd")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, up, down, alarms = None, 0, 0.0, 0.0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([alarms], pa.int32()), pa.array([n], pa.int32())], ["key", "alarms", "n"])
+        for batch in batches:
+            for key, v, mean, sd in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    if at is not None:
+                        yield row()
+                    at, n, up, down, alarms = key, 0, 0.0, 0.0, 0
+                n += 1
+                if n > warm_up:
+                    up, down = max(0.0, up + v - mean - k * sd), max(0.0, down - v + mean - k * sd)
+                    if up > h * sd or down > h * sd:
+                        up, down, alarms = 0.0, 0.0, alarms + 1
+        if at is not None:
+            yield row()
+
+    charts = ordered.mapInArrow(follow, "key string, alarms int, n int")
+    if not keys:
+        return charts.select("alarms", "n")
+    found = series.select(*keys).distinct().withColumn("key", series_key)
+    return found.join(charts, "key").select(*keys, "alarms", "n")
 
 
 def rolling_anomalies(series: DataFrame, keys: Sequence[str], time: str, value: str, width: int = 5, history: int = 3, sigma: float = 2.0) -> DataFrame:

@@ -192,3 +192,53 @@ def test_guarded_sql_refuses(spark, sql):
 
 def test_guarded_sql_reads_texts_as_texts(spark):
     assert S.run_sql(spark, "SELECT 'UnresolvedRelation [zzz] java_method(1)' AS x FROM v", {"v": spark.range(3)}).count() == 3
+
+
+@pytest.mark.parametrize("per_range", [700, ranks.PER_RANGE])
+def test_ranges_grow_with_the_rows(spark, monkeypatch, per_range):
+    """More ranges, the same ranks, quantiles and numbers; 300 edges and more are searched run by run."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.integers(0, 3, 60_000), "x": np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.5)])})
+    df = spark.createDataFrame(frame)
+    monkeypatch.setattr(ranks, "PER_RANGE", per_range)
+    edges = ranks.bounds_of(df, F.col("x"))
+    assert len(edges) == (0 if per_range > 60_000 else len(edges)) and (per_range > 60_000 or 40 < len(edges) < 90)
+    got = ranks.ranked(df, "x", ["g"]).toPandas().sort_values(["g", "value"])
+    for g, part in got.groupby("g"):
+        values, counts = np.unique(frame.x[frame.g == g], return_counts=True)
+        assert (part.value.to_numpy() == values).all() and (part.n.to_numpy() == counts).all() and (part.below.to_numpy() == np.cumsum(counts) - counts).all()
+    placed = ranks.numbered(df, ["g"], "x").toPandas().sort_values(["g", "place"])
+    for _, part in placed.groupby("g"):
+        assert (part.place.to_numpy() == np.arange(1, len(part) + 1)).all() and (np.diff(part.x) >= 0).all()
+
+
+def test_bucketed_by_many_edges(spark):
+    from millrace.functions.scalars import bucketed
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 32, 33, 100, 2047):
+        edges = sorted(set(rng.normal(size=n).tolist()))
+        x = np.concatenate([rng.normal(size=300), edges[:50], [-np.inf, np.inf]])
+        got = spark.createDataFrame([(float(v),) for v in x], "x double").select(bucketed(F.col("x"), edges).alias("b")).toPandas().b
+        assert (got.to_numpy() == np.searchsorted(edges, x, side="right")).all()
+
+
+@pytest.mark.parametrize("per_range", [3000, ranks.PER_RANGE])
+def test_averages_and_charts_of_one_long_series(spark, monkeypatch, per_range):
+    monkeypatch.setattr(ranks, "PER_RANGE", per_range)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=100_000) + np.where(np.arange(100_000) % 20_000 > 15_000, 1.5, 0)
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(100_000), "v": v})).select(F.lit(None).cast("string").alias("k"), "t", "v").union(spark.createDataFrame([("few", 1, 2.0), ("few", 2, 4.0), ("none", 1, None)], "k string, t long, v double")).repartition(5)
+    ema = v[0]
+    for x in v[1:]:
+        ema = 0.1 * x + 0.9 * ema
+    got = {r.k: r.ema for r in R.exponential_average(df, ["k"], "t", "v", 19).collect()}
+    assert got[None] == pytest.approx(ema, rel=1e-12) and got["few"] == pytest.approx(2.2) and len(got) == 2
+    mean, sd, up, down, alarms = v[:20].mean(), v[:20].std(), 0.0, 0.0, 0
+    for x in v[20:]:
+        up, down = max(0.0, up + x - mean - 0.5 * sd), max(0.0, down - x + mean - 0.5 * sd)
+        if up > 4 * sd or down > 4 * sd:
+            up, down, alarms = 0.0, 0.0, alarms + 1
+    charts = {r.k: (r.alarms, r.n) for r in R.control_chart(df, ["k"], "t", "v").collect()}
+    assert charts == {None: (alarms, 100_000), "few": (0, 2)} and alarms > 100
+    assert [tuple(r) for r in R.control_chart(df.filter("k IS NULL"), [], "t", "v").collect()] == [(alarms, 100_000)]
