@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import inference as I
+from ..operators import resampling as R
 from . import query
 
 
@@ -140,9 +141,28 @@ def _(t):
     return I.specification_curve(t("orders"), "o_orderpriority", "o_totalprice")
 
 
-@query("s25_bootstrap")
-def _(t):
-    return I.bootstrap_mean(t("orders"), "o_totalprice", "o_orderkey")
+@query("s25_bootstrap", """
+    SELECT statistic, round(estimate, 6) AS estimate, n, true AS holds_it, true AS wide_as_theory_says FROM (
+      SELECT 'mean' AS statistic, avg(o_totalprice) AS estimate, count(*) AS n FROM orders UNION ALL
+      SELECT 'ratio', sum(l_tax) / sum(l_discount), count(*) FROM lineitem UNION ALL
+      SELECT 'median', median(o_totalprice), count(*) FROM orders)""")
+def _(t):
+    """Bootstrap intervals against those of theory: a mean's and a ratio's by their linearised errors, a median's by the share of rows below its ends."""
+    orders, lines = t("orders"), t("lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    o, l = orders.select(F.col("o_totalprice").cast("double").alias("v"), "o_orderkey"), lines.select(F.col("l_tax").cast("double").alias("v"), F.col("l_discount").cast("double").alias("b"), "key")  # noqa: E741
+    z, parts = 1.959964, []
+    r = l.agg((F.sum("v") / F.sum("b")).alias("r"), F.avg("b").alias("mb"))
+    ratio_error = l.crossJoin(F.broadcast(r)).agg((F.stddev_samp(F.col("v") - F.col("r") * F.col("b")) / F.first("mb") / F.sqrt(F.count("*"))).alias("width"))
+    for name, found, width in (
+        ("mean", R.bootstrap(o, "v", "o_orderkey"), o.agg((F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("width"))),
+        ("ratio", R.bootstrap(l, "v", "key", "ratio", "b"), ratio_error),
+    ):
+        near = ((F.col("high") - F.col("low")) / (2 * z * F.col("width"))).between(0.75, 1.3)
+        parts.append(found.crossJoin(width).select(F.lit(name).alias("statistic"), F.round("estimate", 6).alias("estimate"), "n", F.col("estimate").between(F.col("low"), F.col("high")).alias("holds_it"), near.alias("wide_as_theory_says")))
+    median = R.bootstrap(o, "v", "o_orderkey", "quantile")
+    inside = o.crossJoin(F.broadcast(median)).groupBy("estimate", "low", "high", "n").agg(F.avg((F.col("v") < F.col("low")).cast("double")).alias("a"), F.avg((F.col("v") < F.col("high")).cast("double")).alias("b"))
+    near = ((F.col("b") - F.col("a")) * F.sqrt("n") / z).between(0.75, 1.3)
+    return parts[0].union(parts[1]).union(inside.select(F.lit("median"), F.round("estimate", 6), "n", F.col("estimate").between(F.col("low"), F.col("high")), near))
 
 
 @query("r01_correlation", "SELECT corr(l_quantity, l_extendedprice) AS r, covar_samp(l_quantity, l_extendedprice) AS covariance, count(*) AS n FROM lineitem")

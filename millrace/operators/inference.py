@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
 from .ranks import bounds_of, column_quantiles, group_quantiles, mid_ranks, running
+from .resampling import bootstrap
 
 
 def one_row(df: DataFrame, values: dict) -> DataFrame:
@@ -229,14 +230,7 @@ def adjusted(results: DataFrame, p_value: str = "p_value") -> DataFrame:
 
 def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """mean, low and high by a Poisson bootstrap: each row has a Poisson(1) weight in every resample, drawn from its key."""
-    u = F.pmod(F.xxhash64(key, "resample", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, edge = F.lit(0), 0.0
-    for k in range(8):
-        edge += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= edge).cast("int")
-    rows = df.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
-    means = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).groupBy("resample").agg(ratio(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
-    return rows.agg(F.avg("v").alias("mean")).crossJoin(means.agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high")))
+    return bootstrap(df, value, key, resamples=resamples, seed=seed, alpha=alpha).select(F.col("estimate").alias("mean"), "low", "high")
 
 
 def simpson(df: DataFrame, value: str, group: str, stratum: str) -> DataFrame:

@@ -242,3 +242,32 @@ def test_averages_and_charts_of_one_long_series(spark, monkeypatch, per_range):
     charts = {r.k: (r.alarms, r.n) for r in R.control_chart(df, ["k"], "t", "v").collect()}
     assert charts == {None: (alarms, 100_000), "few": (0, 2)} and alarms > 100
     assert [tuple(r) for r in R.control_chart(df.filter("k IS NULL"), [], "t", "v").collect()] == [(alarms, 100_000)]
+
+
+@pytest.mark.parametrize("few", [200, 100_000])
+@pytest.mark.parametrize("kind", ["continuous", "tied", "one"])
+def test_bootstrap_of_a_quantile(spark, monkeypatch, few, kind):
+    """Every resample's quantile is numpy's of the rows repeated by their weights; what is shuffled does not grow with the rows."""
+    from millrace.operators import resampling as B
+
+    monkeypatch.setattr(B, "FEW", few)
+    rng = np.random.default_rng(11)
+    x = rng.exponential(size=6000) if kind == "continuous" else rng.integers(0, 4, 6000).astype(float) if kind == "tied" else np.full(6000, 2.5)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(6000), "x": x})).repartition(4)
+    rows = B.keyed(df, "k", 7, v="x")
+    table = rows.toPandas()
+    w = B.weights(table.h.to_numpy(), 40)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+    for q in (0.5, 0.9):
+        want = [np.quantile(np.repeat(table.v.to_numpy(), w[:, r]), q) for r in range(40)]
+        assert np.allclose(B.quantile_replicates(rows, q, 40), want, rtol=1e-12)
+    sums = B.weighted_sums(rows, ["v"], 40)
+    assert np.allclose(sums[0], table.v.to_numpy() @ w)
+
+
+def test_bootstrap_of_nothing(spark):
+    from millrace.operators import resampling as B
+
+    empty = spark.createDataFrame([(1, None)], "k long, x double")
+    for kind in ("mean", "quantile"):
+        assert tuple(B.bootstrap(empty, "x", "k", kind).first()) == (None, None, None, 0)
