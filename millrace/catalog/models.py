@@ -28,9 +28,33 @@ def treated(t):
     return t("lineitem").select((F.col("l_discount") > 0.05).cast("int").alias("t"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") / 10).alias("q"), (F.col("l_tax") * 100).alias("x"))
 
 
-@query("k02_ipw")
+#: Treatment, outcome and one covariate of two values: a propensity that is the share of its cell, so that SQL can give errors.
+TWO_CELLS = """
+    d AS (SELECT CAST(l_discount > 0.05 AS INTEGER) AS t, l_extendedprice / 1000 + l_discount * 20 AS y, CAST(l_quantity > 25 AS INTEGER) AS q FROM lineitem),
+    c AS (SELECT q, avg(t) AS e, avg(y) FILTER (t = 1) AS m1, avg(y) FILTER (t = 0) AS m0 FROM d GROUP BY q),
+    f AS (SELECT m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e) AS phi FROM d JOIN c USING (q)),
+    s AS (SELECT avg(phi) AS effect, stddev_pop(phi) / sqrt(count(*)) AS se, count(*) AS n FROM f)"""
+
+
+def two_cells(t):
+    return t("lineitem").select((F.col("l_discount") > 0.05).cast("int").alias("t"), (F.col("l_extendedprice") / 1000 + F.col("l_discount") * 20).alias("y"), (F.col("l_quantity") > 25).cast("int").alias("q"))
+
+
+@query("k02_ipw", f"WITH {TWO_CELLS} SELECT round(effect, 3) AS effect, round(se, 3) AS se, n FROM s")
+def _(t):
+    return K.ipw(two_cells(t), "t", "y", ["q"]).select(F.round("effect", 3).alias("effect"), F.round("se", 3).alias("se"), "n")
+
+
+@query("k03_interval", """
+    WITH d AS (SELECT CAST(l_discount > 0.05 AS INTEGER) AS t, l_extendedprice / 1000 AS y, l_quantity / 10 AS q FROM lineitem),
+    m AS (SELECT t, avg(y) AS my, avg(q) AS mq, var_pop(q) AS v, covar_pop(y, q) / var_pop(q) AS b, count(*) / (SELECT count(*) FROM d) AS share FROM d GROUP BY t),
+    a AS (SELECT avg(q) AS mean FROM d),
+    f AS (SELECT d.t, o.my + o.b * (q - o.mq) - z.my - z.b * (q - z.mq) AS gap, i.share, i.v, i.mq, q, mean, y - i.my - i.b * (q - i.mq) AS r FROM d JOIN m i USING (t) JOIN m o ON o.t = 1 JOIN m z ON z.t = 0, a),
+    g AS (SELECT gap, (2 * t - 1) * r / share * (1 + (mean - mq) * (q - mq) / v) AS rest FROM f), e AS (SELECT avg(gap) AS effect, count(*) AS n FROM g),
+    s AS (SELECT effect, n, sqrt(avg((gap - effect + rest) ** 2) / n) AS se FROM g, e GROUP BY effect, n)
+    SELECT round(effect, 6) AS effect, round(se, 6) AS se, round(effect - 1.959963985 * se, 5) AS low, round(effect + 1.959963985 * se, 5) AS high, n FROM s""")
 def _(t):
-    return K.ipw(treated(t), "t", "y", ["q", "x"])
+    return K.g_computation(treated(t), "t", "y", ["q"]).select(F.round("effect", 6).alias("effect"), F.round("se", 6).alias("se"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "n")
 
 
 @query("k03_g_computation", """
@@ -41,12 +65,24 @@ def _(t):
     f AS (SELECT t, b.y + bq * (a.q - b.q) + bx * (a.x - b.x) AS f, n FROM b, a)
     SELECT round(max(f) FILTER (t = 1) - max(f) FILTER (t = 0), 6) AS effect, any_value(n) AS n FROM f""")
 def _(t):
-    return K.g_computation(treated(t), "t", "y", ["q", "x"]).withColumn("effect", F.round("effect", 6))
+    return K.g_computation(treated(t), "t", "y", ["q", "x"]).select(F.round("effect", 6).alias("effect"), "n")
+
+
+@query("k04_doubly_robust", f"WITH {TWO_CELLS} SELECT n, true AS effect_as_in_cells, true AS error_as_in_cells FROM s")
+def _(t):
+    """Folds are drawn by hash; the effect must be that of the cells within a tenth of its error, the error within two percent."""
+    d = two_cells(t)
+    cells = d.groupBy("q").agg(F.avg("t").alias("e"), F.avg(F.when(F.col("t") == 1, F.col("y"))).alias("m1"), F.avg(F.when(F.col("t") == 0, F.col("y"))).alias("m0"))
+    phi = F.col("m1") - F.col("m0") + F.col("t") * (F.col("y") - F.col("m1")) / F.col("e") - (1 - F.col("t")) * (F.col("y") - F.col("m0")) / (1 - F.col("e"))
+    plain = d.join(F.broadcast(cells), "q").agg(F.avg(phi).alias("effect of cells"), (F.stddev_pop(phi) / F.sqrt(F.count("*"))).alias("se of cells"))
+    both = K.doubly_robust(d, "t", "y", ["q"]).crossJoin(plain)
+    return both.select("n", (F.abs(F.col("effect") - F.col("effect of cells")) < 0.1 * F.col("se")).alias("effect_as_in_cells"), (F.abs(F.col("se") / F.col("se of cells") - 1) < 0.02).alias("error_as_in_cells"))
 
 
-@query("k04_doubly_robust")
+@query("k05_positivity", f"WITH {TWO_CELLS} SELECT round(min(e), 3) AS propensity_min, round(max(e), 3) AS propensity_max, round(max(e) - min(e), 3) AS shared_width, 0 AS extreme, (SELECT n FROM s) AS n, 0.0 AS extreme_share, CASE WHEN max(e) - min(e) > 0.05 THEN 'ADEQUATE' ELSE 'CAUTION' END AS status FROM c")
 def _(t):
-    return K.doubly_robust(treated(t), "t", "y", ["q", "x"])
+    found = K.positivity(two_cells(t), "t", ["q"])
+    return found.withColumns({c: F.round(c, 3) for c in ("propensity_min", "propensity_max", "shared_width")})
 
 
 @query("k05_balance", """

@@ -23,8 +23,10 @@ from .ranks import bounds_of
 POSITIVITY, LEAST = (0.01, 0.99), 40
 
 
-def prepared(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str]) -> DataFrame:
-    rows = df.select(F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in adjust)).na.drop()
+def prepared(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], cluster: str | None = None) -> DataFrame:
+    """t, y, the covariates and their vector, of the complete rows; `c`, a hash of the row's cluster, where there are clusters."""
+    clusters = [F.xxhash64(cluster).alias("c")] if cluster else []
+    rows = df.select(F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in adjust), *clusters).na.drop()
     n, arms = rows.agg(F.count("*"), F.count_distinct("t")).first()
     if n < LEAST or arms != 2:
         raise ValueError("an effect needs both arms and forty complete rows")
@@ -32,9 +34,48 @@ def prepared(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str])
 
 
 def with_propensity(rows: DataFrame) -> DataFrame:
+    """p, the propensity held within POSITIVITY, and e, as the model gives it."""
     n = rows.count()
     model = LogisticRegression(featuresCol="features", labelCol="t", regParam=1 / n, standardization=False, probabilityCol="p of t", rawPredictionCol="raw of t", predictionCol="guess of t").fit(rows)
-    return model.transform(rows).withColumn("p", clip(vector_to_array("p of t")[1], *POSITIVITY)).drop("p of t", "raw of t", "guess of t")
+    return model.transform(rows).withColumn("e", vector_to_array("p of t")[1]).withColumn("p", clip(F.col("e"), *POSITIVITY)).drop("p of t", "raw of t", "guess of t")
+
+
+def means(rows: DataFrame, *weighted: tuple[F.Column, Sequence[F.Column]]) -> list[np.ndarray]:
+    """For each (weight, columns) the averages of weight * column, all from one pass."""
+    found = rows.agg(F.array(*(F.avg(w * c) for w, columns in weighted for c in columns)).alias("m")).first()["m"]
+    out, at = [], 0
+    for _, columns in weighted:
+        out.append(np.array(found[at : at + len(columns)], float))
+        at += len(columns)
+    return out
+
+
+def products_of(z: Sequence[F.Column]) -> list[F.Column]:
+    return [a * b for a in z for b in z]
+
+
+def solved(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The inverse of a matrix of products, by columns of unit length, times a vector; columns that repeat others share."""
+    matrix = matrix.reshape(len(vector), -1)
+    scale = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    return np.linalg.pinv(matrix / np.outer(scale, scale)) @ (vector / scale) / scale
+
+
+def dot(b: np.ndarray, z: Sequence[F.Column]) -> F.Column:
+    return sum((float(v) * c for v, c in zip(b, z)), F.lit(0.0))
+
+
+def with_interval(rows: DataFrame, effect: F.Column, influence: F.Column, alpha: float, clustered: bool) -> DataFrame:
+    """effect, se, low, high and n from what each row adds to the estimate's error; rows of one cluster are added up first."""
+    rows = rows.withColumn("influence", influence)
+    n = rows.agg(F.first(effect).alias("effect"), F.count("*").alias("n"), F.avg("influence").alias("centre"))
+    if clustered:
+        sums = rows.groupBy("c").agg(F.sum("influence").alias("s"), F.count("*").alias("k"))
+        square = sums.crossJoin(F.broadcast(n)).agg(F.sum((F.col("s") - F.col("k") * F.col("centre")) ** 2).alias("square"))
+    else:
+        square = rows.agg((F.var_pop("influence") * F.count("*")).alias("square"))
+    se, z = F.sqrt("square") / F.col("n"), tails.normal_quantile(alpha)
+    return n.crossJoin(square).withColumn("se", se).select("effect", "se", (F.col("effect") - z * F.col("se")).alias("low"), (F.col("effect") + z * F.col("se")).alias("high"), "n")
 
 
 def with_outcomes(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -45,23 +86,42 @@ def with_outcomes(train: DataFrame, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def ipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], estimand: str = "ATE") -> DataFrame:
-    """The effect by inverse propensity weights, normalised in each arm."""
-    rows = with_propensity(prepared(df, treatment, outcome, adjust))
-    t, p = F.col("t"), F.col("p")
-    w1, w0 = (t / p, (1 - t) / (1 - p)) if estimand == "ATE" else (t, (1 - t) * p / (1 - p))
-    return rows.agg((F.sum(w1 * F.col("y")) / F.sum(w1) - F.sum(w0 * F.col("y")) / F.sum(w0)).alias("effect"), F.count("*").alias("n"))
+def ipw(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], estimand: str = "ATE", cluster: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """The effect by inverse propensity weights, normalised in each arm, with its error and interval.
 
+    The error is the sandwich of the stacked estimating equations of the propensity model and of both means: what a row adds to
+    the weighted means, and what it adds to them by way of the model's coefficients. Two passes of sums; clusters are added up first.
+    """
+    rows = with_propensity(prepared(df, treatment, outcome, adjust, cluster))
+    t, p, y, e = F.col("t"), F.col("p"), F.col("y"), F.col("e")
+    z = [F.lit(1.0), *(F.col(c) for c in adjust)]
+    w1, w0 = (t / p, (1 - t) / (1 - p)) if estimand == "ATE" else (t, (1 - t) * p / (1 - p))
+    moves = (p == e).cast("double")  # a propensity at its bound does not move with the coefficients
+    d1, d0 = (-t * (1 - p) / p * moves if estimand == "ATE" else F.lit(0.0)), (1 - t) * p / (1 - p) * moves
+    (a1, a0), (b1, b0), d1y, d1z, d0y, d0z, h = means(rows, (F.lit(1.0), [w1, w0]), (y, [w1, w0]), (d1 * y, z), (d1, z), (d0 * y, z), (d0, z), (e * (1 - e), products_of(z)))
+    m1, m0 = b1 / a1, b0 / a0
+    slope = solved(h, (d1y - m1 * d1z) / a1 - (d0y - m0 * d0z) / a0)
+    influence = w1 * (y - m1) / a1 - w0 * (y - m0) / a0 + (t - e) * dot(slope, z)
+    return with_interval(rows, F.lit(m1 - m0), influence, alpha, cluster is not None)
 
-def g_computation(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str]) -> DataFrame:
-    """The mean difference of the outcomes that models of either arm predict for everyone."""
-    rows = prepared(df, treatment, outcome, adjust)
-    return with_outcomes(rows, rows).agg(F.avg(F.col("m1") - F.col("m0")).alias("effect"), F.count("*").alias("n"))
 
+def g_computation(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], cluster: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """The mean difference of the outcomes that models of either arm predict for everyone, with its error and interval.
 
-def doubly_robust(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], folds: int = 3, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """The effect by augmented weights with models fitted on the other folds, its error and interval."""
-    rows = prepared(df, treatment, outcome, adjust).withColumn("fold", F.pmod(F.xxhash64("t", "y", *adjust, F.lit(seed)), F.lit(folds)))
+    The error stacks the least-squares equations of both arms with the mean: a row adds its own difference, and its residual by way of its arm's coefficients.
+    """
+    rows = with_outcomes(rows := prepared(df, treatment, outcome, adjust, cluster), rows)
+    t, y = F.col("t"), F.col("y")
+    z = [F.lit(1.0), *(F.col(c) for c in adjust)]
+    everyone, g1, g0, (effect,) = means(rows, (F.lit(1.0), z), (t, products_of(z)), (1 - t, products_of(z)), (F.lit(1.0), [F.col("m1") - F.col("m0")]))
+    by_arm = t * (y - F.col("m1")) * dot(solved(g1, everyone), z) - (1 - t) * (y - F.col("m0")) * dot(solved(g0, everyone), z)
+    return with_interval(rows, F.lit(float(effect)), F.col("m1") - F.col("m0") - float(effect) + by_arm, alpha, cluster is not None)
+
+
+def doubly_robust(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[str], folds: int = 3, seed: int = 7, alpha: float = 0.05, cluster: str | None = None) -> DataFrame:
+    """The effect by augmented weights with models fitted on the other folds, its error and interval; a cluster stays in one fold."""
+    fold = F.xxhash64("c", F.lit(seed)) if cluster else F.xxhash64("t", "y", *adjust, F.lit(seed))
+    rows = prepared(df, treatment, outcome, adjust, cluster).withColumn("fold", F.pmod(fold, F.lit(folds)))
     scored = None
     for k in range(folds):
         train, held = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
@@ -70,11 +130,29 @@ def doubly_robust(df: DataFrame, treatment: str, outcome: str, adjust: Sequence[
         scored = part if scored is None else scored.union(part)
     t, y, p = F.col("t"), F.col("y"), F.col("p")
     influence = F.col("m1") - F.col("m0") + t * (y - F.col("m1")) / p - (1 - t) * (y - F.col("m0")) / (1 - p)
-    facts = scored.agg(F.avg(influence).alias("effect"), (F.stddev_samp(influence) / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
+    scored = scored.withColumn("influence of row", influence)
+    if cluster:
+        effect = scored.agg(F.avg("influence of row")).first()[0]
+        return with_interval(scored, F.lit(effect), F.col("influence of row"), alpha, True)
+    facts = scored.agg(F.avg("influence of row").alias("effect"), (F.stddev_samp("influence of row") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
     z = tails.normal_quantile(alpha)
     return facts.withColumn("low", F.col("effect") - z * F.col("se")).withColumn("high", F.col("effect") + z * F.col("se"))
 
 
+def positivity(df: DataFrame, treatment: str, adjust: Sequence[str]) -> DataFrame:
+    """Extremes of the propensities, the width of the range that both arms share, how many lie below 0.05 or above 0.95, and a status.
+
+    ADEQUATE if the shared range is wider than 0.05 and less than a fifth of the scores are extreme, else CAUTION.
+    """
+    rows = with_propensity(prepared(df.withColumn("y of none", F.lit(0.0)), treatment, "y of none", adjust))
+    e, t = clip(F.col("e"), 1e-6, 1 - 1e-6), F.col("t") == 1
+    arm = lambda f, one: f(F.when(t if one else ~t, e))
+    shared = F.greatest(F.lit(0.0), F.least(arm(F.max, True), arm(F.max, False)) - F.greatest(arm(F.min, True), arm(F.min, False)))
+    facts = rows.agg(F.min(e).alias("propensity_min"), F.max(e).alias("propensity_max"), shared.alias("shared_width"), F.count_if((e < 0.05) | (e > 0.95)).alias("extreme"), F.count("*").alias("n"))
+    fine = (F.col("shared_width") > 0.05) & (F.col("extreme") / F.col("n") < 0.2)
+    return facts.withColumn("extreme_share", F.col("extreme") / F.col("n")).withColumn("status", F.when(fine, "ADEQUATE").otherwise("CAUTION"))
+
+
 def balance(df: DataFrame, treatment: str, adjust: Sequence[str]) -> DataFrame:
     """covariate and the standardised difference of its means between the arms."""
     t = F.col(treatment) == 1
