@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +17,8 @@ from ..functions.scalars import ratio
 
 #: Containment weighs this much against Jaccard similarity where joins are looked for.
 CONTAINMENT = 0.9
+#: Hashes of a column's sketch.
+SKETCH = 1024
 KEY_ENDS = ("_id", "_key", "_code", "id", "key", "code")
 
 
@@ -120,6 +125,59 @@ def stem(column: str) -> str:
     return name[: len(name) - len(end)].strip("_")
 
 
+def hashed(column: F.Column, kind: T.DataType) -> F.Column:
+    """A value's hash, the same for numbers of any type that are equal."""
+    return F.xxhash64(column.cast("double") + F.lit(0.0)) if isinstance(kind, T.NumericType) else F.xxhash64(column.cast("string"))
+
+
+def sketches(df: DataFrame, columns: Sequence[str], k: int = SKETCH) -> dict[str, np.ndarray]:
+    """Of each column the k smallest hashes of its values, ascending and unsigned, from one scan of the table.
+
+    Fewer than k are the hashes of all its values. A task returns k hashes a column at most.
+    """
+    if not columns:
+        return {}
+    names = [f"h{i}" for i in range(len(columns))]
+    rows = df.select(*(F.when(F.col(f"`{c}`").isNotNull(), hashed(F.col(f"`{c}`"), df.schema[c].dataType)).alias(n) for c, n in zip(columns, names)))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64) for _ in names]
+        for batch in batches:
+            for i in range(len(names)):
+                new = np.unique(batch.column(i).drop_null().to_numpy().view(np.uint64))
+                if len(held[i]) == k:
+                    new = new[new < held[i][-1]]
+                if len(new):
+                    held[i] = np.union1d(held[i], new)[:k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in held])), pa.array(np.concatenate(held).view(np.int64))], ["i", "h"])
+
+    # signed order of h + 2 ** 63 is unsigned order of h
+    ranked = F.row_number().over(Window.partitionBy("i").orderBy(F.expr("h ^ -9223372036854775808L")))
+    found = rows.mapInArrow(least, "i int, h long").distinct().withColumn("r", ranked).filter(F.col("r") <= k).select("i", "h").toArrow()  # k rows a column
+    which, h = found.column("i").to_numpy(), found.column("h").to_numpy().view(np.uint64)
+    return {c: np.sort(h[which == i]) for i, c in enumerate(columns)}
+
+
+def missing_from(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> tuple[int, int]:
+    """Of the values that a's sketch shows where b's is complete: how many there are, and how many b does not have."""
+    seen = a if len(b) < k else a[a <= b[-1]] if len(b) else a
+    return len(seen), int((~np.isin(seen, b, assume_unique=True)).sum())
+
+
+def may_overlap(a: np.ndarray, b: np.ndarray, least: float, k: int = SKETCH) -> bool:
+    """Whether the score of two columns can reach a bound: ruled out only where the sketches show it exactly or by five standard errors."""
+    if not len(a) or not len(b):
+        return False
+    if len(a) < k and len(b) < k:
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return max(shared / (len(a) + len(b) - shared), CONTAINMENT * shared / min(len(a), len(b))) >= least
+    contained = []  # Jaccard similarity is no larger than either containment
+    for x, y in ((a, b), (b, a)):
+        n, gone = missing_from(x, y, k)
+        contained.append((1 - gone / n) + 5 * math.sqrt(max(gone / n * (1 - gone / n), 1 / n) / n) if n else 1.0)
+    return max(min(contained), CONTAINMENT * max(contained)) >= least
+
+
 def overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Distinct keys of both sides, shared keys, Jaccard similarity, containment and their score."""
     x = left.select(F.col(a).alias("k")).filter("k IS NOT NULL").distinct().withColumn("l", F.lit(1))
@@ -130,13 +188,20 @@ def overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
 
 
 def discover_joins(tables: Mapping[str, DataFrame], least: float = 0.5) -> DataFrame:
-    """left, left_key, right, right_key, score of pairs of key columns that share a stem and their values."""
+    """left, left_key, right, right_key, score of pairs of key columns that share a stem and their values.
+
+    One scan a table gives sketches of its key columns; only pairs whose sketches do not rule the score out are joined.
+    """
     found, names = [], sorted(tables)
+    keys = {n: [c for c in tables[n].columns if stem(c) and c.lower().endswith(KEY_ENDS)] for n in names}
+    paired = {n: [c for c in keys[n] if any(stem(c) == stem(d) for m in names if m != n for d in keys[m])] for n in names}
+    known = {n: sketches(tables[n], paired[n]) for n in names}
+    number = lambda n, c: isinstance(tables[n].schema[c].dataType, T.NumericType)
     for i, p in enumerate(names):
         for q in names[i + 1 :]:
-            for a in tables[p].columns:
-                for b in tables[q].columns:
-                    if stem(a) and stem(a) == stem(b) and a.lower().endswith(KEY_ENDS) and b.lower().endswith(KEY_ENDS):
+            for a in paired[p]:
+                for b in paired[q]:
+                    if stem(a) == stem(b) and (number(p, a) != number(q, b) or may_overlap(known[p][a], known[q][b], least)):
                         found.append(overlap(tables[p], a, tables[q], b).select(F.lit(p).alias("left"), F.lit(a).alias("left_key"), F.lit(q).alias("right"), F.lit(b).alias("right_key"), "score"))
     if not found:
         spark = next(iter(tables.values())).sparkSession
@@ -177,29 +242,28 @@ def foreign_key(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
 def foreign_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """child, column, parent, key, match_ratio of all pairs of columns of one name, or named after the other table, of which one's values are among the other's.
 
-    Pairs whose ranges of values show that neither holds the other are not joined.
+    One scan a table gives sketches of the columns with such names. A value that a child's sketch shows and the parent's lacks
+    rules a pair out; only what is left is joined.
     """
     names = sorted(tables)
-    ends = {n: tables[n].agg(*(F.struct(F.min(f"`{c}`").cast("string").alias("low"), F.max(f"`{c}`").cast("string").alias("high")).alias(c) for c, kind in tables[n].dtypes if not kind.startswith(("array", "map", "struct")))).first().asDict() for n in names}
-    whole = lambda n, c: dict(tables[n].dtypes)[c] in ("tinyint", "smallint", "int", "bigint")
+    plain = {n: [c for c, kind in tables[n].dtypes if not kind.startswith(("array", "map", "struct"))] for n in names}
+    named = lambda p, a, q, b: a.lower() == b.lower() or a.lower() == f"{q.lower()}_id" or b.lower() == f"{p.lower()}_id"
+    pairs = [(p, a, q, b) for i, p in enumerate(names) for q in names[i + 1 :] for a in plain[p] for b in plain[q] if named(p, a, q, b)]
+    known = {n: sketches(tables[n], sorted({c for p, a, q, b in pairs for m, c in ((p, a), (q, b)) if m == n})) for n in names}
+    number = lambda n, c: isinstance(tables[n].schema[c].dataType, T.NumericType)
 
     def may_hold(child: str, a: str, parent: str, b: str) -> bool:
-        (low, high), (least, most) = ends[child][a], ends[parent][b]
-        if None in (low, least):
+        if not len(known[child][a]) or not len(known[parent][b]):
             return False
-        return not (whole(child, a) and whole(parent, b)) or int(least) <= int(low) and int(high) <= int(most)
+        return number(child, a) != number(parent, b) or not missing_from(known[child][a], known[parent][b])[1]
 
     found = []
-    for i, p in enumerate(names):
-        for q in names[i + 1 :]:
-            for a in ends[p]:
-                for b in ends[q]:
-                    if a.lower() == b.lower() or a.lower() == f"{q.lower()}_id" or b.lower() == f"{p.lower()}_id":
-                        for way, (child, x, parent, y) in enumerate(((p, a, q, b), (q, b, p, a))):
-                            if may_hold(child, x, parent, y):
-                                facts = foreign_key(tables[child], x, tables[parent], y).filter("is_foreign_key")
-                                row = F.struct(F.lit(way).alias("way"), F.lit(child).alias("child"), F.lit(x).alias("column"), F.lit(parent).alias("parent"), F.lit(y).alias("key"), "match_ratio")
-                                found.append(facts.select(F.lit(f"{p}.{a}.{q}.{b}").alias("pair"), row.alias("row")))
+    for p, a, q, b in pairs:
+        for way, (child, x, parent, y) in enumerate(((p, a, q, b), (q, b, p, a))):
+            if may_hold(child, x, parent, y):
+                facts = foreign_key(tables[child], x, tables[parent], y).filter("is_foreign_key")
+                row = F.struct(F.lit(way).alias("way"), F.lit(child).alias("child"), F.lit(x).alias("column"), F.lit(parent).alias("parent"), F.lit(y).alias("key"), "match_ratio")
+                found.append(facts.select(F.lit(f"{p}.{a}.{q}.{b}").alias("pair"), row.alias("row")))
     if not found:
         return next(iter(tables.values())).sparkSession.createDataFrame([], "child string, column string, parent string, key string, match_ratio double")
     # columns with the same values are the key of the table that comes first

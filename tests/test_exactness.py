@@ -271,3 +271,30 @@ def test_bootstrap_of_nothing(spark):
     empty = spark.createDataFrame([(1, None)], "k long, x double")
     for kind in ("mean", "quantile"):
         assert tuple(B.bootstrap(empty, "x", "k", kind).first()) == (None, None, None, 0)
+
+
+def test_sketches_rule_out_and_never_lose(spark):
+    from millrace.operators import joins as J
+
+    rng = np.random.default_rng(12)
+    sets = {"a": np.arange(20_000), "b": np.arange(10_000, 30_000), "c": np.arange(19_000, 60_000), "d": np.arange(50), "e": np.arange(19_950, 20_050), "f": np.arange(100_000, 100_020), "g": rng.permutation(20_000)[:9_000]}
+    tables = {f"t{n}": spark.createDataFrame(pd.DataFrame({f"{n}_user_id": v.astype(float if n == "c" else np.int64), "other": 1})).repartition(3) for n, v in sets.items()}
+    sketch = {n: J.sketches(tables[f"t{n}"], [f"{n}_user_id"])[f"{n}_user_id"] for n in sets}
+    score = lambda x, y: max(len(x & y) / len(x | y), 0.9 * len(x & y) / min(len(x), len(y)))
+    want, joined = set(), 0
+    for i, p in enumerate(sorted(sets)):
+        assert len(sketch[p]) == min(J.SKETCH, len(sets[p])) and (np.diff(sketch[p].astype(float)) > 0).all()
+        for q in sorted(sets)[i + 1 :]:
+            x, y = set(sets[p].tolist()), set(sets[q].tolist())
+            may = J.may_overlap(sketch[p], sketch[q], 0.5)
+            joined += may
+            assert may or score(x, y) < 0.5
+            if score(x, y) >= 0.5:
+                want.add((f"t{p}", f"t{q}", round(score(x, y), 9)))
+            for s, t in ((p, q), (q, p)):
+                assert not J.missing_from(sketch[s], sketch[t])[1] or not set(sets[s].tolist()) <= set(sets[t].tolist())
+    assert {(r.left, r.right, round(r.score, 9)) for r in J.discover_joins(tables).collect()} == want and joined <= 16  # of 21; of a few values too little shows
+    named = {n: df.withColumnRenamed(df.columns[0], "user_id") for n, df in tables.items()}
+    found = {(r.child, r.parent) for r in J.foreign_keys(named).filter("column = 'user_id'").collect()}
+    holds = lambda x, y: set(sets[x].tolist()) <= set(sets[y].tolist())
+    assert found == {(f"t{p}", f"t{q}") for p in sets for q in sets if p != q and holds(p, q)}
