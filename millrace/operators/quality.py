@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,10 +40,12 @@ def profile(df: DataFrame) -> DataFrame:
         v = value[f.name].cast("double")
         columns += [F.count(value[f.name]).alias(f"known {i}")]
         columns += [F.min(v).alias(f"min {i}"), F.max(v).alias(f"max {i}"), F.avg(v).alias(f"mean {i}"), F.stddev_samp(v).alias(f"sd {i}")] if number[f.name] else [least(f).alias(f"text {i}")]
-    facts = df.agg(*columns).first()
     counted = reduce(DataFrame.union, (df.select(value[f.name].alias("v")).agg(F.lit(i).alias("i"), F.count_distinct("v").alias("n")) for i, f in enumerate(fields)))
-    distinct = {r["i"]: r["n"] for r in counted.collect()}  # a row a column
-    found = column_quantiles(df, {c: value[c] for c in names if number[c]}, list(QUANTILES.values()))
+    with ThreadPoolExecutor(3) as jobs:  # three jobs that do not wait for each other
+        facts, distinct, found = (
+            jobs.submit(f) for f in (df.agg(*columns).first, lambda: {r["i"]: r["n"] for r in counted.collect()}, lambda: column_quantiles(df, {c: value[c] for c in names if number[c]}, list(QUANTILES.values())))
+        )
+    facts, distinct, found = facts.result(), distinct.result(), found.result()
     rows = []
     for i, f in enumerate(fields):
         moments = [facts[f"{k} {i}"] if number[f.name] else None for k in ("min", "max", "mean", "sd")]

@@ -11,9 +11,11 @@ counts what lies below the bracket and inside it, and the values inside are narr
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +130,40 @@ def by_column(df: DataFrame, values: Mapping[str, Column], facts: Mapping[str, S
     return {r["column"]: r["facts"] for r in reduce(DataFrame.union, parts).collect()}  # a row a column
 
 
+def in_one_scan(df: DataFrame, values: Mapping[str, Column], bracket: Mapping[tuple, tuple[float, float]], rank: Mapping[tuple, float]) -> dict[tuple, float]:
+    """The quantiles whose brackets hold them, from one scan that counts what lies below each bracket and the values in it, a few by the caller's bound."""
+    keys = list(bracket)
+    columns = list(dict.fromkeys(c for c, _ in keys))
+    of = [[j for j, k in enumerate(keys) if k[0] == c] for c in columns]
+    ends = [bracket[k] for k in keys]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, found, counts = [], [], []
+            for i, mine in enumerate(of):
+                v = batch.column(i).drop_null().to_numpy()
+                for j in mine:
+                    u, n = np.unique(v[(v >= ends[j][0]) & (v <= ends[j][1])], return_counts=True)
+                    which.append(np.full(len(u) + 1, j, np.int32))
+                    found.append(np.append(u, -np.inf))  # below
+                    counts.append(np.append(n, (v < ends[j][0]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (which, found, counts)], ["i", "v", "n"])
+
+    rows = df.select(*(values[c].alias(f"v{i}") for i, c in enumerate(columns)))
+    table = rows.mapInArrow(look, "i int, v double, n long").groupBy("i", "v").agg(F.sum("n").alias("n")).toArrow()  # the values in the brackets
+    which, v, n = (table.column(c).to_numpy() for c in ("i", "v", "n"))
+    out = {}
+    for j, k in enumerate(keys):
+        order = np.flatnonzero(which == j)
+        order = order[np.argsort(v[order])]
+        upto = np.cumsum(n[order])
+        at = [int(np.searchsorted(upto, math.floor(rank[k]), side="right")), int(np.searchsorted(upto, math.ceil(rank[k]), side="right"))]
+        if len(order) and at[0] >= 1 and at[1] < len(order):
+            a, b = v[order[at]]
+            out[k] = float(a + (b - a) * (rank[k] - math.floor(rank[k])))
+    return out
+
+
 def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], points: Sequence[float]) -> dict[str, list[float | None]]:
     """The exact quantiles of whole columns (linear between neighbours, nulls and NaN left out), a few numbers each.
 
@@ -140,8 +176,11 @@ def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str
         return {}
     v, margin, error = F.col("v"), 2 * ERROR, int(1 / ERROR)
     ends = sorted({x for p in points for x in (max(0.0, p - margin), min(1.0, p + margin))})
-    sketch = F.percentile_approx(v, ends, error)
-    first = by_column(df, values, {c: [F.count(v).cast("double"), F.min(v), F.max(v), *(sketch[i] for i in range(len(ends)))] for c in values})
+    names = list(values)
+    sketch = df.select(*(values[c].alias(f"v{i}") for i, c in enumerate(names))).agg(
+        F.array(*(F.array(F.count(x).cast("double"), F.min(x), F.max(x)) for x in map(F.col, (f"v{i}" for i in range(len(names)))))).alias("facts"), F.array(*(F.percentile_approx(f"v{i}", ends, error) for i in range(len(names)))).alias("points")
+    ).first()
+    first = {c: [*sketch["facts"][i], *(sketch["points"][i] or [None] * len(ends))] for i, c in enumerate(names)}
     size = {c: int(f[0]) for c, f in first.items()}
     whole = {c: (f[1], f[2]) for c, f in first.items()}
     bracket: dict[tuple[str, float], tuple[float, float]] = {}
@@ -153,6 +192,9 @@ def column_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str
     rank = {(c, p): p * (size[c] - 1) for c, p in bracket}
     done: dict[tuple[str, float], float] = {}
     valid = {k: (whole[k[0]], 0, size[k[0]]) for k in bracket}
+    if max(size.values()) * 2 * margin <= FEW:
+        done |= in_one_scan(df, values, bracket, rank)
+        bracket = {k: b for k, b in bracket.items() if k not in done}
     while bracket:
         of: dict[str, list] = {}
         for k in bracket:
