@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
 from .inference import adjusted, cross_products, ols_robust, one_row
+from .pairs import kendall as kendall
 from .quality import exact_profile, numeric
 from .ranks import column_quantiles, group_quantiles, positions
 from .rows import one_hot
@@ -51,67 +51,6 @@ def partial_correlation(df: DataFrame, x: str, y: str, controls: Sequence[str])
     return one_row(df, {"r": r, "p_value": float(tails.t_sf(r * math.sqrt(dof / (1 - r * r)), dof)), "n": n})
 
 
-#: Ranges of each column that Kendall's grid has.
-GRID = 128
-
-
-def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """Concordant minus discordant pairs of weighted points, pairs that are tied in x or y left out."""
-    if len(x) < 2:
-        return 0.0
-    if len(x) <= 64:
-        later = np.sign(x[None, :] - x[:, None]) > 0
-        return float((np.sign(y[None, :] - y[:, None]) * later * n[:, None] * n[None, :]).sum())
-    order = np.argsort(x, kind="stable")
-    x, y, n = x[order], y[order], n[order]
-    middle = int(np.searchsorted(x, x[len(x) // 2]))  # points of one x stay on one side
-    if middle == 0:
-        middle = int(np.searchsorted(x, x[0], side="right"))
-        if middle == len(x):
-            return 0.0
-    by_y = np.argsort(y[:middle], kind="stable")
-    low, weight = y[:middle][by_y], np.concatenate([[0.0], np.cumsum(n[:middle][by_y])])
-    right = y[middle:]
-    across = float((n[middle:] * (weight[np.searchsorted(low, right)] - (weight[-1] - weight[np.searchsorted(low, right, side="right")]))).sum())
-    return across + signed_pairs(x[:middle], y[:middle], n[:middle]) + signed_pairs(x[middle:], y[middle:], n[middle:])
-
-
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b, exact, from the distinct value pairs.
-
-    Both columns are cut into GRID ranges (a very frequent value is a range of its own). Pairs that differ in both ranges
-    are counted on the grid of range counts, at most GRID squared numbers; those in one range of x by a sort within it,
-    and those in one range of y but not of x by a sort within that.
-    """
-    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-
-    def edges(c: str) -> list[float]:
-        found = known.agg(F.percentile_approx(c, [i / GRID for i in range(1, GRID)], 1000)).first()[0] or []
-        return sorted({e for v in found for e in ([v, math.nextafter(v, math.inf)] if found.count(v) > 1 else [v])})
-
-    range_of = lambda c, e: F.size(F.filter(F.array(*map(F.lit, e)), lambda v: F.col(c) >= v)) if e else F.lit(0)
-    cells = known.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")).withColumn("a", range_of("x", edges("x"))).withColumn("b", range_of("y", edges("y")))
-    grid = np.zeros((2 * GRID, 2 * GRID))
-    for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most (2 GRID) ** 2 rows
-        grid[r["a"], r["b"]] = r["n"]
-    after = np.cumsum(grid[::-1], axis=0)[::-1]
-    later = np.vstack([after[1:], np.zeros((1, grid.shape[1]))])  # points in larger ranges of x
-    below = np.cumsum(later, axis=1) - later
-    above = later.sum(axis=1, keepdims=True) - below - later
-    s = float((grid * (above - below)).sum())
-
-    def within(by: str, order: str):
-        count = lambda group: pd.DataFrame({"s": [signed_pairs(group[order].to_numpy(float), group["y"].to_numpy(float), group["n"].to_numpy(float))]})
-        return cells.groupBy(by).applyInPandas(count, "s double").agg(F.sum("s")).first()[0] or 0.0
-
-    s += within("a", "x") + within("b", "a")
-    tied = lambda c: known.groupBy(c).agg(F.count("*").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
-    n = known.count()
-    pairs = n * (n - 1) / 2
-    free = math.sqrt((pairs - tied("x")) * (pairs - tied("y")))
-    return one_row(df, {"tau": s / free if free else math.nan, "n": n})
-
-
 def fitted(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[DataFrame, int, np.ndarray, np.ndarray]:
     """The complete rows with `fit`, `e` (residual) and `h` (leverage) of a least-squares fit; n, the inverse of the centred products, and the slopes."""
     n, means, s = cross_products(df, [y, *xs])

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import cleaning as C
+from millrace.operators import pairs
 from millrace.operators import quality as Q
 from millrace.operators import ranks
 from millrace.operators import rows as R
@@ -24,8 +25,12 @@ def tau(x, y):
     return s / np.sqrt((pairs - ties(x)) * (pairs - ties(y)))
 
 
+@pytest.mark.parametrize("fit", [pairs.FIT, 400])
 @pytest.mark.parametrize("kind", ["continuous", "tied", "hot"])
-def test_kendall_is_exact(spark, kind):
+def test_kendall_is_exact(spark, monkeypatch, kind, fit):
+    """Also where groups have to be cut twice before they fit."""
+    monkeypatch.setattr(pairs, "FIT", fit)
+    monkeypatch.setattr(pairs, "GRID", 4 if fit == 400 else pairs.GRID)
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=3000), rng.normal(size=3000)
     if kind == "tied":
