@@ -197,9 +197,15 @@ def _(t):
     return P.per_day(change, NOW, two_months).select("per_day_current", "per_day_previous", "per_day_percent")
 
 
-@query("r09_ols_hac")
+@query("r09_ols_hac", """
+    WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x, l_shipdate AS t FROM lineitem),
+    f AS (SELECT regr_slope(y, x) AS b, avg(y) AS my, avg(x) AS mx, count(*) AS n, var_pop(x) * count(*) AS sxx, CAST(floor(4 * pow(count(*) / 100, 2.0 / 9)) AS BIGINT) AS lags FROM d),
+    s AS (SELECT (x - mx) * (y - my - b * (x - mx)) AS s, row_number() OVER (ORDER BY t, x, y) AS i FROM d, f),
+    k AS (SELECT unnest(range(1, lags + 1)) AS k, lags FROM f),
+    c AS (SELECT sum(2 * (1 - k / (lags + 1)) * a.s * b.s) AS crossed FROM s a CROSS JOIN k JOIN s b ON b.i = a.i - k)
+    SELECT 'l_quantity' AS term, b AS estimate, sqrt((SELECT sum(s * s) FROM s) + crossed) / sxx AS se FROM f, c""")
 def _(t):
-    return S.ols_hac(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_shipdate")
+    return S.ols_hac(t("lineitem"), "l_extendedprice", ["l_quantity"], "l_shipdate")
 
 
 @query("r12_adjusted_association")
@@ -213,9 +219,13 @@ def _(t):
     return K.longitudinal(orders.groupBy("unit", "time").agg(F.max("t").alias("t"), F.avg("y").alias("y"), F.avg("c").alias("c")), "unit", "time", "t", "y", ["c"])
 
 
-@query("k07_structure")
+@query("k07_structure", "SELECT * FROM (VALUES ('quantity', 'cost', '->'), ('tax', 'cost', '->')) t(a, b, kind)")
 def _(t):
-    return K.structure(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    """A collider is planted: quantity and tax, which do not go with each other, both make the cost."""
+    noise = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1000)) / 1000
+    quantity, tax = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(1)), F.lit(1000)) / 1000, F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(2)), F.lit(1000)) / 1000
+    rows = t("lineitem").select((F.col("l_quantity") / 50 + quantity).alias("quantity"), (F.col("l_tax") * 10 + tax).alias("tax"), noise.alias("noise"))
+    return K.structure(rows.withColumn("cost", F.col("quantity") + F.col("tax") + F.col("noise")), ["quantity", "tax", "cost"]).select("a", "b", "kind")
 
 
 @query("k09_sensitivity", """

@@ -109,9 +109,16 @@ def _(t):
     return Q.changed_cells(*edited(t), ["o_orderkey"])
 
 
-@query("d02_missing_delta")
+@query("d02_missing_delta", """
+    WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 33 <> 0) AS m FROM orders),
+    b AS (SELECT 'o_orderkey' AS "column", 0.0 AS before, 0.0 AS after UNION ALL
+      SELECT 'o_totalprice', count(*) FILTER (o_orderkey % 7 = 0) / max(n), count(*) FILTER (o_orderkey % 33 <> 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0)) / max(m) FROM orders, n UNION ALL
+      SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus = 'P') / max(n), count(*) FILTER (o_orderkey % 33 <> 0 AND o_orderstatus = 'P' AND o_orderkey % 2 = 0) / max(m) FROM orders, n)
+    SELECT *, after - before AS delta FROM b""")
 def _(t):
-    return Q.missing_delta(*edited(t))
+    holes = lambda d, price, status: d.select("o_orderkey", F.when(~price, F.col("o_totalprice")).alias("o_totalprice"), F.when(~status, F.col("o_orderstatus")).alias("o_orderstatus"))
+    o, k, is_p = t("orders"), F.col("o_orderkey"), F.col("o_orderstatus") == "P"
+    return Q.missing_delta(holes(o, k % 7 == 0, is_p), holes(o.filter(k % 33 != 0), (k % 7 == 0) | (k % 5 == 0), is_p & (k % 2 == 0)))
 
 
 @query("d03_numeric_delta", """
@@ -177,7 +184,12 @@ def _(t):
     return Q.population_stability(*halves(t), "event_type")
 
 
-@query("n05_numeric_stability")
+@query("n05_numeric_stability", """
+    WITH b AS (SELECT value FROM events WHERE event_id % 2 = 0 AND value IS NOT NULL), c AS (SELECT value FROM events WHERE event_id % 2 = 1 AND value > 20),
+    e AS (SELECT DISTINCT unnest(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM b), l AS (SELECT list(e) AS es FROM e),
+    x AS (SELECT len(list_filter(es, lambda e: e <= value)) AS bin, 1 AS was FROM b, l UNION ALL SELECT len(list_filter(es, lambda e: e <= value)), 0 FROM c, l),
+    s AS (SELECT sum(was) / (SELECT count(*) FROM b) AS before, sum(1 - was) / (SELECT count(*) FROM c) AS after FROM x GROUP BY bin)
+    SELECT sum((after - before) * ln((after + 0.0001) / (before + 0.0001))) AS psi, sum((after - before) * ln((after + 0.0001) / (before + 0.0001))) > 0.2 AS drifted FROM s""")
 def _(t):
     return Q.numeric_stability(*halves(t), "value")
 

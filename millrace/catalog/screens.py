@@ -97,7 +97,13 @@ def _(t):
     return S.exploratory_pairs(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("a", "b", F.round("r", 8).alias("r"))
 
 
-@query("q02_roles")
+@query("q02_roles", """
+    WITH n AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k, count(DISTINCT o_custkey) AS c, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders),
+    kinds AS (SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'orders')
+    SELECT column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END AS type,
+      CASE WHEN data_type IN ('DATE', 'TIMESTAMP') THEN 'time' WHEN column_name = 'o_orderkey' THEN CASE WHEN k >= 0.97 * n THEN 'key' ELSE 'identifier' END
+        WHEN column_name = 'o_custkey' THEN CASE WHEN c >= 0.97 * n THEN 'key' ELSE 'identifier' END WHEN data_type <> 'VARCHAR' THEN 'metric'
+        WHEN CASE column_name WHEN 'o_orderstatus' THEN s ELSE p END <= greatest(50, 0.05 * n) THEN 'category' ELSE 'text' END AS role FROM kinds, n""")
 def _(t):
     return S.roles(t("orders"))
 

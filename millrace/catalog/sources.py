@@ -105,12 +105,18 @@ def _(t):
     return t.spark.read.parquet(table).withColumn("batch", F.col("batch").cast("int"))
 
 
-@query("g04_online_chart")
+@query("g04_online_chart", """
+    WITH RECURSIVE s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+    b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM s WHERE i <= 20 GROUP BY event_type),
+    c(event_type, i, up, down, alarm) AS (SELECT event_type, CAST(20 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false FROM b UNION ALL
+      SELECT event_type, i, greatest(0, u + value - m - 0.5 * sd), greatest(0, d - value + m - 0.5 * sd), greatest(u + value - m - 0.5 * sd, d - value + m - 0.5 * sd) > 4 * sd
+      FROM (SELECT c.event_type, s.i, value, m, sd, CASE WHEN alarm THEN 0 ELSE up END AS u, CASE WHEN alarm THEN 0 ELSE down END AS d FROM c JOIN s ON s.event_type = c.event_type AND s.i = c.i + 1 JOIN b ON b.event_type = c.event_type))
+    SELECT event_type AS key, max(n) AS points, count(*) FILTER (alarm) AS alarms, round(max(up), 4) AS highest, round(max(down), 4) AS lowest FROM c JOIN (SELECT DISTINCT event_type, n FROM s) USING (event_type) GROUP BY event_type""")
 def _(t):
-    name = f"chart_{uuid.uuid4().hex}"
-    chart = E.online_chart(E.read_events(t.spark, stored(t("events"), t), 10), "event_type", "ts", "value")
-    chart.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name)
+    chart, charts = E.online_chart(E.read_events(t.spark, stored(t("events"), t), 10), "event_type", "ts", "value"), scratch(t)
+    chart.writeStream.outputMode("append").format("parquet").option("path", charts).option("checkpointLocation", f"{charts}-seen").trigger(availableNow=True).start().awaitTermination()
+    found = t.spark.read.parquet(charts).groupBy("key")
+    return found.agg(F.count("*").alias("points"), F.count_if("alarm").alias("alarms"), F.round(F.max("up"), 4).alias("highest"), F.round(F.max("down"), 4).alias("lowest"))
 
 
 @query("u03_concat", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 OR value > 20 GROUP BY event_type")

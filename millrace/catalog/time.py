@@ -107,9 +107,13 @@ def _(t):
     return P.series_summary(monthly(t))
 
 
-@query("t16_trend")
+@query("t16_trend", """
+    WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS value, count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders GROUP BY ALL),
+    s AS (SELECT value, row_number() OVER (ORDER BY period) - 1 AS i FROM m WHERE period < (SELECT max(period) FROM m) OR days >= 0.9 * date_diff('day', period, period + INTERVAL 1 MONTH)),
+    p AS (SELECT (b.value - a.value) / (b.i - a.i) AS slope FROM s a JOIN s b ON a.i < b.i), t AS (SELECT coalesce(sum(k * (k - 1) / 2), 0) AS ties FROM (SELECT count(*) AS k FROM s GROUP BY value))
+    SELECT CAST((SELECT count(*) FROM s) AS INTEGER) AS n, median(slope) AS median_slope, (SELECT regr_slope(value, i) FROM s) AS ols_slope, sum(sign(slope)) / sqrt(count(*) * (count(*) - any_value(ties))) AS tau FROM p, t""")
 def _(t):
-    return P.trend(P.drop_partial_last(monthly(t), "month"))
+    return P.trend(P.drop_partial_last(monthly(t), "month")).select("n", "median_slope", "ols_slope", "tau")
 
 
 @query("t18_trend_by_group", f"""

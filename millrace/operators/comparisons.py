@@ -250,7 +250,7 @@ def pooled_pairs(df: DataFrame, value: str, group: str, tukey: bool = False) ->
 def powers(df: DataFrame, group: str, alpha: float = ALPHA) -> DataFrame:
     """test and power to see a medium effect with the rows at hand: means (d 0.5), rates (h 0.35), correlation (r 0.3), ANOVA (f 0.35), chi-square (w 0.32)."""
     sizes = df.groupBy(group_label(group).alias("g")).agg(F.count("*").alias("n"))
-    k, n = sizes.agg(F.count("*"), F.sum("n")).first()
+    k, n = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     largest = [r["n"] for r in sizes.orderBy(F.desc("n")).limit(2).collect()]
     two = largest if len(largest) == 2 else [0, 0]
     z = tails.normal_quantile(alpha)

@@ -89,8 +89,10 @@ def lagged(rows: DataFrame, columns: Sequence[str], lags: int, block: int = 50_0
 
 def diagnostics(df: DataFrame, y: str, xs: Sequence[str], time: str | None = None) -> DataFrame:
     """Jarque-Bera, Breusch-Pagan, RESET, Cook's distance and leverage of a fit; with a time column Durbin-Watson and Breusch-Godfrey over all rows in its order."""
-    rows, n, _, _ = fitted(df, y, xs)
     p = len(xs)
+    if df.na.drop(subset=[y, *xs]).limit(p + 3).count() < p + 3:
+        return one_row(df, {"status": "insufficient_data"})
+    rows, n, _, _ = fitted(df, y, xs)
     skew, kurt, rss = rows.agg(F.skewness("e"), F.kurtosis("e"), F.sum(F.col("e") * F.col("e"))).first()
     jb = n / 6 * (skew * skew + kurt * kurt / 4)
     m, r2, _ = explained(rows.withColumn("e2", F.col("e") * F.col("e")), "e2", xs)
@@ -184,8 +186,9 @@ def exploratory_pairs(df: DataFrame, columns: Sequence[str] | None = None, top:
 
 def roles(df: DataFrame) -> DataFrame:
     """column, type and role: time, key, identifier, metric, category or text, by type, name and distinct values."""
-    counts = df.agg(F.count("*").alias("rows of all"), *(F.approx_count_distinct(f"`{f.name}`", 0.01).alias(f.name) for f in df.schema.fields)).first()
-    n = counts["rows of all"]
+    counted = reduce(DataFrame.union, (df.select(F.col(f"`{f.name}`").alias("v")).agg(F.lit(f.name).alias("column"), F.count("*").alias("rows"), F.count_distinct("v").alias("n")) for f in df.schema.fields))
+    found = counted.collect()  # a row a column
+    counts, n = {r["column"]: r["n"] for r in found}, found[0]["rows"]
     out = []
     for f in df.schema.fields:
         d, name = counts[f.name], f.name.lower()
