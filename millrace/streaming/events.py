@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quality import population_stability
@@ -22,7 +25,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 
 
 def windowed(events: DataFrame, time: str, value: str, keys: Sequence[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """start, keys, n and total of every window; rows later than the watermark are dropped."""
+    """start, keys, n and total of every window; rows later than the watermark are dropped (LateRows counts them)."""
     rows = events.withWatermark(time, late).groupBy(F.window(time, width), *keys)
     return rows.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
@@ -36,29 +39,65 @@ def drift_batches(stream: DataFrame, baseline: DataFrame, column: str, table: st
     return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def online_chart(stream: DataFrame, key: str, time: str, value: str, warm_up: int = 20, k: float = 0.5, h: float = 4.0) -> DataFrame:
-    """A two-sided CUSUM of each key, its baseline from the key's first values; the state is five numbers a key."""
+class LateRows(StreamingQueryListener):
+    """Rows that watermarks have dropped, by the name of their query (its id without one): add it to spark.streams and read `dropped`.
+
+    Spark counts them where they meet the state; of an aggregation that are a batch's partial sums, one a key and task.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.dropped[progress.name or str(progress.id)] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def online_chart(stream: DataFrame, key: str, time: str, value: str, warm_up: int = 20, k: float = 0.5, h: float = 4.0, late: str | None = None) -> DataFrame:
+    """A two-sided CUSUM of each key, its baseline from the key's first values; the state is five numbers a key.
+
+    Without `late` a batch is charted in its own order of time. With it, values wait in the state until the watermark, that far behind the
+    latest time seen, has passed them, and are charted in the order of time whatever batches they came in; values later than
+    that are dropped, and a timer charts what waits where a key has no new values. Values of one time go from the smallest up.
+    """
+    width = 0 if late is None else 1
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2, up, down = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0)
+        n, mean, m2, up, down, times, values = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, [], [])
+        waiting = list(zip(times, values))
+        if not state.hasTimedOut:
+            waiting += [x for batch in batches for x in zip((batch["ts"].astype("datetime64[us]").astype("int64")).tolist(), batch["value"].tolist())]
+        upto = state.getCurrentWatermarkMs() * 1000 if width else math.inf
         out = []
-        for batch in batches:
-            for ts, v in batch.sort_values("ts")[["ts", "value"]].itertuples(index=False):
-                alarm = False
-                if n < warm_up:
-                    n += 1
-                    gap = v - mean
-                    mean += gap / n
-                    m2 += gap * (v - mean)
-                else:
-                    sd = (m2 / n) ** 0.5
-                    up, down = max(0.0, up + v - mean - k * sd), max(0.0, down - v + mean - k * sd)
-                    alarm = up > h * sd or down > h * sd
-                out.append((keys[0], ts, v, up, down, alarm))
-                if alarm:
-                    up = down = 0.0
-        state.update((n, mean, m2, up, down))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHART.split(", ")])
+        for ts, v in sorted(x for x in waiting if x[0] <= upto):
+            alarm = False
+            if n < warm_up:
+                n += 1
+                gap = v - mean
+                mean += gap / n
+                m2 += gap * (v - mean)
+            else:
+                sd = (m2 / n) ** 0.5
+                up, down = max(0.0, up + v - mean - k * sd), max(0.0, down - v + mean - k * sd)
+                alarm = up > h * sd or down > h * sd
+            out.append((keys[0], pd.Timestamp(ts, unit="us"), v, up, down, alarm))
+            if alarm:
+                up = down = 0.0
+        left = [x for x in waiting if x[0] > upto]
+        state.update((n, mean, m2, up, down, [x[0] for x in left], [x[1] for x in left]))
+        if left:
+            state.setTimeoutTimestamp(max(min(left)[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHART.split(", ")])
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-    return rows.groupBy("key").applyInPandasWithState(step, CHART, "n long, mean double, m2 double, up double, down double", "append", GroupStateTimeout.NoTimeout)
+    if late is not None:
+        rows = rows.withWatermark("ts", late)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(step, CHART, "n long, mean double, m2 double, up double, down double, times array<long>, waiting array<double>", "append", timeout)
