@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators.quality import distribution_profile
 from ..operators.ranks import concentration, trimmed_mean
 from . import query
 
@@ -150,6 +151,17 @@ def _(t):
     return trimmed_mean(t("orders"), "o_totalprice", 0.05)
 
 
+@query("a42_distribution_profile", """
+    WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM o),
+    t AS (SELECT avg(v) AS trimmed_mean FROM r WHERE i > floor(0.05 * n) AND i <= n - floor(0.05 * n)),
+    m AS (SELECT count(*) AS n, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS sd, var_pop(v) AS var, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.99) AS p99 FROM o)
+    SELECT any_value(n) AS n, any_value(mean) AS mean, any_value(median) AS median, any_value(trimmed_mean) AS trimmed_mean, any_value(sd) AS sd, any_value(p75 - p25) AS iqr,
+      avg(pow(v - mean, 3)) / pow(any_value(var), 1.5) AS skewness, avg(pow(v - mean, 4)) / pow(any_value(var), 2) - 3 AS kurtosis, any_value(p10) AS p10, any_value(p25) AS p25, any_value(p50) AS p50, any_value(p75) AS p75, any_value(p90) AS p90, any_value(p99) AS p99,
+      count(*) FILTER (v < p25 - 1.5 * (p75 - p25) OR v > p75 + 1.5 * (p75 - p25)) AS outliers, count(*) FILTER (v < p25 - 3 * (p75 - p25) OR v > p75 + 3 * (p75 - p25)) AS extreme_outliers FROM o, m, t""")
+def _(t):
+    return distribution_profile(t("orders"), "o_totalprice")
+
+
 @query("a43_rfm", """
     WITH c AS (SELECT o_custkey, count(*) AS f, sum(o_totalprice) AS m FROM orders GROUP BY ALL)
     SELECT count(*) AS customers, avg(CASE WHEN m < (SELECT median(m) FROM c) THEN 1.0 ELSE 0.0 END) AS below_median_share, avg(CASE WHEN f = 1 THEN 1.0 ELSE 0.0 END) AS single_order_share FROM c""")

@@ -159,6 +159,19 @@ def _(t):
     return X.selection_bias(t("orders").withColumn("active", (F.col("o_totalprice") > 100000).cast("int")), ["active"], "o_totalprice")
 
 
+@query("q16_context_reviews", """
+    WITH o AS (SELECT CASE WHEN o_orderstatus = 'F' AND o_orderkey % 40 < 8 THEN o_totalprice * 50 ELSE o_totalprice END AS price, o_orderstatus AS status, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate END AS seen FROM orders),
+    q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM o),
+    g AS (SELECT status, count(*) FILTER (price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a)) AS n FROM o, q GROUP BY status)
+    SELECT 'price' AS "column", 'outliers_in_few_groups' AS "check", max(n) / sum(n) AS share, 'repeat with ranks or trimmed values' AS review FROM g
+    UNION ALL SELECT 'seen', 'invalid_times', count(*) FILTER (seen IS NULL) / count(*), 'mend or leave out invalid times' FROM o""")
+def _(t):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(F.when((F.col("o_orderstatus") == "F") & (k % 40 < 8), F.col("o_totalprice") * 50).otherwise(F.col("o_totalprice")).alias("price"), F.col("o_orderstatus").alias("status"), F.when(k % 10 != 0, F.col("o_orderdate")).alias("seen"), (k % 2).alias("half"))
+    findings = X.context_findings(rows, "price", "status", ["half"], "seen")
+    return findings.join(X.task_impact(findings, "trend"), ["column", "check"]).select("column", "check", "share", "review")
+
+
 @query("q16_task_impact", "SELECT 'kind' AS \"column\", 'constant' AS \"check\", 'leave the column out' AS review, true AS blocks UNION ALL SELECT 'gap', 'missing', 'compare results under missing-value bounds', false")
 def _(t):
     rows = t("orders").select("o_orderkey", F.lit("x").alias("kind"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("gap"))

@@ -221,6 +221,15 @@ def _(t):
     return I.ols_robust(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
 
 
+@query("r10_design_rank", """
+    WITH s AS (SELECT count(*) AS n, sum(l_quantity) AS b, sum(l_quantity * l_quantity) AS d FROM lineitem)
+    SELECT sqrt((n + d + sqrt((n - d) * (n - d) + 4 * b * b)) / (n + d - sqrt((n - d) * (n - d) + 4 * b * b))) AS condition_number, 2 AS rank, true AS full_rank, 2 AS rank_of_repeated, false AS full_of_repeated FROM s""")
+def _(t):
+    one = I.design_rank(t("lineitem"), ["l_quantity"])
+    two = I.design_rank(t("lineitem").withColumn("twice", F.col("l_quantity") * 2 + 1), ["l_quantity", "twice"])
+    return one.crossJoin(two.select(F.col("rank").alias("rank_of_repeated"), F.col("full_rank").alias("full_of_repeated")))
+
+
 @query("r10_vif", """
     WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS c FROM lineitem) SELECT 'l_quantity' AS "column", 1 / (1 - c * c) AS vif FROM r UNION ALL SELECT 'l_extendedprice', 1 / (1 - c * c) FROM r""")
 def _(t):

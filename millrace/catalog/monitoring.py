@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import inference as I
 from ..operators import quality as Q
 from . import query
 
@@ -194,6 +195,21 @@ def _(t):
     return Q.numeric_stability(*halves(t), "value")
 
 
+@query("n08_drift_cycle", """
+    WITH b AS (SELECT * FROM events WHERE event_id % 2 = 0), c AS (SELECT * FROM events WHERE event_id % 2 = 1 AND value > 20),
+    v AS (SELECT DISTINCT value AS v FROM (SELECT value FROM b UNION ALL SELECT value FROM c) WHERE value IS NOT NULL),
+    s AS (SELECT (SELECT count(value) FROM b) AS n, (SELECT count(value) FROM c) AS m),
+    r AS (SELECT v, sum(x) OVER (ORDER BY v) AS fb, sum(y) OVER (ORDER BY v) AS fc FROM (SELECT v, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM v LEFT JOIN (SELECT value, count(*) AS x FROM b GROUP BY value) p ON p.value = v LEFT JOIN (SELECT value, count(*) AS y FROM c GROUP BY value) q ON q.value = v)),
+    k AS (SELECT max(abs(fb / n - fc / m)) AS d, any_value(n) AS n, any_value(m) AS m FROM r, s),
+    t AS (SELECT event_type, (SELECT count(*) FROM b x WHERE x.event_type = y.event_type) / (SELECT count(*) FROM b) AS f, (SELECT count(*) FROM c x WHERE x.event_type = y.event_type) / (SELECT count(*) FROM c) AS g FROM (SELECT DISTINCT event_type FROM events) y),
+    p AS (SELECT sum((g - f) * ln((g + 0.0001) / (f + 0.0001))) AS psi FROM t)
+    SELECT 'events' AS "table", 'value' AS "column", 'CONTINUOUS_KS' AS kind, d AS value, d * sqrt(n * m / (n + m)) > 1.627624 AS drifted FROM k UNION ALL SELECT 'events', 'event_type', 'CATEGORICAL_PSI', psi, psi > 0.2 FROM p
+    UNION ALL SELECT 'same', 'value', 'CONTINUOUS_KS', 0.0, false""")
+def _(t):
+    baseline, current = halves(t)
+    return I.drift_cycle({"events": (baseline, current), "same": (baseline, baseline)}, {"events": ["value", "event_type", "gone"], "same": ["value"]})
+
+
 @query("n07_alert_rules", """
     WITH v AS (SELECT sum(value) FILTER (event_id % 2 = 0) AS before, sum(value) FILTER (event_id % 2 = 1 AND value > 20) AS after FROM events)
     SELECT 'total' AS rule, before, after, 100 * (after - before) / abs(before) AS percent, CASE WHEN abs(100 * (after - before) / abs(before)) >= 1 THEN 'TRIGGERED' ELSE 'NO_CHANGE' END AS status FROM v

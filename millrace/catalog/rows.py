@@ -76,6 +76,15 @@ def _(t):
     return C.apply_recipe(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), steps)
 
 
+@query("c15_recipe_log", f"""
+    WITH q AS ({FENCES}), o AS (SELECT count(*) AS n, count(*) FILTER (lower(o_orderstatus) <> o_orderstatus) AS lowered, count(*) FILTER (o_totalprice < a - 1.5 * (b - a) OR o_totalprice > b + 1.5 * (b - a)) AS far FROM orders, q)
+    SELECT 1 AS step, 'normalize_categories' AS name, '{{"column": "o_orderstatus"}}' AS arguments, n AS rows_before, n AS rows_after, lowered AS rows_changed, 3 AS columns_before, 3 AS columns_after FROM o
+    UNION ALL SELECT 2, 'handle_outliers', '{{"action": "drop", "column": "o_totalprice"}}', n, n - far, far, 3, 3 FROM o""")
+def _(t):
+    steps = [{"step": "normalize_categories", "column": "o_orderstatus"}, {"step": "handle_outliers", "column": "o_totalprice", "action": "drop"}]
+    return C.logged_recipe(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), steps)[1]
+
+
 @query("c16_impute", "WITH p AS (SELECT p_partkey, p_retailprice, CASE WHEN p_size > 10 THEN p_size END AS s FROM part) SELECT p_partkey, p_retailprice, CAST(coalesce(s, (SELECT median(s) FROM p)) AS DOUBLE) AS s FROM p")
 def _(t):
     return C.impute(t("part").select("p_partkey", "p_retailprice", F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).alias("s")), "p_retailprice", ["s"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -204,6 +205,22 @@ def apply_recipe(df: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     return reduce(lambda d, s: STEPS[s["step"]](d, **{k: v for k, v in s.items() if k != "step"}), steps, df)
 
 
+def logged_recipe(df: DataFrame, steps: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
+    """The table after a recipe, and its log: step (from 1), name, arguments as JSON, rows and columns before and after, and rows that the step changed or took away."""
+    parts, now = [], df
+    for i, s in enumerate(steps, 1):
+        before, now = now, apply_recipe(now, [s])
+        arguments = json.dumps({k: v for k, v in s.items() if k != "step"}, sort_keys=True, default=str)
+        same = [c for c in before.columns if c in now.columns]
+        keys = lambda d, name, same=same: d.groupBy(row_key(d, same).alias("row")).agg(F.count("*").alias(name))
+        both = keys(before, "b").join(keys(now, "a"), "row", "full_outer").select(F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("a", F.lit(0)).alias("a"))
+        facts = both.agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("rows_changed"))
+        parts.append(facts.select(F.lit(i).alias("step"), F.lit(s["step"]).alias("name"), F.lit(arguments).alias("arguments"), "rows_before", "rows_after", "rows_changed", F.lit(len(before.columns)).alias("columns_before"), F.lit(len(now.columns)).alias("columns_after")))
+    if not parts:
+        return df, df.sparkSession.createDataFrame([], "step int, name string, arguments string, rows_before long, rows_after long, rows_changed long, columns_before int, columns_after int")
+    return now, reduce(DataFrame.union, parts)
+
+
 def impute(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Fill covariates of which less than 40 % is missing by their medians; the target never, and over 5 % of it missing raises."""
     facts = df.agg(F.avg(F.col(target).isNull().cast("double")).alias("target"), *(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns)).first()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -279,9 +280,32 @@ IMPACT = {
     "missing": (("summary", "comparison", "prediction", "trend"), "compare results under missing-value bounds"),
     "constant": (("comparison", "prediction"), "leave the column out"),
     "near_constant": (("comparison", "prediction"), "check that rare values decide nothing"),
+    "outliers_in_few_groups": (("summary", "comparison", "trend"), "repeat with ranks or trimmed values"),
+    "selection": (("comparison", "prediction"), "name the population and account for how rows got in"),
+    "invalid_times": (("trend",), "mend or leave out invalid times"),
 }
 
 
+def context_findings(df: DataFrame, metric: str, group: str | None = None, selection: Sequence[str] = (), time: str | None = None, share: float = 0.5, least: int = 5) -> DataFrame:
+    """column, check and share of findings that need the context of a task: outliers of a metric of which half or more lie in one of several groups, columns that select rows, invalid times."""
+    from .quality import outliers
+    from .screens import temporal_validity
+
+    parts = []
+    if group:
+        by_group = outliers(df, metric).groupBy(group_label(group).alias("g")).agg(F.count_if("is_outlier").alias("n"))
+        facts = by_group.agg(ratio(F.max("n"), F.sum("n")).alias("share"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+        parts.append(facts.filter((F.col("groups") > 1) & (F.col("n") >= least) & (F.col("share") >= share)).select(F.lit(metric).alias("column"), F.lit("outliers_in_few_groups").alias("check"), "share"))
+    if selection:
+        parts.append(selection_bias(df, selection, metric).filter("biased").select("column", F.lit("selection").alias("check"), F.col("gap").alias("share")))
+    if time:
+        invalid = temporal_validity(df, time).crossJoin(df.agg(F.count("*").alias("rows"))).withColumn("share", ratio(F.col("missing") + F.col("too_early"), F.col("rows")))
+        parts.append(invalid.filter(F.col("share") > 0).select(F.lit(time).alias("column"), F.lit("invalid_times").alias("check"), "share"))
+    if not parts:
+        raise ValueError("a group, selection columns or a time column")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def task_impact(findings: DataFrame, task: str) -> DataFrame:
     """column, check, review and whether it blocks, of the column findings that matter to a task (of findings as column_findings gives)."""
     rules = [(check, review) for check, (tasks, review) in IMPACT.items() if task in tasks]

@@ -7,7 +7,8 @@ instead of an error.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -202,6 +203,38 @@ def ks_test(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
     return one_row(baseline, {"statistic": d, "p_value": tails.kolmogorov_sf(d * math.sqrt(n0 * n1 / (n0 + n1))), "n_baseline": n0, "n_current": n1, "status": "ok"})
 
 
+def continuous_drift(baseline: DataFrame, current: DataFrame, column: str, alpha: float = 0.01, least: int = 30) -> DataFrame:
+    """statistic, p_value, both numbers of values and `drifted`: a Kolmogorov-Smirnov p below alpha, where both sides have `least` values; else drifted is null."""
+    found = ks_test(baseline, current, column).first().asDict()
+    if found["status"] != "ok":
+        return baseline.sparkSession.createDataFrame([(None, None, 0, 0, None)], "statistic double, p_value double, n_baseline long, n_current long, drifted boolean")
+    enough = min(found["n_baseline"], found["n_current"]) >= least
+    row = (float(found["statistic"]), float(found["p_value"]), found["n_baseline"], found["n_current"], bool(found["p_value"] < alpha) if enough else None)
+    return baseline.sparkSession.createDataFrame([row], "statistic double, p_value double, n_baseline long, n_current long, drifted boolean")
+
+
+def drift_cycle(tables: Mapping[str, tuple[DataFrame, DataFrame]], columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One cycle over tables with a baseline and a recent version: table, column, kind, value (of the statistic or the stability index), and drifted.
+
+    Columns of numbers are tested by continuous_drift, all others by the population stability index; a column that either version lacks has no row.
+    """
+    from .quality import population_stability
+
+    parts = []
+    for name in sorted(columns):
+        baseline, current = tables[name]
+        for c in columns[name]:
+            if c in baseline.columns and c in current.columns:
+                if isinstance(baseline.schema[c].dataType, T.NumericType):
+                    found = continuous_drift(baseline, current, c).select(F.lit("CONTINUOUS_KS").alias("kind"), F.col("statistic").alias("value"), "drifted")
+                else:
+                    found = population_stability(baseline, current, c).select(F.lit("CATEGORICAL_PSI").alias("kind"), F.col("psi").alias("value"), "drifted")
+                parts.append(found.select(F.lit(name).alias("table"), F.lit(c).alias("column"), "kind", "value", "drifted"))
+    if not parts:
+        raise ValueError("no monitored column is in both versions of its table")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def wasserstein(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """The area between two distribution functions, from quantile functions summed over ranges of values."""
     gaps, bounds = ecdf_gaps(baseline, current, value)
@@ -365,6 +398,20 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, inflation)], "column string, vif double")
 
 
+def design_rank(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """condition_number of the design with a constant (root of the ratio of its products' extreme eigenvalues), rank, and whether it is full."""
+    n, means, s = cross_products(df, columns)
+    whole = np.zeros((len(columns) + 1, len(columns) + 1))
+    whole[0, 0], whole[0, 1:], whole[1:, 0] = n, n * means, n * means
+    whole[1:, 1:] = s + n * np.outer(means, means)
+    d = np.sqrt(np.maximum(np.diag(s), 0))
+    scaled = s / np.outer(np.where(d > 0, d, 1), np.where(d > 0, d, 1))
+    rank = int(n > 0) + int((np.linalg.eigvalsh(scaled) > 1e-10 * len(columns)).sum())  # of columns of unit spread, apart from the constant
+    values = np.linalg.eigvalsh(whole)
+    condition = float(np.sqrt(values[-1] / values[0])) if values[0] > 0 and rank == len(columns) + 1 else math.inf
+    return one_row(df, {"condition_number": condition, "rank": rank, "full_rank": rank == len(columns) + 1})
+
+
 def simple_regression(df: DataFrame, y: str, x: str, groups: Sequence[str] = ()) -> DataFrame:
     """Slope, intercept and R squared in every group."""
     return df.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.regr_count(y, x).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import bucketed, group_label, ratio
 from .cleaning import as_text, multiset_sums, row_key
 from .lineage import cut
-from .ranks import bounds_of, column_quantiles, group_quantiles
+from .ranks import bounds_of, column_quantiles, group_quantiles, trimmed_mean
 
 
 def numeric(df: DataFrame) -> list[str]:
@@ -65,6 +65,23 @@ def exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return facts.join(spread, "column")
 
 
+def distribution_profile(df: DataFrame, column: str) -> DataFrame:
+    """n, mean, median, trimmed_mean (5 % off either end), sd, iqr, skewness, kurtosis, p10 to p99, and the values beyond 1.5 and 3 interquartile ranges.
+
+    Moments are those of the whole column; a column without spread has no skewness, kurtosis or outliers (0), one without values no row. Below 20 values nothing is trimmed.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    points = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+    q = dict(zip(points, column_quantiles(rows, ["v"], list(points.values()))["v"]))
+    lit = lambda x: F.lit(x).cast("double")
+    iqr = q["p75"] - q["p25"] if q["p75"] is not None else None
+    far = lambda k: F.count_if((F.col("v") < lit(q["p25"] - k * iqr)) | (F.col("v") > lit(q["p75"] + k * iqr))) if iqr else F.lit(0).cast("long")
+    shaped = lambda f: F.when(F.stddev_samp("v") > 1e-12, f("v")).otherwise(0.0)
+    facts = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), shaped(F.skewness).alias("skewness"), shaped(F.kurtosis).alias("kurtosis"), far(1.5).alias("outliers"), far(3.0).alias("extreme_outliers")).filter("n > 0")
+    trimmed = trimmed_mean(rows, "v", 0.05).select("trimmed_mean")
+    return facts.crossJoin(trimmed).select("n", "mean", lit(q["p50"]).alias("median"), F.when(F.col("n") >= 20, F.col("trimmed_mean")).otherwise(F.col("mean")).alias("trimmed_mean"), "sd", lit(iqr).alias("iqr"), "skewness", "kurtosis", *(lit(v).alias(k) for k, v in q.items()), "outliers", "extreme_outliers")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """bin (from 1) and rows of equal-width bins between the least and the largest value."""
     ends = df.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
