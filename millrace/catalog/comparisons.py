@@ -134,10 +134,16 @@ def _(t):
 
 
 @query("s30_patterns", """
-    WITH g AS (SELECT sum(o_totalprice) AS s, avg(o_totalprice) AS m FROM orders GROUP BY o_orderstatus)
-    SELECT 'concentration' AS pattern, max(s) / sum(s) AS evidence, max(s) / sum(s) >= 0.4 AS found FROM g UNION ALL SELECT 'divergence', max(m) / min(m), max(m) / min(m) >= 1.5 FROM g""")
-def _(t):
-    return X.patterns(t("orders"), "o_orderstatus", "o_totalprice").filter("pattern IN ('concentration', 'divergence')")
+    WITH o AS (SELECT o_orderpriority AS g, o_totalprice * CASE WHEN o_orderpriority LIKE '1%' THEN 40 ELSE 1 END AS v FROM orders), g AS (SELECT g, sum(v) AS s, avg(v) AS m, count(*) AS n, var_samp(v) AS var FROM o GROUP BY g),
+    f AS (SELECT (sum(n * (m - mean) * (m - mean)) / (count(*) - 1)) / (sum((n - 1) * var) / (sum(n) - count(*))) AS f FROM g, (SELECT avg(v) AS mean FROM o))
+    SELECT 'concentration' AS pattern, max(s) / sum(s) AS evidence, max(s) / sum(s) >= 0.4 AS found FROM g UNION ALL SELECT 'divergence', max(m) / min(m), max(m) / min(m) >= 1.5 FROM g
+    UNION ALL SELECT 'anomaly', max(abs(s - mean)) / any_value(sd), max(abs(s - mean)) / any_value(sd) >= 1.7 FROM g, (SELECT avg(s) AS mean, stddev_samp(s) AS sd FROM g)
+    UNION ALL SELECT 'segment_difference', NULL, f > 2.372 FROM f""")
+def _(t):
+    """All four; the evidence of a difference between segments is a p-value, which SQL has by its critical value only."""
+    o = t("orders").select("o_orderpriority", (F.col("o_totalprice") * F.when(F.col("o_orderpriority").startswith("1"), 40).otherwise(1)).alias("v"))
+    found = X.patterns(o, "o_orderpriority", "v").withColumn("evidence", F.when(F.col("pattern") != "segment_difference", F.col("evidence")))
+    return found.withColumn("found", F.when(F.col("pattern") == "anomaly", F.col("evidence") >= 1.7).otherwise(F.col("found")))
 
 
 @query("k13_churn_verdict", f"""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
-from .inference import anova, chi_square, correlation, fisher_exact, kruskal, ks_test, mann_whitney, one_row, paired_t, spearman, t_test, two_rates, wasserstein, wilcoxon
+from .inference import anova, by_batch, chi_square, correlation, fisher_exact, kruskal, ks_test, mann_whitney, one_row, paired_t, spearman, t_test, two_rates, wasserstein, wilcoxon
 from .ranks import column_quantiles, group_quantiles
 
 ALPHA = 0.05
@@ -205,9 +205,8 @@ def churn_verdict(df: DataFrame, group: str, event: str, confounders: Sequence[s
 def patterns(df: DataFrame, group: str, value: str, concentration: float = 0.4, divergence: float = 1.5, alpha: float = ALPHA) -> DataFrame:
     """pattern, evidence and whether it is found: one group holds the total, the largest mean diverges, segments differ, a group is far off."""
     sums = df.groupBy(group_label(group).alias("g")).agg(F.sum(value).alias("s"), F.avg(value).alias("m"))
-    share, apart, z = sums.agg(ratio(F.max("s"), F.sum("s")), ratio(F.max("m"), F.nullif(F.min("m"), F.lit(0.0))), F.max(F.abs("s") - F.lit(0.0))).first()
-    mean, sd = sums.agg(F.avg("s"), F.stddev_samp("s")).first()
-    far = sums.agg(F.max(F.abs(F.col("s") - mean))).first()[0] / sd if sd else 0.0
+    share, apart, mean, sd, most, least = sums.agg(ratio(F.max("s"), F.sum("s")), ratio(F.max("m"), F.nullif(F.min("m"), F.lit(0.0))), F.avg("s"), F.stddev_samp("s"), F.max("s"), F.min("s")).first()
+    far = max(most - mean, mean - least) / sd if sd else 0.0
     p = anova(df, value, group).first().asDict().get("p_value")
     rows = [
         ("concentration", share, share is not None and share >= concentration), ("divergence", apart, apart is not None and apart >= divergence),
@@ -225,7 +224,7 @@ def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
     g = groups.select("group", "n", (F.col("ranks") / F.col("n")).alias("mean"))
     pairs = g.alias("a").join(g.alias("b"), F.col("a.group") < F.col("b.group"))
     z = (F.col("a.mean") - F.col("b.mean")) / F.sqrt(F.lit(spread) * (1 / F.col("a.n") + 1 / F.col("b.n")))
-    p_value = F.udf(lambda z: 2 * tails.normal_sf(abs(z)) if z is not None else None, "double")
+    p_value = by_batch(lambda z: 2 * tails.normal_sf(abs(z)))
     return adjusted(pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), z.alias("statistic")).withColumn("p_value", p_value("statistic")))
 
 
@@ -240,11 +239,11 @@ def pooled_pairs(df: DataFrame, value: str, group: str, tukey: bool = False) ->
     if tukey:
         dof, k = float(n - k), int(k)
         se = F.sqrt(F.lit(within / dof) / 2 * (1 / n1 + 1 / n2))
-        p_value = F.udf(lambda q: float(tails.range_sf(abs(q), k, dof)), "double")
+        p_value = by_batch(lambda q: tails.range_sf(abs(q), k, dof))
         return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), gap.alias("difference"), (gap / se).alias("statistic")).withColumn("p_value", p_value("statistic"))
     pooled = ((n1 - 1) * F.col("a.var") + (n2 - 1) * F.col("b.var")) / (n1 + n2 - 2)
     tested = pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), gap.alias("difference"), (gap / F.sqrt(pooled * (1 / n1 + 1 / n2))).alias("statistic"), (n1 + n2 - 2).alias("dof"))
-    p_value = F.udf(lambda t, dof: float(tails.t_sf(t, dof)), "double")
+    p_value = by_batch(tails.t_sf)
     return adjusted(tested.withColumn("p_value", p_value("statistic", "dof")).drop("dof"))
 
 

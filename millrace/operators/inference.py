@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,6 +248,16 @@ def wasserstein(baseline: DataFrame, current: DataFrame, value: str) -> DataFram
     return inner.crossJoin(across).select((F.coalesce("d", F.lit(0.0)) + F.coalesce("e", F.lit(0.0))).alias("distance"))
 
 
+def by_batch(f):
+    """A function of numbers as a pandas UDF; null where an argument is."""
+
+    @F.pandas_udf("double")
+    def applied(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(map(pd.isna, row)) else float(f(*row)) for row in zip(*columns)], dtype=float)
+
+    return applied
+
+
 def adjusted(results: DataFrame, p_value: str = "p_value") -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg p-values of a table of results."""
     up, m = Window.orderBy(p_value), F.count("*").over(Window.partitionBy())  # result rows
@@ -423,7 +434,7 @@ def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
     pairs = g.alias("a").join(g.alias("b"), F.col("a.group") < F.col("b.group"))
     x, y, gap = F.col("a.v"), F.col("b.v"), F.col("a.mean") - F.col("b.mean")
     dof = (x + y) * (x + y) / (x * x / (F.col("a.n") - 1) + y * y / (F.col("b.n") - 1))
-    p_value = F.udf(lambda t, dof: float(tails.t_sf(t, dof)), "double")
+    p_value = by_batch(tails.t_sf)
     tested = pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), gap.alias("difference"), (gap / F.sqrt(x + y)).alias("statistic"), dof.alias("dof"))
     return adjusted(tested.withColumn("p_value", p_value("statistic", "dof")).drop("dof"))
 
