@@ -212,7 +212,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, ids and decoded of every row: the whole text's ids, and the text decoded from them.
 
     Special strings inside a text are their special ids, and no others are added. A null text counts as empty
-    (no ids, empty string); a very long text or word is encoded whole; a null id stays null; repeated rows come back as often as they occur; an empty table
+    (no ids, empty string); a very long text or word is encoded whole; of pairs of one rank in a word the first is merged first; a null id stays null; repeated rows come back as often as they occur; an empty table
     gives no rows. Other columns are left out, whatever their names.
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")

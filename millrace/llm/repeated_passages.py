@@ -171,9 +171,13 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of characters other than ASCII white space, taken unchanged. A window is `least` words in a row of
     one document; a word is removed if a window that covers it occurs at another place too, in any document. All is
     judged on the input. kept holds the words left, joined by one space. A null text has no words and an empty kept; a
-    null id stays null; a repeated row repeats its passages; an empty table gives no rows. Other columns are left out,
-    whatever their names.
+    null id stays null; a repeated row repeats its passages; an empty table gives no rows. A very long text is cut into the same segments as
+    any other, and every window of it is in one of them; of grams with one hash in a window the first is its anchor. Windows
+    shorter than a gram take grams of their own length. Other columns are left out, whatever their names.
     """
+    if least < 1:
+        raise ValueError("a window has a word at least")
+    gram = min(gram, least)
     columns = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
     source = bounded(df).select(*columns, F.col(text_col).cast("string").alias("text of"))
     names = [f.name for f in source.schema.fields if f.name != "text of"]

@@ -119,7 +119,7 @@ def plain_removal(rows, least):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard": 5}, {"hot": 3}, {"least": 13}])
+@pytest.mark.parametrize("options", [{}, {"shard": 5}, {"hot": 3}, {"least": 13}, {"least": 5}, {"least": 2}])
 def test_repeated_passages(spark, texts, options):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[20]), (21, texts[21])]
     want = plain_removal(rows, options.get("least", 35))

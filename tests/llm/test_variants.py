@@ -201,7 +201,7 @@ def test_spelling_variants(spark, monkeypatch, block, classes, tile):
     monkeypatch.setattr(W, "classes_for", lambda n: classes)
     rng = np.random.default_rng(1)
     letters = list("abcdeéÿÀz")
-    words = ["".join(rng.choice(letters, rng.integers(4, 8))) for _ in range(60)]
+    words = ["".join(rng.choice(letters, rng.integers(4, 8))) for _ in range(24)]
     for w in list(words):
         for _ in range(3):
             at = int(rng.integers(0, len(w)))
