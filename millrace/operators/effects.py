@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import bucketed, clip, group_label, ratio
+from . import lineage
 from .inference import cross_products, one_row
-from .ranks import bounds_of
+from .ranks import bounds_of, running
 
 #: Propensities are held between these; least complete rows.
 POSITIVITY, LEAST = (0.01, 0.99), 40
@@ -278,21 +279,22 @@ def structure(df: DataFrame, columns: Sequence[str], alpha: float = 0.01) -> Dat
 
 
 def risk_table(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
-    """group, time, events, censored and at_risk of every distinct time; the durations of one group are summed up by time."""
-    rows = df.select((group_label(group) if group else F.lit("all")).alias("group"), F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("event"))
-    counts = rows.filter("time IS NOT NULL AND event IS NOT NULL").groupBy("group", "time").agg(F.sum("event").alias("events"), F.count("*").alias("rows"))
-    w = Window.partitionBy("group").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # distinct times
-    return counts.withColumn("at_risk", F.sum("rows").over(w)).withColumn("censored", F.col("rows") - F.col("events")).drop("rows")
+    """group, time, events, censored and at_risk of every distinct time, by sums within ranges of times and before them."""
+    rows = df.select((group_label(group) if group else F.lit("all")).alias("group"), F.col(duration).cast("double").alias("value"), F.col(event).cast("int").alias("event"))
+    counts = rows.filter("value IS NOT NULL AND event IS NOT NULL").groupBy("group", "value").agg(F.sum("event").alias("events"), F.count("*").alias("rows"))
+    summed = running(counts, bounds_of(counts, F.col("value")), {"rows": "gone"}, ["group"], {"rows": "all"})
+    return summed.select("group", F.col("value").alias("time"), "events", (F.col("all") - F.col("gone")).alias("at_risk"), (F.col("rows") - F.col("events")).alias("censored"))
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
     """group, time, at_risk, events, survival and Greenwood's error at every time of an event."""
-    w = Window.partitionBy("group").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
-    log = F.sum(F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(float("-inf")))).over(w)
-    spread = F.sum(F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))).over(w)
-    rows = risk_table(df, duration, event, group).filter("events > 0").withColumn("survival", F.exp(log)).withColumn("se", F.col("survival") * F.sqrt(spread))
-    return rows.select("group", "time", "at_risk", "events", "survival", "se")
+    log = F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(float("-inf")))
+    spread = F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))
+    rows = risk_table(df, duration, event, group).filter("events > 0").select("group", F.col("time").alias("value"), "at_risk", "events", log.alias("log"), spread.alias("spread"))
+    summed = running(rows, bounds_of(rows, F.col("value")), {"log": "log before", "spread": "spread before"}, ["group"])
+    rows = summed.withColumn("survival", F.exp(F.col("log before") + F.col("log"))).withColumn("se", F.col("survival") * F.sqrt(F.col("spread before") + F.col("spread")))
+    return rows.select("group", F.col("value").alias("time"), "at_risk", "events", "survival", "se")
 
 
 def median_survival(curve: DataFrame) -> DataFrame:
@@ -300,11 +302,11 @@ def median_survival(curve: DataFrame) -> DataFrame:
     return curve.groupBy("group").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
 
 
-def running_back(times: DataFrame, columns: Sequence[str]) -> DataFrame:
+def running_back(times: DataFrame, columns: Sequence[str], edges: list[float] | None = None) -> DataFrame:
     """Sums of columns over the rows with this `time` or a later one: within ranges of times, offset by the ranges after."""
-    edges = bounds_of(times, F.col("time"))
+    edges = bounds_of(times, F.col("time")) if edges is None else edges
     cut = times.withColumn("range of time", bucketed(F.col("time"), edges))
-    after = Window.orderBy(F.desc("range of time")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
+    after = Window.orderBy(F.desc("range of time")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     totals = cut.groupBy("range of time").agg(*(F.sum(c).alias(c) for c in columns)).select("range of time", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"later {c}") for c in columns))
     back = Window.partitionBy("range of time").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     return cut.join(F.broadcast(totals), "range of time").withColumns({c: F.sum(c).over(back) + F.col(f"later {c}") for c in columns}).drop("range of time", *(f"later {c}" for c in columns))
@@ -326,9 +328,11 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
 def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], steps: int = 20) -> DataFrame:
     """term, estimate, se and hazard ratio of a proportional-hazards model (Breslow's ties), by Newton steps.
 
-    Every step is one job: sums by distinct time, and their reverse running sums.
+    Every step is one job: sums by distinct time, and their reverse running sums. The rows are written once and the ranges of times found once.
     """
     rows = df.select(F.col(duration).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *(F.col(x).cast("double").alias(x) for x in xs)).na.drop()
+    rows = lineage.cut(rows)
+    edges = bounds_of(rows, F.col("time"))
     facts = rows.agg(*(F.avg(x) for x in xs), *(F.stddev_pop(x) for x in xs)).first()
     p = len(xs)
     means, scales = np.array(facts[:p]), np.array([s or 1.0 for s in facts[p:]])
@@ -340,7 +344,7 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], steps: int
             F.sum("event").alias("d"), F.sum(r).alias("s"), *(F.sum(r * c).alias(f"s{i}") for i, c in enumerate(z)), *(F.sum(r * z[i] * z[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)),
             *(F.sum(F.when(F.col("event") == 1, c).otherwise(0.0)).alias(f"x{i}") for i, c in enumerate(z)),
         )
-        held = running_back(by_time, [c for c in by_time.columns if c.startswith("s")]).filter("d > 0")
+        held = running_back(by_time, [c for c in by_time.columns if c.startswith("s")], edges).filter("d > 0")
         d = F.col("d")
         mean = lambda i: F.col(f"s{i}") / F.col("s")
         sums = held.agg(*(F.sum(F.col(f"x{i}") - d * mean(i)) for i in range(p)), *(F.sum(d * (F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j))) for i in range(p) for j in range(i, p))).first()

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,10 +145,21 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def write_version(df: DataFrame, root: str, recipe: list | None = None) -> int:
-    """Write an immutable next version, and a lineage row with its content hash and recipe; returns its number."""
+    """Write an immutable next version, and a lineage row with its content hash and recipe; returns its number.
+
+    A version exists once its lineage row does. A folder without one, of a writer that was lost or is at work, is left alone
+    and its number passed over.
+    """
     spark = df.sparkSession
     number = max(versions(spark, root), default=0) + 1
-    df.write.mode("error").parquet(f"{root}/v={number}")
+    while True:
+        try:
+            df.write.mode("error").parquet(f"{root}/v={number}")
+            break
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            number += 1
     facts = content_hash(spark.read.parquet(f"{root}/v={number}"))
     facts.select(F.lit(number).alias("version"), "rows", "sha256", F.lit(json.dumps(recipe or [])).alias("recipe")).coalesce(1).write.mode("append").json(f"{root}/lineage")
     return number

@@ -34,6 +34,9 @@ def test_versions(spark, tmp_path):
     assert S.read_version(spark, root).count() == 1 and S.read_version(spark, root, 1).count() == 2
     lineage = {r["version"]: r for r in spark.read.json(root + "/lineage").collect()}
     assert lineage[1]["rows"] == 2 and lineage[2]["recipe"] == '["filter"]'
+    df.write.parquet(f"{root}/v=3")  # a writer that was lost before its lineage row
+    assert S.read_version(spark, root).count() == 1
+    assert S.write_version(df, root) == 4 and S.read_version(spark, root).count() == 2
 
 
 def test_guarded_sql(spark):
