@@ -36,7 +36,7 @@ def _(t):
 
 @query("a_mode", """
     WITH c AS (SELECT o_orderstatus, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY ALL)
-    SELECT o_orderstatus, arg_max(v, (n, 0)) AS value, CAST(sum(n) AS BIGINT) AS row_count FROM c GROUP BY o_orderstatus""")
+    SELECT o_orderstatus, first(v ORDER BY n DESC, v) AS value, CAST(sum(n) AS BIGINT) AS row_count FROM c GROUP BY o_orderstatus""")
 def _(t):
     return A.aggregate(t("orders"), "mode", "o_orderpriority", ["o_orderstatus"])
 

@@ -55,14 +55,23 @@ def head_of(spark: SparkSession, path: str) -> tuple[bytes, str]:
 
 
 def sniff(head: bytes, encoding: str) -> tuple[str, list[str], int]:
-    """Delimiter, header and banner records before the header of a file's first lines."""
+    """Delimiter, header and banner records before the header of a file's first lines.
+
+    The delimiter is the one by which the most records have the same number of fields, more than one; ties go to more fields and then to the first of DELIMITERS.
+    """
     text = head.removeprefix(b"\xef\xbb\xbf").decode(encoding, "replace")
-    bare = re.sub(r'"[^"]*"?', "", text)
-    best = max(DELIMITERS, key=bare.count)
-    records = [r for r in csv.reader(io.StringIO(text), delimiter=best) if r and any(c.strip() for c in r)]
+
+    def parsed(delimiter: str) -> list[list[str]]:
+        try:
+            return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r and any(c.strip() for c in r)]
+        except csv.Error:  # a field that is too long to be one
+            return []
+
+    usual = {d: max(((n, width) for width, n in Counter(len(r) for r in parsed(d) if len(r) > 1).items()), default=(0, 0)) for d in DELIMITERS}
+    best = max(DELIMITERS, key=usual.get)
+    records = parsed(best)
     # the header has as many fields as most records; records above it are a banner
-    usual = Counter(len(r) for r in records if len(r) > 1).most_common(1)
-    banner = [len(r) for r in records].index(usual[0][0]) if usual else 0
+    banner = [len(r) for r in records].index(usual[best][1]) if usual[best][0] else 0
     return best, records[banner] if records else [], banner
 
 
