@@ -45,12 +45,15 @@ CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 #: An implied end does not reach past these.
 SCOPE = frozenset("article aside blockquote body div dl figure footer form header main nav ol section table td th ul".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-COMMENTS = frozenset("comment comments disqus replies reply".split())
+COMMENTS = frozenset("comment commentlist comments disqus replies reply respond".split())
 HINTS = COMMENTS | frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Words that may stand beside a hint in one class name ("site-footer", "ad-box"), and hints that hold outside articles only.
-BESIDE = frozenset("area bar block bottom box container inner left link links list main mobile page right section site small top wrap wrapper".split())
+BESIDE = frozenset("area bar block bottom box container form holder inner left link links list main mobile page right section site slot small top unit wrap wrapper zone".split())
+#: Words that may stand beside a word for comments ("user-comments", "comment-body"), and beside "related".
+BESIDE_COMMENTS = BESIDE | frozenset("all article author blog body content count entry facebook guest item meta post reader readers text thread user users visitor".split())
+BESIDE_RELATED = BESIDE | frozenset("articles content items news pages posts products reading stories topics".split())
 PAGE_HINTS = frozenset({"header", "topbar"})
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -96,10 +99,10 @@ def left_out(tag: str, text: str, in_article: bool, in_sentence: bool) -> int:
         hints = HINTS if in_article else HINTS | PAGE_HINTS
         for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
             words = {w.lower() for w in WORDS.findall(CAMEL.sub(" ", token))}
-            if words & hints and words <= hints | BESIDE:
-                hint = COMMENT if words & COMMENTS else max(hint, HINT)
-                if hint == COMMENT:
-                    break
+            if words & COMMENTS and words <= hints | BESIDE_COMMENTS:
+                return COMMENT
+            if words & hints and words <= hints | (BESIDE_RELATED if "related" in words else BESIDE):
+                hint = max(hint, HINT)
     return hint
 
 

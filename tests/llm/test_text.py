@@ -244,7 +244,7 @@ def test_main_text_keeps_the_parts_of_an_article(part, want):
 
 def test_main_text_without_longer_comments():
     comments = "".join(f"<p>{LONG * 3}reader {i}</p>" for i in range(5))
-    for named in ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="disqus"'):
+    for named in ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="disqus"', 'div class="user-comments"', 'ol class="commentlist"'):
         tag = named.split()[0]
         for inner in (comments, f"<article>{comments}</article>", f"<h1>Comments</h1>{comments}"):
             assert main_text(f"<body><article><h1>Title</h1><p>Short, it is.</p><p>Over.</p></article><{named}>{inner}</{tag}></body>") == "Title\n\nShort, it is.\n\nOver."
@@ -260,6 +260,13 @@ def test_main_text_reads_attributes_by_name():
     assert main_text("<article><p>Choose <select><option>A</option><option>B</option></select> now.</p></article>") == "Choose now."
 
 
+def test_main_text_without_related_posts():
+    for named in ("related-posts", "related articles", "search-form", "copyright", "ad-slot"):
+        assert main_text(f"<article><h1>T</h1><p>{LONG}</p><div class='{named.split()[0]}'><p>Gone, away.</p></div></article>").split("\n\n") == ["T", LONG.strip()]
+    for named in ("related-work", "research", "commentary", "comment-free-approach", "content"):
+        assert main_text(f"<article><h1>T</h1><p>{LONG}</p><div class='{named}'><p>Here, it stays.</p></div></article>").split("\n\n") == ["T", LONG.strip(), "Here, it stays."]
+
+
 def planted_page(rng):
     """A page and its truth: title, paragraphs, parts and noise around them, with and without marks."""
     words = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
