@@ -278,11 +278,12 @@ def structure(df: DataFrame, columns: Sequence[str], alpha: float = 0.01) -> Dat
     return df.sparkSession.createDataFrame(rows, "a string, b string, kind string")
 
 
-def risk_table(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
+def risk_table(df: DataFrame, duration: str, event: str, group: str | None = None, edges: list[float] | None = None) -> DataFrame:
     """group, time, events, censored and at_risk of every distinct time, by sums within ranges of times and before them."""
     rows = df.select((group_label(group) if group else F.lit("all")).alias("group"), F.col(duration).cast("double").alias("value"), F.col(event).cast("int").alias("event"))
     counts = rows.filter("value IS NOT NULL AND event IS NOT NULL").groupBy("group", "value").agg(F.sum("event").alias("events"), F.count("*").alias("rows"))
-    summed = running(counts, bounds_of(counts, F.col("value")), {"rows": "gone"}, ["group"], {"rows": "all"})
+    edges = bounds_of(rows, F.col("value")) if edges is None else edges
+    summed = running(counts, edges, {"rows": "gone"}, ["group"], {"rows": "all"})
     return summed.select("group", F.col("value").alias("time"), "events", (F.col("all") - F.col("gone")).alias("at_risk"), (F.col("rows") - F.col("events")).alias("censored"))
 
 
@@ -291,8 +292,9 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
     log = F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(float("-inf")))
     spread = F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))
-    rows = risk_table(df, duration, event, group).filter("events > 0").select("group", F.col("time").alias("value"), "at_risk", "events", log.alias("log"), spread.alias("spread"))
-    summed = running(rows, bounds_of(rows, F.col("value")), {"log": "log before", "spread": "spread before"}, ["group"])
+    edges = bounds_of(df, F.col(duration).cast("double"))
+    rows = risk_table(df, duration, event, group, edges).filter("events > 0").select("group", F.col("time").alias("value"), "at_risk", "events", log.alias("log"), spread.alias("spread"))
+    summed = running(rows, edges, {"log": "log before", "spread": "spread before"}, ["group"])
     rows = summed.withColumn("survival", F.exp(F.col("log before") + F.col("log"))).withColumn("se", F.col("survival") * F.sqrt(F.col("spread before") + F.col("spread")))
     return rows.select("group", F.col("value").alias("time"), "at_risk", "events", "survival", "se")
 

@@ -31,10 +31,12 @@ FEW = 100_000
 
 
 def bounds_of(df: DataFrame, value: Column) -> list[float]:
-    """Values that cut a column into ranges of about equal numbers of rows, PER_RANGE each; none for fewer rows."""
-    n, found = df.agg(F.count(value), F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()
+    """Values that cut a column into ranges of about equal numbers of rows, PER_RANGE each; none, and no sketch, for fewer rows."""
+    n = df.agg(F.count(value)).first()[0]
     ranges = min(RANGES, -(-n // PER_RANGE))
-    return sorted({found[i * RANGES // ranges - 1] for i in range(1, ranges)})
+    if ranges < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], ACCURACY)).first()[0]))
 
 
 def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str], groups: Sequence[str] = (), totals: Mapping[str, str] | None = None) -> DataFrame:
@@ -43,6 +45,10 @@ def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str],
     sums names a new column for each column to be summed; totals one for its sum over the whole group. Only sums of
     ranges cross the ranges, at most as many rows a group as there are ranges.
     """
+    if not bounds:  # one range: fewer rows than PER_RANGE
+        before = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        summed = {name: F.coalesce(F.sum(c).over(before), F.lit(0)) for c, name in sums.items()} | {name: F.sum(c).over(Window.partitionBy(*groups)) for c, name in (totals or {}).items()}
+        return counts.filter("value IS NOT NULL").withColumns(summed)
     cut = counts.withColumn("range of value", bucketed(F.col("value"), list(bounds)))
     columns = sorted({*sums, *(totals or {})})
     whole = cut.groupBy(*groups, "range of value").agg(*(F.sum(c).alias(c) for c in columns))
