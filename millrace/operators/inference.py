@@ -81,7 +81,7 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.select((F.col(x) - F.col(y)).alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
     ranks = mid_ranks(d, "size").select(F.col("value").alias("size"), F.col("n").alias("tied"), "mid_rank")
     signs = d.withColumn("size", F.col("size").cast("double")).groupBy("size").agg(F.count_if(F.col("d") > 0).alias("up"))
-    w, ties, n = signs.join(ranks, "size").agg(F.sum(F.col("up") * F.col("mid_rank")), F.sum(F.col("tied") * F.col("tied") * F.col("tied") - F.col("tied")), F.sum("tied")).first()
+    w, ties, n = signs.join(ranks, "size").agg(F.sum(F.col("up") * F.col("mid_rank")), F.sum(F.col("tied").cast("double") ** 3 - F.col("tied")), F.sum("tied")).first()
     if not n:
         return one_row(df, {"status": "insufficient_data"})
     var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48

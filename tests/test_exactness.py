@@ -15,6 +15,7 @@ from millrace.operators import quality as Q
 from millrace.operators import ranks
 from millrace.operators import rows as R
 from millrace.operators import screens as K
+from millrace.operators.inference import wilcoxon
 from millrace.sources import files as S
 
 
@@ -303,3 +304,11 @@ def test_sketches_rule_out_and_never_lose(spark):
     found = {(r.child, r.parent) for r in J.foreign_keys(named).filter("column = 'user_id'").collect()}
     holds = lambda x, y: set(sets[x].tolist()) <= set(sets[y].tolist())
     assert found == {(f"t{p}", f"t{q}") for p in sets for q in sets if p != q and holds(p, q)}
+
+
+def test_signed_ranks_of_many_ties(spark):
+    """The cube of 2.1 million tied rows is beyond a long."""
+    n = 2_100_000
+    r = wilcoxon(spark.range(n).select(F.lit(3.0).alias("x"), F.lit(1.0).alias("y")), "x", "y").first()
+    assert (r["statistic"], r["n"]) == (n * (n + 1) / 2, n)
+    assert r["z"] == pytest.approx(n * (n + 1) / 4 / (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5)
