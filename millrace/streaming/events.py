@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quality import population_stability
 
+#: Points of a chart that are returned at once.
+CHARTED = 10_000
 CHART = "key string, ts timestamp, value double, up double, down double, alarm boolean"
 
 
@@ -65,36 +67,44 @@ def online_chart(stream: DataFrame, key: str, time: str, value: str, warm_up: in
     Without `late` a batch is charted in its own order of time. With it, values wait in the state until the watermark, that far behind the
     latest time seen, has passed them, and are charted in the order of time whatever batches they came in; values later than
     that are dropped, and a timer charts what waits where a key has no new values. Values of one time go from the smallest up.
+    A key's values of a batch are sorted as arrays and charted piece by piece.
     """
     width = 0 if late is None else 1
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, m2, up, down, times, values = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, [], [])
-        waiting = list(zip(times, values))
+        found = [(np.array(times, np.int64), np.array(values, np.float64))]
         if not state.hasTimedOut:
-            waiting += [x for batch in batches for x in zip((batch["ts"].astype("datetime64[us]").astype("int64")).tolist(), batch["value"].tolist())]
-        upto = state.getCurrentWatermarkMs() * 1000 if width else math.inf
-        out = []
-        for ts, v in sorted(x for x in waiting if x[0] <= upto):
-            alarm = False
-            if n < warm_up:
-                n += 1
-                gap = v - mean
-                mean += gap / n
-                m2 += gap * (v - mean)
-            else:
-                sd = (m2 / n) ** 0.5
-                up, down = max(0.0, up + v - mean - k * sd), max(0.0, down - v + mean - k * sd)
-                alarm = up > h * sd or down > h * sd
-            out.append((keys[0], pd.Timestamp(ts, unit="us"), v, up, down, alarm))
-            if alarm:
-                up = down = 0.0
-        left = [x for x in waiting if x[0] > upto]
-        state.update((n, mean, m2, up, down, [x[0] for x in left], [x[1] for x in left]))
-        if left:
-            state.setTimeoutTimestamp(max(min(left)[0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHART.split(", ")])
+            found += [(batch["ts"].astype("datetime64[us]").astype("int64").to_numpy(), batch["value"].to_numpy(np.float64)) for batch in batches]
+        ts, v = (np.concatenate(x) for x in zip(*found))  # 16 bytes a value
+        del found
+        order = np.lexsort((v, ts))
+        ts, v = ts[order], v[order]
+        del order
+        ready = int(np.searchsorted(ts, state.getCurrentWatermarkMs() * 1000, side="right")) if width else len(ts)
+        left = ts[ready:].tolist(), v[ready:].tolist()
+        for start in range(0, ready, CHARTED):
+            piece = slice(start, min(start + CHARTED, ready))
+            out = []
+            for x in v[piece].tolist():
+                alarm = False
+                if n < warm_up:
+                    n += 1
+                    gap = x - mean
+                    mean += gap / n
+                    m2 += gap * (x - mean)
+                else:
+                    sd = (m2 / n) ** 0.5
+                    up, down = max(0.0, up + x - mean - k * sd), max(0.0, down - x + mean - k * sd)
+                    alarm = up > h * sd or down > h * sd
+                out.append((up, down, alarm))
+                if alarm:
+                    up = down = 0.0
+            ups, downs, alarms = zip(*out)
+            yield pd.DataFrame({"key": keys[0], "ts": ts[piece].astype("datetime64[us]"), "value": v[piece], "up": ups, "down": downs, "alarm": alarms})
+        state.update((n, mean, m2, up, down, *left))
+        if left[0]:
+            state.setTimeoutTimestamp(max(left[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
     if late is not None:

@@ -68,3 +68,22 @@ def test_late_rows_are_counted(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert listener.dropped["late"] == 1  # one window of one key
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 5
+
+
+def test_a_chart_of_many_values_is_returned_in_pieces(spark, tmp_path):
+    """Over two pieces of one key, against one pass in plain Python; ties of time go by value."""
+    n = 2 * E.CHARTED + 123
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(5000))).alias("t"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 10).alias("v"))
+    rows.write.parquet(f"{tmp_path}/in")
+    chart = E.online_chart(E.read_events(spark, f"{tmp_path}/in", 100), "k", "t", "v")
+    chart.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/seen").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").agg(F.count("*"), F.count_if("alarm"), F.max("up"), F.max("down")).first()
+    values = [r["v"] for r in rows.orderBy("t", "v").collect()]
+    mean, sd = sum(values[:20]) / 20, (sum(v * v for v in values[:20]) / 20 - (sum(values[:20]) / 20) ** 2) ** 0.5
+    up = down = alarms = highest = lowest = 0
+    for v in values[20:]:
+        up, down = max(0.0, up + v - mean - 0.5 * sd), max(0.0, down - v + mean - 0.5 * sd)
+        highest, lowest, alarm = max(highest, up), max(lowest, down), max(up, down) > 4 * sd
+        if alarm:
+            up, down, alarms = 0.0, 0.0, alarms + 1
+    assert (got[0], got[1]) == (n, alarms) and tuple(got)[2:] == pytest.approx((highest, lowest), rel=1e-6)
