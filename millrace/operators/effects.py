@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -13,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from ..functions import tails
 from ..functions.scalars import bucketed, clip, group_label, ratio
@@ -196,25 +200,39 @@ def longitudinal(df: DataFrame, unit: str, time: str, treatment: str, outcome: s
     Weights multiply along each unit's periods up to a row's own; the weighted fit has errors clustered by unit.
     """
     rows = df.select(F.col(unit).alias("unit"), F.col(time).alias("time"), F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in confounders)).na.drop()
-    rows = rows.withColumn("before", F.coalesce(F.lag("t").over(Window.partitionBy("unit").orderBy("time")), F.lit(0.0)))
-    periods = [r["time"] for r in rows.select("time").distinct().orderBy("time").limit(200).collect()]  # one model a period
-    if rows.filter(~F.col("time").isin(*periods)).limit(1).count():
+    rows = lineage.cut(rows.withColumn("before", F.coalesce(F.lag("t").over(Window.partitionBy("unit").orderBy("time")), F.lit(0.0))))
+    kinds = lineage.cut(rows.groupBy("time", "t", "before", *confounders).agg(F.count("*").cast("double").alias("n of kind")))  # models learn from counts of equal rows
+    facts = kinds.groupBy("time").agg(F.sum("n of kind"), F.sum(F.col("n of kind") * F.col("t"))).orderBy("time").limit(201).collect()  # one model a period
+    if len(facts) > 200:
         raise ValueError("more than 200 periods: use a coarser time")
-    scored = None
-    for p in periods:
-        part = rows.filter(F.col("time") == p)
-        n, treated_rows = part.agg(F.count("*"), F.sum("t")).first()
-        for name, inputs in (("num", ["before"]), ("den", ["before", *confounders])):
+    inputs = {"num": ["before"], "den": ["before", *confounders]}
+
+    def fitted(fact: tuple) -> tuple:
+        """The period with the intercept and coefficients of both models."""
+        p, n, treated_rows = fact
+        found = []
+        for columns in inputs.values():
             if 0 < treated_rows < n:
-                assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(part)
-                model = LogisticRegression(featuresCol="features", labelCol="t", regParam=1 / n, standardization=False, probabilityCol="p of t", rawPredictionCol="raw of t", predictionCol="guess of t").fit(assembled)
-                part = model.transform(assembled).withColumn(name, clip(vector_to_array("p of t")[1], *POSITIVITY)).drop("features", "p of t", "raw of t", "guess of t")
+                part = kinds.filter(F.col("time") == p).groupBy("t", *columns).agg(F.sum("n of kind").alias("n of kind"))
+                assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(part)
+                model = LogisticRegression(featuresCol="features", labelCol="t", weightCol="n of kind", regParam=1 / n, standardization=False).fit(assembled)
+                found.append([float(model.intercept), *map(float, model.coefficients)])
             else:
-                part = part.withColumn(name, F.lit(clip_number(treated_rows / n)))
-        scored = part if scored is None else scored.union(part)
+                chance = clip_number(treated_rows / n)
+                found.append([math.log(chance / (1 - chance)), *(0.0 for _ in columns)])
+        return p, *found
+
+    with ThreadPool(4) as jobs:
+        models = jobs.map(inheritable_thread_target(df.sparkSession)(fitted), [tuple(f) for f in facts])
+    models = df.sparkSession.createDataFrame(models, T.StructType([T.StructField("time", rows.schema["time"].dataType), *(T.StructField(f"{name} of model", T.ArrayType(T.DoubleType())) for name in inputs)]))
+    scored = rows.join(F.broadcast(models), "time")  # at most 200 rows
+    for name, columns in inputs.items():
+        margin = reduce(lambda x, y: x + y, (F.col(f"{name} of model")[i + 1] * F.col(c) for i, c in enumerate(columns)), F.col(f"{name} of model")[0])
+        scored = scored.withColumn(name, clip(1 / (1 + F.exp(-margin)), *POSITIVITY))
+    scored = scored.drop(*(f"{name} of model" for name in inputs))
     chance = lambda c: F.when(F.col("t") == 1, F.col(c)).otherwise(1 - F.col(c))
     history = Window.partitionBy("unit").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    weighted = scored.withColumn("w", F.exp(F.sum(F.log(chance("num") / chance("den"))).over(history)))
+    weighted = lineage.cut(scored.select("unit", "t", "y", F.exp(F.sum(F.log(chance("num") / chance("den"))).over(history)).alias("w")))
     sw, st, sy, stt, sty = weighted.agg(F.sum("w"), F.sum(F.col("w") * F.col("t")), F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * F.col("t") * F.col("t")), F.sum(F.col("w") * F.col("t") * F.col("y"))).first()
     mt, my = st / sw, sy / sw
     spread = stt - sw * mt * mt
@@ -223,7 +241,7 @@ def longitudinal(df: DataFrame, unit: str, time: str, treatment: str, outcome: s
     per = weighted.groupBy("unit").agg(F.sum(score).alias("s"))
     squares, units = per.agg(F.sum(F.col("s") * F.col("s")), F.count("*")).first()
     se = math.sqrt(squares * units / (units - 1)) / spread
-    return one_row(df, {"estimate": b, "se": se, "p_value": 2 * tails.normal_sf(abs(b / se)) if se else 0.0, "units": int(units), "periods": len(periods)})
+    return one_row(df, {"estimate": b, "se": se, "p_value": 2 * tails.normal_sf(abs(b / se)) if se else 0.0, "units": int(units), "periods": len(facts)})
 
 
 def clip_number(p: float) -> float:

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import effects as K
 
@@ -58,3 +59,19 @@ def test_positivity(spark):
     assert r.status == "ADEQUATE" and 0 < r.propensity_min < r.propensity_max < 1 and r.shared_width > 0.5
     d["far"] = 20.0 * d.t + d.a
     assert K.positivity(spark.createDataFrame(d), "t", ["far"]).first().status == "CAUTION"
+
+
+def test_longitudinal_models_learn_from_counts(spark, monkeypatch):
+    """A period's models see a row for each kind of row, weighted, not the rows."""
+    seen = []
+
+    class Fit(K.LogisticRegression):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(K, "LogisticRegression", Fit)
+    rows = spark.range(1500).select((F.col("id") % 500).alias("u"), F.floor(F.col("id") / 500).alias("p"), (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).cast("int").alias("t"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)).alias("c"))
+    found = K.longitudinal(rows.withColumn("y", 5 * F.col("t") + F.col("c")), "u", "p", "t", "y", ["c"]).first()
+    assert len(seen) == 6 and max(seen) <= 16
+    assert found["estimate"] == pytest.approx(5, abs=0.3) and found["periods"] == 3
