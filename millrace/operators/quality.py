@@ -209,6 +209,10 @@ def category_delta(before: DataFrame, after: DataFrame, column: str) -> DataFram
     return a.join(b, "item", "left_anti").withColumn("state", F.lit("added")).union(b.join(a, "item", "left_anti").withColumn("state", F.lit("removed")))
 
 
+#: Buckets of rows that are compared by digests, and places of a class in one task.
+BUCKETS, PLACES = 4096, 500_000
+
+
 def relation_digest(df: DataFrame) -> DataFrame:
     """rows and two sums over the SHA-256 of each row: equal for the same rows in any order, and for no others but by chance of 2 ** -100."""
     key = row_key(df, sorted(df.columns))
@@ -237,48 +241,64 @@ def near_ranks(df: DataFrame, column: str, tolerance: float) -> DataFrame:
 def frames_equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Whether two results hold the same rows, in any order and as often; fractions may differ by a tolerance.
 
-    The tolerance is absolute up to 1 and relative beyond. Values of a column that are linked by steps within it share a rank, on both sides, so
+    The tolerance is absolute up to 1 and relative beyond. Rows are dealt into buckets by their exact columns; buckets whose rows have equal
+    sums of 128 bits of hashes on both sides hold the same rows (others but by chance of 2 ** -100) and are done with, without a shuffle of them.
+    What is left goes on as counts of equal rows. Values of a column that are linked by steps within the tolerance share a rank, on both sides, so
     that fractions that are nearly equal never sort rows apart: rows of the same other columns and ranks form a class. Where
     all values of a class lie within the tolerance, its rows are counted. In any other class rows are put in the order of the fractions that
     spread there, and each pair at one place is compared, which is exact where one column spreads. Infinities and NaN equal themselves only.
     """
+    answer = lambda equal: a.sparkSession.createDataFrame([(equal,)], "equal boolean")
     if sorted(a.columns) != sorted(b.columns):
-        return a.sparkSession.createDataFrame([(False,)], "equal boolean")
+        return answer(False)
     fraction = lambda d: {f.name for f in d.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))}
     loose = sorted(fraction(a) | fraction(b))
     exact = sorted(set(a.columns) - set(loose))
-    each = range(len(loose))
+    each, numbers = range(len(loose)), [f"c{i}" for i in range(len(loose))]
 
     def keyed(df: DataFrame, sign: int) -> DataFrame:
         return df.select(row_key(df, exact).alias("key"), *(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(loose)), F.lit(sign).alias("sign"))
 
-    rows = keyed(a, 1).union(keyed(b, -1))
-    if not loose:
-        return rows.groupBy("key").agg(F.sum("sign").alias("left over")).agg((F.count_if(F.col("left over") != 0) == 0).alias("equal"))
-    rows = cut(rows)
+    rows = keyed(a, 1).union(keyed(b, -1)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    # two hashes of all cells, a null told from its neighbour, added up in parts of 22 bits, which 2 ** 41 rows do not overflow
+    digest = lambda salt: F.xxhash64(F.lit(salt), "key", *(x for c in numbers for x in (F.col(c).isNull(), F.col(c))))
+    parts = [F.sum(F.shiftrightunsigned(h, bits).bitwiseAND(2**22 - 1)) for h in ("h0", "h1") for bits in (0, 22, 44)]
+    digests = rows.withColumns({"h0": digest(0), "h1": digest(1)}).groupBy("bucket", "sign").agg(F.count("*"), *parts).collect()  # two rows a bucket at most
+    sides = [{r["bucket"]: tuple(r)[2:] for r in digests if r["sign"] == sign} for sign in (1, -1)]
+    unlike = sorted(k for k in sides[0].keys() | sides[1].keys() if sides[0].get(k) != sides[1].get(k))
+    if not unlike or not loose or any(sides[0].get(k, (0,))[0] != sides[1].get(k, (0,))[0] for k in unlike):
+        return answer(not unlike)
+    of_side = lambda sign: F.count_if(F.col("sign") == sign)
+    rows = cut(rows.filter(F.col("bucket").isin(unlike)).groupBy("key", *numbers).agg(of_side(1).alias("a"), of_side(-1).alias("b")))
     for i in each:
         c = F.col(f"c{i}")
         odd = F.isnan(c) | (F.abs(c) == float("inf"))
         ranks = near_ranks(rows.filter(~odd), f"c{i}", tolerance).select(F.col("value").alias(f"v{i}"), F.col("rank").cast("string").alias(f"r{i}"))
         rows = rows.join(ranks, c == F.col(f"v{i}"), "left").withColumn(f"r{i}", F.coalesce(F.when(odd, c.cast("string")), F.col(f"r{i}"), F.lit("null"))).drop(f"v{i}")
-    rows = rows.select(F.sha2(F.concat_ws("/", "key", *(f"r{i}" for i in each)), 256).alias("class"), *(F.when(~F.isnan(f"c{i}") & (F.abs(f"c{i}") != float("inf")), F.col(f"c{i}")).alias(f"c{i}") for i in each), "sign")
+    rows = rows.select(F.sha2(F.concat_ws("/", "key", *(f"r{i}" for i in each)), 256).alias("class"), *(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) for c in numbers), "a", "b")
     spreads = lambda i: F.coalesce(F.max(f"c{i}") - F.min(f"c{i}") > tolerance * F.greatest(F.lit(1.0), F.abs(F.min(f"c{i}"))), F.lit(False))
     rows = cut(rows)
-    classes = cut(rows.groupBy("class").agg(F.sum("sign").alias("left over"), *(spreads(i).alias(f"s{i}") for i in each)).filter(reduce(lambda x, y: x | y, (F.col(f"s{i}") for i in each), F.col("left over") != 0)))
+    facts = rows.groupBy("class").agg((F.sum("a") - F.sum("b")).alias("left over"), F.max(F.col("a") != F.col("b")).alias("unlike"), *(spreads(i).alias(f"s{i}") for i in each))
+    classes = cut(facts.filter((F.col("left over") != 0) | F.col("unlike") & reduce(lambda x, y: x | y, (F.col(f"s{i}") for i in each))))
     if classes.filter(F.col("left over") != 0).take(1):
-        return a.sparkSession.createDataFrame([(False,)], "equal boolean")
+        return answer(False)
     if not classes.take(1):
-        return a.sparkSession.createDataFrame([(True,)], "equal boolean")
-    wide = rows.join(classes.drop("left over"), "class")
-    wide = wide.select("class", "sign", *(F.when(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in each)).withColumn("first", F.coalesce(*(F.col(f"c{i}") for i in each)))
+        return answer(True)
+    wide = rows.join(classes.drop("left over", "unlike"), "class")
+    wide = wide.select("class", "a", "b", *(F.when(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"c{i}") for i in each)).withColumn("first", F.coalesce(*numbers))
     # the rows of a class are numbered within ranges of their first fraction, the same for both sides, offset by the ranges before
     ranged = wide.withColumn("range", bucketed(F.col("first"), bounds_of(wide, F.col("first"))))
-    before = Window.partitionBy("class", "sign").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = ranged.groupBy("class", "sign", "range").agg(F.count("*").alias("n")).select("class", "sign", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("class", "sign", "range").orderBy("first", *(f"c{i}" for i in each))
-    numbered = ranged.join(starts, ["class", "sign", "range"]).withColumn("place", F.col("start") + F.row_number().over(order))
-    both = numbered.groupBy("class", "place").agg(*(F.max(F.when(F.col("sign") == sign, F.col(f"c{i}"))).alias(f"c{i}{name}") for i in each for sign, name in ((1, "a"), (-1, "b"))))
-    far = [F.abs(F.col(f"c{i}a") - F.col(f"c{i}b")) > tolerance * F.greatest(F.lit(1.0), F.abs(f"c{i}a")) for i in each]
+    upto = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    before, order = upto(Window.partitionBy("class").orderBy("range")), upto(Window.partitionBy("class", "range").orderBy("first", *numbers))  # before: a row a range
+    starts = ranged.groupBy("class", "range").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("class", "range", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s} before") for s in "ab"))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("n"), (F.col(f"{s} before") + F.coalesce(F.sum(s).over(order), F.lit(0))).alias("start"))
+    placed = ranged.join(starts, ["class", "range"]).withColumn("sides", F.array(side("a"), side("b"))).select("class", *numbers, F.inline("sides")).filter("n > 0")
+    # rows that are repeated hold a run of places; runs are cut at every PLACES, and each is compared with the other side's run at its start
+    block = lambda place: F.floor(place / PLACES)
+    runs = placed.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("n") - 1)))).withColumn("place", F.greatest("start", F.col("block") * PLACES))
+    there = lambda s: F.last(F.when(F.col("side") == s, F.struct(*numbers)), ignorenulls=True).over(Window.partitionBy("class", "block").orderBy("place")).alias(s)
+    both = runs.select(there("a"), there("b"))
+    far = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > tolerance * F.greatest(F.lit(1.0), F.abs(F.col(f"a.{c}"))) for c in numbers]
     return both.agg((F.count_if(reduce(lambda x, y: x | y, (F.coalesce(f, F.lit(False)) for f in far))) == 0).alias("equal"))
 
 

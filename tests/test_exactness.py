@@ -312,3 +312,34 @@ def test_signed_ranks_of_many_ties(spark):
     r = wilcoxon(spark.range(n).select(F.lit(3.0).alias("x"), F.lit(1.0).alias("y")), "x", "y").first()
     assert (r["statistic"], r["n"]) == (n * (n + 1) / 2, n)
     assert r["z"] == pytest.approx(n * (n + 1) / 4 / (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5)
+
+
+def test_frames_equal_ranks_only_buckets_that_differ(spark, monkeypatch):
+    """Rows in another order are not ranked, two swapped cells only with the rows of their buckets; equal rows are ranked once."""
+    seen, near_ranks = [], Q.near_ranks
+    monkeypatch.setattr(Q, "near_ranks", lambda df, *more: seen.append(df.count()) or near_ranks(df, *more))
+    a = spark.range(20_000).select("id", (F.col("id") / 7).alias("x"))
+    swapped = a.withColumn("id", F.when(F.col("id") == 3, 17).when(F.col("id") == 17, 3).otherwise(F.col("id")))
+    equal = lambda x, y: Q.frames_equal(x, y).first().equal
+    assert equal(a, a.repartition(5, "x")) and not equal(a, a.union(a.limit(1))) and not seen
+    assert not equal(a, swapped) and 4 <= seen[0] < 200
+    seen.clear()
+    again = spark.range(5_000).select((F.col("id") % 10).cast("double").alias("x"))
+    assert equal(again, again.select((F.col("x") + 1e-9).alias("x"))) and seen == [20]
+    flags = [(None, 1.0), (1.0, None)]
+    assert not equal(spark.createDataFrame(flags, "a double, b double"), spark.createDataFrame([(1.0, 1.0), (None, None)], "a double, b double"))
+
+
+@pytest.mark.parametrize("places", [3, Q.PLACES])
+def test_frames_equal_compares_runs_of_repeated_rows(spark, monkeypatch, places):
+    """Chains of near values with repeats: the answer is that of both sides sorted and compared place by place."""
+    monkeypatch.setattr(Q, "PLACES", places)
+    rng = np.random.default_rng(5)
+    answers = []
+    for shift in (0, 1, 2):  # steps of 0.6 of the tolerance: one is near, two are not
+        x = np.sort(rng.integers(0, 40, 300))
+        y = np.sort(np.where(rng.random(300) < 0.2, x + shift * rng.integers(0, 2, 300), x))
+        y[0] += shift == 0 and x[0] == x[1]  # a row moved by one step
+        answers.append(bool((np.abs(x - y) <= 1).all()))
+        assert equal(spark, [(float(v) * 6e-7,) for v in x], [(float(v) * 6e-7 + 1e-9,) for v in rng.permutation(y)], "a double") == answers[-1]
+    assert set(answers) == {True, False}
