@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, group_label, ratio
-from .ranks import column_quantiles, group_quantiles
+from .ranks import column_quantiles, group_quantiles, with_facts
 
 
 def skewness(c: Column) -> Column:
@@ -72,7 +72,7 @@ def aggregate(df: DataFrame, operation: str, target: str | None = None, groups:
         return top.groupBy(*groups, "row_count").agg(F.min_by("v", F.col("v").cast("string")).alias("value")).select(*groups, "value", "row_count")
     if operation == "mad":
         middle = group_quantiles(rows, target, {"middle": 0.5}, groups)
-        joined = rows.join(middle, list(groups)) if groups else rows.crossJoin(F.broadcast(middle))
+        joined = with_facts(rows.select(*groups, target), middle, groups)
         return with_rows(rows, group_quantiles(joined.withColumn("off the middle", F.abs(F.col(target) - F.col("middle"))), "off the middle", {"value": 0.5}, groups), groups)
     if operation == "percentile" and (percentile is None or not 0 <= percentile <= 100):
         raise ValueError("a percentile is between 0 and 100")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import tails
 from ..functions.scalars import group_label, ratio
 from .inference import anova, by_batch, chi_square, correlation, fisher_exact, kruskal, ks_test, mann_whitney, one_row, paired_t, spearman, t_test, two_rates, wasserstein, wilcoxon
-from .ranks import column_quantiles, group_quantiles
+from .ranks import column_quantiles, group_quantiles, with_facts
 
 ALPHA = 0.05
 
@@ -45,7 +45,7 @@ def preflight(df: DataFrame, value: str, group: str, least: int = 2, least_group
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """The test of equal spreads on distances from group medians: an analysis of variance of them."""
     rows = df.filter(F.col(value).isNotNull()).select(group_label(group).alias("group"), F.col(value).cast("double").alias("v"))
-    off = rows.join(group_quantiles(rows, "v", {"middle": 0.5}, ["group"]), "group").select("group", F.abs(F.col("v") - F.col("middle")).alias("off"))
+    off = with_facts(rows, group_quantiles(rows, "v", {"middle": 0.5}, ["group"]), ["group"]).select("group", F.abs(F.col("v") - F.col("middle")).alias("off"))
     return anova(off, "off", "group")
 
 

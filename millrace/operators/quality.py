@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import bucketed, group_label, ratio
 from .cleaning import as_text, multiset_sums, row_key
 from .lineage import cut
-from .ranks import bounds_of, column_quantiles, group_quantiles, trimmed_mean
+from .ranks import bounds_of, column_quantiles, group_quantiles, trimmed_mean, with_facts
 
 
 def numeric(df: DataFrame) -> list[str]:
@@ -158,7 +158,7 @@ def dominated_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     rows = df.withColumn(group, group_label(group))
     q = group_quantiles(rows, value, {"q1": 0.25, "q3": 0.75}, [group]).select(group, (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("high"))
     bounds = q.join(rows.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("total")), group)
-    far = rows.join(bounds.filter("n >= 8"), group).filter(F.col(value) > F.col("high"))
+    far = with_facts(rows, bounds.filter("n >= 8"), [group]).filter(F.col(value) > F.col("high"))
     facts = far.groupBy(group, "n", "total").agg(F.count("*").alias("extremes"), F.sum(value).alias("held"))
     return facts.withColumn("share", ratio(F.col("held"), F.col("total"))).filter("extremes <= 0.05 * n AND share >= 0.2")
 

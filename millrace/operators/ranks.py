@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import bucketed, ratio
+from . import lineage
 
 #: Rows of a range, ranges at most, and the accuracy of the sketch that finds their bounds.
 PER_RANGE, RANGES, ACCURACY = 500_000, 2048, 20_000
 #: Rank error of the sketch, as a share of the rows it has seen.
 ERROR = 1 / 1000
-#: Values inside all brackets of a column up to which they are counted exactly instead of narrowed.
+#: Values inside all brackets of a column up to which they are counted exactly instead of narrowed, and groups whose facts are broadcast.
 FEW = 100_000
 
 
@@ -49,7 +50,8 @@ def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str],
         before = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         summed = {name: F.coalesce(F.sum(c).over(before), F.lit(0)) for c, name in sums.items()} | {name: F.sum(c).over(Window.partitionBy(*groups)) for c, name in (totals or {}).items()}
         return counts.filter("value IS NOT NULL").withColumns(summed)
-    cut = counts.withColumn("range of value", bucketed(F.col("value"), list(bounds)))
+    # as many partitions as ranges: few rows a task, even where all rows fit into one partition of Spark's target size
+    cut = counts.withColumn("range of value", bucketed(F.col("value"), list(bounds))).repartition(len(bounds) + 1, *groups, "range of value")
     columns = sorted({*sums, *(totals or {})})
     whole = cut.groupBy(*groups, "range of value").agg(*(F.sum(c).alias(c) for c in columns))
     by_group = Window.partitionBy(*groups)
@@ -60,11 +62,12 @@ def running(counts: DataFrame, bounds: Sequence[float], sums: Mapping[str, str],
     return joined.withColumns({name: F.col(f"before {c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c, name in sums.items()}).drop("range of value", *(f"before {c}" for c in sums))
 
 
-def ranked(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Groups, value, n (its rows), below (rows with a smaller value) and total (rows of the group), nulls left out."""
+def ranked(df: DataFrame, value: str, groups: Sequence[str] = (), bounds: Sequence[float] | None = None) -> DataFrame:
+    """Groups, value, n (its rows), below (rows with a smaller value) and total (rows of the group), nulls left out; bounds of ranges, if they are known."""
     v = F.col(value).cast("double")
+    bounds = bounds_of(df, v) if bounds is None else bounds
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, v.alias("value")).agg(F.count("*").alias("n"))
-    return running(counts, bounds_of(df, v), {"n": "below"}, groups, {"n": "total"}).select(*groups, "value", "n", "below", "total")
+    return running(counts, bounds, {"n": "below"}, groups, {"n": "total"}).select(*groups, "value", "n", "below", "total")
 
 
 def positions(df: DataFrame, order: Column, ties: Sequence[str] = ()) -> DataFrame:
@@ -112,14 +115,41 @@ def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     return ranked(df, value).withColumn("mid_rank", F.col("below") + (F.col("n") + 1) / 2)
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows with the facts of their groups, one row each. Facts of at most FEW groups are broadcast, so that rows of a large group do not meet in one task."""
+    if not groups:
+        return rows.crossJoin(F.broadcast(facts))  # one row
+    facts = lineage.cut(facts)
+    return rows.join(F.broadcast(facts) if facts.count() <= FEW else facts, list(groups))
+
+
 def quantiles(df: DataFrame, value: str, points: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """point and quantile of each group, linear between neighbours, exact at any size; group keys must not be null."""
+    """point and quantile of each group, linear between neighbours, exact at any size; group keys must not be null.
+
+    Rows of each group are counted by ranges; only values in the ranges that a quantile of some group falls into are shuffled and put in order.
+    """
+    v, place = F.col(value).cast("double"), "range of value"
     at = F.col("point") * (F.col("total") - 1)
-    low, last = F.col("below"), F.col("below") + F.col("n") - 1
-    hit = lambda k: (low <= k) & (k <= last)
-    # of the few points only those that a value's ranks reach go on
+    # of the few points only those that the rows of a range or a value reach go on
+    hit = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
     reached = F.filter(F.array(*(F.lit(float(p)) for p in points)), lambda p: hit(F.floor(p * (F.col("total") - 1))) | hit(F.ceil(p * (F.col("total") - 1))))
-    picked = ranked(df, value, groups).select(*groups, "value", "total", F.explode(reached).alias("point"))
+    edges = bounds_of(df, v)
+    if edges:
+        rows = df.filter(F.col(value).isNotNull()).select(*groups, v.alias("value")).withColumn(place, bucketed(F.col("value"), edges))
+        by_group = Window.partitionBy(*groups)  # a row a range
+        before = by_group.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        whole = rows.groupBy(*groups, place).agg(F.count("*").alias("n")).withColumns({"below": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(by_group)})
+        whole = lineage.cut(whole.filter(F.size(reached) > 0).select(*groups, place, F.col("below").alias("before"), "total"))
+        some = [r[0] for r in whole.select(place).distinct().collect()]  # RANGES at most
+        inside = lambda r: reduce(lambda x, y: x & y, [F.col("value") >= e for e in edges[r - 1 : r] if r] + [F.col("value") < e for e in edges[r : r + 1]])
+        held = reduce(lambda x, y: x | y, map(inside, some), F.lit(False)) if len(some) <= 32 else F.col(place).isin(some)  # few ranges by their ends, which is faster
+        counts = rows.filter(held).groupBy(*groups, place, "value").agg(F.count("*").alias("n"))
+        ordered = with_facts(counts, whole, [*groups, place]).repartition(len(edges) + 1, *groups, place)
+        within = Window.partitionBy(*groups, place).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        ranks = ordered.withColumn("below", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    else:
+        ranks = ranked(df, value, groups, edges)
+    picked = ranks.select(*groups, "value", "total", F.explode(reached).alias("point"))
     ends = picked.groupBy(*groups, "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first("total").alias("total"))
     return ends.select(*groups, "point", (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("quantile"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import aggregates as A
 from millrace.operators import cleaning as C
 from millrace.operators import pairs
 from millrace.operators import quality as Q
@@ -343,3 +344,47 @@ def test_frames_equal_compares_runs_of_repeated_rows(spark, monkeypatch, places)
         answers.append(bool((np.abs(x - y) <= 1).all()))
         assert equal(spark, [(float(v) * 6e-7,) for v in x], [(float(v) * 6e-7 + 1e-9,) for v in rng.permutation(y)], "a double") == answers[-1]
     assert set(answers) == {True, False}
+
+
+def shuffled(plan):
+    """The most rows that one exchange of a plan that has run has written."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    inner = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return max([own.get().value() if own.isDefined() else 0, *map(shuffled, inner)])
+
+
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_group_quantiles_shuffle_only_ranges_they_fall_into(spark, monkeypatch, groups):
+    """Median distances from the median, as numpy has them, without a shuffle of all rows or of all values, and without Spark's own choice to broadcast."""
+    monkeypatch.setattr(ranks, "PER_RANGE", 1000)
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"g": np.where(rng.random(60_000) < 0.9, "a", "b"), "x": np.concatenate([rng.normal(size=50_000), np.full(10_000, 0.25)])})
+    df = spark.createDataFrame(frame).union(spark.createDataFrame([("a", None), ("c", None)], "g string, x double"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = A.aggregate(df, "mad", "x", groups)
+        got = {r["g"] if groups else "": (r["value"], r["row_count"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    mad = lambda x: np.median(np.abs(x - np.median(x)))
+    want = {g: mad(part.x) for g, part in frame.groupby("g")} if groups else {"": mad(frame.x)}
+    assert {k: v[0] for k, v in got.items() if v[0] is not None} == pytest.approx(want)
+    assert {k: v[1] for k, v in got.items()} == ({"a": (frame.g == "a").sum() + 1, "b": (frame.g == "b").sum(), "c": 1} if groups else {"": 60_002})
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 15_000
+
+
+@pytest.mark.parametrize("few", [0, ranks.FEW])
+def test_quantiles_of_many_groups_in_ranges(spark, monkeypatch, few):
+    """Every range is some group's, NaN comes last, facts of groups are broadcast or not: the same quantiles."""
+    monkeypatch.setattr(ranks, "PER_RANGE", 500)
+    monkeypatch.setattr(ranks, "FEW", few)
+    g = np.repeat(np.arange(60), 400)
+    x = g * 10 + np.random.default_rng(9).integers(0, 30, len(g)) / 2
+    x[-300:] = np.nan
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(g, x)], "g int, x double")
+    got = ranks.group_quantiles(df, "x", {"low": 0.1, "high": 0.9}, ["g"]).toPandas().sort_values("g")
+    want = np.array([np.quantile(np.sort(x[g == k]), [0.1, 0.9]) if k < 59 else [np.sort(x[g == k])[39] * 0.1 + np.sort(x[g == k])[40] * 0.9, np.nan] for k in range(60)])
+    assert got.low.to_numpy() == pytest.approx(want[:, 0]) and got.high.to_numpy() == pytest.approx(want[:, 1], nan_ok=True)
